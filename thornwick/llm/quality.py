@@ -65,10 +65,11 @@ def measure(docs: DataFrame) -> DataFrame:
         bind(words, of_words).alias("w"),
         bind(lines, of_lines).alias("l"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.regexp_count(text, F.lit(r"[^\p{L}\x20\x09-\x0D]")).cast("long").alias("n_marks"),
         F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         F.regexp_count(text, F.lit(r"[!]")).cast("long").alias("n_shouts"),
         F.regexp_count(text, F.lit(r"[.?]")).cast("long").alias("n_stops"),
-    ).select("doc_id", "w.*", "l.*", "n_symbols", "n_upper", "n_shouts", "n_stops")
+    ).select("doc_id", "w.*", "l.*", "n_symbols", "n_marks", "n_upper", "n_shouts", "n_stops")
 
 
 def _vote(bad: Column, good: Column) -> Column:
@@ -80,40 +81,45 @@ def rules() -> dict[str, Column]:
     n, c = F.col("n_words"), F.col("word_chars")
     return {
         "symbols": _vote(F.col("n_symbols") * 10 > n, F.col("n_symbols") * 50 < n),
-        "upper": _vote(F.col("n_upper") * 10 > c * 3, F.col("n_upper") * 8 < c),
-        "shouts": _vote(F.col("n_shouts") * 10 > n, F.col("n_shouts") * 50 < n),
-        "repeats": _vote(F.col("n_repeat_words") * 10 > n * 3, F.col("n_repeat_words") * 10 < n),
-        "lines": _vote(F.col("n_dup_lines") * 10 > F.col("n_lines") * 3, F.col("n_dup_lines") == 0),
+        "marks": _vote(F.col("n_marks") * 100 > c * 13, F.col("n_marks") * 100 < c * 8),
+        "shouting": _vote((F.col("n_upper") * 10 > c * 3) | (F.col("n_shouts") * 10 > n), (F.col("n_upper") * 8 < c) & (F.col("n_shouts") * 50 < n)),
+        "repetition": _vote((F.col("n_repeat_words") * 10 > n * 3) | (F.col("n_distinct") < F.sqrt(n) * 2), F.col("n_repeat_words") * 10 < n),
+        "lines": _vote(F.col("n_dup_lines") * 2 > F.col("n_lines"), F.col("n_dup_lines") == 0),
         "length": _vote((c < n * 2) | (c > n * 15), (c > n * 3) & (c < n * 11)),
-        "variety": _vote(F.col("n_distinct") * 10 < F.sqrt(n) * 20, F.col("n_distinct") * 10 > F.sqrt(n) * 40),
         "stops": _vote(F.col("n_stops") * 200 < n, F.col("n_stops") * 60 > n),
     }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], k: int, rounds: int = 200) -> tuple[float, list[dict[int, float]]]:
-    """EM over (votes, count): the prior log-odds of good, and each rule's log-odds by vote (an abstention has none)."""
-    good, rates = 0.8, [{y: {1: 0.8, -1: 0.05} if y else {1: 0.5, -1: 0.3} for y in (1, 0)} for _ in range(k)]
+def estimate(patterns: list[tuple[tuple[int, ...], int]], k: int, strength: float = 0.1, bad: float = 0.2, slip: float = 0.01, catch: float = 0.3, rounds: int = 300) -> tuple[float, list[dict[int, float]]]:
+    """EM over (votes, count): the prior log-odds of good, and each rule's log-odds by vote (an abstention has none).
+
+    A rule is taken to vote bad on slip of the good and catch of the bad documents before any are seen; that belief weighs
+    as much as strength times the documents, so it holds at every size which of the two classes is the good one."""
     total = sum(n for _, n in patterns)
-    odds, prior = [{1: 0.0, -1: 0.0, 0: 0.0} for _ in range(k)], math.log(good / (1 - good))
+    prior = math.log((1 - bad) / bad)
+    rates = [{1: {-1: slip, 1: 1 - slip}, 0: {-1: catch, 1: 1 - catch}} for _ in range(k)]
+    weight = max(strength * total, 1.0)
+
+    def log_odds() -> list[dict[int, float]]:
+        return [{v: math.log(r[1][v] / r[0][v]) for v in (1, -1)} | {0: 0.0} for r in rates]
+
     for _ in range(rounds if total else 0):
-        odds = [{v: math.log(r[1][v] / r[0][v]) for v in (1, -1)} | {0: 0.0} for r in rates]
-        mass = {1: 0.0, 0: 0.0}
-        tally = [{y: {1: 1.0, -1: 1.0} for y in (1, 0)} for _ in range(k)]  # one document each way before any is seen
+        odds, good = log_odds(), 0.0
+        tally = [{y: {-1: weight * w * x, 1: weight * w * (1 - x)} for y, w, x in ((1, 1.0, slip), (0, bad, catch))} for _ in range(k)]
         for votes, n in patterns:
             at = prior + sum(odds[j][v] for j, v in enumerate(votes))
             p = 1 / (1 + math.exp(-max(-500.0, min(500.0, at))))
-            for y, w in ((1, p * n), (0, (1 - p) * n)):
-                mass[y] += w
-                for j, v in enumerate(votes):
-                    if v:
-                        tally[j][y][v] += w
-        share = min(max((mass[1] + 1) / (total + 2), 0.01), 0.99)
+            good += p * n
+            for j, v in enumerate(votes):
+                if v:
+                    tally[j][1][v] += p * n
+                    tally[j][0][v] += (1 - p) * n
+        share = min(max(good / total, 0.01), 0.99)
         was, prior = prior, math.log(share / (1 - share))
         rates = [{y: {v: t[y][v] / (t[y][1] + t[y][-1]) for v in (1, -1)} for y in (1, 0)} for t in tally]
         if abs(was - prior) < 1e-9:
             break
-    # a rule's bad vote never argues for a document, nor its good vote against it
-    return prior, [{1: max(o[1], 0.0), -1: min(o[-1], 0.0), 0: 0.0} for o in odds]
+    return prior, log_odds()
 
 
 def judge(docs: DataFrame, at_least: float = 0.5) -> DataFrame:
