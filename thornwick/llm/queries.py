@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from thornwick.llm import chat, html_text, mixing, packing, quality, tokenbin, topk, toxicity
+from thornwick.llm import chat, html_text, linededup, mixing, packing, quality, tokenbin, topk, toxicity
 from thornwick.llm.common import table
 
 
@@ -30,6 +31,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_before"))
+    found = linededup.dedup_lines(docs)
+    return found.select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), "n_before")
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(table(spark, sf_dir, "documents"))
 
@@ -44,7 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op3_chat, op4_topk, op5_packing, op6_quality, op8_tokens, op9_mixing, op10_toxicity)
+    f.__name__: f for f in (op1_html_text, op3_chat, op4_topk, op5_packing, op6_quality, op7_line_dedup, op8_tokens, op9_mixing, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {}
