@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thornwick.llm.common import materialize, run_hash, text_chunks, words_of
+from thornwick.llm.graphs import KEY, paired_texts, row_key
 
 _U = np.uint64
-KEY = "struct<none:boolean,id:long,h:long>"
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:
@@ -194,24 +194,12 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, line_words: int = 16) ->
     owners = lines.groupBy("line").agg(F.min("key").alias("owner"), F.max("key").alias("last")).filter(F.col("owner") != F.col("last")).drop("last")
     pairs = lines.join(owners, "line").filter(F.col("key") != F.col("owner")).select("key", "owner").distinct()
     pairs = materialize(pairs, "pairs")
-    # an owner of very many pairs is spread over salts; its text goes to each of them
-    load = pairs.groupBy("owner").count().select("owner", F.ceil(F.col("count") / 200).cast("int").alias("salts"))
-    pairs = pairs.join(load.filter(F.col("salts") > 1), "owner", "left")
-    pairs = pairs.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("key"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
-    held = texts.select(F.col("key").alias("owner"), F.col("text").alias("owner_text")).dropDuplicates(["owner"]).join(load, "owner")
-    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    both = pairs.join(texts, "key").join(held, ["owner", "salt"]).select("key", "text", "owner_text")
+    both = paired_texts(pairs, texts.dropDuplicates(["key"])).select("key", "text", "owner_text")
     runs = both.mapInArrow(_align(line_words), f"key {KEY}, starts array<int>, ends array<int>")
     # a row's owners are no more than its own lines
     return runs.filter(F.size("starts") > 0).groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
 
 
-def row_key(docs: DataFrame) -> F.Column:
-    """Orders rows by doc_id, null last, then by a hash of the text."""
-    none = docs["doc_id"].isNull()
-    return F.struct(none.alias("none"), F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("id"), F.xxhash64(docs["text"].cast("string")).alias("h"))
-
-
 def cut_text(text: str, runs: list[tuple[int, int]], min_words: int) -> str:
     """The text without the joined word runs that have min_words words; lines that lose all their words go whole."""
     raw = text.encode()

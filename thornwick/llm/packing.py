@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thornwick.llm.common import materialize
-from thornwick.llm.tokens import Cached
+from thornwick.llm.tokens import cached
 
 CAPACITY = 1024
 SALTS = 128
@@ -30,7 +30,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt
 
 def _cut(tokenizer: str, end_id: int, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Cached(tokenizer, keeps_space=True)
+        encoder = cached(tokenizer, keeps_space=True)
         end = np.asarray([end_id], "<u4").tobytes()
         serial = 0
         for batch in batches:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thornwick.llm import chat, html_text, linededup, mixing, packing, quality, tokenbin, topk, toxicity
+from thornwick.llm import chat, html_text, linededup, mixing, neardup, packing, quality, tokenbin, topk, toxicity
 from thornwick.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
@@ -51,7 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op3_chat, op4_topk, op5_packing, op6_quality, op7_line_dedup, op8_tokens, op9_mixing, op10_toxicity)
+    f.__name__: f for f in (op1_html_text, op2_near_dup, op3_chat, op4_topk, op5_packing, op6_quality, op7_line_dedup, op8_tokens, op9_mixing, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {}

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thornwick.llm.common import materialize, mix, scratch_path
-from thornwick.llm.tokens import Cached
+from thornwick.llm.tokens import cached
 
 MAGIC = 0x4D504831
 RECORD = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("length", "<u8")])
@@ -138,7 +138,7 @@ def write_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int, width:
         fs, base = _open(root)
         fs.create_dir(base, recursive=True)
         file = f"shard-{shard:06d}-{uuid.uuid4().hex}.bin"
-        encoder, kind = Cached(tokenizer, keeps_space=False), f"<u{width}"
+        encoder, kind = cached(tokenizer, keeps_space=False), f"<u{width}"
         end = np.asarray([end_id], "<u4").tobytes()
         offset, last, serial, pending = 0, object(), 0, []
         with fs.open_output_stream(f"{base}/{file}") as out:

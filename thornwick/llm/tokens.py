@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import cache
 from itertools import islice
 
 import numpy as np
@@ -43,56 +44,69 @@ class Cached:
         self.tokenizer, self.keeps_space = load(name), keeps_space
         self.head: dict[str, bytes] = {}
         self.tail: dict[str, bytes] = {}
-        self.newline = self._encode(["\n"])[0] if keeps_space else b""
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, cache: dict[str, bytes], pieces: set[str], prefix: str = "") -> None:
-        """Encodes what the cache lacks, in one call; a full cache keeps its earliest, most frequent half."""
-        missing = [x for x in pieces if x not in cache]
+    def _learn(self, cache: dict[str, bytes], missing: list[str], prefix: str) -> None:
+        """Encodes what the cache lacks, in one call a few thousand; a full cache keeps its earliest, most frequent half."""
         if len(cache) + len(missing) > CACHE:
             kept = dict(islice(cache.items(), CACHE // 2))
             cache.clear()
             cache.update(kept)
-            missing = [x for x in pieces if x not in cache]
         for i in range(0, len(missing), 20_000):
             some = missing[i : i + 20_000]
-            found = self.tokenizer.encode([prefix + x for x in some], is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(found.ids, "<u4")
-            ends = np.searchsorted(np.asarray(found.word_ids, np.int64), np.arange(1, len(some)))
-            cache.update(zip(some, (x.tobytes() for x in np.split(ids, ends)), strict=True))
+            found = self.tokenizer.encode([prefix + x if x[:1] != "\n" else x for x in some] if prefix else some, is_pretokenized=True, add_special_tokens=False)
+            ids = np.asarray(found.ids, "<u4").tobytes()
+            ends = (4 * np.searchsorted(np.asarray(found.word_ids, np.int64), np.arange(1, len(some) + 1))).tolist()
+            cache.update(zip(some, (ids[s:e] for s, e in zip([0, *ends], ends, strict=False)), strict=True))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; the caller bounds how much text comes at once."""
         plans = [self._plan(t) for t in texts]
-        heads: set[str] = set()
-        tails: set[str] = set()
-        for kind, parts in plans:
-            if kind == "head":
-                heads.update(parts)
-            elif kind == "lines":
-                heads.update(x[0] for x in parts)
-                tails.update(*(x[1:] for x in parts))
-        self._learn(self.head, heads)
-        self._learn(self.tail, tails, " ")
-        head, tail, out = self.head.__getitem__, self.tail.__getitem__, []
-        for kind, parts in plans:
+        found = {}
+        for name, cache, prefix in (("head", self.head, ""), ("tail", self.tail, " ")):
+            get = cache.get
+            rows = [list(map(get, parts)) if kind == name else None for kind, _, parts in plans]
+            missing = {x for (_, _, parts), row in zip(plans, rows, strict=True) if row and None in row for x, v in zip(parts, row, strict=True) if v is None}
+            if missing:
+                # what the row already holds stays there, whatever the cache forgets
+                self._learn(cache, list(missing), prefix)
+                for (_, _, parts), row in zip(plans, rows, strict=True):
+                    if row and None in row:
+                        row[:] = [cache[x] if v is None else v for x, v in zip(parts, row, strict=True)]
+            found[name] = rows
+        firsts = [first for kind, first, _ in plans if kind == "tail"]
+        first_ids = {}
+        if firsts:
+            missing = [x for x in dict.fromkeys(firsts) if x not in self.head]
+            self._learn(self.head, missing, "") if missing else None
+            first_ids = {x: self.head[x] if x in self.head else self._encode([x])[0] for x in firsts}
+        out = []
+        for k, (kind, first, parts) in enumerate(plans):
             if kind == "whole":
                 out.append(self._encode([parts])[0])
-            elif kind == "head":
-                out.append(b"".join(map(head, parts)))
             else:
-                out.append(self.newline.join(head(x[0]) + b"".join(map(tail, x[1:])) for x in parts))
+                joined = b"".join(found[kind][k])
+                out.append(first_ids[first] + joined if kind == "tail" else joined)
         return out
 
-    def _plan(self, text: str) -> tuple[str, str | list]:
+    def _plan(self, text: str) -> tuple[str, str, str | list]:
+        """How to encode a text: ("whole", "", text), ("head", "", pieces), or ("tail", first piece, the pieces that a
+        space or a line feed precedes, the latter with it)."""
         if not text:
-            return "head", []
+            return "head", "", []
         if any(x in text for x in _ODD):
-            return "whole", text
+            return "whole", "", text
         if not self.keeps_space:
-            return "head", text.split()
+            return "head", "", text.split()
         if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _RARE) or not text.isascii() and any(x in text for x in _WIDE):
-            return "head", _PIECES.findall(text)
-        return "lines", [line.split(" ") for line in text.split("\n")]
+            return "head", "", _PIECES.findall(text)
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return "tail", first, rest
+
+
+@cache
+def cached(name: str, keeps_space: bool) -> Cached:
+    """The worker's own encoder, which later tasks of the worker find filled."""
+    return Cached(name, keeps_space)
