@@ -15,7 +15,7 @@ _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 _RARE = (*"\t\r\x0b\x0c", "  ", " \n", "\n ", "\n\n")
 _WIDE = tuple(chr(x) for x in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 _PIECES = re.compile(r"\s*\S+|\s+$")
-CACHE = 500_000
+CACHE = 1_200_000
 
 
 def load(name: str):
