@@ -51,15 +51,15 @@ def test_cached_encoding_equals_the_library():
     for name, keeps in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
         encoder = tokens.Cached(name, keeps)
         odd = ["", " a", "a ", "a  b", "a\n\nb", "a\r\nb", "x\x1cy z", "don't I'll", "a b　c", "<|endoftext|>x", "12 345", "\n", "a\n b", "Aß İ ΑΣ. é ́"] + [t or "" for _, t, _ in texts()]
-        assert encoder.encode_many(odd) == [np.asarray(encoder.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in odd]
+        assert [x.tolist() for x in encoder.encode_many(odd)] == [encoder.tokenizer.encode(x, add_special_tokens=False).ids for x in odd]
 
 
-def test_cache_overflow(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE", 50)
+def test_a_full_store_keeps_results(monkeypatch):
+    monkeypatch.setattr(tokens, "STORE", 60)
     encoder = tokens.Cached("byte_bpe_50k.json", True)
     many = [prose(k, 80) for k in range(20)]
     for i in range(0, 20, 5):
-        assert encoder.encode_many(many[i : i + 5]) == encoder._encode(many[i : i + 5])
+        assert [x.tolist() for x in encoder.encode_many(many[i : i + 5])] == [encoder.whole(x).tolist() for x in many[i : i + 5]]
 
 
 def test_packing_round_trip(docs):
@@ -241,7 +241,7 @@ def test_line_dedup(docs):
     assert WORD.findall(by_id[25].text) == WORD.findall(prose(73, 100))
     assert by_id[30].text is None and by_id[31].text == "" and by_id[36].text == prose(80, 30000)
     for k in range(12):
-        if k not in (7, 8):
+        if k not in (7, 8):  # repeated rows of one doc_id
             assert by_id[k].text == prose(k, 60 + 13 * k)
     # no later text holds 50 words in a row that an earlier one had
     seen: dict = {}

@@ -11,8 +11,8 @@ overlaps (a heading, a licence line) stay.
 
 Any common run of min_words words holds a line that both documents choose, so none is missed, however many share it.
 
-Defined results: a null text stays null, an empty one empty; rows that repeat a doc_id are ordered by a hash of the text,
-and rows equal in both are no copies of each other; a document that is wholly repeated keeps its row with an empty text;
+Defined results: a null text stays null, an empty one empty; rows that repeat a doc_id are one document to each other and
+are not compared; a document that is wholly repeated keeps its row with an empty text;
 rows with a null doc_id come last; all columns are kept, and n_chars, where there is one, is the new length.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thornwick.llm.common import materialize, run_hash, text_chunks, words_of
-from thornwick.llm.graphs import KEY, paired_texts, row_key
+from thornwick.llm.graphs import spread, unzipped, zipped_texts
 
 _U = np.uint64
 
@@ -171,33 +171,25 @@ def common_runs(a: np.ndarray, b: np.ndarray, line_words: int) -> list[tuple[int
     return runs
 
 
-def _align(line_words: int):
-    def words_by_row(column: pa.Array) -> Iterator[np.ndarray]:
-        for i, j, data, offsets in text_chunks(column):
-            words, _, _, first = words_of(data, offsets)
-            for k in range(j - i):
-                yield words[first[k] : first[k + 1]]
+def _words(texts: list[str]) -> Iterator[np.ndarray]:
+    for _, _, data, offsets in text_chunks(pa.array(texts, pa.string())):
+        words, _, _, first = words_of(data, offsets)
+        for s, e in zip(first[:-1], first[1:], strict=True):
+            yield words[s:e]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [common_runs(a, b, line_words) for a, b in zip(words_by_row(batch.column("text")), words_by_row(batch.column("owner_text")), strict=True)]
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([[int(x) for x, _ in r] for r in found], kind), pa.array([[int(x) for _, x in r] for r in found], kind)], ["key", "starts", "ends"])
 
-    return run
+def row_number(docs: DataFrame) -> F.Column:
+    """Orders rows by doc_id; those without one come last, by a hash of the text."""
+    late = F.lit(1 << 62) + F.pmod(F.xxhash64(docs["text"].cast("string")), F.lit(1 << 61))
+    return F.coalesce(docs["doc_id"].cast("long"), late)
 
 
-def repeated_runs(docs: DataFrame, min_words: int = 50, line_words: int = 16) -> DataFrame:
-    """key, starts, ends: the word runs [start, end) that a row repeats from earlier rows; key as row_key()."""
-    texts = docs.select(row_key(docs).alias("key"), F.col("text").cast("string").alias("text"))
-    lines = materialize(texts.mapInArrow(_lines(min_words, line_words), f"key {KEY}, line long"), "lines")
+def owned_lines(docs: DataFrame, min_words: int = 50, line_words: int = 16) -> DataFrame:
+    """key, owner: for each row, the first rows that hold one of its lines (by row_number), itself left out."""
+    texts = docs.select(row_number(docs).alias("key"), F.col("text").cast("string").alias("text"))
+    lines = materialize(texts.mapInArrow(_lines(min_words, line_words), "key long, line long"), "lines")
     owners = lines.groupBy("line").agg(F.min("key").alias("owner"), F.max("key").alias("last")).filter(F.col("owner") != F.col("last")).drop("last")
-    pairs = lines.join(owners, "line").filter(F.col("key") != F.col("owner")).select("key", "owner").distinct()
-    pairs = materialize(pairs, "pairs")
-    both = paired_texts(pairs, texts.dropDuplicates(["key"])).select("key", "text", "owner_text")
-    runs = both.mapInArrow(_align(line_words), f"key {KEY}, starts array<int>, ends array<int>")
-    # a row's owners are no more than its own lines
-    return runs.filter(F.size("starts") > 0).groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+    return materialize(lines.join(owners, "line").filter(F.col("key") != F.col("owner")).select("key", "owner").distinct(), "pairs")
 
 
 def cut_text(text: str, runs: list[tuple[int, int]], min_words: int) -> str:
@@ -233,20 +225,22 @@ def cut_text(text: str, runs: list[tuple[int, int]], min_words: int) -> str:
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, line_words: int = 16) -> DataFrame:
     """docs with the text that earlier documents hold deleted from later ones; every row and column is kept."""
-    runs = repeated_runs(docs, min_words, line_words).withColumnsRenamed({"key": "__key"})
-    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(kept, F.col("text").cast("string").alias("text"), row_key(docs).alias("key"))
-    joined = rows.join(runs, F.col("key") == F.col("__key"), "left").select("row", "text", "starts", "ends")
+    pairs = owned_lines(docs, min_words, line_words)
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = zipped_texts(docs.select(row_number(docs).alias("key"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("row")))
+    # a row's owners are no more than its own lines
+    against = spread(pairs, rows).groupBy("key").agg(F.collect_list("owner_z").alias("owners"))
+    joined = rows.join(against, "key", "left").select("row", "z", "owners")
     schema = T.StructType([joined.schema["row"], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, s, e in zip(batch.column("text"), batch.column("starts"), batch.column("ends"), strict=True):
-                found = text.as_py()
-                if found and s.is_valid:
-                    found = cut_text(found, list(zip(s.as_py(), e.as_py(), strict=True)), min_words)
-                texts.append(found)
+            texts: list[str | None] = []
+            for text, z, owners in zip(unzipped(batch.column("z")), batch.column("z"), batch.column("owners"), strict=True):
+                if owners.is_valid and text:
+                    own, *theirs = _words([text, *unzipped(owners.values)])
+                    text = cut_text(text, [r for b in theirs for r in common_runs(own, b, line_words)], min_words)
+                texts.append(text if z.is_valid else None)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
     cut = joined.mapInArrow(run, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thornwick.llm.common import materialize, mix, run_hash, text_chunks, words_of
-from thornwick.llm.graphs import KEY, components, paired_texts, row_key
+from thornwick.llm.graphs import KEY, components, paired_texts, row_key, unzipped, zipped_texts
 
 _U = np.uint64
 K, SAMPLED, SKETCHES, THRESHOLD = 5, 5, 16, 0.8
@@ -137,7 +137,7 @@ def aligned_share(a: np.ndarray, b: np.ndarray, threshold: float, la: np.ndarray
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(_words_by_row(batch.column("text")), _words_by_row(batch.column("owner_text")), strict=True)
+            rows = zip(*(_words_by_row(pa.array(unzipped(batch.column(x)), pa.string())) for x in ("z", "owner_z")), strict=True)
             good = pa.array([aligned_share(shingles(a), shingles(b), threshold) >= threshold for a, b in rows], pa.bool_())
             yield batch.select(["key", "owner"]).filter(good)
 
@@ -149,7 +149,7 @@ def _search_block(threshold: float):
 
     def run(data: pa.Table) -> pa.Table:
         data = data.combine_chunks()
-        kmers = [shingles(w) for w in _words_by_row(data.column("text"))]
+        kmers = [shingles(w) for w in _words_by_row(pa.array(unzipped(data.column("z")), pa.string()))]
         marks = [labelled(x) for x in kmers]
         keys, root = data.column("key").to_pylist(), data.column("root_hash").to_pylist()
         side = np.asarray(data.column("side").to_pylist())
@@ -196,7 +196,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     hashed = rows.select("key", "text", F.xxhash64("text").alias("x1"), F.xxhash64(F.lit(1), "text").alias("x2"))
     sketched = materialize(hashed.mapInArrow(_sketches, f"key {KEY}, x1 long, x2 long, keys array<long>"), "sketches")
     nodes = materialize(sketched.groupBy("x1", "x2").agg(F.min("key").alias("node"), F.first("keys").alias("keys")), "nodes")
-    texts = rows.dropDuplicates(["key"])
+    texts = zipped_texts(rows)
     members = nodes.select(F.col("node").alias("key"), F.explode("keys").alias("bucket"))
     hubs = members.groupBy("bucket").agg(F.min("key").alias("owner"), F.max("key").alias("last")).filter(F.col("owner") != F.col("last")).drop("last")
     shared = materialize(members.join(hubs, "bucket"), "shared")
@@ -222,7 +222,8 @@ def _across(shared: DataFrame, found: DataFrame, texts: DataFrame, threshold: fl
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     rows = rows.select("bucket", "key", F.xxhash64("root").alias("root_hash"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
-    rows = rows.join(texts, "key")
+    once = texts.join(rows.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("z").alias("z"))
+    rows = rows.join(once, "key")
     return materialize(rows.groupBy("bucket", "i", "j").applyInArrow(_search_block(threshold), f"u {KEY}, v {KEY}"), "across")
 
 

@@ -34,22 +34,18 @@ def _cut(tokenizer: str, end_id: int, capacity: int) -> Callable[[Iterator[pa.Re
         end = np.asarray([end_id], "<u4").tobytes()
         serial = 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            sizes = np.cumsum(np.asarray([len(x or "") for x in texts], np.int64))
-            i = 0
-            while i < len(ids):
-                j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + 1_000_000, "right")))
+            docs = batch.column(0).to_pylist()
+            for i, _, ids, bounds in encoder.encode_column(batch.column(1)):
                 rows: list[tuple] = []
-                for doc, raw in zip(ids[i:j], encoder.encode_many([x or "" for x in texts[i:j]]), strict=True):
-                    raw += end
-                    n, start, piece = len(raw) // 4, 0, 0
+                for k, (s, e) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                    raw = ids[s:e].astype("<u4").tobytes() + end
+                    n, start, piece = e - s + 1, 0, 0
                     while start < n:
                         length = capacity if start or n <= capacity else n % capacity or capacity
                         length = min(length, n - start)
-                        rows.append((doc, piece, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), serial % SALTS))
+                        rows.append((docs[i + k], piece, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), serial % SALTS))
                         start, piece, serial = start + length, piece + 1, serial + 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
-                i = j
 
     return run
 

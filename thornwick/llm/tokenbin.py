@@ -138,31 +138,23 @@ def write_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int, width:
         fs, base = _open(root)
         fs.create_dir(base, recursive=True)
         file = f"shard-{shard:06d}-{uuid.uuid4().hex}.bin"
-        encoder, kind = cached(tokenizer, keeps_space=False), f"<u{width}"
-        end = np.asarray([end_id], "<u4").tobytes()
-        offset, last, serial, pending = 0, object(), 0, []
+        encoder = cached(tokenizer, keeps_space=False)
+        offset, last, serial = 0, object(), 0
         with fs.open_output_stream(f"{base}/{file}") as out:
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                sizes = np.cumsum(np.asarray([len(x) for x in texts], np.int64))
-                i = 0
-                while i < len(ids):
-                    j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + 1_000_000, "right")))
+                docs = batch.column(0).to_pylist()
+                for i, j, ids, bounds in encoder.encode_column(batch.column(1)):
+                    ids = np.insert(ids, bounds[1:], end_id)
+                    if int(ids.max()) >= 1 << 8 * width:
+                        raise ValueError("the payload's width doesn't hold an id")
+                    out.write(ids.astype(f"<u{width}").tobytes())
                     rows = []
-                    for doc, raw in zip(ids[i:j], encoder.encode_many(texts[i:j]), strict=True):
-                        raw += end
+                    for doc, n in zip(docs[i:j], (np.diff(bounds) + 1).tolist(), strict=True):
                         serial = serial + 1 if doc == last else 0
                         last = doc
-                        rows.append((doc, serial, shard, file, offset, len(raw) // 4))
-                        pending.append(raw)
-                        offset += len(raw) // 4
-                    ids32 = np.frombuffer(b"".join(pending), "<u4")
-                    if len(ids32) and ids32.max() >= 1 << 8 * width:
-                        raise ValueError("the payload's width doesn't hold an id")
-                    out.write(ids32.astype(kind).tobytes())
-                    pending = []
+                        rows.append((doc, serial, shard, file, offset, n))
+                        offset += n
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "serial", "shard", "file", "offset", "n_tokens"])
-                    i = j
 
     return materialize(ordered.mapInArrow(run, ENTRIES), "entries")
 

@@ -1,21 +1,26 @@
-"""Exact word-level caching over the public tokenizers, so that each distinct piece of text is encoded once a worker."""
+"""Exact encoding by the public tokenizers, with each distinct piece of text encoded once a worker.
+
+A byte-level vocabulary (keeps_space) is cut before white space, which its pattern never crosses from the left, so a piece
+is white space with the word after it; a vocabulary that drops white space is cut at it. Pieces are found, hashed and
+looked up as arrays, a few million bytes of text at once; only those not seen before go to the tokenizer. Texts with white
+space outside ASCII are encoded whole where white space counts. Keys are 64-bit hashes of a piece within one worker's
+memory, which is bounded: a full store keeps its earliest, most frequent half.
+"""
 
 from __future__ import annotations
 
 import os
-import re
+from collections.abc import Iterator
 from functools import cache
-from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+
+from thornwick.llm.common import mix, run_hash, text_chunks, words_of
 
-#: White space to Python's str but not to the tokenizers.
-_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: White space other than the space and the line feed, and runs of the two.
-_RARE = (*"\t\r\x0b\x0c", "  ", " \n", "\n ", "\n\n")
-_WIDE = tuple(chr(x) for x in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
-_PIECES = re.compile(r"\s*\S+|\s+$")
-CACHE = 1_200_000
+_U = np.uint64
+STORE = 1_000_000
+CHUNK = 2 << 20
 
 
 def load(name: str):
@@ -33,77 +38,107 @@ def load(name: str):
     return found
 
 
-class Cached:
-    """Encodes texts to little-endian unsigned 32-bit ids.
+def _wide_space(data: np.ndarray) -> np.ndarray:
+    """Where a white-space character outside ASCII starts (U+0085, 00A0, 1680, 2000-200A, 2028, 2029, 202F, 205F, 3000)."""
+    at = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    if not len(at):
+        return at
+    padded = np.r_[data, np.zeros(2, np.uint8)]
+    a, b, c = padded[at], padded[at + 1], padded[at + 2]
+    two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    three = (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    e2 = (a == 0xE2) & ((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F))
+    return at[two | three | e2]
 
-    A byte-level vocabulary is cut before white space, which its pattern never crosses from the left; a vocabulary that
-    drops white space is cut at it. Texts with separators on which Python's and the tokenizer's white space differ are
-    encoded whole. The cache starts anew when it is full, so memory stays bounded on any vocabulary."""
+
+class Cached:
+    """Encodes columns of texts; holds the ids of the pieces that it has met."""
 
     def __init__(self, name: str, keeps_space: bool) -> None:
         self.tokenizer, self.keeps_space = load(name), keeps_space
-        self.head: dict[str, bytes] = {}
-        self.tail: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, cache: dict[str, bytes], missing: list[str], prefix: str) -> None:
-        """Encodes what the cache lacks, in one call a few thousand; a full cache keeps its earliest, most frequent half."""
-        if len(cache) + len(missing) > CACHE:
-            kept = dict(islice(cache.items(), CACHE // 2))
-            cache.clear()
-            cache.update(kept)
-        for i in range(0, len(missing), 20_000):
-            some = missing[i : i + 20_000]
-            found = self.tokenizer.encode([prefix + x if x[:1] != "\n" else x for x in some] if prefix else some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(found.ids, "<u4").tobytes()
-            ends = (4 * np.searchsorted(np.asarray(found.word_ids, np.int64), np.arange(1, len(some) + 1))).tolist()
-            cache.update(zip(some, (ids[s:e] for s, e in zip([0, *ends], ends, strict=False)), strict=True))
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; the caller bounds how much text comes at once."""
-        plans = [self._plan(t) for t in texts]
-        found = {}
-        for name, cache, prefix in (("head", self.head, ""), ("tail", self.tail, " ")):
-            get = cache.get
-            rows = [list(map(get, parts)) if kind == name else None for kind, _, parts in plans]
-            missing = {x for (_, _, parts), row in zip(plans, rows, strict=True) if row and None in row for x, v in zip(parts, row, strict=True) if v is None}
-            if missing:
-                # what the row already holds stays there, whatever the cache forgets
-                self._learn(cache, list(missing), prefix)
-                for (_, _, parts), row in zip(plans, rows, strict=True):
-                    if row and None in row:
-                        row[:] = [cache[x] if v is None else v for x, v in zip(parts, row, strict=True)]
-            found[name] = rows
-        firsts = [first for kind, first, _ in plans if kind == "tail"]
-        first_ids = {}
-        if firsts:
-            missing = [x for x in dict.fromkeys(firsts) if x not in self.head]
-            self._learn(self.head, missing, "") if missing else None
-            first_ids = {x: self.head[x] if x in self.head else self._encode([x])[0] for x in firsts}
-        out = []
-        for k, (kind, first, parts) in enumerate(plans):
-            if kind == "whole":
-                out.append(self._encode([parts])[0])
-            else:
-                joined = b"".join(found[kind][k])
-                out.append(first_ids[first] + joined if kind == "tail" else joined)
-        return out
-
-    def _plan(self, text: str) -> tuple[str, str, str | list]:
-        """How to encode a text: ("whole", "", text), ("head", "", pieces), or ("tail", first piece, the pieces that a
-        space or a line feed precedes, the latter with it)."""
-        if not text:
-            return "head", "", []
-        if any(x in text for x in _ODD):
-            return "whole", "", text
+        self.slot: dict[int, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.ends = np.zeros(1 << 16, np.int64)  # of a slot's ids, which start where the slot before it ends
+        self.lengths = np.zeros(1 << 16, np.int64)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _learn(self, keys: list[int], pieces: list[str]) -> None:
+        for i in range(0, len(pieces), 20_000):
+            some = pieces[i : i + 20_000]
+            found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ends = np.searchsorted(np.asarray(found.word_ids, np.int64), np.arange(1, len(some) + 1))
+            first = len(self.slot)
+            base = int(self.ends[first - 1]) if first else 0
+            n, m = first + len(some), base + len(found.ids)
+            while n > len(self.ends):
+                self.ends, self.lengths = np.r_[self.ends, np.zeros_like(self.ends)], np.r_[self.lengths, np.zeros_like(self.lengths)]
+            while m > len(self.ids):
+                self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
+            self.ids[base:m] = found.ids
+            self.ends[first:n] = base + ends
+            self.lengths[first:n] = np.diff(ends, prepend=0)
+            self.slot.update(zip(keys[i : i + 20_000], range(first, n), strict=True))
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, byte starts, byte ends of a chunk's pieces, and the index of each row's first one (and the end)."""
+        keys, starts, ends, first = words_of(data, offsets)
         if not self.keeps_space:
-            return "head", "", text.split()
-        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _RARE) or not text.isascii() and any(x in text for x in _WIDE):
-            return "head", "", _PIECES.findall(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return "tail", first, rest
+            return keys, starts, ends, first
+        before = np.empty(len(starts), np.int64)
+        if len(starts):
+            before[0], before[1:] = 0, ends[:-1]
+            has = first[:-1] < first[1:]
+            before[first[:-1][has]] = offsets[:-1][has]
+        gap = starts - before
+        mark = np.where(gap == 0, 0, data[np.minimum(before, max(len(data) - 1, 0))]) if len(starts) else gap
+        keys = mix(keys + mark.astype(_U) + _U(1))
+        odd = np.flatnonzero(gap > 1)
+        if len(odd):
+            keys[odd] = run_hash(data.astype(_U) + _U(1), before[odd], ends[odd]) ^ _U(0x5BD1E995)
+        # white space that ends a text is a piece of its own
+        last = np.where(first[:-1] < first[1:], ends[np.maximum(first[1:] - 1, 0)] if len(ends) else 0, offsets[:-1])
+        rest = np.flatnonzero(last < offsets[1:])
+        if len(rest):
+            more = run_hash(data.astype(_U) + _U(1), last[rest], offsets[1:][rest]) ^ _U(0x5BD1E995)
+            place = first[1:][rest]
+            keys, before, ends = np.insert(keys, place, more), np.insert(before, place, last[rest]), np.insert(ends, place, offsets[1:][rest])
+            first = first + np.searchsorted(rest, np.arange(len(first)))
+        return keys, before, ends, first
+
+    def encode_column(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """For stretches of rows i to j: their ids one after another, and the bounds of each row's."""
+        for i, j, data, offsets in text_chunks(column, CHUNK):
+            keys, starts, ends, first = self._pieces(data, offsets)
+            distinct, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
+            if len(self.slot) > STORE:
+                self.slot = {k: s for k, s in self.slot.items() if s < STORE // 2}
+            names = distinct.tolist()
+            slots = list(map(self.slot.get, names))
+            missing = [k for k, s in enumerate(slots) if s is None]
+            if missing:
+                raw = data.tobytes()
+                self._learn([names[k] for k in missing], [raw[starts[at[k]] : ends[at[k]]].decode() for k in missing])
+                for k in missing:
+                    slots[k] = self.slot[names[k]]
+            slot = np.asarray(slots, np.int64)[inverse]
+            lengths = self.lengths[slot]
+            upto = np.concatenate(([0], np.cumsum(lengths)))
+            ids = self.ids[np.repeat(self.ends[slot] - lengths - upto[:-1], lengths) + np.arange(upto[-1])]
+            bounds = upto[first]
+            if self.keeps_space and len(wide := _wide_space(data)):
+                ids, bounds = self._replace(data, offsets, ids, bounds, np.unique(np.searchsorted(offsets, wide, "right") - 1))
+            yield i, j, ids, bounds
+
+    def _replace(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts = [ids[s:e] for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+        for r in rows.tolist():
+            parts[r] = self.whole(data[offsets[r] : offsets[r + 1]].tobytes().decode())
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        return [ids[s:e] for _, _, ids, bounds in self.encode_column(pa.array(texts, pa.string())) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 @cache
