@@ -94,9 +94,8 @@ def seeded_sample(rows: DataFrame, key: str, day: str, n: int) -> DataFrame:
     The power is taken by squaring over the row number's bits, so every row's draw stands alone. The numbering needs the
     total order of keys; it runs over rows of a catalogue index, not over contents."""
     seed, modulus, factor = sum(map(ord, day)), 2147483647, 16807
-    draw = F.lit(seed).cast("long")
-    for bit in range(40):
-        draw = F.when(F.shiftright(F.col("__i") + 1, bit) % 2 == 1, draw * F.lit(pow(factor, 1 << bit, modulus)) % modulus).otherwise(draw)
+    steps = F.array(*[F.struct(F.lit(bit).alias("bit"), F.lit(pow(factor, 1 << bit, modulus)).cast("long").alias("by")) for bit in range(40)])
+    draw = F.aggregate(steps, F.lit(seed).cast("long"), lambda now, s: F.when(F.getbit(F.col("__i") + 1, s["bit"]) == 1, now * s["by"] % modulus).otherwise(now))
     numbered = rows.withColumn("__i", F.row_number().over(Window.orderBy(key)).cast("long") - 1)
     return numbered.withColumn("draw", draw).orderBy("draw", key).limit(n).drop("__i")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from thornwick.functions.tables import SCRIPT_KEYS
 from thornwick.functions.paths import is_code, is_content
 from thornwick.operators import code_facts, code_rules, manifest, permissions, prompts, relations, scoring
+from thornwick.plans.stages import kept
 from thornwick.sources.packages import flagged, has_readme, ignore_rules
 
 
@@ -34,8 +35,8 @@ def scan(files: DataFrame, manifest_name: str = "skill-manifest.json", ignore_na
     content = files.filter(is_content(F.col("path"))).select("pkg", "path", "content", "is_priority", "is_fixture", F.lit("file").alias("source"))
     content = content.unionByName(prompts.embedded_prompts(files.filter(F.col("path").rlike(r"\.(ts|js|mjs|cjs)$") & ~F.col("path").rlike(r"\.d\.ts$"))))
     rules = ignore_rules(files, ignore_name)
-    manifests = manifest.facts(files.filter(F.col("path") == "package.json"))
-    found = code_facts.facts(code)
+    manifests = kept(manifest.facts(files.filter(F.col("path") == "package.json")))
+    found = kept(code_facts.facts(code))
 
     shape = lambda df, layer: df.select("pkg", "category", "severity", F.coalesce("file", F.lit("package.json")).alias("file"), F.coalesce("line", F.lit(0)).alias("line"), F.coalesce("column", F.lit(0)).alias("column"), "description", F.coalesce("snippet", F.lit("")).alias("snippet"), "confidence", F.coalesce("is_test_fixture", F.lit(False)).alias("is_test_fixture"), F.lit(LAYERS.index(layer)).alias("layer"), F.col("ord").cast("long").alias("ord"))
     blank = {"file": F.lit("package.json"), "line": F.lit(0), "column": F.lit(0), "is_test_fixture": F.lit(False)}
@@ -50,10 +51,10 @@ def scan(files: DataFrame, manifest_name: str = "skill-manifest.json", ignore_na
     findings = relations.ignored(layers, rules)
     # a total order: layer, file, line, column, then the rule's own
     place = F.row_number().over(Window.partitionBy("pkg").orderBy("layer", "file", "line", "column", "ord", "description"))
-    findings = findings.withColumn("ord", place.cast("long"))
+    findings = kept(findings.withColumn("ord", place.cast("long")))
     told = relations.ignored(prompts.deduplicated(prompts.detect(content)), rules)
     order = F.row_number().over(Window.partitionBy("pkg").orderBy(F.desc(prompts.rank(F.col("severity"))), "file", "ord", "line", "column"))
-    told = told.withColumn("ord", order.cast("long"))
+    told = kept(told.withColumn("ord", order.cast("long")))
 
     sources, sinks = code_facts.taint_sources(found), code_facts.taint_sinks(found)
     flows = relations.taint_flows(sources, sinks).unionByName(relations.environment_flows(code_facts.environment_accesses(found), sinks))
@@ -63,7 +64,7 @@ def scan(files: DataFrame, manifest_name: str = "skill-manifest.json", ignore_na
     drop = rules.filter("kind = 'taint'").alias("r")
     flows = flows.alias("f").join(drop, (F.col("f.pkg") == F.col("r.pkg")) & F.rlike(F.col("f.source_type"), F.col("r.source_pattern")) & F.rlike(F.col("f.sink_type"), F.col("r.sink_pattern")), "left_anti")
     turn = F.row_number().over(Window.partitionBy("pkg").orderBy("layer", "source_file", "sink_file", "source_line", "sink_line", "source_type", "sink_type"))
-    flows = flows.withColumn("ord", turn.cast("long"))
+    flows = kept(flows.withColumn("ord", turn.cast("long")))
 
     wrong = relations.mismatches(relations.claims(content), findings, told)
     wrong = wrong.withColumn("ord", F.row_number().over(Window.partitionBy("pkg").orderBy("content_file", "content_line", "code_file", "code_line", "description")).cast("long"))
