@@ -32,7 +32,9 @@ def zipped_texts(keyed: DataFrame) -> DataFrame:
             z = pa.array([None if x is None else pack(x.encode()) for x in batch.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([z if n == "text" else batch.column(n) for n in names], ["z" if n == "text" else n for n in names])
 
-    schema = T.StructType([T.StructField("z", T.BinaryType()) if f.name == "text" else f for f in keyed.schema.fields])
+    # a key that can't be null needs no filter, which would make the plans below two joins differ
+    of = lambda f: T.StructField("z", T.BinaryType()) if f.name == "text" else T.StructField(f.name, f.dataType, f.nullable and f.name != "key")
+    schema = T.StructType([of(f) for f in keyed.schema.fields])
     return keyed.mapInArrow(run, schema)
 
 
@@ -46,8 +48,9 @@ def spread(pairs: DataFrame, texts: DataFrame, each: int = 200) -> DataFrame:
     """pairs (key, owner) with each owner's z. An owner of very many pairs is spread over salts, `each` pairs to one;
     its text goes to each of them."""
     load = pairs.groupBy("owner").count().select("owner", F.ceil(F.col("count") / each).cast("int").alias("salts"))
-    held = texts.join(load.withColumnRenamed("owner", "key"), "key").groupBy("key").agg(F.first("z").alias("owner_z"), F.first("salts").alias("salts"))
-    held = held.select(F.col("key").alias("owner"), "owner_z", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    # all columns of texts are read, so that another join on its key finds the same shuffle
+    held = texts.join(load.withColumnRenamed("owner", "key"), "key").groupBy("key").agg(F.first(F.struct(*texts.columns)).alias("t"), F.first("salts").alias("salts"))
+    held = held.select(F.col("key").alias("owner"), F.col("t.z").alias("owner_z"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     salted = pairs.join(load.filter(F.col("salts") > 1), "owner", "left")
     salted = salted.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("key"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
     return salted.join(held, ["owner", "salt"]).drop("salt")

@@ -3,9 +3,9 @@
 Passages often lie inside longer physical lines, so the lines that are compared are content-defined: stretches of
 `line_words` words chosen by winnowing, one at least in any `min_words` words. Of the documents that share such a line the
 first (smallest doc_id) is its owner, and each later one is paired with the owner, so a line that very many documents
-share makes one pair a document. The words of a pair are aligned by patience diff (words unique in both anchor the
-alignment, the stretches between are aligned in turn); shared lines that this leaves out, as they come in another order or
-have no unique word, are matched by themselves. Aligned runs of line_words are what the later document repeats; runs of
+share makes one pair a document. A pair is aligned by patience diff over the lines from each word (lines unique in both
+anchor the alignment, the stretches between are aligned in turn); shared lines that this leaves out, as they come in
+another order or repeat, are matched by themselves. Aligned runs of line_words are what the later document repeats; runs of
 its owners that touch join, and where a joined run has min_words words it is deleted from the later document. Shorter
 overlaps (a heading, a licence line) stay.
 
@@ -146,9 +146,12 @@ def _increasing(ys: np.ndarray) -> np.ndarray:
 
 
 def common_runs(a: np.ndarray, b: np.ndarray, line_words: int) -> list[tuple[int, int]]:
-    """Runs [start, end) of line_words words or more of a that b holds: by patience diff, then by shared lines left over."""
-    runs = [(x, x + n) for x, _, n in patience(a, b) if n >= line_words]
+    """Runs [start, end) of line_words words or more of a that b holds: by patience diff of the lines from each word, then
+    by the shared lines that it leaves over."""
     ga, gb = grams(a, line_words), grams(b, line_words)
+    runs = [(x, x + n + line_words - 1) for x, _, n in patience(ga, gb)]
+    if len(runs) == 1 and runs[0] == (0, len(a)):
+        return runs
     known, where = np.unique(gb, return_index=True)
     if not len(known) or not len(ga):
         return runs
