@@ -25,6 +25,11 @@ def test_dropped_parts():
     assert html_text.main_text(html) == f"Title\n{LONG.strip()}\none\ntwo"
 
 
+def test_names_of_layouts_and_comments():
+    html = page(f"<div class='page has-sidebar no-ads'><article class='post'><h1>T</h1><p>{LONG}</p><article class='comment'>{LONG}</article></article><div class='side-bar sidebar'>{LONG}</div></div>")
+    assert html_text.main_text(html) == f"T\n{LONG.strip()}"
+
+
 def test_broken_pages():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<html><body></body>") == ""
     assert html_text.main_text(f"<article><p>{LONG}<p>cut &am") == f"{LONG.strip()}\ncut &am"

@@ -34,19 +34,24 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs footer header masthead sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus respond reply replies widget pagination pager toolbar copyright skip".split()
 )
+#: Names that drop even an article or main element: reader comments, adverts, teasers.
+ARTICLE_NAMES = frozenset("ad ads advert adverts advertisement sponsored promo related recommended comment comments disqus reply replies".split())
+_LAYOUT = re.compile(r"(?:^|[-_])(?:with|without|has|no|not|is)[-_]", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
 def _dropped(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     if tag in DROPPED:
         return True
-    if tag in ("html", "body", "main", "article"):
+    if tag in ("html", "body"):
         return False
+    names = ARTICLE_NAMES if tag in ("main", "article") else NAMES
     for key, value in attrs:
         if key == "hidden":
             return True
         value = value or ""
-        if key in ("class", "id") and any(x.lower() in NAMES for x in _NAME.findall(value)):
+        # a layout's name (has-sidebar, no-ads) says what is beside the content
+        if key in ("class", "id") and any(x.lower() in names for word in value.split() if not _LAYOUT.search(word) for x in _NAME.findall(word)):
             return True
         if key == "role" and value.strip().lower() in ROLES or key == "aria-hidden" and value.strip().lower() == "true":
             return True

@@ -186,7 +186,7 @@ def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
 def lookup(keys: DataFrame, index: DataFrame, root: str, buckets: int) -> DataFrame:
     """Finds keys (doc_id, serial) through the index files alone: doc_id, serial, shard, offset, n_tokens; absent keys give nulls."""
     root = _uri(root)
-    with_file = _bucketed(keys.select("doc_id", "serial"), buckets).join(F.broadcast(index), "bucket")  # a row a bucket
+    with_file = _bucketed(keys.select("doc_id", "serial"), buckets).join(index, "bucket")  # a row for 50,000 keys
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +210,7 @@ def read_payloads(found: DataFrame, shards: DataFrame, root: str, width: int) ->
     """Reads each found document's ids from its shard file and returns their crc32 with them: adds ids_crc32, drops none."""
     root = _uri(root)
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    placed = found.join(F.broadcast(shards.select("shard", "file")), "shard").select("doc_id", "serial", "shard", "file", "offset", "n_tokens")  # a row a shard
+    placed = found.join(shards.select("shard", "file"), "shard").select("doc_id", "serial", "shard", "file", "offset", "n_tokens")  # a row a shard
     most = 1 << 22
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,4 +249,4 @@ def round_trip(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: in
     index = write_index(entries, root, buckets)
     found = lookup(entries.select("doc_id", "serial"), index, root, buckets)
     read = read_payloads(found, shards, root, width)
-    return read.join(F.broadcast(shards.select("shard", "base")), "shard").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+    return read.join(shards.select("shard", "base"), "shard").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
