@@ -64,8 +64,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, for n positions at least."""
-    size = 1 << max(20, int(n).bit_length())
+    """Powers of the hash base and of its inverse, for n positions at least; the longest asked for so far are kept."""
+    size = 1 << max(16, (int(n) - 1).bit_length())
+    kept = max(_powers, default=0)
+    if size <= kept <= 1 << 20 or size == kept:
+        return _powers[kept]
     if size not in _powers:
         _powers.clear()
         up, down = np.full(size, _BASE), np.full(size, _INVERSE)

@@ -182,31 +182,28 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.1) -
 SPANS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("score", T.DoubleType())]))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Every row of docs as struct `row`, with score (0 to 1) and the toxic passages (token positions)."""
-    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    source = docs.select(kept, F.col("text").cast("string").alias("text"))
-    schema = T.StructType([source.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("passages", SPANS)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
-        for batch in batches:
-            found = list(model.scan(batch.column("text")))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array([model.probability(e) for e, _ in found], pa.float64()), pa.array([[{"first": a, "last": b, "score": s} for a, b, s in x] for _, x in found], kind)], ["row", "score", "passages"]
-            )
+FOUND = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("passages", SPANS)])
+
+
+def scored(text: F.Column, model: Model) -> F.Column:
+    """score (0 to 1) and the toxic passages (token positions) of a text; only the text goes to Python."""
+
+    @F.arrow_udf(FOUND)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        spans = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
+        for texts in batches:
+            found = list(model.scan(texts))
+            yield pa.StructArray.from_arrays([pa.array([model.probability(e) for e, _ in found], pa.float64()), pa.array([[{"first": a, "last": b, "score": s} for a, b, s in x] for _, x in found], spans)], ["score", "passages"])
 
-    return source.mapInArrow(run, schema)
+    return run(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **training: float) -> DataFrame:
     """doc_id, held_out, score, predicted, passages of every row of docs."""
-    model = train(docs, labels, **training)
-    found = score(docs.select("doc_id", "text"), model)
-    return found.select(F.col("row.doc_id").alias("doc_id"), (fold(F.col("row.doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages")
+    found = docs.select("doc_id", scored(F.col("text"), train(docs, labels, **training)).alias("found")).select("doc_id", "found.*")
+    return found.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **training: float) -> DataFrame:
     """The rows of docs that are not predicted toxic, with their columns."""
-    model = train(docs, labels, **training)
-    return score(docs, model).filter(F.col("score") < threshold).select("row.*")
+    return docs.filter(scored(F.col("text"), train(docs, labels, **training))["score"] < threshold)
