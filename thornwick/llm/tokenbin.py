@@ -138,7 +138,7 @@ def write_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int, width:
         fs, base = _open(root)
         fs.create_dir(base, recursive=True)
         file = f"shard-{shard:06d}-{uuid.uuid4().hex}.bin"
-        encoder = cached(tokenizer, keeps_space=False)
+        encoder = cached(tokenizer, keeps_space=False, store=1_000_000)
         offset, last, serial = 0, object(), 0
         with fs.open_output_stream(f"{base}/{file}") as out:
             for batch in batches:

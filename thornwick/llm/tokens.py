@@ -54,8 +54,8 @@ def _wide_space(data: np.ndarray) -> np.ndarray:
 class Cached:
     """Encodes columns of texts; holds the ids of the pieces that it has met."""
 
-    def __init__(self, name: str, keeps_space: bool) -> None:
-        self.tokenizer, self.keeps_space = load(name), keeps_space
+    def __init__(self, name: str, keeps_space: bool, store: int | None = None) -> None:
+        self.tokenizer, self.keeps_space, self.store = load(name), keeps_space, store or STORE
         self.slot: dict[int, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 16, np.int64)  # of a slot's ids, which start where the slot before it ends
@@ -112,8 +112,8 @@ class Cached:
         for i, j, data, offsets in text_chunks(column, CHUNK):
             keys, starts, ends, first = self._pieces(data, offsets)
             distinct, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
-            if len(self.slot) > STORE:
-                self.slot = {k: s for k, s in self.slot.items() if s < STORE // 2}
+            if len(self.slot) > self.store:
+                self.slot = {k: s for k, s in self.slot.items() if s < self.store // 2}
             names = distinct.tolist()
             slots = list(map(self.slot.get, names))
             missing = [k for k, s in enumerate(slots) if s is None]
@@ -142,6 +142,6 @@ class Cached:
 
 
 @cache
-def cached(name: str, keeps_space: bool) -> Cached:
-    """The worker's own encoder, which later tasks of the worker find filled."""
-    return Cached(name, keeps_space)
+def cached(name: str, keeps_space: bool, store: int | None = None) -> Cached:
+    """The worker's own encoder, which later tasks of the worker find filled; store pieces take about 150 bytes each."""
+    return Cached(name, keeps_space, store)
