@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -314,6 +315,19 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == {i: find(i) for i in range(len(rows))}
 
 
+def test_near_duplicates_where_one_side_repeats(spark):
+    rows = []
+    for g in range(6):
+        w = prose(300 + g, 200).split()
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(w[:60] + w[40:]))][:: 1 if g % 2 else -1]  # a stretch of 20 words doubled
+    for (_, a), (_, b) in zip(rows[::2], rows[1::2], strict=True):
+        x, y = (neardup.shingles(w) for w in neardup._words_by_row(pa.array([a, b])))
+        assert neardup.banded_lcs(x.tolist(), y.tolist(), 10**6) >= 0.8 * max(len(x), len(y))
+        assert neardup.aligned_share(x, y, 0.8) >= 0.8
+    found = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {k: k - k % 2 for k in range(12)}
+
+
 def test_banded_lcs():
     def plain(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

@@ -49,7 +49,7 @@ def labelled(kmers: np.ndarray) -> np.ndarray:
     place = np.arange(len(s))
     occurrence = place - np.maximum.accumulate(np.where(new, place, 0))
     out = np.empty(len(s), _U)
-    out[order] = mix(s + occurrence.astype(_U) * _U(0xD6E8FEB86659FD93)) if occurrence.any() else s
+    out[order] = mix(s + occurrence.astype(_U) * _U(0xD6E8FEB86659FD93))  # of every text alike, or one with a repeat would share nothing with one without
     return out
 
 
