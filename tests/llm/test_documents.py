@@ -253,6 +253,22 @@ def test_line_dedup(docs):
         seen |= {tuple(w[k : k + 50]): i for k in range(len(w) - 49)}
 
 
+def test_line_dedup_where_an_earlier_document_holds_an_excerpt(spark):
+    rows = []
+    for g, (whole, part, at) in enumerate([(50, 20, 15), (50, 40, 5), (50, 49, 1), (60, 30, 15), (60, 49, 6), (80, 49, 15), (80, 30, 0), (70, 25, 45)] * 3):
+        passage = prose(2000 + g, whole).split()
+        for k, words in enumerate((passage[at : at + part], passage[at : at + part], passage, passage, passage)):
+            rows.append((10 * g + k, " ".join(prose(3000 + 20 * g + k, 40).split() + words + prose(5000 + 20 * g + k, 30).split())))
+    out = {r.doc_id: WORD.findall(r.text) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    seen: set = set()
+    for i, t in rows:
+        windows = lambda w: {tuple(w[k : k + 50]) for k in range(len(w) - 49)}
+        assert not windows(out[i]) & seen
+        if i % 10 < 3:
+            assert out[i] == WORD.findall(t)  # excerpts of under 50 words, and the first whole passage, stay
+        seen |= windows(WORD.findall(t))
+
+
 def test_line_dedup_empty(empty):
     assert linededup.dedup_lines(empty).count() == 0
 

@@ -3,13 +3,16 @@
 Passages often lie inside longer physical lines, so the lines that are compared are content-defined: stretches of
 `line_words` words chosen by winnowing, one at least in any `min_words` words. Of the documents that share such a line the
 first (smallest doc_id) is its owner, and each later one is paired with the owner, so a line that very many documents
-share makes one pair a document. A pair is aligned by patience diff over the lines from each word (lines unique in both
+share makes one pair a document. Where three or more share a line, its first holder may hold less of the passage around it
+than the later ones do: there each stretch of `min_words` words around the line has its own owner, the first document that
+holds all of it, and each later one is paired with that too. A pair is aligned by patience diff over the lines from each word (lines unique in both
 anchor the alignment, the stretches between are aligned in turn); shared lines that this leaves out, as they come in
 another order or repeat, are matched by themselves. Aligned runs of line_words are what the later document repeats; runs of
 its owners that touch join, and where a joined run has min_words words it is deleted from the later document. Shorter
 overlaps (a heading, a licence line) stay.
 
-Any common run of min_words words holds a line that both documents choose, so none is missed, however many share it.
+Any run of min_words words that documents have in common holds a line that all of them choose. If two share that line,
+they are a pair; if more do, each is paired with the first that holds the whole run. So none is missed, however many share it.
 
 Defined results: a null text stays null, an empty one empty; rows that repeat a doc_id are one document to each other and
 are not compared; a document that is wholly repeated keeps its row with an empty text;
@@ -71,6 +74,23 @@ def _lines(min_words: int, line_words: int):
     return run
 
 
+def _stretches(min_words: int, line_words: int):
+    """The distinct stretches of min_words words whose chosen line is among `lines`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):  # texts unpacked, and stretches sent, at once
+                part = batch.slice(i, 64)
+                found = []
+                for words, asked in zip(_words(unzipped(part.column("z"))), part.column("lines"), strict=True):
+                    least = _slide(grams(words, line_words), min_words - line_words + 1, np.minimum)
+                    found.append(np.unique(grams(words, min_words)[np.isin(least, asked.values.to_numpy().view(_U))]))
+                rows = np.repeat(np.arange(part.num_rows), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(rows)), pa.array(np.concatenate(found).view(np.int64))], ["key", "stretch"])
+
+    return run
+
+
 def patience(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     """Aligned common runs (start in a, start in b, length) of two arrays of hashes, in order."""
     out: list[tuple[int, int, int]] = []
@@ -187,12 +207,23 @@ def row_number(docs: DataFrame) -> F.Column:
     return F.coalesce(docs["doc_id"].cast("long"), late)
 
 
+def first_holders(held: DataFrame, by: str) -> DataFrame:
+    """by, owner (the first key that holds it) and rows (how many do) of what several keys of held (key, by) hold."""
+    owners = held.groupBy(by).agg(F.min("key").alias("owner"), F.max("key").alias("last"), F.count(F.lit(1)).alias("rows"))
+    return owners.filter(F.col("owner") != F.col("last")).drop("last")
+
+
 def owned_lines(docs: DataFrame, min_words: int = 50, line_words: int = 16) -> DataFrame:
-    """key, owner: for each row, the first rows that hold one of its lines (by row_number), itself left out."""
+    """key, owner: for each row, the first rows (by row_number) that hold one of its lines, and of its stretches of
+    min_words words around a line that three or more hold; itself left out."""
     texts = docs.select(row_number(docs).alias("key"), F.col("text").cast("string").alias("text"))
     lines = materialize(texts.mapInArrow(_lines(min_words, line_words), "key long, line long"), "lines")
-    owners = lines.groupBy("line").agg(F.min("key").alias("owner"), F.max("key").alias("last")).filter(F.col("owner") != F.col("last")).drop("last")
-    return materialize(lines.join(owners, "line").filter(F.col("key") != F.col("owner")).select("key", "owner").distinct(), "pairs")
+    shared = materialize(lines.join(first_holders(lines, "line"), "line"), "shared")
+    asked = shared.filter("rows > 2").groupBy("key").agg(F.collect_list("line").alias("lines"))
+    stretches = zipped_texts(texts).join(asked, "key").select("key", "z", "lines").mapInArrow(_stretches(min_words, line_words), "key long, stretch long")
+    stretches = materialize(stretches, "stretches")
+    found = shared.select("key", "owner").union(stretches.join(first_holders(stretches, "stretch"), "stretch").select("key", "owner"))
+    return materialize(found.filter(F.col("key") != F.col("owner")).distinct(), "pairs")
 
 
 def cut_text(text: str, runs: list[tuple[int, int]], min_words: int) -> str:
@@ -231,7 +262,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, line_words: int = 16) -> D
     pairs = owned_lines(docs, min_words, line_words)
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     rows = zipped_texts(docs.select(row_number(docs).alias("key"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("row")))
-    # a row's owners are no more than its own lines
+    # a row's owners are no more than its own lines and stretches
     against = spread(pairs, rows).groupBy("key").agg(F.collect_list("owner_z").alias("owners"))
     joined = rows.join(against, "key", "left").select("row", "z", "owners")
     schema = T.StructType([joined.schema["row"], T.StructField("text", T.StringType())])
