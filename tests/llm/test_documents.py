@@ -269,6 +269,13 @@ def test_line_dedup_where_an_earlier_document_holds_an_excerpt(spark):
         seen |= windows(WORD.findall(t))
 
 
+def test_line_dedup_of_different_texts_under_one_id(spark):
+    parts = [prose(7000 + k, 80) for k in range(8)]
+    rows = [(1, p + " " + prose(7100 + k, 60)) for k, p in enumerate(parts[:4])] + [(1, parts[4])] * 2 + [(50 + k, prose(7200 + k, 30) + " " + p) for k, p in enumerate(parts)]
+    out = {r.doc_id: WORD.findall(r.text) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).filter("doc_id >= 50").collect()}
+    assert out == {50 + k: WORD.findall(prose(7200 + k, 30) + (" " + p if k > 4 else "")) for k, p in enumerate(parts)}
+
+
 def test_line_dedup_empty(empty):
     assert linededup.dedup_lines(empty).count() == 0
 

@@ -2,7 +2,7 @@
 
 Passages often lie inside longer physical lines, so the lines that are compared are content-defined: stretches of
 `line_words` words chosen by winnowing, one at least in any `min_words` words. Of the documents that share such a line the
-first (smallest doc_id) is its owner, and each later one is paired with the owner, so a line that very many documents
+first (smallest doc_id, then a hash of the text) is its owner, and each later one is paired with the owner, so a line that very many documents
 share makes one pair a document. Where three or more share a line, its first holder may hold less of the passage around it
 than the later ones do: there each stretch of `min_words` words around the line has its own owner, the first document that
 holds all of it, and each later one is paired with that too. A pair is aligned by patience diff over the lines from each word (lines unique in both
@@ -14,9 +14,10 @@ overlaps (a heading, a licence line) stay.
 Any run of min_words words that documents have in common holds a line that all of them choose. If two share that line,
 they are a pair; if more do, each is paired with the first that holds the whole run. So none is missed, however many share it.
 
-Defined results: a null text stays null, an empty one empty; rows that repeat a doc_id are one document to each other and
-are not compared; a document that is wholly repeated keeps its row with an empty text;
-rows with a null doc_id come last; all columns are kept, and n_chars, where there is one, is the new length.
+Defined results: a null text stays null, an empty one empty; rows that repeat both doc_id and text are one document and are
+not compared; rows of one doc_id with different texts are documents in the order of a hash of the text; a document that is
+wholly repeated keeps its row with an empty text;
+rows with a null doc_id come last, by the hash; all columns are kept, and n_chars, where there is one, is the new length.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thornwick.llm.common import materialize, run_hash, text_chunks, words_of
-from thornwick.llm.graphs import spread, unzipped, zipped_texts
+from thornwick.llm.graphs import KEY, row_key, spread, unzipped, zipped_texts
 
 _U = np.uint64
 
@@ -201,10 +202,14 @@ def _words(texts: list[str]) -> Iterator[np.ndarray]:
             yield words[s:e]
 
 
-def row_number(docs: DataFrame) -> F.Column:
-    """Orders rows by doc_id; those without one come last, by a hash of the text."""
-    late = F.lit(1 << 62) + F.pmod(F.xxhash64(docs["text"].cast("string")), F.lit(1 << 61))
-    return F.coalesce(docs["doc_id"].cast("long"), late)
+def ordered_key(docs: DataFrame) -> tuple[F.Column, str]:
+    """A key that orders rows by doc_id, then by a hash of the text, and its type. Those without a doc_id come last. Where
+    no doc_id has several texts a long does, which aggregates by hash; the least struct is found by sorting."""
+    h = F.xxhash64(docs["text"].cast("string"))
+    texts = docs.filter(docs["doc_id"].isNotNull()).groupBy("doc_id").agg(F.min(h).alias("h0"), F.max(h).alias("h1"))
+    if not texts.filter("h0 <> h1").isEmpty():
+        return row_key(docs), KEY
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(1 << 62) + F.pmod(h, F.lit(1 << 61))), "long"
 
 
 def first_holders(held: DataFrame, by: str) -> DataFrame:
@@ -213,14 +218,14 @@ def first_holders(held: DataFrame, by: str) -> DataFrame:
     return owners.filter(F.col("owner") != F.col("last")).drop("last")
 
 
-def owned_lines(docs: DataFrame, min_words: int = 50, line_words: int = 16) -> DataFrame:
-    """key, owner: for each row, the first rows (by row_number) that hold one of its lines, and of its stretches of
+def owned_lines(docs: DataFrame, key: F.Column, kind: str, min_words: int = 50, line_words: int = 16) -> DataFrame:
+    """key, owner: for each row, the first rows (by ordered_key) that hold one of its lines, and of its stretches of
     min_words words around a line that three or more hold; itself left out."""
-    texts = docs.select(row_number(docs).alias("key"), F.col("text").cast("string").alias("text"))
-    lines = materialize(texts.mapInArrow(_lines(min_words, line_words), "key long, line long"), "lines")
+    texts = docs.select(key.alias("key"), F.col("text").cast("string").alias("text"))
+    lines = materialize(texts.mapInArrow(_lines(min_words, line_words), f"key {kind}, line long"), "lines")
     shared = materialize(lines.join(first_holders(lines, "line"), "line"), "shared")
     asked = shared.filter("rows > 2").groupBy("key").agg(F.collect_list("line").alias("lines"))
-    stretches = zipped_texts(texts).join(asked, "key").select("key", "z", "lines").mapInArrow(_stretches(min_words, line_words), "key long, stretch long")
+    stretches = zipped_texts(texts).join(asked, "key").select("key", "z", "lines").mapInArrow(_stretches(min_words, line_words), f"key {kind}, stretch long")
     stretches = materialize(stretches, "stretches")
     found = shared.select("key", "owner").union(stretches.join(first_holders(stretches, "stretch"), "stretch").select("key", "owner"))
     return materialize(found.filter(F.col("key") != F.col("owner")).distinct(), "pairs")
@@ -259,9 +264,10 @@ def cut_text(text: str, runs: list[tuple[int, int]], min_words: int) -> str:
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, line_words: int = 16) -> DataFrame:
     """docs with the text that earlier documents hold deleted from later ones; every row and column is kept."""
-    pairs = owned_lines(docs, min_words, line_words)
+    key, kind = ordered_key(docs)
+    pairs = owned_lines(docs, key, kind, min_words, line_words)
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    rows = zipped_texts(docs.select(row_number(docs).alias("key"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("row")))
+    rows = zipped_texts(docs.select(key.alias("key"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("row")))
     # a row's owners are no more than its own lines and stretches
     against = spread(pairs, rows).groupBy("key").agg(F.collect_list("owner_z").alias("owners"))
     joined = rows.join(against, "key", "left").select("row", "z", "owners")
