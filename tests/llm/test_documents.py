@@ -395,6 +395,20 @@ def test_toxicity_on_held_out_rows(spark):
     assert found[0].passages
 
 
+def test_toxicity_of_rare_words_and_compounds(spark):
+    # 60 toxic of 600: half of them by a word in under 23 training documents, half by compounds of one stem, each in a few
+    r = random.Random(4)
+    rows, labels = [], []
+    for k in range(600):
+        w = prose(9000 + k, 80).split()
+        for _ in range(5 if k % 10 == 0 else 0):
+            w.insert(r.randrange(len(w)), "vilex" if k % 20 else "grumfuß" + r.choice(["ra", "to", "mi", "len", "sor", "ve", "da", "ku"]) + r.choice(["ra", "to", "mi", "len", "sor", "ve"]))
+        rows.append((k, " ".join(w)))
+        labels.append((k, 1, int(k % 10 == 0)))
+    found = toxicity.judged(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).filter("held_out").collect()
+    assert {r.doc_id for r in found if r.predicted} == {r.doc_id for r in found if r.doc_id % 10 == 0}
+
+
 def test_toxicity_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.judged(docs, none).collect()} == {toxicity.train(docs, none).probability(0.0)}

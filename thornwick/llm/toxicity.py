@@ -1,8 +1,11 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
 Training: documents' token presence is counted by class over labelled rows; log-odds are shrunk by an informative
-Dirichlet prior with the corpus' own frequencies, and tokens whose log-odds stand out by z are the model (`vocabulary` of
-them at most). Scan: a listed token scores its log-odds, any other a small negative drift; the Ruzzo-Tompa scan finds all
+Dirichlet prior with the corpus' own frequencies (a `prior` share of the rows), and tokens whose log-odds stand out are the
+model: as many of the greatest z as keep the expected share of chance finds under `false_share` (Benjamini-Hochberg), so
+what it takes does not depend on the number of rows; `vocabulary` of them at most. Tokens are words and, of longer words,
+the first `PIECE` bytes, as compounds of one stem are each rare. Scan: a listed word, or else a word whose beginning is
+listed, scores its log-odds, any other a small negative drift; the Ruzzo-Tompa scan finds all
 maximal-scoring segments in linear time. Extreme-value statistics (Karlin-Altschul: lambda solved from the clean class'
 token frequencies) turn each segment's score into an expected number of such segments in clean text of that length;
 segments under `significance` are toxic passages, and their surprise is calibrated to a probability on the training rows.
@@ -26,12 +29,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thornwick.llm.common import materialize, text_chunks, words_of
+from thornwick.llm.common import materialize, mix, run_hash, text_chunks, words_of
 
 BREAKS = np.ones(256, bool)
 BREAKS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
+PIECE = 7
+
+
+def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk's words: hashes, hashes of their beginnings (a word of PIECE bytes or fewer has its own), and the index of
+    each row's first word (one more at the end)."""
+    hashes, starts, ends, first = words_of(data, offsets, BREAKS, LOWER)
+    pieces = hashes.copy()
+    long = np.flatnonzero(ends - starts > PIECE)
+    if len(long):
+        pieces[long] = mix(run_hash(LOWER[data].astype(np.uint64) + np.uint64(1), starts[long], starts[long] + PIECE) ^ np.uint64(PIECE))
+    return hashes, pieces, first
 
 
 def fold(doc_id: F.Column) -> F.Column:
@@ -85,9 +100,12 @@ class Model:
 
     def scan(self, column: pa.Array) -> Iterator[tuple[float, list[tuple[int, int, float]]]]:
         for i, j, data, offsets in text_chunks(column):
-            hashes, _, _, first = words_of(data, offsets, BREAKS, LOWER)
-            at = np.minimum(np.searchsorted(self.tokens, hashes), max(len(self.tokens) - 1, 0))
-            hit = np.flatnonzero(self.tokens[at] == hashes) if len(self.tokens) else np.zeros(0, np.int64)
+            hashes, pieces, first = tokens_of(data, offsets)
+            at, hit = np.zeros(len(hashes), np.int64), np.zeros(0, np.int64)
+            if len(self.tokens):
+                whole, begun = (np.minimum(np.searchsorted(self.tokens, x), len(self.tokens) - 1) for x in (hashes, pieces))
+                at = np.where(self.tokens[whole] == hashes, whole, begun)
+                hit = np.flatnonzero((self.tokens[at] == hashes) | (self.tokens[at] == pieces))
             bounds = np.searchsorted(hit, first)
             for k in range(j - i):
                 rows = hit[bounds[k] : bounds[k + 1]]
@@ -102,8 +120,9 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         labels = batch.column("label").to_numpy()
         for i, j, data, offsets in text_chunks(batch.column("text"), 4 << 20):
-            hashes, _, _, first = words_of(data, offsets, BREAKS, LOWER)
-            doc = np.repeat(np.arange(j - i), np.diff(first))
+            hashes, pieces, first = tokens_of(data, offsets)
+            doc = np.tile(np.repeat(np.arange(j - i), np.diff(first)), 2)
+            hashes = np.concatenate((hashes, pieces))
             order = np.lexsort((hashes, doc))
             h, d = hashes[order], doc[order]
             new = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])] if len(h) else np.zeros(0, bool)
@@ -114,7 +133,7 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, vocabulary: int = 10_000, prior: float = 1000.0, z: float = 5.0, reach: int = 50, significance: float = 0.05
+    docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, vocabulary: int = 10_000, prior: float = 0.1, false_share: float = 0.05, reach: int = 50, significance: float = 0.05
 ) -> Model:
     """Fits on the labelled rows of the training fold."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 1)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
@@ -131,11 +150,14 @@ def train(
     if not n0 or not n1:
         return flat
     counts = sample.mapInArrow(_presence, "token long, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("y0"), F.sum("toxic").alias("y1"))
+    prior *= n0 + n1
     a = F.lit(prior) * (F.col("y0") + F.col("y1")) / F.lit(float(n0 + n1))  # of a token's prior documents in each class
     odds = lambda y, n: F.log((y + a) / (F.lit(n + prior) - y - a + F.lit(1e-9)))
     stand = counts.filter(F.col("y0") + F.col("y1") >= 5).withColumn("score", odds(F.col("y1"), n1) - odds(F.col("y0"), n0))
-    stand = stand.withColumn("z", F.col("score") / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))).filter(F.abs("z") >= z)
-    rows = stand.orderBy(F.desc(F.abs("z")), "token").limit(vocabulary).collect()
+    stand = materialize(stand.withColumn("z", F.col("score") / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))), "tokens")
+    tried, rows = stand.count(), stand.orderBy(F.desc(F.abs("z")), "token").limit(vocabulary).collect()
+    chance = np.asarray([math.erfc(abs(r["z"]) / math.sqrt(2)) for r in rows])
+    rows = rows[: int(np.flatnonzero(np.r_[True, chance <= false_share * np.arange(1, len(rows) + 1) / max(tried, 1)])[-1])]
     if not any(r["score"] > 0 for r in rows):
         return flat
     # the shrunk log-odds choose the tokens; a chosen token scores its log-odds under a prior of half a document
