@@ -37,3 +37,14 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_scanned_packages_hold_every_document_and_manifest(spark):
+    files = q.package_files(spark, "/root/testdata/sf0.01").select("pkg", "path").collect()
+    ids = [r.doc_id for r in q.read(spark, "/root/testdata/sf0.01", "documents").select("doc_id").collect()]
+    parts = [str(r.p_partkey) for r in q.read(spark, "/root/testdata/sf0.01", "part").select("p_partkey").collect()]
+    assert max(ids) >= 200
+    for path in ("docs/d{}.md", "src/f{}.js"):
+        assert {path.format(i) for i in ids} <= {r.path for r in files}
+    assert sorted(r.pkg for r in files if r.path == "package.json") == sorted(parts)
+    assert len(files) == 2 * len(ids) + len(parts)

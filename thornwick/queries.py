@@ -769,15 +769,22 @@ def code_fact_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_facts.detect(found).select("pkg", "category", "severity", "line", "column", "description", "confidence")
 
 
+def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a text and as a code file, five of each to a package, and the manifest of every package of part."""
+    k = F.col("doc_id")
+    owner = F.floor(k / 5).cast("string").alias("pkg")
+    d = read(spark, sf_dir, "documents").select(owner, F.concat(F.lit("docs/d"), k.cast("string"), F.lit(".md")).alias("path"), F.concat("text", F.lit("\n"), pick(OVERRIDES, k)).alias("content"))
+    c = read(spark, sf_dir, "documents").select(owner, F.concat(F.lit("src/f"), k.cast("string"), F.lit(".js")).alias("path"), pick(SNIPPETS, k).alias("content"))
+    m = manifests(spark, sf_dir).select("pkg", F.lit("package.json").alias("path"), "content")
+    return d.unionByName(c).unionByName(m)
+
+
 @query()
 def scan_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of packages made of documents, pages and manifests."""
+    """Scores of packages made of all documents and manifests."""
     from thornwick.plans.scan import scan
 
-    d = read(spark, sf_dir, "documents").select((F.col("doc_id") % 40).cast("string").alias("pkg"), F.concat(F.lit("docs/d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat("text", F.lit("\n"), pick(OVERRIDES, F.col("doc_id"))).alias("content"))
-    c = read(spark, sf_dir, "documents").filter("doc_id < 200").select((F.col("doc_id") % 40).cast("string").alias("pkg"), F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), pick(SNIPPETS, F.floor(F.col("doc_id") / 40)).alias("content"))
-    m = manifests(spark, sf_dir).filter(F.col("pkg").cast("long") < 40).select("pkg", F.lit("package.json").alias("path"), "content")
-    return scan(d.unionByName(c).unionByName(m)).scores.select("pkg", "overall_score", "code_score", "content_score", "grade")
+    return scan(package_files(spark, sf_dir)).scores.select("pkg", "overall_score", "code_score", "content_score", "grade")
 
 
 @query()
