@@ -30,6 +30,21 @@ def test_names_of_layouts_and_comments():
     assert html_text.main_text(html) == f"T\n{LONG.strip()}"
 
 
+def test_short_blocks_beside_the_body():
+    links = "".join(f"<li><a href=x{k}>Link number {k}</a></li>" for k in range(6))
+    body = f"<div id=content><h1>Title</h1><div class=intro><p>short lead</p></div><div class=body><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div><ul>{links}</ul></div><div class=end><p>last <a href=y>word</a> here</p></div></div>"
+    want = "\n".join(["Title", "short lead", *[LONG.strip()] * 3, "last word here"])
+    assert html_text.main_text(page(f"<div class=top><ul>{links}</ul></div><nav>Home</nav>{body}<footer>us</footer>")) == want
+    assert html_text.main_text(page(f"<table><tr><td>{links}</td><td>{body}</td></tr></table>")) == want
+
+
+def test_a_form_around_the_page():
+    inner = f"<nav>Home</nav><input type=hidden><div><h1>Title</h1><p>{LONG}</p><select><option>o</option></select></div>"
+    assert html_text.main_text(page(f"<form action=x method=post>{inner}</form>")) == f"Title\n{LONG.strip()}"
+    assert html_text.main_text(page(f"<form action=x>Your mail<input></form><article><p>{LONG}</p></article>")) == LONG.strip()
+    assert html_text.main_text(page(f"<form class=newsletter>{LONG}</form><p>rest</p>")) == "rest"
+
+
 def test_broken_pages():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<html><body></body>") == ""
     assert html_text.main_text(f"<article><p>{LONG}<p>cut &am") == f"{LONG.strip()}\ncut &am"

@@ -3,9 +3,10 @@
 Events of the standard library's streaming parser are cut into lines, one a block of the page. A line's ratio is its
 characters over its tags; ratios are smoothed by a Gaussian over neighbouring lines, and lines above a threshold (a share
 of the spread of the smoothed ratios) form clusters. Those clusters select the content region: the innermost sectioning
-element that holds nearly all their weight, grown to the article or main element around it. All lines of the region are
-the text, short ones too, but for lines in parts that markup says are no content (navigation, forms, notices, comments
-...), whose ratio counts as 0.
+element that holds nearly all their weight, grown to the article or main element around it. Without one it grows to the whole
+page, as the lines beside it (headings, leads, closing blocks) are short; only blocks of links there are left out. All lines
+of the region are the text, short ones too, but for lines in parts that markup says are no content (navigation, forms,
+notices, comments ...), whose ratio counts as 0. A form around nearly all the page's text is a wrapper and drops nothing.
 
 White space, no-break spaces among it, becomes one space within a line; a <br> is white space. Defined results: a null or
 empty page, or one without text, gives an empty text; markup that ends early or never closes is read as far as it goes;
@@ -61,24 +62,28 @@ def _dropped(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Collects lines (text, tags, path of sectioning elements, whether dropped)."""
+    """Collects lines (text, tags, path of sectioning elements, whether dropped, the form around it or 0, whether it is
+    mostly a link)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], bool, int, bool]] = []
         self.tag_of: dict[int, str] = {}
-        self.stack: list[tuple[str, int, bool]] = []  # tag, id of the section it is or 0, whether it drops its content
+        self.stack: list[tuple[str, int, bool, int]] = []  # tag, id of the section it is or 0, whether it drops its content, the form around it or 0
         self.path: tuple[int, ...] = ()
         self.drops = 0
+        self.form = self.forms = 0
+        self.link, self.linked = False, 0
         self.parts: list[str] = []
         self.tags = 0
 
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, max(self.tags, 1), self.path, self.drops > 0))
+            self.lines.append((text, max(self.tags, 1), self.path, self.drops > 0, self.form, 2 * self.linked > len(text)))
             self.tags = 0
         self.parts = []
+        self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
@@ -86,9 +91,11 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag == "br":
             self.parts.append(" ")
+        if tag == "a":
+            self.link = True
         if tag in VOID:
             return
-        drops = _dropped(tag, attrs)
+        drops = _dropped("div" if tag == "form" else tag, attrs)
         if not drops and tag not in BLOCKS:
             return  # inline elements, often left open, hold no state
         if drops and tag not in BLOCKS:
@@ -101,7 +108,10 @@ class _Lines(HTMLParser):
             self.tag_of[section] = tag
             self.path += (section,)
         self.drops += drops
-        self.stack.append((tag, section, drops))
+        self.stack.append((tag, section, drops, self.form))
+        if tag == "form" and not self.form:
+            self.forms += 1
+            self.form = self.forms
 
     def _close_open(self, tag: str) -> None:
         """An element whose end tag may be left out ends where its like begins, within the same section."""
@@ -114,7 +124,8 @@ class _Lines(HTMLParser):
 
     def _pop(self, k: int) -> None:
         self.cut()
-        for _, section, drops in self.stack[k:]:
+        self.form = self.stack[k][3]
+        for _, section, drops, _ in self.stack[k:]:
             self.drops -= drops
             if section:
                 self.path = self.path[:-1]
@@ -127,6 +138,8 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.cut()
+        if tag in BLOCKS or tag == "a":
+            self.link = False
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
                 self._pop(k)
@@ -134,6 +147,8 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
+        if self.link:
+            self.linked += len(data.strip())
 
 
 def smooth(ratios: np.ndarray, radius: int = 2, sigma: float = 1.0) -> np.ndarray:
@@ -144,6 +159,18 @@ def smooth(ratios: np.ndarray, radius: int = 2, sigma: float = 1.0) -> np.ndarra
     return np.convolve(ratios, kernel, "full")[radius : radius + len(ratios)] / weight
 
 
+def _formless(lines: list[tuple[str, int, tuple[int, ...], bool, int, bool]], hold: float) -> list[tuple[str, int, tuple[int, ...], bool, int, bool]]:
+    """The lines with those in forms dropped, but for a form that holds nearly all the text."""
+    if not any(x[4] for x in lines):
+        return lines
+    held: dict[int, int] = {}
+    for x in lines:
+        if not x[3]:
+            held[x[4]] = held.get(x[4], 0) + len(x[0])
+    around = {f for f, n in held.items() if n >= hold * sum(held.values())} | {0}
+    return [(*x[:3], x[3] or x[4] not in around, *x[4:]) for x in lines]
+
+
 def main_text(html: str | None, share: float = 0.5, hold: float = 0.95) -> str:
     """The page's main text; share sets the threshold (of the smoothed ratios' deviation), hold the weight a region keeps."""
     if not html:
@@ -152,7 +179,7 @@ def main_text(html: str | None, share: float = 0.5, hold: float = 0.95) -> str:
     parser.feed(html)
     parser.close()
     parser.cut()
-    lines = parser.lines
+    lines = _formless(parser.lines, hold)
     kept = np.asarray([not x[3] for x in lines], bool)
     if not kept.any():
         return ""
@@ -163,12 +190,12 @@ def main_text(html: str | None, share: float = 0.5, hold: float = 0.95) -> str:
         clustered = kept
     weight = np.where(clustered, np.asarray([len(x[0]) for x in lines], float), 0.0)
     by_section: dict[int, float] = {}
-    for (_, _, path, _), w in zip(lines, weight.tolist(), strict=True):
+    for (_, _, path, _, _, _), w in zip(lines, weight.tolist(), strict=True):
         if w:
             for s in path:
                 by_section[s] = by_section.get(s, 0.0) + w
     total, best = weight.sum(), ()
-    for (_, _, path, _), w in zip(lines, weight.tolist(), strict=True):
+    for (_, _, path, _, _, _), w in zip(lines, weight.tolist(), strict=True):
         if not w:
             continue
         depth = 0
@@ -180,8 +207,21 @@ def main_text(html: str | None, share: float = 0.5, hold: float = 0.95) -> str:
     outer = [k for k, s in enumerate(best) if parser.tag_of[s] in ("article", "main")]
     if outer:
         best = best[: outer[0] + 1 if parser.tag_of[best[outer[0]]] == "article" else outer[-1] + 1]
-    n = len(best)
-    return "\n".join(x[0] for x in lines if not x[3] and x[2][:n] == best)
+        n = len(best)
+        return "\n".join(x[0] for x in lines if not x[3] and x[2][:n] == best)
+    # beside the region: each section next to it or around it, and each run of lines between them, is a block
+    shown = [x for x in lines if not x[3]]
+    blocks: list[tuple[tuple[int, ...] | None, list[tuple]]] = []
+    for x in shown:
+        n = 0
+        while n < min(len(best), len(x[2])) and x[2][n] == best[n]:
+            n += 1
+        at = None if n == len(best) else x[2][: n + 1]
+        if not blocks or blocks[-1][0] != at:
+            blocks.append((at, []))
+        blocks[-1][1].append(x)
+    links = lambda block: len(block) > 1 and 2 * sum(len(x[0]) for x in block if x[5]) > sum(len(x[0]) for x in block)
+    return "\n".join(x[0] for at, block in blocks if at is None or not links(block) for x in block)
 
 
 def extract(pages: DataFrame) -> DataFrame:
