@@ -65,7 +65,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, for n positions at least; the longest asked for so far are kept."""
-    size = 1 << max(16, (int(n) - 1).bit_length())
+    size = 1 << max(18, (int(n) - 1).bit_length())
     kept = max(_powers, default=0)
     if size <= kept <= 1 << 20 or size == kept:
         return _powers[kept]
@@ -85,7 +85,7 @@ def run_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U) * _M2)
 
 
-def text_chunks(column: pa.Array, target: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, target: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, bytes, offsets) of runs of rows with about target bytes; a null row has no bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thornwick.llm.common import materialize
+from thornwick.llm.common import materialize, words_of
 
 KEY = "struct<none:boolean,id:long,h:long>"
+FEW = 500_000
 
 
 def row_key(docs: DataFrame) -> F.Column:
@@ -21,6 +23,11 @@ def row_key(docs: DataFrame) -> F.Column:
     return F.struct(none.alias("none"), F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("id"), F.coalesce(F.xxhash64(docs["text"].cast("string")), F.lit(0)).alias("h"))
 
 
+def few(side: DataFrame, most: int = FEW) -> DataFrame:
+    """A table's rows, to be broadcast in a join if they are at most `most` (of some tens of bytes each), else left to the planner."""
+    return F.broadcast(side) if side.count() <= most else side
+
+
 def zipped_texts(keyed: DataFrame) -> DataFrame:
     """keyed (key, text, and other columns) with its text as zstd bytes z (null where it is null): a third to a half of
     what shuffles would else write. Two joins on key in one query share one shuffle of it if they read all its columns."""
@@ -38,10 +45,29 @@ def zipped_texts(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, schema)
 
 
-def unzipped(column: pa.Array) -> list[str]:
-    """Texts of zstd bytes; a null is an empty text."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    return ["" if x is None else unpack(x).decode() for x in column.to_pylist()]
+def unzipped(x: pa.BinaryScalar) -> bytes:
+    """The text of zstd bytes; a null is an empty text."""
+    return zstandard.ZstdDecompressor().decompress(x.as_buffer()) if x.is_valid else b""
+
+
+def words_of_zipped(column: pa.Array, target: int = 1 << 18) -> Iterator[np.ndarray]:
+    """The words of each of a column's zstd texts, about target bytes of text unpacked at once."""
+
+    def words(parts: list[bytes]) -> Iterator[np.ndarray]:
+        found, _, _, first = words_of(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]))
+        for s, e in zip(first[:-1], first[1:], strict=True):
+            yield found[s:e]
+
+    parts: list[bytes] = []
+    size = 0
+    for x in column:
+        parts.append(unzipped(x))
+        size += len(parts[-1])
+        if size >= target:
+            yield from words(parts)
+            parts, size = [], 0
+    if parts:
+        yield from words(parts)
 
 
 def spread(pairs: DataFrame, texts: DataFrame, each: int = 200) -> DataFrame:
@@ -57,9 +83,12 @@ def spread(pairs: DataFrame, texts: DataFrame, each: int = 200) -> DataFrame:
 
 
 def paired_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """key, z, owner, owner_z for pairs (key, owner) over texts (key, z)."""
-    members = texts.join(pairs.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("z").alias("z"))
-    return spread(pairs, texts).join(members, "key").select("key", "z", "owner", "owner_z")
+    """key, z, owner, owner_z for pairs (key, owner), a table, over texts (key, text); other texts are not shuffled where the
+    keys of pairs are few."""
+    keys = materialize(pairs.select("key").union(pairs.select("owner")).distinct(), "keys")
+    zipped = zipped_texts(texts.join(few(keys), "key", "left_semi"))
+    members = zipped.join(pairs.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("z").alias("z"))
+    return spread(pairs, zipped).join(members, "key").select("key", "z", "owner", "owner_z")
 
 
 def components(edges: DataFrame) -> DataFrame:

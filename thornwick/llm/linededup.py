@@ -1,15 +1,16 @@
 """Line dedup by pairwise alignment of documents that share rare lines.
 
 Passages often lie inside longer physical lines, so the lines that are compared are content-defined: stretches of
-`line_words` words chosen by winnowing, one at least in any `min_words` words. Of the documents that share such a line the
-first (smallest doc_id, then a hash of the text) is its owner, and each later one is paired with the owner, so a line that very many documents
-share makes one pair a document. Where three or more share a line, its first holder may hold less of the passage around it
-than the later ones do: there each stretch of `min_words` words around the line has its own owner, the first document that
-holds all of it, and each later one is paired with that too. A pair is aligned by patience diff over the lines from each word (lines unique in both
-anchor the alignment, the stretches between are aligned in turn); shared lines that this leaves out, as they come in
-another order or repeat, are matched by themselves. Aligned runs of line_words are what the later document repeats; runs of
+`line_words` words chosen by winnowing, one at least in any `min_words` words. A line that two documents hold is rare: it
+pairs them, the later with the first (smallest doc_id, then a hash of the text). One that more hold is too common to
+pair by; each stretch of `min_words` words around it is taken instead, and each later document is paired with
+the first that holds all of it. So a line that very many documents share makes one pair a document and stretch.
+
+A pair is aligned by patience diff over the lines from each word (lines unique in both anchor the alignment, the stretches
+between are aligned in turn), and what that leaves over, as it comes in another order or repeats, is aligned by itself, again
+until no line of the later document that the first holds is left. Aligned runs of line_words are what the later document repeats; runs of
 its owners that touch join, and where a joined run has min_words words it is deleted from the later document. Shorter
-overlaps (a heading, a licence line) stay.
+overlaps (a heading, a licence line, a short line that repeats) stay.
 
 Any run of min_words words that documents have in common holds a line that all of them choose. If two share that line,
 they are a pair; if more do, each is paired with the first that holds the whole run. So none is missed, however many share it.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thornwick.llm.common import materialize, run_hash, text_chunks, words_of
-from thornwick.llm.graphs import KEY, row_key, spread, unzipped, zipped_texts
+from thornwick.llm.graphs import FEW, KEY, few, paired_texts, row_key, words_of_zipped, zipped_texts
 
 _U = np.uint64
 
@@ -75,15 +76,17 @@ def _lines(min_words: int, line_words: int):
     return run
 
 
-def _stretches(min_words: int, line_words: int):
+def _stretches(min_words: int, line_words: int, zipped: bool):
     """The distinct stretches of min_words words whose chosen line is among `lines`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):  # texts unpacked, and stretches sent, at once
+            texts = words_of_zipped(batch.column("z")) if zipped else _words(batch.column("text"))
+            for i in range(0, batch.num_rows, 64):  # what is sent at once
                 part = batch.slice(i, 64)
                 found = []
-                for words, asked in zip(_words(unzipped(part.column("z"))), part.column("lines"), strict=True):
+                for asked in part.column("lines"):
+                    words = next(texts)
                     least = _slide(grams(words, line_words), min_words - line_words + 1, np.minimum)
                     found.append(np.unique(grams(words, min_words)[np.isin(least, asked.values.to_numpy().view(_U))]))
                 rows = np.repeat(np.arange(part.num_rows), [len(x) for x in found])
@@ -92,6 +95,13 @@ def _stretches(min_words: int, line_words: int):
     return run
 
 
+def _words(texts: pa.Array) -> Iterator[np.ndarray]:
+    for _, _, data, offsets in text_chunks(texts):
+        words, _, _, first = words_of(data, offsets)
+        for s, e in zip(first[:-1], first[1:], strict=True):
+            yield words[s:e]
+
+
 def patience(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     """Aligned common runs (start in a, start in b, length) of two arrays of hashes, in order."""
     out: list[tuple[int, int, int]] = []
@@ -168,40 +178,38 @@ def _increasing(ys: np.ndarray) -> np.ndarray:
 
 def common_runs(a: np.ndarray, b: np.ndarray, line_words: int) -> list[tuple[int, int]]:
     """Runs [start, end) of line_words words or more of a that b holds: by patience diff of the lines from each word, then
-    by the shared lines that it leaves over."""
+    by alignments of the lines that are left over, the first of each with the first in b, until none is left."""
     ga, gb = grams(a, line_words), grams(b, line_words)
     runs = [(x, x + n + line_words - 1) for x, _, n in patience(ga, gb)]
-    if len(runs) == 1 and runs[0] == (0, len(a)):
+    if not len(ga) or not len(gb) or len(runs) == 1 and runs[0] == (0, len(a)):
         return runs
     known, where = np.unique(gb, return_index=True)
-    if not len(known) or not len(ga):
-        return runs
     at = np.minimum(np.searchsorted(known, ga), len(known) - 1)
     left = known[at] == ga
     for s, e in runs:
         left[s : e - line_words + 1] = False
-    for p in np.flatnonzero(left).tolist():
-        if not left[p]:
-            continue
-        q = int(where[at[p]])
-        n = min(len(a) - p, len(b) - q)
-        differ = np.flatnonzero(a[p : p + n] != b[q : q + n])
-        right = int(differ[0]) if len(differ) else n
-        n = min(p, q)
-        differ = np.flatnonzero(a[p - n : p][::-1] != b[q - n : q][::-1])
-        before = int(differ[0]) if len(differ) else n
-        runs.append((p - before, p + right))
-        left[p - before : p + right - line_words + 1] = False
+    while left.any():
+        places = np.flatnonzero(left)
+        _, first = np.unique(ga[places], return_index=True)
+        xs = places[np.sort(first)]
+        ys = where[at[xs]]
+        keep = _increasing(ys)
+        end = -1
+        for x, y in zip(xs[keep].tolist(), ys[keep].tolist(), strict=True):
+            if x < end:
+                continue
+            n = min(len(a) - x, len(b) - y)
+            differ = np.flatnonzero(a[x : x + n] != b[y : y + n])
+            right = int(differ[0]) if len(differ) else n
+            n = min(x, y)
+            differ = np.flatnonzero(a[x - n : x][::-1] != b[y - n : y][::-1])
+            before = int(differ[0]) if len(differ) else n
+            runs.append((x - before, x + right))
+            end = x + right - line_words + 1
+            left[x - before : end] = False
     return runs
 
 
-def _words(texts: list[str]) -> Iterator[np.ndarray]:
-    for _, _, data, offsets in text_chunks(pa.array(texts, pa.string())):
-        words, _, _, first = words_of(data, offsets)
-        for s, e in zip(first[:-1], first[1:], strict=True):
-            yield words[s:e]
-
-
 def ordered_key(docs: DataFrame) -> tuple[F.Column, str]:
     """A key that orders rows by doc_id, then by a hash of the text, and its type. Those without a doc_id come last. Where
     no doc_id has several texts a long does, which aggregates by hash; the least struct is found by sorting."""
@@ -219,18 +227,36 @@ def first_holders(held: DataFrame, by: str) -> DataFrame:
 
 
 def owned_lines(docs: DataFrame, key: F.Column, kind: str, min_words: int = 50, line_words: int = 16) -> DataFrame:
-    """key, owner: for each row, the first rows (by ordered_key) that hold one of its lines, and of its stretches of
-    min_words words around a line that three or more hold; itself left out."""
+    """key, owner: for each row, the first rows (by ordered_key) that hold one of its lines that no third one holds, or one
+    of its stretches of min_words words around a line that more hold; itself left out."""
     texts = docs.select(key.alias("key"), F.col("text").cast("string").alias("text"))
     lines = materialize(texts.mapInArrow(_lines(min_words, line_words), f"key {kind}, line long"), "lines")
     shared = materialize(lines.join(first_holders(lines, "line"), "line"), "shared")
-    asked = shared.filter("rows > 2").groupBy("key").agg(F.collect_list("line").alias("lines"))
-    stretches = zipped_texts(texts).join(asked, "key").select("key", "z", "lines").mapInArrow(_stretches(min_words, line_words), f"key {kind}, stretch long")
+    common = shared.filter("rows > 2")
+    asked = common.groupBy("key").agg(F.collect_list("line").alias("lines"))
+    if common.count() <= 4 * FEW:  # longs
+        stretched = texts.join(F.broadcast(asked), "key").select("key", "text", "lines")
+    else:
+        stretched = zipped_texts(texts).join(asked, "key").select("key", "z", "lines")
+    stretches = stretched.mapInArrow(_stretches(min_words, line_words, "z" in stretched.columns), f"key {kind}, stretch long")
     stretches = materialize(stretches, "stretches")
-    found = shared.select("key", "owner").union(stretches.join(first_holders(stretches, "stretch"), "stretch").select("key", "owner"))
+    rare = shared.filter("rows = 2").select("key", "owner")
+    found = rare.union(stretches.join(first_holders(stretches, "stretch"), "stretch").select("key", "owner"))
     return materialize(found.filter(F.col("key") != F.col("owner")).distinct(), "pairs")
 
 
+def _aligned(line_words: int, kind: str):
+    """What owners repeat of a key's words, as runs [first, last] one after another in an array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(words_of_zipped(batch.column("z")), words_of_zipped(batch.column("owner_z")), strict=True)
+            runs = [[x for r in common_runs(own, theirs, line_words) for x in r] for own, theirs in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(runs, pa.list_(pa.int32()))], ["key", "runs"])
+
+    return run
+
+
 def cut_text(text: str, runs: list[tuple[int, int]], min_words: int) -> str:
     """The text without the joined word runs that have min_words words; lines that lose all their words go whole."""
     raw = text.encode()
@@ -266,25 +292,27 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, line_words: int = 16) -> D
     """docs with the text that earlier documents hold deleted from later ones; every row and column is kept."""
     key, kind = ordered_key(docs)
     pairs = owned_lines(docs, key, kind, min_words, line_words)
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    rows = zipped_texts(docs.select(key.alias("key"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("row")))
-    # a row's owners are no more than its own lines and stretches
-    against = spread(pairs, rows).groupBy("key").agg(F.collect_list("owner_z").alias("owners"))
-    joined = rows.join(against, "key", "left").select("row", "z", "owners")
+    texts = docs.select(key.alias("key"), F.col("text").cast("string").alias("text"))
+    aligned = paired_texts(pairs, texts).mapInArrow(_aligned(line_words, kind), f"key {kind}, runs array<int>")
+    runs = aligned.filter(F.size("runs") > 0).groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    # only where owners' runs can join to min_words
+    whole = F.aggregate(F.transform("runs", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0), lambda n, x: n + x)
+    runs = materialize(runs.filter(whole >= min_words), "runs")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    joined = docs.select(row, key.alias("key")).join(few(runs), "key", "left")
     schema = T.StructType([joined.schema["row"], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts: list[str | None] = []
-            for text, z, owners in zip(unzipped(batch.column("z")), batch.column("z"), batch.column("owners"), strict=True):
-                if owners.is_valid and text:
-                    own, *theirs = _words([text, *unzipped(owners.values)])
-                    text = cut_text(text, [r for b in theirs for r in common_runs(own, b, line_words)], min_words)
-                texts.append(text if z.is_valid else None)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
-
-    cut = joined.mapInArrow(run, schema)
-    fields = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+            for i in range(0, batch.num_rows, 256):  # what is sent at once
+                part = batch.slice(i, 256)
+                texts = part.column("row").field("text").cast(pa.string())
+                cut = [cut_text(text.as_py() or "", np.asarray(r.values).reshape(-1, 2).tolist(), min_words) for text, r in zip(texts, part.column("runs"), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(cut, pa.string())], ["row", "text"])
+
+    cut = joined.filter("runs is not null").select("row", "runs").mapInArrow(run, schema)
+    fields = [F.col("text").cast(docs.schema["text"].dataType).alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
     if "n_chars" in docs.columns:
         fields = [F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else f for c, f in zip(docs.columns, fields, strict=True)]
-    return cut.select(*fields)
+    left = joined.filter("runs is null").select("row", F.col("row").getField("text").cast("string").alias("text"))
+    return left.union(cut).select(*fields)

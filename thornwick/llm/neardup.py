@@ -7,8 +7,9 @@ similarity. In each bucket of a sketch, members are linked to the least one; can
 their k-mer sequences: the share of aligned k-mers among all of both, M / (n + m - M), must reach `threshold`. Bounds from
 the k-mers in common decide most pairs, the rest is aligned in a band as wide as the threshold leaves room for.
 
-Classes are the connected components of verified pairs. Buckets whose members are still in several components are
-searched among all their members of different components, in blocks, so a bucket's least member need not be similar to all.
+Classes are the connected components of verified pairs. Where a bucket's members are still in several components, those
+outside of its largest one are compared with all its members of other components, in blocks, so a bucket's least member need
+not be similar to all.
 
 Defined results: a null text is empty; texts without words are copies if equal and else alike to none; texts under five
 words have one k-mer of all their words; rows with a null doc_id take part, and a class of such rows alone has a null id;
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thornwick.llm.common import materialize, mix, run_hash, text_chunks, words_of
-from thornwick.llm.graphs import KEY, components, paired_texts, row_key, unzipped, zipped_texts
+from thornwick.llm.graphs import KEY, components, few, paired_texts, row_key, words_of_zipped, zipped_texts
 
 _U = np.uint64
 K, SAMPLED, SKETCHES, THRESHOLD = 5, 5, 16, 0.8
@@ -137,7 +138,7 @@ def aligned_share(a: np.ndarray, b: np.ndarray, threshold: float, la: np.ndarray
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(_words_by_row(pa.array(unzipped(batch.column(x)), pa.string())) for x in ("z", "owner_z")), strict=True)
+            rows = zip(*(words_of_zipped(batch.column(x)) for x in ("z", "owner_z")), strict=True)
             good = pa.array([aligned_share(shingles(a), shingles(b), threshold) >= threshold for a, b in rows], pa.bool_())
             yield batch.select(["key", "owner"]).filter(good)
 
@@ -145,31 +146,32 @@ def _verify(threshold: float):
 
 
 def _search_block(threshold: float):
-    """Verified pairs between different components of a bucket's block pair; what a found pair joins isn't asked again."""
+    """Verified pairs between a block's asked members and its others of other components; what a found pair joins isn't
+    asked again."""
 
     def run(data: pa.Table) -> pa.Table:
         data = data.combine_chunks()
-        kmers = [shingles(w) for w in _words_by_row(pa.array(unzipped(data.column("z")), pa.string()))]
+        kind = data.schema.field("key").type
+        kmers = [shingles(w) for w in words_of_zipped(data.column("z").combine_chunks())]
         marks = [labelled(x) for x in kmers]
-        keys, root = data.column("key").to_pylist(), data.column("root_hash").to_pylist()
-        side = np.asarray(data.column("side").to_pylist())
+        keys, root, main = (data.column(x).to_pylist() for x in ("key", "root_hash", "in_main"))
+        asked = np.asarray(data.column("asked").to_pylist(), bool)
+        rows, others = np.flatnonzero(asked), np.flatnonzero(~asked)
         sizes = np.asarray([len(x) for x in marks])
         _, inverse, counts = np.unique(np.concatenate(marks), return_inverse=True, return_counts=True)
         doc = np.repeat(np.arange(len(marks)), sizes)
         shared = counts[inverse] > 1
-        column = np.cumsum(counts > 1)[inverse][shared] - 1
-        doc = doc[shared]
-        common = np.zeros((len(marks), len(marks)), np.float32)
+        column, doc = np.cumsum(counts > 1)[inverse][shared] - 1, doc[shared]
+        common = np.zeros((len(rows), len(others)), np.float32)
         order = np.argsort(column, kind="stable")
         column, doc = column[order], doc[order]
-        width = 4096
+        width = 2048
         for c in range(0, int(column[-1]) + 1 if len(column) else 0, width):
             s, e = np.searchsorted(column, (c, c + width))
             part = np.zeros((len(marks), width), np.float32)
             part[doc[s:e], column[s:e] - c] = 1
-            common += part @ part.T
-        alike = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-3
-        alike &= np.triu(np.ones_like(alike, bool), 1) & ((side[:, None] != side[None, :]) | (side[:, None] == 2))
+            common += part[rows] @ part[others].T
+        alike = common >= threshold * (sizes[rows][:, None] + sizes[others][None, :] - common) - 1e-3
         parent: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -177,13 +179,16 @@ def _search_block(threshold: float):
                 x = parent[x]
             return x
 
+        order_of = lambda k: tuple(k.values())
         pairs = []
         for i, j in zip(*np.nonzero(alike), strict=True):
+            i, j = rows[i], others[j]
+            if not main[j] and order_of(keys[i]) >= order_of(keys[j]):
+                continue  # two asked members meet twice
             ri, rj = find(root[i]), find(root[j])
             if ri != rj and aligned_share(kmers[i], kmers[j], threshold, marks[i], marks[j]) >= threshold:
                 parent[rj] = ri
                 pairs.append((keys[i], keys[j]))
-        kind = data.schema.field("key").type
         return pa.table({"u": pa.array([x for x, _ in pairs], kind), "v": pa.array([y for _, y in pairs], kind)})
 
     return run
@@ -196,15 +201,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     hashed = rows.select("key", "text", F.xxhash64("text").alias("x1"), F.xxhash64(F.lit(1), "text").alias("x2"))
     sketched = materialize(hashed.mapInArrow(_sketches, f"key {KEY}, x1 long, x2 long, keys array<long>"), "sketches")
     nodes = materialize(sketched.groupBy("x1", "x2").agg(F.min("key").alias("node"), F.first("keys").alias("keys")), "nodes")
-    texts = zipped_texts(rows)
     members = nodes.select(F.col("node").alias("key"), F.explode("keys").alias("bucket"))
     hubs = members.groupBy("bucket").agg(F.min("key").alias("owner"), F.max("key").alias("last")).filter(F.col("owner") != F.col("last")).drop("last")
     shared = materialize(members.join(hubs, "bucket"), "shared")
     pairs = materialize(shared.filter(F.col("key") != F.col("owner")).select("key", "owner").distinct(), "pairs")
-    verified = paired_texts(pairs, texts).mapInArrow(_verify(threshold), f"key {KEY}, owner {KEY}")
+    verified = paired_texts(pairs, rows).mapInArrow(_verify(threshold), f"key {KEY}, owner {KEY}")
     edges = materialize(verified.select(F.col("key").alias("u"), F.col("owner").alias("v")), "verified")
     found = materialize(components(edges), "components")
-    more = _across(shared.select("key", "bucket"), found, texts, threshold)
+    more = _across(shared.select("key", "bucket"), found, rows, threshold)
     if not more.isEmpty():
         found = materialize(components(found.toDF("u", "v").union(more)), "components")
     rooted = nodes.select("x1", "x2", "node").join(found.withColumnRenamed("key", "node"), "node", "left")
@@ -213,18 +217,25 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def _across(shared: DataFrame, found: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Verified pairs (u, v) within buckets, between members whose components differ."""
-    placed = shared.join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("set"))
-    mixed = mixed.filter(F.col("r0") != F.col("r1")).groupBy("set", "size").agg(F.min("bucket").alias("bucket"))  # of buckets with the same members, one
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = placed.join(mixed.select("bucket", blocks.alias("blocks")), "bucket").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    rows = rows.select("bucket", "key", F.xxhash64("root").alias("root_hash"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
-    once = texts.join(rows.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("z").alias("z"))
-    rows = rows.join(once, "key")
-    return materialize(rows.groupBy("bucket", "i", "j").applyInArrow(_search_block(threshold), f"u {KEY}, v {KEY}"), "across")
+    """Verified pairs (u, v) within buckets, between members whose components differ: those outside of a bucket's largest
+    component are asked of all its members, a block of each at a time."""
+    placed = materialize(shared.join(found, "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")
+    parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("set"))
+    mixed = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("size"), F.sum("set").alias("set"))
+    mixed = mixed.filter("roots > 1").groupBy("set", "size").agg(F.min(F.struct("bucket", "most")).alias("b"))  # of buckets with the same members, one
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.select("b.bucket", F.col("b.most.root").alias("main"), blocks(F.col("size")).alias("n_others"), blocks(F.col("size") - F.col("b.most.n")).alias("n_asked"))
+    rows = materialize(placed.join(mixed, "bucket").withColumn("in_main", F.col("root") == F.col("main")).drop("main"), "mixed")
+    if rows.isEmpty():
+        return rows.select(F.col("key").alias("u"), F.col("key").alias("v"))
+    deal = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "key"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    others = rows.withColumns({"asked": F.lit(False), "j": deal(1, "n_others")}).withColumn("i", each("n_asked"))
+    asked = rows.filter(~F.col("in_main")).withColumns({"asked": F.lit(True), "i": deal(2, "n_asked")}).withColumn("j", each("n_others"))
+    dealt = others.unionByName(asked).select("bucket", "key", F.xxhash64("root").alias("root_hash"), "in_main", "asked", "i", "j")
+    keys = materialize(rows.select("key").distinct(), "keys")
+    once = zipped_texts(texts.join(few(keys), "key", "left_semi")).groupBy("key").agg(F.first("z").alias("z"))
+    return materialize(dealt.join(once, "key").groupBy("bucket", "i", "j").applyInArrow(_search_block(threshold), f"u {KEY}, v {KEY}"), "across")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
