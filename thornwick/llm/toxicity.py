@@ -1,14 +1,15 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
-Training: documents' token presence is counted by class over labelled rows; log-odds are shrunk by an informative
-Dirichlet prior with the corpus' own frequencies (a `prior` share of the rows), and tokens whose log-odds stand out are the
-model: as many of the greatest z as keep the expected share of chance finds under `false_share` (Benjamini-Hochberg), so
-what it takes does not depend on the number of rows; `vocabulary` of them at most. Tokens are words and, of longer words,
-the first `PIECE` bytes, as compounds of one stem are each rare. Scan: a listed word, or else a word whose beginning is
-listed, scores its log-odds, any other a small negative drift; the Ruzzo-Tompa scan finds all
-maximal-scoring segments in linear time. Extreme-value statistics (Karlin-Altschul: lambda solved from the clean class'
-token frequencies) turn each segment's score into an expected number of such segments in clean text of that length;
-segments under `significance` are toxic passages, and their surprise is calibrated to a probability on the training rows.
+Training: documents' token presence is counted by class over labelled rows (of equal texts, one); a token's score is its
+log-odds, shrunk by an informative Dirichlet prior with the corpus' own frequencies (a `prior` share of the rows). Tokens
+that stand out are the model: as many of the least likely (by the binomial tail's bound, were the classes alike) as keep
+the expected share of chance finds under `false_share` (Benjamini-Hochberg), so the evidence decides at every number of rows;
+`vocabulary` of them at most. Tokens are words and, of longer words, the first `PIECE` bytes, as compounds of one stem are
+each rare. Scan: a listed word, or else a word whose beginning is listed, scores its log-odds, any other a small negative
+drift; the Ruzzo-Tompa scan finds all maximal-scoring segments in linear time. Extreme-value statistics (Karlin-Altschul:
+lambda solved from the clean class' token frequencies, K fitted to the greatest segments of its documents) turn each
+segment's score into an expected number of such segments in clean text of that length; segments under `significance` are
+toxic passages, and their surprise is calibrated to a probability on the training rows.
 
 The classifier is fitted on `max_rows` labelled rows, about, chosen by hash (all, if fewer). Scoring reads whole texts.
 
@@ -60,12 +61,14 @@ class Model:
     drift: float
     rate: float  # Karlin-Altschul lambda
     significance: float
+    size: float = 0.1  # Karlin-Altschul K
     intercept: float = 0.0
     slope: float = 0.0
 
     def segments(self, positions: np.ndarray, scores: np.ndarray) -> list[tuple[int, int, float]]:
         """All maximal-scoring segments (first token, last token, score) of a document by its listed tokens."""
-        found: list[list[float]] = []  # first, last, sum before, sum with
+        done: list[tuple[int, int, float]] = []
+        found: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum with, the nearest earlier one of less sum before
         total, before = 0.0, -1
         for p, s in zip(positions.tolist(), scores.tolist(), strict=True):
             total -= self.drift * (p - before - 1)
@@ -73,23 +76,27 @@ class Model:
             left, total = total, total + s
             if s <= 0:
                 continue
-            entry = [p, p, left, total]
+            first, j = p, len(found) - 1
             while True:
-                j = len(found) - 1
-                while j >= 0 and found[j][2] >= entry[2]:
-                    j -= 1
-                if j < 0 or found[j][3] >= entry[3]:
-                    found.append(entry)
+                while j >= 0 and found[j][2] >= left:
+                    j = found[j][4]
+                if j < 0:  # nothing later can join those before it
+                    done += [(a, b, d - c) for a, b, c, d, _ in found]
+                    found = [(first, p, left, total, -1)]
                     break
-                entry = [found[j][0], entry[1], found[j][2], entry[3]]
+                if found[j][3] >= total:
+                    found.append((first, p, left, total, j))
+                    break
+                first, _, left, _, back = found[j]
                 del found[j:]
-        return [(int(a), int(b), d - c) for a, b, c, d in found]
+                j = back
+        return done + [(a, b, d - c) for a, b, c, d, _ in found]
 
     def evidence(self, segments: list[tuple[int, int, float]], n: int) -> tuple[float, list[tuple[int, int, float]]]:
         """Surprise (minus the log of expected count, in tens) of the significant segments together, and those segments."""
         sure, total = [], 0.0
         for a, b, s in segments:
-            surprise = self.rate * s - math.log(max(n, 1)) - math.log(0.1)
+            surprise = self.rate * s - math.log(max(n, 1)) - math.log(self.size)
             if surprise > -math.log(self.significance):
                 sure.append((a, b, s))
                 total += surprise / math.log(10)
@@ -99,6 +106,11 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, self.intercept + self.slope * min(evidence, 10.0)))))
 
     def scan(self, column: pa.Array) -> Iterator[tuple[float, list[tuple[int, int, float]]]]:
+        for segments, n in self.read(column):
+            yield self.evidence(segments, n)
+
+    def read(self, column: pa.Array) -> Iterator[tuple[list[tuple[int, int, float]], int]]:
+        """Each text's segments and number of words."""
         for i, j, data, offsets in text_chunks(column):
             hashes, pieces, first = tokens_of(data, offsets)
             at, hit = np.zeros(len(hashes), np.int64), np.zeros(0, np.int64)
@@ -109,27 +121,27 @@ class Model:
             bounds = np.searchsorted(hit, first)
             for k in range(j - i):
                 rows = hit[bounds[k] : bounds[k + 1]]
-                if not len(rows):
-                    yield 0.0, []
-                    continue
-                yield self.evidence(self.segments(rows - first[k], self.scores[at[rows]]), int(first[k + 1] - first[k]))
+                yield self.segments(rows - first[k], self.scores[at[rows]]) if len(rows) else [], int(first[k + 1] - first[k])
 
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct tokens of each document by class, summed over about a million bytes of text."""
+    """Documents by class that hold a token, and how often clean ones do, summed over about four million bytes of text; the
+    null token counts clean documents' words."""
     for batch in batches:
         labels = batch.column("label").to_numpy()
         for i, j, data, offsets in text_chunks(batch.column("text"), 4 << 20):
             hashes, pieces, first = tokens_of(data, offsets)
-            doc = np.tile(np.repeat(np.arange(j - i), np.diff(first)), 2)
-            hashes = np.concatenate((hashes, pieces))
+            doc = np.repeat(np.arange(j - i), np.diff(first))
+            begun = pieces != hashes
+            hashes, doc = np.concatenate((hashes, pieces[begun])), np.concatenate((doc, doc[begun]))
             order = np.lexsort((hashes, doc))
             h, d = hashes[order], doc[order]
-            new = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])] if len(h) else np.zeros(0, bool)
-            h, toxic = h[new], labels[i:j][d[new]]
-            token, inverse = np.unique(h, return_inverse=True)
-            ones = np.bincount(inverse, toxic, len(token)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(np.bincount(inverse, minlength=len(token)).astype(np.int64) - ones), pa.array(ones)], ["token", "clean", "toxic"])
+            new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]) if len(h) else np.zeros(0, np.int64)
+            times, toxic = np.diff(np.r_[new, len(h)]), labels[i:j][d[new]]
+            token, inverse = np.unique(h[new], return_inverse=True)
+            sums = [np.bincount(inverse, w, len(token)).astype(np.int64) for w in (1 - toxic, toxic, times * (1 - toxic))]
+            words = int(np.diff(first)[labels[i:j] == 0].sum())
+            yield pa.RecordBatch.from_arrays([pa.array([*token.view(np.int64).tolist(), None], pa.int64()), *(pa.array(np.r_[x, w]) for x, w in zip(sums, (0, 0, words), strict=True))], ["token", "clean", "toxic", "times"])
 
 
 def train(
@@ -142,32 +154,36 @@ def train(
         known = known.filter(F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
     # max_rows pairs of numbers, about: a bounded broadcast
     sample = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").select("label", "text")
-    sample = materialize(sample, "labelled")
+    sample = materialize(sample.dropDuplicates(["label", "text"]), "labelled")
     per_class = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n0, n1 = per_class.get(0, 0), per_class.get(1, 0)
     share = min(max(n1 / max(n0 + n1, 1), 1e-6), 1 - 1e-6) if n0 + n1 else 0.0
-    flat = Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0, significance, math.log(share / (1 - share)) if share else -30.0)
+    flat = Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0, significance, intercept=math.log(share / (1 - share)) if share else -30.0)
     if not n0 or not n1:
         return flat
-    counts = sample.mapInArrow(_presence, "token long, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("y0"), F.sum("toxic").alias("y1"))
-    prior *= n0 + n1
-    a = F.lit(prior) * (F.col("y0") + F.col("y1")) / F.lit(float(n0 + n1))  # of a token's prior documents in each class
-    odds = lambda y, n: F.log((y + a) / (F.lit(n + prior) - y - a + F.lit(1e-9)))
-    stand = counts.filter(F.col("y0") + F.col("y1") >= 5).withColumn("score", odds(F.col("y1"), n1) - odds(F.col("y0"), n0))
-    stand = materialize(stand.withColumn("z", F.col("score") / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))), "tokens")
-    tried, rows = stand.count(), stand.orderBy(F.desc(F.abs("z")), "token").limit(vocabulary).collect()
-    chance = np.asarray([math.erfc(abs(r["z"]) / math.sqrt(2)) for r in rows])
+    counts = sample.mapInArrow(_presence, "token long, clean long, toxic long, times long").groupBy("token").agg(F.sum("clean").alias("y0"), F.sum("toxic").alias("y1"), F.sum("times").alias("t0"))
+    counts = materialize(counts, "tokens")
+    both, y1 = F.col("y0") + F.col("y1"), F.col("y1")
+    part = lambda y, q: F.when(y > 0, y * F.log(y / (both * F.lit(q)))).otherwise(0.0)
+    told = counts.filter("token is not null").withColumn("surprise", part(y1, share) + part(F.col("y0"), 1 - share))
+    least = -math.log(false_share)
+    most = F.greatest(-both * math.log(share), -both * math.log(1 - share))  # what a token of so many documents can reach
+    told = told.filter(most >= least)
+    tried, rows = told.count(), told.filter(F.col("surprise") >= least).orderBy(F.desc("surprise"), "token").limit(vocabulary).collect()
+    chance = np.exp(-np.asarray([r["surprise"] for r in rows]))
     rows = rows[: int(np.flatnonzero(np.r_[True, chance <= false_share * np.arange(1, len(rows) + 1) / max(tried, 1)])[-1])]
-    if not any(r["score"] > 0 for r in rows):
-        return flat
-    # the shrunk log-odds choose the tokens; a chosen token scores its log-odds under a prior of half a document
     tokens = np.asarray([r["token"] for r in rows], np.int64).view(np.uint64)
-    y0, y1 = np.asarray([r["y0"] for r in rows], float), np.asarray([r["y1"] for r in rows], float)
-    scores = np.log((y1 + 0.5) / (n1 + 1)) - np.log((y0 + 0.5) / (n0 + 1))
+    y0, y1, t0 = (np.asarray([r[c] for r in rows], float) for c in ("y0", "y1", "t0"))
+    prior *= n0 + n1
+    a = prior * (y0 + y1) / (n0 + n1)  # of a token's prior documents in each class
+    scores = np.log((y1 + a) / (n1 + prior - y1 - a + 1e-9)) - np.log((y0 + a) / (n0 + prior - y0 - a + 1e-9))
+    if not (scores > 0).any():
+        return flat
     drift = float(scores[scores > 0].mean()) / reach
-    length = 200.0  # tokens, about, over which presence is spread to a frequency a token
-    p = (y0 + 0.5) / (n0 + 1) / length
-    rest = max(1 - p.sum(), 1e-6)
+    words = max(counts.filter("token is null").agg(F.sum("t0")).first()[0] or 0, 1)
+    p = (t0 + a * words / (words + prior)) / (words + prior)  # frequency a word, with the prior's share of unseen ones
+    p *= min(1.0, 0.5 / max(p.sum(), 1e-300))
+    rest = 1 - p.sum()
     low, high = 1e-6, 50.0
     for _ in range(80):
         mid = (low + high) / 2
@@ -175,6 +191,17 @@ def train(
         low, high = (low, mid) if over else (mid, high)
     order = np.argsort(tokens)
     model = Model(tokens[order], scores[order], drift, low, significance)
+    floor = float(scores[scores > 0].min())
+
+    def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the likelihood of the greatest segment's score x of n words: its share of K n exp(-lambda x), or of less than floor
+        for batch in batches:
+            found = [(max((s for _, _, s in x), default=0.0), n) for x, n in model.read(batch.column("text"))]
+            seen = [int(x > 0) for x, _ in found]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(seen)], pa.int64()), pa.array([sum(n * math.exp(-low * (x or floor)) for x, n in found)], pa.float64())], ["seen", "mass"])
+
+    row = sample.filter("label = 0").select("text").mapInArrow(extremes, "seen long, mass double").agg(F.sum("seen"), F.sum("mass")).first()
+    model.size = max(((row[0] or 0) + 0.5) / ((row[1] or 0.0) + 1e-9), 1e-6)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
