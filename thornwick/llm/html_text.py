@@ -5,12 +5,17 @@ characters over its tags; ratios are smoothed by a Gaussian over neighbouring li
 of the spread of the smoothed ratios) form clusters. Those clusters select the content region: the innermost sectioning
 element that holds nearly all their weight, grown to the article or main element around it. Without one it grows to the whole
 page, as the lines beside it (headings, leads, closing blocks) are short; only blocks of links there are left out. All lines
-of the region are the text, short ones too, but for lines in parts that markup says are no content (navigation, forms,
-notices, comments ...), whose ratio counts as 0. A form around nearly all the page's text is a wrapper and drops nothing.
+of the region are the text, short ones too, but for parts that markup says are no content:
+
+Elements and roles for navigation, forms, dialogs and the like, and hidden elements, drop what they hold. Names (of class and
+id) only weigh: a part whose name is made of words for adverts, comments, menus ... alone has `named` of its ratios,
+smoothed apart from the text around it, and its lines stay where that reaches the mean ratio of the other clusters. A form around nearly all the page's text is a
+wrapper and drops nothing, unless it has such a name. A header within an article or main element is its title.
 
 White space, no-break spaces among it, becomes one space within a line; a <br> is white space. Defined results: a null or
-empty page, or one without text, gives an empty text; markup that ends early or never closes is read as far as it goes;
-unknown references stay as written; repeated rows are each extracted.
+empty page, or one without text, gives an empty text; markup that ends early or never closes is read as far as it goes; an
+element that closes itself holds nothing; unknown references stay as written; repeated rows are each extracted; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,46 +39,68 @@ BLOCKS = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 NAMES = frozenset(
-    "nav navbar navigation menu breadcrumb breadcrumbs footer header masthead sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus respond reply replies widget pagination pager toolbar copyright skip".split()
+    "nav navbar navigation menu breadcrumb breadcrumbs footer header masthead sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus respond reply replies widget pagination pager toolbar copyright skiplink skiplinks".split()
+)
+#: Words that say nothing beside one of NAMES.
+BESIDE = frozenset(
+    "site page main top bottom left right global primary secondary box block wrapper wrap container list lists section area item items inner outer bar link links post posts article articles story stories group row col column panel unit slot thread form button buttons icon icons body sub mobile sticky".split()
 )
-#: Names that drop even an article or main element: reader comments, adverts, teasers.
+#: Names that weigh on an article or main element: reader comments, adverts, teasers.
 ARTICLE_NAMES = frozenset("ad ads advert adverts advertisement sponsored promo related recommended comment comments disqus reply replies".split())
 _LAYOUT = re.compile(r"(?:^|[-_])(?:with|without|has|no|not|is)[-_]", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
-def _dropped(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    if tag in DROPPED:
-        return True
-    if tag in ("html", "body"):
+def _names(word: str, names: frozenset[str]) -> bool:
+    """Whether a name is made of words of names and words that say nothing beside them."""
+    if _LAYOUT.search(word):  # a layout's name (has-sidebar, no-ads) says what is beside the content
         return False
-    names = ARTICLE_NAMES if tag in ("main", "article") else NAMES
+    parts = [x.lower() for x in _NAME.findall(word) if not x.isdigit()]
+    if "header" in parts and not {"post", "article", "story", "section", "body"}.isdisjoint(parts):
+        return False  # the title of what it names
+    return any(x in names for x in parts) and all(x in NAMES or x in BESIDE for x in parts)
+
+
+def _sort(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> int:
+    """2 for what drops its content, 1 for a part whose name weighs, else 0; inside an article or main element or not."""
+    if tag in DROPPED and not (inside and tag == "header"):
+        return 2
+    if tag in ("html", "body"):
+        return 0
+    names = ARTICLE_NAMES if tag in ("main", "article") else NAMES - {"header", "masthead", "banner"} if inside else NAMES
+    named = 0
     for key, value in attrs:
         if key == "hidden":
-            return True
+            return 2
         value = value or ""
-        # a layout's name (has-sidebar, no-ads) says what is beside the content
-        if key in ("class", "id") and any(x.lower() in names for word in value.split() if not _LAYOUT.search(word) for x in _NAME.findall(word)):
-            return True
         if key == "role" and value.strip().lower() in ROLES or key == "aria-hidden" and value.strip().lower() == "true":
-            return True
+            return 2
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return 2
+        if key in ("class", "id") and any(_names(word, names) for word in value.split()):
+            named = 1
+    return named
 
 
-class _Lines(HTMLParser):
-    """Collects lines (text, tags, path of sectioning elements, whether dropped, the form around it or 0, whether it is
-    mostly a link)."""
+class Line(NamedTuple):
+    text: str
+    tags: int
+    path: tuple[int, ...]  # ids of the sectioning elements around it
+    dropped: bool
+    form: int  # the form around it or 0
+    linked: bool  # mostly a link
+    part: int  # the named part it is in or 0
+
 
+class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], bool, int, bool]] = []
+        self.lines: list[Line] = []
         self.tag_of: dict[int, str] = {}
-        self.stack: list[tuple[str, int, bool, int]] = []  # tag, id of the section it is or 0, whether it drops its content, the form around it or 0
+        self.stack: list[tuple[str, int, bool, int, int, int]] = []  # tag, id of the section it is or 0, whether it drops its content, the form, part and number of articles around it
         self.path: tuple[int, ...] = ()
-        self.drops = 0
-        self.form = self.forms = 0
+        self.drops = self.pushed = 0
+        self.form = self.forms = self.part = self.named = self.articles = 0
         self.link, self.linked = False, 0
         self.parts: list[str] = []
         self.tags = 0
@@ -80,7 +108,7 @@ class _Lines(HTMLParser):
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, max(self.tags, 1), self.path, self.drops > 0, self.form, 2 * self.linked > len(text)))
+            self.lines.append(Line(text, max(self.tags, 1), self.path, self.drops > 0, self.form, 2 * self.linked > len(text), self.part))
             self.tags = 0
         self.parts = []
         self.linked = 0
@@ -95,10 +123,13 @@ class _Lines(HTMLParser):
             self.link = True
         if tag in VOID:
             return
-        drops = _dropped("div" if tag == "form" else tag, attrs)
-        if not drops and tag not in BLOCKS:
-            return  # inline elements, often left open, hold no state
-        if drops and tag not in BLOCKS:
+        sort = _sort("div" if tag == "form" else tag, attrs, self.articles > 0)
+        if tag == "form" and sort:
+            sort = 2
+        drops = sort == 2
+        if not sort and tag not in BLOCKS and not any(x[0] == tag for x in self.stack):
+            return  # inline elements, often left open, hold no state but within a part of their kind
+        if sort and tag not in BLOCKS:
             self.cut()
         if tag in ("p", "li", "option", "dt", "dd", "tr", "td", "th"):
             self._close_open(tag)
@@ -108,7 +139,12 @@ class _Lines(HTMLParser):
             self.tag_of[section] = tag
             self.path += (section,)
         self.drops += drops
-        self.stack.append((tag, section, drops, self.form))
+        self.pushed += 1
+        self.stack.append((tag, section, drops, self.form, self.part, self.articles))
+        self.articles += tag in ("article", "main")
+        if sort == 1 and not self.part:
+            self.named += 1
+            self.part = self.named
         if tag == "form" and not self.form:
             self.forms += 1
             self.form = self.forms
@@ -124,15 +160,20 @@ class _Lines(HTMLParser):
 
     def _pop(self, k: int) -> None:
         self.cut()
-        self.form = self.stack[k][3]
-        for _, section, drops, _ in self.stack[k:]:
+        self.form, self.part, self.articles = self.stack[k][3:]
+        for _, section, drops, *_ in self.stack[k:]:
             self.drops -= drops
             if section:
                 self.path = self.path[:-1]
         del self.stack[k:]
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        before = self.pushed
         self.handle_starttag(tag, attrs)
+        if self.pushed > before:
+            self._pop(len(self.stack) - 1)
+        if tag == "a":
+            self.link = False
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -159,20 +200,35 @@ def smooth(ratios: np.ndarray, radius: int = 2, sigma: float = 1.0) -> np.ndarra
     return np.convolve(ratios, kernel, "full")[radius : radius + len(ratios)] / weight
 
 
-def _formless(lines: list[tuple[str, int, tuple[int, ...], bool, int, bool]], hold: float) -> list[tuple[str, int, tuple[int, ...], bool, int, bool]]:
+def _formless(lines: list[Line], hold: float) -> list[Line]:
     """The lines with those in forms dropped, but for a form that holds nearly all the text."""
-    if not any(x[4] for x in lines):
+    if not any(x.form for x in lines):
         return lines
     held: dict[int, int] = {}
     for x in lines:
-        if not x[3]:
-            held[x[4]] = held.get(x[4], 0) + len(x[0])
+        if not x.dropped:
+            held[x.form] = held.get(x.form, 0) + len(x.text)
     around = {f for f, n in held.items() if n >= hold * sum(held.values())} | {0}
-    return [(*x[:3], x[3] or x[4] not in around, *x[4:]) for x in lines]
+    return [x._replace(dropped=x.dropped or x.form not in around) for x in lines]
 
 
-def main_text(html: str | None, share: float = 0.5, hold: float = 0.95) -> str:
-    """The page's main text; share sets the threshold (of the smoothed ratios' deviation), hold the weight a region keeps."""
+def clusters(lines: list[Line], share: float, named: float) -> np.ndarray:
+    """Which lines belong to a cluster: their smoothed ratio reaches share of the smoothed ratios' deviation, and in a named
+    part also the mean of the cluster lines outside of such parts."""
+    ratios = np.asarray([0.0 if x.dropped else len(x.text) / x.tags * (named if x.part else 1.0) for x in lines])
+    smoothed = smooth(ratios)
+    part = np.asarray([x.part for x in lines])
+    for p in np.unique(part[part > 0]):
+        at = np.flatnonzero(part == p)
+        smoothed[at] = smooth(ratios[at])
+    found = (smoothed >= share * smoothed.std()) & ~np.asarray([x.dropped for x in lines], bool)
+    plain = found & (part == 0)
+    return found & ((part == 0) | (smoothed >= smoothed[plain].mean())) if plain.any() else found
+
+
+def main_text(html: str | None, share: float = 0.5, hold: float = 0.95, named: float = 0.1) -> str:
+    """The page's main text; share sets the threshold (of the smoothed ratios' deviation), hold the weight a region keeps,
+    named the weight of ratios in parts whose name says they are no content."""
     if not html:
         return ""
     parser = _Lines()
@@ -180,22 +236,21 @@ def main_text(html: str | None, share: float = 0.5, hold: float = 0.95) -> str:
     parser.close()
     parser.cut()
     lines = _formless(parser.lines, hold)
-    kept = np.asarray([not x[3] for x in lines], bool)
+    kept = np.asarray([not x.dropped for x in lines], bool)
     if not kept.any():
         return ""
-    ratios = np.asarray([0.0 if x[3] else len(x[0]) / x[1] for x in lines])
-    smoothed = smooth(ratios)
-    clustered = kept & (smoothed >= share * smoothed.std())
+    clustered = clusters(lines, share, named)
     if not clustered.any():
         clustered = kept
-    weight = np.where(clustered, np.asarray([len(x[0]) for x in lines], float), 0.0)
+    lines = [x._replace(dropped=x.dropped or x.part > 0 and not c) for x, c in zip(lines, clustered.tolist(), strict=True)]
+    weight = np.where(clustered, np.asarray([len(x.text) for x in lines], float), 0.0)
     by_section: dict[int, float] = {}
-    for (_, _, path, _, _, _), w in zip(lines, weight.tolist(), strict=True):
+    for path, w in zip((x.path for x in lines), weight.tolist(), strict=True):
         if w:
             for s in path:
                 by_section[s] = by_section.get(s, 0.0) + w
     total, best = weight.sum(), ()
-    for (_, _, path, _, _, _), w in zip(lines, weight.tolist(), strict=True):
+    for path, w in zip((x.path for x in lines), weight.tolist(), strict=True):
         if not w:
             continue
         depth = 0
@@ -208,20 +263,20 @@ def main_text(html: str | None, share: float = 0.5, hold: float = 0.95) -> str:
     if outer:
         best = best[: outer[0] + 1 if parser.tag_of[best[outer[0]]] == "article" else outer[-1] + 1]
         n = len(best)
-        return "\n".join(x[0] for x in lines if not x[3] and x[2][:n] == best)
+        return "\n".join(x.text for x in lines if not x.dropped and x.path[:n] == best)
     # beside the region: each section next to it or around it, and each run of lines between them, is a block
-    shown = [x for x in lines if not x[3]]
-    blocks: list[tuple[tuple[int, ...] | None, list[tuple]]] = []
+    shown = [x for x in lines if not x.dropped]
+    blocks: list[tuple[tuple[int, ...] | None, list[Line]]] = []
     for x in shown:
         n = 0
-        while n < min(len(best), len(x[2])) and x[2][n] == best[n]:
+        while n < min(len(best), len(x.path)) and x.path[n] == best[n]:
             n += 1
-        at = None if n == len(best) else x[2][: n + 1]
+        at = None if n == len(best) else x.path[: n + 1]
         if not blocks or blocks[-1][0] != at:
             blocks.append((at, []))
         blocks[-1][1].append(x)
-    links = lambda block: len(block) > 1 and 2 * sum(len(x[0]) for x in block if x[5]) > sum(len(x[0]) for x in block)
-    return "\n".join(x[0] for at, block in blocks if at is None or not links(block) for x in block)
+    links = lambda block: len(block) > 1 and 2 * sum(len(x.text) for x in block if x.linked) > sum(len(x.text) for x in block)
+    return "\n".join(x.text for at, block in blocks if at is None or not links(block) for x in block)
 
 
 def extract(pages: DataFrame) -> DataFrame:
