@@ -3,8 +3,9 @@
 Each source gets whole copies of all its documents (its target over its size, rounded down) and, for the rest of its
 target, one more copy of those documents whose hash lies under a threshold. Words are summed by source and hash bucket;
 the largest threshold within the budget is found on these sums, and only its boundary bucket is looked at again with the
-next bits. What is then left of the budget is filled by further thresholds over the documents that still fit in it.
-No documents are sorted; budgets are nested, as a larger target takes all that a smaller one takes.
+next bits, so these thresholds are nested: a larger target's takes all that a smaller one's does. What is then left of the budget,
+less than a document, is filled by thresholds of further hashes over the documents that still fit in it, which are not
+nested. No documents are sorted.
 
 Sources are numbered by code point, null last, on a table with one row a source.
 

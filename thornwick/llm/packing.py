@@ -168,7 +168,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     arrow = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("salt", pa.int32()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a task holds whole (length, salt) groups, which it numbers in the order they come
+        # a task holds whole (length, salt) groups, which it numbers in an order that another attempt finds again
         seen: dict[tuple[int, int], int] = {}
         for batch in batches:
             sizes, salts = batch.column("length").to_numpy(), batch.column("salt").to_numpy().astype(np.int64)
@@ -187,7 +187,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequence), pa.array(offset)], schema=arrow)
 
     n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return pieces.repartition(n, "length", "salt").mapInArrow(place, schema).drop("salt")
+    dealt_again = pieces.repartition(n, "length", "salt").sortWithinPartitions("length", "salt", "doc_id", "piece", "start", "ids_crc32")
+    return dealt_again.mapInArrow(place, schema).drop("salt")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:

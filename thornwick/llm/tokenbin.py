@@ -5,15 +5,16 @@ key order, one after another, no header. Shards are ranges of keys, so that thei
 
 Index bucket file (keys are dealt to buckets by hash): a header (magic, slots, displacement groups; three little-endian
 unsigned 32-bit integers), one unsigned 32-bit displacement a group, then a record a slot: fingerprint u32, shard u32,
-offset in ids u64, length u64. A key's group names a displacement, the displacement a slot: two reads, whatever the
-number of keys, and slots are exactly as many as keys.
+offset in ids u64, length u64. A key's group names a displacement, the displacement a slot: two places of the file,
+whatever the number of keys, and slots are exactly as many as keys. (A bulk lookup reads a bucket's file once, whole.)
 
 Every file is written under a name of its own for each attempt and named in the table of the attempt that counts, so a
 retried or speculative task leaves no half-written file behind in use. Files go to a path that driver and executors share.
 
-Defined results: a null text is empty (its end id alone); rows that repeat a key share one index record, the first in
-(text) order, with equal texts giving equal payloads; those of other text keep their own rows by (key, serial);
-null keys come first. An empty table gives no rows.
+Defined results: a null text is empty (its end id alone); rows that repeat a doc_id are numbered by a serial, in the order
+of a hash of their texts, and each has a record of its own under (doc_id, serial), also if the texts are equal; null
+doc_ids come first and are a key of their own. A key that the index misses raises an error when payloads are read. An
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,13 +50,22 @@ def _uri(path: str) -> str:
 # --- minimal perfect hash --------------------------------------------------------------------------------------
 
 
-def key_hash(keys: np.ndarray, serials: np.ndarray) -> np.ndarray:
-    return mix(mix(keys.astype(np.int64).view(_U) + _U(0x9E3779B97F4A7C15)) + serials.astype(_U))
+def key_hash(keys: np.ndarray, serials: np.ndarray, none: np.ndarray | bool = False) -> np.ndarray:
+    """Distinct for distinct keys but by chance; a key that is none hashes as no other."""
+    h = mix(keys.astype(np.int64).view(_U) + _U(0x9E3779B97F4A7C15))
+    return mix(np.where(none, _U(0x94D049BB133111EB), h) + serials.astype(_U))
+
+
+def _hashes(data: pa.RecordBatch | pa.Table) -> np.ndarray:
+    keys = data.column("doc_id")
+    return key_hash(keys.fill_null(0).to_numpy(), data.column("serial").to_numpy(), np.asarray(keys.is_null()))
 
 
 def build_mph(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Displacements by group, and the slot of each hash (distinct): groups are placed from the largest down."""
     n = len(hashes)
+    if len(np.unique(hashes)) < n:
+        raise ValueError("two keys have the same hash")
     groups = max(1, -(-n // _PER_GROUP))
     displacement = np.zeros(groups, np.uint32)
     slot = np.full(n, -1, np.int64)
@@ -129,7 +139,8 @@ def write_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int, width:
     root = _uri(root)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     ordered = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # a doc_id that very many rows repeat is dealt to several shards
+    ordered = ordered.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -156,7 +167,21 @@ def write_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int, width:
                         offset += n
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "serial", "shard", "file", "offset", "n_tokens"])
 
-    return materialize(ordered.mapInArrow(run, ENTRIES), "entries")
+    return _numbered(materialize(ordered.mapInArrow(run, ENTRIES), "entries"))
+
+
+def _numbered(entries: DataFrame) -> DataFrame:
+    """Goes on with the serials of a doc_id that began in an earlier shard."""
+    shards = entries.groupBy("shard").agg(F.min(F.struct("doc_id")).alias("lo"), F.max(F.struct("doc_id")).alias("hi"))
+    ends = shards.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("d"), "shard")
+    spread = materialize(ends.groupBy("d").count().filter("count > 1").select(F.col("d.doc_id").alias("k")), "spread")  # a row for two shards
+    if spread.isEmpty():
+        return entries
+    several = entries.join(F.broadcast(spread), F.col("doc_id").eqNullSafe(F.col("k")), "left_semi").groupBy("doc_id", "shard").count()
+    earlier = F.sum("count").over(Window.partitionBy("doc_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    base = several.select(F.col("doc_id").alias("k"), F.col("shard").alias("s"), F.coalesce(earlier, F.lit(0)).alias("base"))  # a row a shard and key that spans several
+    found = entries.join(F.broadcast(base), F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("shard") == F.col("s")), "left")
+    return materialize(found.withColumn("serial", (F.col("serial") + F.coalesce("base", F.lit(0))).cast("int")).select(*entries.columns), "numbered")
 
 
 def write_index(entries: DataFrame, root: str, buckets: int) -> DataFrame:
@@ -168,8 +193,7 @@ def write_index(entries: DataFrame, root: str, buckets: int) -> DataFrame:
         fs, base = _open(root)
         fs.create_dir(base, recursive=True)
         bucket, file = key[0].as_py(), f"index-{key[0].as_py():06d}-{uuid.uuid4().hex}.mph"
-        keys = data.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()
-        hashes = key_hash(keys, data.column("serial").to_numpy())
+        hashes = _hashes(data)
         write_bucket(fs, f"{base}/{file}", hashes, data.column("shard").to_numpy(), data.column("offset").to_numpy(), data.column("n_tokens").to_numpy())
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "index_file": pa.array([file])})
 
@@ -194,7 +218,7 @@ def lookup(keys: DataFrame, index: DataFrame, root: str, buckets: int) -> DataFr
         name, bucket = None, None
         for batch in batches:
             files = np.asarray(batch.column("index_file").to_pylist(), object)
-            hashes = key_hash(batch.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(), batch.column("serial").to_numpy())
+            hashes = _hashes(batch)
             found, sure = np.zeros(len(files), RECORD), np.zeros(len(files), bool)
             for file in dict.fromkeys(files.tolist()):
                 if file != name:
@@ -207,10 +231,12 @@ def lookup(keys: DataFrame, index: DataFrame, root: str, buckets: int) -> DataFr
 
 
 def read_payloads(found: DataFrame, shards: DataFrame, root: str, width: int) -> DataFrame:
-    """Reads each found document's ids from its shard file and returns their crc32 with them: adds ids_crc32, drops none."""
+    """Reads each found document's ids from its shard file and returns their crc32 with them: adds ids_crc32, and raises an
+    error for a key that was not found."""
     root = _uri(root)
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    placed = found.join(shards.select("shard", "file"), "shard").select("doc_id", "serial", "shard", "file", "offset", "n_tokens")  # a row a shard
+    sure = F.when(F.col("shard").isNull(), F.raise_error(F.lit("a key is not in the index"))).otherwise(F.col("shard"))
+    placed = found.withColumn("shard", sure.cast("int")).join(shards.select("shard", "file"), "shard", "left").select("doc_id", "serial", "shard", "file", "offset", "n_tokens")  # a row a shard
     most = 1 << 22
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,8 @@ Queries and candidates are paired in blocks, each pair a task; nothing is broadc
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part; ties go to the smaller id;
 vectors of another length than a query's are no candidates of it; rows that repeat an id are candidates each, and none is
-a candidate of a query of its id; scores beyond 64-bit integers raise an error.
+a candidate of a query of its id; of a query's id that repeats the least vector is asked; a score among the k best that
+64 bits don't hold raises an error; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,10 +36,8 @@ def threshold_search(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarr
     """(query row, id, score) of each query's k best in the block, by id where scores tie; int64 arrays."""
     n, dims = block.shape
     order = np.argsort(block, axis=0, kind="stable")  # the sorted lists, ascending
-    exact = float(np.abs(queries).max(initial=0)) * float(np.abs(block).max(initial=0)) * dims
-    if exact >= 2**63:
-        raise ValueError("an inner product may not fit in 64 bits")
-    kind = np.float64 if exact < 2**53 else np.int64
+    exact = float(np.abs(queries.astype(float)).max(initial=0)) * float(np.abs(block.astype(float)).max(initial=0)) * dims
+    kind = np.float64 if exact < 2**53 else np.int64 if exact < 2**62 else object
     rows, cols = block.astype(kind), np.arange(dims)
     sorted_values = np.take_along_axis(rows, order, axis=0)
     out_q, out_id, out_s = [], [], []
@@ -57,18 +56,20 @@ def threshold_search(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarr
             seen |= met
             new = new[ids[new] != own]
             s, i = np.r_[best_s, rows[new] @ q], np.r_[best_id, ids[new]]
-            if len(s) > k:
+            if len(s) > k and kind is not object:
                 cut = np.partition(s, len(s) - k)[len(s) - k]
                 keep = s >= cut
                 s, i = s[keep], i[keep]
-            keep = np.lexsort((i, -s))[:k]
+            keep = np.lexsort((i, -s))[:k] if kind is not object else sorted(range(len(s)), key=lambda x: (-s[x], i[x]))[:k]
             best_s, best_id = s[keep], i[keep]
             depth, step = end, step * 4
-            bound = float(sorted_values[np.where(down, n - end, end - 1), cols] @ q)
+            bound = sorted_values[np.where(down, n - end, end - 1), cols] @ q
             if len(best_s) == k and bound < best_s[-1] or seen.all():
                 break
         out_q.append(np.full(len(best_id), qi))
         out_id.append(best_id)
+        if kind is object and any(not -(2**63) <= x < 2**63 for x in best_s):
+            raise ValueError("an inner product does not fit in 64 bits")
         out_s.append(best_s.astype(np.int64))
     return np.concatenate(out_q), np.concatenate(out_id), np.concatenate(out_s)
 
@@ -77,7 +78,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best; both sides have vec_id and v (array of long)."""
     spark = candidates.sparkSession
     candidates = materialize(candidates, "candidates")
-    queries = materialize(queries.withColumnRenamed("vec_id", "query_id").dropDuplicates(["query_id"]), "queries")
+    queries = materialize(queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v")), "queries")
     n, m = candidates.count(), queries.count()
     blocks, groups = max(1, -(-n // CANDIDATES)), max(1, -(-m // QUERIES))
     groups = max(groups, min(m // 64, -(-12 // blocks)) or 1)  # small inputs still give each core a task
