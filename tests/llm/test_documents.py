@@ -421,3 +421,99 @@ def test_segments_are_all_maximal():
     model = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0, 0.05)
     found = model.segments(np.asarray([0, 2, 10, 11]), np.asarray([3.0, 4.0, 2.0, -5.0]))
     assert [(a, b, round(s, 6)) for a, b, s in found] == [(0, 2, 6.0), (10, 10, 2.0)]
+
+
+def all_maximal(scores):
+    """By definition: the segment of greatest sum (the shortest, then first), then those left and right of it."""
+    todo, out = [(0, len(scores))], []
+    while todo:
+        lo, hi = todo.pop()
+        sums = [(round(sum(scores[a:b]), 9), a - b, -a) for a in range(lo, hi) for b in range(a + 1, hi + 1)]
+        best = max(sums, default=(0,))
+        if best[0] > 0:
+            a = -best[2]
+            b = a - best[1]
+            out.append((a, b - 1, best[0]))
+            todo += [(lo, a), (b, hi)]
+    return sorted(out)
+
+
+def test_segments_against_brute_force():
+    r = random.Random(3)
+    for case in range(150):
+        n = r.randint(1, 30)
+        drift = r.choice([0.31, 1.07, 0.0123])
+        hits = sorted(r.sample(range(n), r.randint(0, n)))
+        values = [r.choice([-1, 1, 1, 1]) * r.uniform(0.1, 3) for _ in hits]
+        model = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), drift, 1.0, 0.05)
+        found = sorted((a, b, round(s, 9)) for a, b, s in model.segments(np.asarray(hits, np.int64), np.asarray(values)))
+        whole = [-drift] * n
+        for h, v in zip(hits, values, strict=True):
+            whole[h] = v
+        expected = all_maximal(whole)
+        assert [x[:2] for x in found] == [x[:2] for x in expected], case
+        assert np.allclose([x[2] for x in found], [x[2] for x in expected])
+
+
+@pytest.mark.parametrize("shape", ["rising", "falling", "mixed"])
+def test_segments_take_linear_time(shape):
+    import time
+
+    n = 100_000
+    at = np.arange(n) * 3
+    drift = {"rising": 0.1, "falling": 1.0, "mixed": 0.3}[shape]
+    model = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), drift, 1.0, 0.05)
+    scores = np.random.default_rng(0).uniform(0.1, 1.1, n)
+    start = time.time()
+    found = model.segments(at, scores)
+    assert time.time() - start < 5 and found
+
+
+def test_toxicity_of_long_repeated_and_clashing_rows(spark):
+    rows, labels = toxic_rows()
+    r = random.Random(8)
+    calm = [w for w in " ".join(t for k, t in rows if k % 5).split() if "vile" not in w]
+    long = " ".join(r.choice(calm) for _ in range(60_000))
+    more = [(5000, long), (5001, long + " " + rows[0][1]), (5002, rows[0][1]), (5002, rows[0][1])]
+    frame = spark.createDataFrame([(k, t, 9.0, 1, "x", 0) for k, t in rows + more], "doc_id long, text string, score double, label int, passages string, found int")
+    found = toxicity.judged(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("text", F.lit("x"))).collect()
+    assert len(found) == len(rows) + 4
+    by = {r.doc_id: r for r in found}
+    assert by[5000].predicted == 0 and by[5001].predicted == 1 and by[5002].score == by[0].score
+    kept = toxicity.without_toxic(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert kept.columns == frame.columns and {5001, 5002}.isdisjoint(r.doc_id for r in kept.collect())
+
+
+def test_token_shards_of_null_least_and_repeated_ids(spark):
+    least = -(2**63)
+    rows = [(None, "a b"), (None, "c"), (least, "d"), (least, "e f g"), *((7, prose(k % 40, 5)) for k in range(400)), (9, "z"), (None, "a b")]
+    frame = spark.createDataFrame([(*r, 3, "s") for r in rows], "doc_id long, text string, serial int, shard string").repartition(3)
+    found = tokenbin.round_trip(frame).collect()
+    tokenizer = tokens.load("word_bpe_49k.json")
+    ids = {t: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for _, t in rows}
+    crc = lambda t: zlib.crc32(np.asarray(ids[t], "<u4").tobytes())
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in found) == Counter((k, len(ids[t]), crc(t)) for k, t in rows)
+    found.sort(key=lambda r: r.start)
+    assert [r.start for r in found] == np.cumsum([0, *(r.n_tokens for r in found)])[:-1].tolist()
+    order = [r.doc_id for r in found]
+    assert order == [None] * 3 + [least] * 2 + [7] * 400 + [9]
+
+
+def test_equal_hashes_and_missing_keys_are_errors(spark, docs, tmp_path):
+    with pytest.raises(ValueError, match="same hash"):
+        tokenbin.build_mph(np.asarray([5, 5], np.uint64))
+    entries = tokenbin.write_shards(docs.filter("doc_id < 5"), str(tmp_path), "word_bpe_49k.json", 1, 2)
+    index = tokenbin.write_index(entries, str(tmp_path), 1)
+    found = tokenbin.lookup(spark.createDataFrame([(1, 0), (4242, 0)], "doc_id long, serial int"), index, str(tmp_path), 1)
+    with pytest.raises(Exception, match="not in the index"):
+        tokenbin.read_payloads(found, entries.select("shard", "file").distinct(), str(tmp_path), 2).collect()
+
+
+def test_packing_places_alike_in_any_order(spark):
+    rows = [(k, 0, 0, 300 + k % 7, k * 31, k % 4) for k in range(500)]
+    placed = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        frame = spark.createDataFrame(rows, packing.PIECES).repartition(3)
+        placed.append(sorted((r.doc_id, r.sequence_id, r.offset) for r in packing.pack(frame).collect()))
+    assert placed[0] == placed[1]

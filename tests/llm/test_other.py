@@ -1,6 +1,7 @@
 """Pages, vectors, conversations and the pipeline against brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -30,6 +31,46 @@ def test_names_of_layouts_and_comments():
     assert html_text.main_text(html) == f"T\n{LONG.strip()}"
 
 
+def test_names_that_only_hold_such_words_in_part():
+    for name in ("related-work", "reply-text", "ad-hoc", "skip-list", "post-header", "entry-header", "article-header", "comments-off", "headline", "socialism"):
+        html = page(f"<article><h1>T</h1><p>{LONG}</p><section class='{name}'><p>Inner words stay.</p></section><p>{LONG}</p></article>")
+        assert html_text.main_text(html) == f"T\n{LONG.strip()}\nInner words stay.\n{LONG.strip()}", name
+    for name in ("ad", "relatedPosts", "comment-list", "social-share", "newsletter_signup", "site-nav", "widget-1"):
+        html = page(f"<article><h1>T</h1><p>{LONG}</p><div class='{name}'><p>Inner words go.</p></div><p>{LONG}</p></article>")
+        assert html_text.main_text(html) == f"T\n{LONG.strip()}\n{LONG.strip()}", name
+    # a name weighs, and the clusters decide: a dense part stays
+    assert html_text.main_text(page(f"<h1>T</h1><div class='promo'><p>{LONG * 20}</p></div>")) == f"T\n{(LONG * 20).strip()}"
+    assert html_text.main_text(page(f"<article><header><h1>T</h1></header><p>{LONG}</p></article>")) == f"T\n{LONG.strip()}"
+
+
+def test_elements_that_close_themselves_and_inline_parts():
+    html = page(f"<article><p>{LONG}</p><svg/><p>a</p><math/><p>b</p><iframe src=x /><script src=y /><div class='ad'/><p>c</p><svg><path d='x'/></svg><p>d</p><span class='share'><span>Tweet</span> or share</span><p>e</p></article>")
+    assert html_text.main_text(html) == "\n".join([LONG.strip(), *"abcde"])
+
+
+def test_ratios_and_clusters_against_brute_force():
+    g = np.random.default_rng(5)
+    for _ in range(200):
+        n = int(g.integers(1, 25))
+        parts = np.cumsum(g.random(n) < 0.3) * (g.random(n) < 0.5)
+        lines = [html_text.Line("x" * int(g.integers(1, 300)), int(g.integers(1, 6)), (), bool(g.random() < 0.2), 0, False, int(parts[k])) for k in range(n)]
+        weight = lambda d: np.exp(-(d**2) / 2) if abs(d) <= 2 else 0.0
+        ratio = [0 if x.dropped else len(x.text) / x.tags * (0.1 if x.part else 1) for x in lines]
+        smoothed = []
+        for k, x in enumerate(lines):
+            near = [j for j in range(n) if lines[j].part == x.part] if x.part else list(range(n))
+            at = near.index(k)
+            smoothed.append(sum(weight(i - at) * ratio[j] for i, j in enumerate(near)) / sum(weight(i - at) for i in range(len(near))))
+        mean = sum(smoothed) / n
+        spread = (sum((s - mean) ** 2 for s in smoothed) / n) ** 0.5
+        found = [not x.dropped and s >= 0.5 * spread for x, s in zip(lines, smoothed, strict=True)]
+        plain = [s for x, s, f in zip(lines, smoothed, found, strict=True) if f and not x.part]
+        level = sum(plain) / len(plain) if plain else 0
+        want = [f and (not x.part or s >= level) for x, s, f in zip(lines, smoothed, found, strict=True)]
+        got = html_text.clusters(lines, 0.5, 0.1).tolist()
+        assert all(a == b or min(abs(s - 0.5 * spread), abs(s - level)) < 1e-9 for a, b, s in zip(got, want, smoothed, strict=True))
+
+
 def test_short_blocks_beside_the_body():
     links = "".join(f"<li><a href=x{k}>Link number {k}</a></li>" for k in range(6))
     body = f"<div id=content><h1>Title</h1><div class=intro><p>short lead</p></div><div class=body><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div><ul>{links}</ul></div><div class=end><p>last <a href=y>word</a> here</p></div></div>"
@@ -54,8 +95,11 @@ def test_broken_pages():
 
 def test_pages_query(spark):
     rows = [(1, "u", page(f"<article><p>{LONG}</p></article>"), 1), (1, "u", None, 2), (None, None, "", 3), (4, "v", page("<p>" + "x " * 200_000 + "</p>"), 4)]
-    found = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
-    assert len(found) == 4 and all(r.n_chars == len(r.text) for r in found)
+    rows += [rows[0]]
+    pages = spark.createDataFrame([(*r, "w", 1) for r in rows], "page_id long, url string, html string, n_chars int, text string, l int")
+    found = html_text.extract(pages).collect()
+    assert len([r for r in found if r.page_id == 1 and r.text]) == 2
+    assert len(found) == 5 and all(r.n_chars == len(r.text) for r in found)
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
@@ -78,6 +122,18 @@ def test_top_k(spark):
     assert topk.search_embeddings(frame.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_and_large_vectors(spark):
+    rows = [(100, [1.0, 2.0]), (100, [0.5, 9.0]), (1, [3.0, 1.0]), (2, [float(1 << 38), 0.0]), (3, [-float(1 << 38), 1.0]), (4, [3.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = [(r["rank"], r.vec_id, r.score) for r in topk.search_embeddings(frame).collect()]
+    one = lambda v: sum(int(1024 * x) * int(1024 * y) for x, y in zip((0.5, 9.0), v, strict=True))
+    want = sorted(((one(v), k) for k, v in rows if k != 100), key=lambda x: (-x[0], x[1]))
+    assert sorted(found) == [(r + 1, k, s) for r, (s, k) in enumerate(want)]
+    far = spark.createDataFrame([(100, [float(1 << 52)]), (1, [float(1 << 52)])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.search_embeddings(far).collect()
+
+
 def test_threshold_stops_early():
     g = np.random.default_rng(1)
     block = g.integers(0, 10, (4000, 2)).astype(np.int64)
