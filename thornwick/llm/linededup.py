@@ -57,11 +57,17 @@ def _slide(x: np.ndarray, w: int, pick: np.ufunc) -> np.ndarray:
 
 def chosen_lines(hashes: np.ndarray, window: int) -> np.ndarray:
     """Those hashes that are the least of some window of them (none if there is no whole window)."""
+    return hashes[_chosen(hashes, np.arange(len(hashes)) + window <= len(hashes), window)]
+
+
+def _chosen(hashes: np.ndarray, whole: np.ndarray, window: int) -> np.ndarray:
+    """Where a hash is the least of a window of them; whole marks where windows start that count."""
     if len(hashes) < window:
-        return hashes[:0]
-    least = _slide(hashes, window, np.minimum)
+        return np.zeros(len(hashes), bool)
+    least = np.where(whole[: len(hashes) - window + 1], _slide(hashes, window, np.minimum), _U(0))
     ends = np.zeros(window - 1, _U)
-    return hashes[_slide(np.r_[ends, least, ends], window, np.maximum) == hashes]
+    at = _slide(np.r_[ends, least, ends], window, np.maximum)
+    return (at == hashes) & (at > 0)
 
 
 def _lines(min_words: int, line_words: int):
@@ -69,9 +75,14 @@ def _lines(min_words: int, line_words: int):
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch.column("text")):
                 words, _, _, first = words_of(data, offsets)
-                found = [np.unique(chosen_lines(grams(words[first[k] : first[k + 1]], line_words), min_words - line_words + 1)) for k in range(j - i)]
-                rows = np.repeat(np.arange(j - i), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, j - i).take(pa.array(rows)), pa.array(np.concatenate(found).view(np.int64))], ["key", "line"])
+                row = np.repeat(np.arange(j - i), np.diff(first))
+                found = grams(words, line_words)  # those across two texts are in no window that counts
+                whole = np.arange(len(found)) + min_words <= first[1:][row[: len(found)]]
+                at = np.flatnonzero(_chosen(found, whole, min_words - line_words + 1))
+                order = at[np.lexsort((found[at], row[at]))]
+                h, r = found[order], row[order]
+                new = np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])] if len(h) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, j - i).take(pa.array(r[new])), pa.array(h[new].view(np.int64))], ["key", "line"])
 
     return run
 
@@ -106,10 +117,11 @@ def patience(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     """Aligned common runs (start in a, start in b, length) of two arrays of hashes, in order."""
     out: list[tuple[int, int, int]] = []
     todo = [(0, len(a), 0, len(b))]
+    held = np.concatenate(([0], np.cumsum(np.isin(a, b))))  # how many of a, up to each, b has somewhere
     while todo:
         alo, ahi, blo, bhi = todo.pop()
         n = min(ahi - alo, bhi - blo)
-        if n <= 0:
+        if n <= 0 or held[ahi] == held[alo]:
             continue
         differ = np.flatnonzero(a[alo : alo + n] != b[blo : blo + n])
         head = int(differ[0]) if len(differ) else n
