@@ -1,5 +1,6 @@
 """Text functions against Python's re, slugs, globs, paths."""
 
+import random
 import re
 
 import pytest
@@ -62,10 +63,10 @@ def test_resolve(spark, directory, module, want):
 
 def test_lexer():
     f = lexer.scan("import fs, {readFile as r} from 'fs';\nconst {A, B} = process.env; // fetch('no')\nconst u = `x ${fetch('https://e.com', {a: [1, 2]})}`;\nrequire('http'); new WebSocket(u); process.env[k]; process.env['X_TOKEN']; a.b.c(1, 'two', x + 'y'); /re\\/(x)/.test(s);\nfunction go(p, q) { return eval(`a${p}`) }\nObject.keys(process.env); ({...process.env})")
-    assert [(m, d) for m, _, d, _ in f.imports] == [("fs", "fs"), ("http", None)]
-    calls = {e: (a, k, n) for e, a, k, n, _ in f.calls}
+    assert [(m, d, r) for m, _, d, r, *_ in f.imports] == [("fs", "fs", False), ("http", None, True)]
+    calls = {c.expression: (c.arguments, c.kinds, c.is_new) for c in f.calls}
     assert calls["WebSocket"][2] and calls["a.b.c"] == (["1", "'two'", "x + 'y'"], ["number", "string", "concat"], False) and calls["eval"][1] == ["template"]
-    assert [(v, form) for v, form, _ in f.env] == [("A", "destructured"), ("B", "destructured"), ("", "computed"), ("X_TOKEN", "literal"), ("", "object"), ("", "spread")]
+    assert [(v, form) for v, form, *_ in f.env] == [(["A", "B"], "destructured"), ([], "computed"), (["X_TOKEN"], "literal"), ([], "Object.keys"), ([], "spread")]
     assert ("go", ["p", "q"]) in [(n, p) for n, p, _ in f.functions]
     for broken in ("`${", "'abc", "/* x", "((((", "}}}", "import", "process.env", ""):
         lexer.scan(broken)
@@ -75,3 +76,31 @@ def test_rule_tables_compile():
     for *_, p in t.CODE_RULES:
         re.compile(p)
     assert len(t.CODE_RULES) == 31 and sum(map(len, t.PROMPT_RULES.values())) >= 110 and len(t.POPULAR_PACKAGES) == 76
+
+
+def test_offsets_of_many_matches(spark):
+    """Offsets equal Python's for counts around the block size, and the words that a pattern needs are in every match."""
+    for n in (0, 1, 63, 64, 65, 129, 1000):
+        content = "é" + "".join("ab" + "x" * (k % 5) for k in range(n)) + "z"
+        got = one(spark, F.transform(text.matches(F.col("c"), "ab?"), lambda m: m["at"]), c=content)
+        assert got == [m.start() for m in re.finditer("ab?", content)]
+
+
+def test_needed_words():
+    r = random.Random(2)
+    patterns = [(p, "") for *_, p in t.CODE_RULES] + [(p, f) for rules in t.PROMPT_RULES.values() for _, f, p in rules] + [("a|b", ""), ("[ab]c", ""), ("(?:foo|ba+r)?x", ""), ("(?:foo|bar)+", "i")]
+    checked = 0
+    for p, flags in patterns:
+        words = text.needed(p, flags)
+        assert all(len(w) > 1 for w in words)
+        try:
+            found = re.compile(p, re.I if "i" in flags else 0)
+        except re.error:
+            continue
+        for _ in range(200):
+            parts = [*words, *re.findall(r"[\w./~-]{2,}", p), " ", "(", "'", "x"]
+            s = "".join(r.choice(parts) for _ in range(6))
+            if m := found.search(s):
+                checked += 1
+                assert not words or any(w in (m[0].lower() if "i" in flags else m[0]) for w in words), (p, m[0])
+    assert checked > 500

@@ -27,17 +27,39 @@ class Token:
     end: int
 
 
+#: What detectors ask of an argument's whole text.
+MARKS = ("http://", "https://", "curl ", "wget ", "exec", "spawn", "createWriteStream", "eval(", "Function(", "path.join", "path.resolve", "__dirname", "__filename")
+_HOSTS = (re.compile(r"""https?://([^/'"\s:]+)"""), re.compile(r"""\b(?:hostname|host)\s*:\s*['"`]([^'"`]+)['"`]"""))
+
+
+@dataclass
+class Call:
+    expression: str
+    arguments: list[str]  # their texts, of other than literals the first ones' characters
+    kinds: list[str]
+    is_new: bool
+    marks: list[str]  # those of MARKS in the arguments, each as number:mark
+    hosts: list[str]  # hosts in the arguments, each as number:host
+    at: int
+    text: str
+
+
 @dataclass
 class Facts:
-    imports: list[tuple[str, list[str], str | None, int]] = field(default_factory=list)  # module, names, default, offset
-    calls: list[tuple[str, list[str], list[str], bool, int]] = field(default_factory=list)  # expression, arguments, their kinds, new, offset
-    env: list[tuple[str, str, int]] = field(default_factory=list)  # variable, form, offset
+    imports: list[tuple[str, list[str], str | None, bool, int, str]] = field(default_factory=list)  # module, names, default, by require, offset, text
+    calls: list[Call] = field(default_factory=list)
+    env: list[tuple[list[str], str, int, str]] = field(default_factory=list)  # variables, form, offset, text
     functions: list[tuple[str, list[str], int]] = field(default_factory=list)
-    literals: list[tuple[str, str, bool, int]] = field(default_factory=list)  # kind, text, inside a call's arguments, offset
-    elements: list[tuple[str, str, str, int]] = field(default_factory=list)  # object, key, kind of key, offset
+    literals: list[tuple[str, str, bool, int]] = field(default_factory=list)  # kind, text, an argument or a part of one, offset
+    elements: list[tuple[str, str, str, int, str]] = field(default_factory=list)  # object, key, kind of key, offset, text
     declared: set[str] = field(default_factory=set)
 
 
+def cut(text: str, most: int = 120) -> str:
+    text = text.strip()
+    return text if len(text) <= most else text[: most - 3] + "..."
+
+
 def tokens(code: str) -> list[Token]:
     out: list[Token] = []
     i, n = 0, len(code)
@@ -106,7 +128,7 @@ def _kind(part: list[Token]) -> str:
     return "call" if any(t.text == "(" for t in part) else "other"
 
 
-def scan(code: str, cut: int = 80) -> Facts:
+def scan(code: str, most: int = 200) -> Facts:
     ts = tokens(code)
     facts = Facts()
     match: dict[int, int] = {}
@@ -120,13 +142,15 @@ def scan(code: str, cut: int = 80) -> Facts:
             match[open_at.pop()] = k
             call_depth.pop()
         elif t.kind in ("string", "template"):
-            facts.literals.append((t.kind, _unquoted(t.text), any(call_depth), t.start))
+            inner = call_depth[-1:] == [True] or len(open_at) > 1 and ts[open_at[-1]].text == "[" and call_depth[-2]
+            kind = "template" if t.kind == "template" and "${" in t.text else "plain template" if t.kind == "template" else "string"
+            facts.literals.append((kind, _unquoted(t.text), inner, t.start))
     text = lambda k: ts[k].text if 0 <= k < len(ts) else ""
     for k, t in enumerate(ts):
         if t.kind == "name" and t.text in ("const", "let", "var", "class") and k + 1 < len(ts) and ts[k + 1].kind == "name":
             facts.declared.add(text(k + 1))
         if t.kind == "name" and t.text == "import" and text(k - 1) != "." and text(k + 1) not in ("(", "."):
-            _import(ts, k, facts)
+            _import(ts, k, facts, code)
         if t.kind == "name" and t.text == "function":
             at = k + 1 + (text(k + 1) == "*")
             name = text(at) if at < len(ts) and ts[at].kind == "name" else ""
@@ -146,7 +170,9 @@ def scan(code: str, cut: int = 80) -> Facts:
         if t.text == "[" and k and k in match and (ts[k - 1].kind == "name" and text(k - 1) not in _OPERATOR_WORDS):
             inner = ts[k + 1 : match[k]]
             if inner:
-                facts.elements.append((text(k - 1), _unquoted(inner[0].text) if len(inner) == 1 and inner[0].kind == "string" else code[inner[0].start : inner[-1].end][:cut], _kind(inner), ts[k - 1].start))
+                name = text(k - 1) if text(k - 2) not in (".", "?.") else f".{text(k - 1)}"
+                key = _unquoted(inner[0].text) if len(inner) == 1 and inner[0].kind == "string" else code[inner[0].start : inner[-1].end][:most]
+                facts.elements.append((name, key, _kind(inner), ts[k - 1].start, cut(code[ts[k - 1].start : ts[match[k]].end])))
         if t.text == "(" and t.kind == "punct" and k and k in match and (ts[k - 1].kind == "name" and ts[k - 1].text not in _NOT_CALLS):
             first = k - 1
             while first - 2 >= 0 and text(first - 1) in (".", "?.") and (ts[first - 2].kind == "name" or text(first - 2) in (")", "]")):
@@ -173,9 +199,16 @@ def scan(code: str, cut: int = 80) -> Facts:
             if part or parts:
                 parts.append(part)
             expression = re.sub(r"\s+", "", code[ts[first].start : ts[k - 1].end])
-            facts.calls.append((expression, [code[p[0].start : p[-1].end][:cut] if p else "" for p in parts], [_kind(p) for p in parts], text(first - 1) == "new", ts[first].start))
-            if expression == "require" and len(parts) == 1 and _kind(parts[0]) == "string":
-                facts.imports.append((_unquoted(parts[0][0].text), [], None, ts[first].start))
+            is_new = text(first - 1) == "new"
+            start = ts[first - is_new].start
+            whole = cut(code[start : min(ts[match[k]].end, start + 200)])
+            texts, kinds = [code[p[0].start : p[-1].end] if p else "" for p in parts], [_kind(p) for p in parts]
+            marks = [f"{i}:{m}" for i, x in enumerate(texts) for m in MARKS if m in x]
+            hosts = [f"{i}:{m[1]}" for i, x in enumerate(texts) for p in _HOSTS if (m := p.search(x))]
+            shown = [x if kind in ("string", "template") else x[:most] for x, kind in zip(texts, kinds, strict=True)]
+            facts.calls.append(Call(expression, shown, kinds, is_new, marks, hosts, start, whole))
+            if expression == "require" and parts and kinds[0] == "string" and not is_new:
+                facts.imports.append((_unquoted(texts[0]), [], None, True, start, whole))
     return facts
 
 
@@ -183,13 +216,14 @@ def _names(ts: list[Token]) -> list[str]:
     return [t.text for t in ts if t.kind == "name"]
 
 
-def _import(ts: list[Token], k: int, facts: Facts) -> None:
+def _import(ts: list[Token], k: int, facts: Facts, code: str) -> None:
     names: list[str] = []
     default, j, braces = None, k + 1, False
     while j < len(ts) and j < k + 200 and ts[j].text != ";":
         t = ts[j]
         if t.kind == "string":
-            facts.imports.append((_unquoted(t.text), names, default, ts[k].start))
+            end = t.end + (j + 1 < len(ts) and ts[j + 1].text == ";")
+            facts.imports.append((_unquoted(t.text), names, default, False, ts[k].start, cut(code[ts[k].start : end])))
             return
         braces = (braces or t.text == "{") and t.text != "}"
         if t.kind == "name" and t.text not in ("from", "as", "type"):
@@ -204,21 +238,22 @@ def _environment(ts: list[Token], k: int, match: dict[int, int], facts: Facts, c
     text = lambda i: ts[i].text if 0 <= i < len(ts) else ""
     at = ts[k - 2].start
     after = text(k + 1)
+    shown = lambda first, last: cut(code[ts[first].start : ts[last].end])
     if after in (".", "?.") and k + 2 < len(ts) and ts[k + 2].kind == "name":
-        facts.env.append((text(k + 2), "property", at))
+        facts.env.append(([text(k + 2)], "property", at, shown(k - 2, k + 2)))
     elif after == "[" and k + 1 in match:
         inner = ts[k + 2 : match[k + 1]]
         literal = len(inner) == 1 and inner[0].kind == "string"
-        facts.env.append((_unquoted(inner[0].text) if literal else "", "literal" if literal else "computed", at))
+        facts.env.append(([_unquoted(inner[0].text)] if literal else [], "literal" if literal else "computed", at, shown(k - 2, match[k + 1])))
     elif text(k - 3) == "...":
-        facts.env.append(("", "spread", at))
+        facts.env.append(([], "spread", ts[k - 3].start, shown(k - 3, k)))
     elif text(k - 3) == "(" and re.fullmatch(r"keys|entries|values", text(k - 4)) and text(k - 6) == "Object":
-        facts.env.append(("", "object", at))
+        facts.env.append(([], f"Object.{text(k - 4)}", ts[k - 6].start, shown(k - 6, match.get(k - 3, k))))
     elif text(k - 3) == "=":
         if text(k - 4) == "}":
             first = next((o for o, c in match.items() if c == k - 4), k - 4)
-            for t in ts[first + 1 : k - 4]:
-                if t.kind == "name":
-                    facts.env.append((t.text, "destructured", at))
+            # of a renamed or defaulted one, the name it gets
+            names = [t.text for i, t in enumerate(ts[first + 1 : k - 4], first + 1) if t.kind == "name" and text(i + 1) in (",", "}", "=")]
+            facts.env.append((names, "destructured", ts[first].start, shown(first, k)))
         else:
-            facts.env.append(("", "alias", at))
+            facts.env.append(([], "alias", ts[k - 4].start, shown(k - 4, k)))

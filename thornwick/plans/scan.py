@@ -46,7 +46,7 @@ def scan(files: DataFrame, manifest_name: str = "skill-manifest.json", ignore_na
         shape(code_rules.detect(code), "pattern")
         .unionByName(shape(manifest.findings(manifests, has_readme(files)).withColumns(blank), "manifest"))
         .unionByName(shape(manifest.dependency_findings(manifests, spark).unionByName(vulnerable).withColumns(blank), "dependency"))
-        .unionByName(shape(code_facts.detect(found).withColumn("snippet", F.lit("")), "ast"))
+        .unionByName(shape(code_facts.detect(found), "ast"))
     )
     findings = relations.ignored(layers, rules)
     # a total order: layer, file, line, column, then the rule's own
@@ -63,6 +63,9 @@ def scan(files: DataFrame, manifest_name: str = "skill-manifest.json", ignore_na
     flows = flows.unionByName(across.select("pkg", "source_file", "sink_file", "source_type", "source_line", F.concat("source_type", F.lit("() call (cross-file)")).alias("source_description"), "sink_type", "sink_line", "severity", F.lit(1).alias("layer")))
     drop = rules.filter("kind = 'taint'").alias("r")
     flows = flows.alias("f").join(drop, (F.col("f.pkg") == F.col("r.pkg")) & F.rlike(F.col("f.source_type"), F.col("r.source_pattern")) & F.rlike(F.col("f.sink_type"), F.col("r.sink_pattern")), "left_anti")
+    left_out = rules.filter("kind = 'file'").alias("r")
+    named = F.rlike(F.col("f.source_file"), F.col("r.pattern")) | F.rlike(F.col("f.sink_file"), F.col("r.pattern"))
+    flows = flows.alias("f").join(left_out, (F.col("f.pkg") == F.col("r.pkg")) & named, "left_anti")
     turn = F.row_number().over(Window.partitionBy("pkg").orderBy("layer", "source_file", "sink_file", "source_line", "sink_line", "source_type", "sink_type"))
     flows = kept(flows.withColumn("ord", turn.cast("long")))
 
@@ -70,11 +73,12 @@ def scan(files: DataFrame, manifest_name: str = "skill-manifest.json", ignore_na
     wrong = wrong.withColumn("ord", F.row_number().over(Window.partitionBy("pkg").orderBy("content_file", "content_line", "code_file", "code_line", "description")).cast("long"))
 
     counts = code.groupBy("pkg").agg(F.count(F.lit(1)).alias("files_scanned"))
+    texts = content.groupBy("pkg").agg(F.count(F.lit(1)).alias("content_files_scanned"))
     own = files.filter(F.col("path") == manifest_name).select("pkg").distinct().withColumn("has_manifest", F.lit(True))
     kind = manifest.package_type(F.col("name"), F.col("description"), F.col("keywords"), F.col("bin") != "", F.col("dependencies"), F.col("valid"))
     about = manifests.select("pkg", "has_repository", "has_types", kind.alias("package_type"), manifest.dependency_count(F.col("dependencies"), F.col("dev_dependencies")).alias("dependency_count"), F.exists(F.map_keys("scripts"), lambda k: k.isin(*SCRIPT_KEYS)).alias("has_install_scripts"))
-    meta = files.select("pkg").distinct().join(counts, "pkg", "left").join(own, "pkg", "left").join(has_readme(files).withColumn("has_readme", F.lit(True)), "pkg", "left").join(about, "pkg", "left")
-    meta = meta.fillna({"files_scanned": 0, "has_manifest": False, "has_readme": False, "has_repository": False, "has_types": False, "package_type": "unknown", "dependency_count": 0, "has_install_scripts": False})
+    meta = files.select("pkg").distinct().join(counts, "pkg", "left").join(texts, "pkg", "left").join(own, "pkg", "left").join(has_readme(files).withColumn("has_readme", F.lit(True)), "pkg", "left").join(about, "pkg", "left")
+    meta = meta.fillna({"files_scanned": 0, "content_files_scanned": 0, "has_manifest": False, "has_readme": False, "has_repository": False, "has_types": False, "package_type": "unknown", "dependency_count": 0, "has_install_scripts": False})
     empty = meta.filter("files_scanned = 0").select("pkg", F.lit("obfuscation").alias("category"), F.lit("medium").alias("severity"), F.lit("package.json").alias("file"), F.lit(0).alias("line"), F.lit(0).alias("column"), F.lit("No source files could be scanned (inconclusive)").alias("description"), F.lit("").alias("snippet"), F.lit(1.0).alias("confidence"), F.lit(False).alias("is_test_fixture"), F.lit(4).alias("layer"), F.lit(1 << 40).alias("ord"))
     scored = findings.unionByName(empty)
     return Scan(scored, told, flows, wrong, permissions.manifest(findings), scoring.score(meta, scored, told, flows, wrong))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -11,3 +14,13 @@ def kept(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return df.checkpoint() if found else df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the cluster's shared one (spark.checkpoint.dir); a temporary one where that is unset, in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        found = tempfile.mkdtemp(prefix="thornwick-")
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
