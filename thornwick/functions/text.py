@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import cache, reduce
+from re import _constants as sre
+from re import _parser as parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,16 +60,71 @@ def contains_match(text: Column, pattern: str, flags: str = "") -> Column:
     return text.rlike(java(pattern, flags))
 
 
+@cache
+def needed(pattern: str, flags: str = "") -> tuple[str, ...]:
+    """Words of which every match of the pattern holds one (in lower case if case doesn't count); none if there are no such
+    words of two characters or more."""
+
+    def of(tree: list[tuple]) -> set[str] | None:
+        found: list[set[str] | None] = []
+        run = ""
+        for kind, value in [*tree, (None, None)]:
+            if kind is sre.LITERAL and ("i" not in flags or value < 128):
+                run += chr(value).lower() if "i" in flags else chr(value)
+                continue
+            found.append({run})
+            run = ""
+            if kind is sre.BRANCH:
+                parts = [of(x) for x in value[1]]
+                found.append(None if None in parts else set().union(*parts))
+            elif kind is sre.SUBPATTERN:
+                found.append(of(value[-1]))
+            elif kind in (sre.MAX_REPEAT, sre.MIN_REPEAT) and value[0]:
+                found.append(of(value[2]))
+        good = [x for x in found if x and min(map(len, x)) > 1 and len(x) <= 24]
+        return max(good, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+    try:
+        return tuple(sorted(of(list(parser.parse(pattern))) or ()))
+    except re.error:  # not in Python's dialect
+        return ()
+
+
+def may_match(text: Column, pattern: str, flags: str = "") -> Column:
+    """False only where the pattern matches nowhere; found by plain words, which are much cheaper to look for."""
+    words = needed(pattern, flags)
+    if not words:
+        return F.lit(True)
+    some = lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in words])
+    return bind(F.lower(text), some) if "i" in flags else some(text)
+
+
 def matches(text: Column, pattern: str, flags: str = "") -> Column:
     """All matches as array<struct<at, text>>; `at` counts code points before the match. The pattern never matches empty."""
     p = java(pattern, flags)
     found = F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    between = F.transform(F.split(text, p, -1), lambda x: F.length(x))
 
     def place(ms: Column) -> Column:
-        return F.transform(ms, lambda m, i: F.struct((_sum(F.slice(between, 1, i + 1)) + _sum(F.transform(F.slice(ms, 1, i), lambda x: F.length(x)))).alias("at"), m.alias("text")))
+        between = F.transform(F.split(text, p, -1), lambda x: F.length(x))
+        steps = F.transform(ms, lambda m, i: F.get(between, i) + F.when(i > 0, F.length(F.get(ms, i - 1))).otherwise(0))
+        return bind(steps, lambda x: bind(_block_sums(x), lambda sums: F.transform(ms, lambda m, i: F.struct(_upto(x, sums, i).alias("at"), m.alias("text")))))
+
+    return F.when(may_match(text, pattern, flags) & text.rlike(p), bind(found, place)).otherwise(F.array().cast("array<struct<at:int,text:string>>"))
+
+
+_BLOCK = 64
+
+
+def _block_sums(values: Column) -> Column:
+    """The sum of all values before each block of them."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda b: _sum(F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK))))
+    return bind(blocks, lambda x: F.transform(x, lambda _, b: _sum(F.slice(x, F.lit(1), b))))
+
 
-    return F.when(text.rlike(p), bind(found, place)).otherwise(F.array().cast("array<struct<at:int,text:string>>"))
+def _upto(values: Column, sums: Column, i: Column) -> Column:
+    """The sum of values up to the one at i."""
+    b = F.floor(i / _BLOCK).cast("int")
+    return F.get(sums, b) + _sum(F.slice(values, b * _BLOCK + 1, i - b * _BLOCK + 1))
 
 
 def _sum(values: Column) -> Column:

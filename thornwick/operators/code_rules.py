@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from thornwick.functions import tables as t
 from thornwick.functions.paths import is_output
-from thornwick.functions.text import any_of, column_at, contains_match, java, line_at, matches, trim_js, truncate
+from thornwick.functions.text import any_of, contains_match, matches, may_match, trim_js, truncate
+from thornwick.plans.stages import kept
 
 FS_CONTEXT = (r"""require\s*\(\s*['"](?:node:)?fs(?:\/promises)?['"]\s*\)""", r"""from\s+['"](?:node:)?fs(?:\/promises)?['"]""", r"\b(?:readFileSync|readFile|writeFileSync|writeFile|unlink|appendFile|createReadStream|createWriteStream)\s*\(")
 UI_FILE = r"\.(tsx|jsx|vue|svelte)$"
@@ -15,41 +16,50 @@ SENSITIVE_RULE = "References sensitive system path"
 
 
 def scanned_files(files: DataFrame) -> DataFrame:
-    """A package's sources without build output; its build output where it has nothing else."""
-    has_source = F.max(~is_output(F.col("path"))).over(Window.partitionBy("pkg"))
-    return files.withColumn("__source", has_source).filter(~is_output(F.col("path")) | ~F.col("__source")).drop("__source")
+    """A package's sources without build output; its build output where it has nothing else. Only build output is joined."""
+    sources = files.filter(~is_output(F.col("path")))
+    rest = files.filter(is_output(F.col("path"))).join(sources.select("pkg").distinct(), "pkg", "left_anti")
+    return sources.unionByName(rest)
 
 
 def capped(files: DataFrame, most: int = 5000) -> DataFrame:
-    """The first `most` files of each package by path."""
-    return files.withColumn("__n", F.row_number().over(Window.partitionBy("pkg").orderBy("path"))).filter(F.col("__n") <= most).drop("__n")
+    """The first `most` files of each package by path; only packages of more have their paths ranked."""
+    large = files.groupBy("pkg").count().filter(F.col("count") > most).select("pkg")
+    ranked = files.select("pkg", "path").join(large, "pkg", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("pkg").orderBy("path")))
+    over = kept(ranked.filter(F.col("n") > most).select("pkg", "path"))
+    return files if over.isEmpty() else files.join(over, ["pkg", "path"], "left_anti")
 
 
 def detect(files: DataFrame) -> DataFrame:
-    """One row a match: rule (from 1), category, severity, file, line, column (from 0), description, snippet, confidence."""
+    """One row a match: rule (from 1), category, severity, file, line, column (from 0), description, snippet, confidence.
+    What a row needs of a text is taken before matches become rows."""
     text, path = F.col("content"), F.col("path")
     context = contains_match(text, any_of(FS_CONTEXT)) & ~path.rlike(UI_FILE)
 
     def hits(k: int, rule: tuple[str, str, float, str, str]) -> Column:
         found = matches(text, rule[4])
-        found = F.when(context, found).otherwise(F.array().cast("array<struct<at:int,text:string>>")) if rule[3] == SENSITIVE_RULE else found
-        return F.transform(found, lambda m: F.struct(F.lit(k).alias("rule"), m["at"].alias("at"), m["text"].alias("text")))
+        found = F.when(context & may_match(text, rule[4]), found).otherwise(F.array().cast("array<struct<at:int,text:string>>")) if rule[3] == SENSITIVE_RULE else found
+        return F.transform(found, lambda m: F.struct(F.lit(k).alias("rule"), m["at"].alias("at")))
 
-    some = "|".join(f"(?:{java(r[4])})" for r in t.CODE_RULES)
-    found = F.concat(*[hits(k, r) for k, r in enumerate(t.CODE_RULES, 1)])
-    rows = files.filter(text.rlike(some)).select("pkg", "path", "content", "is_fixture", F.posexplode(found).alias("ord", "m"))
+    def shown(m: Column) -> Column:
+        before = F.substring(text, F.lit(1), m["at"])
+        start, rest = F.substring_index(before, "\n", -1), F.substring_index(F.substring(text, m["at"] + 1, F.lit(1 << 30)), "\n", 1)
+        line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+        return F.struct(m["rule"].alias("rule"), line.alias("line"), F.length(start).alias("column"), truncate(trim_js(F.concat(start, rest)), 120).alias("snippet"))
+
+    found = F.transform(F.concat(*[hits(k, r) for k, r in enumerate(t.CODE_RULES, 1)]), shown)
+    rows = files.select("pkg", "path", "is_fixture", F.posexplode(found).alias("ord", "m"))
     of = lambda i: F.element_at(F.array(*[F.lit(r[i]) for r in t.CODE_RULES]), F.col("m.rule"))
-    line = line_at(text, F.col("m.at"))
     return rows.select(
         "pkg",
         F.col("m.rule").alias("rule"),
         of(0).alias("category"),
         of(1).alias("severity"),
         path.alias("file"),
-        line.alias("line"),
-        column_at(text, F.col("m.at"), 0).alias("column"),
+        F.col("m.line").alias("line"),
+        F.col("m.column").alias("column"),
         of(3).alias("description"),
-        truncate(trim_js(F.element_at(F.split(text, "\n", -1), line)), 120).alias("snippet"),
+        F.col("m.snippet").alias("snippet"),
         F.when(F.col("is_fixture"), of(2) * t.FIXTURE_FACTOR).otherwise(of(2)).alias("confidence"),
         F.col("is_fixture").alias("is_test_fixture"),
         F.col("ord").cast("long").alias("ord"),

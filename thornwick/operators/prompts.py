@@ -1,8 +1,8 @@
 """Prompt-injection detectors over content files (pkg, path, content, is_priority, is_fixture).
 
 Each detector turns a file into an array of findings by regular expressions with offsets; context (fences, headings, words
-nearby) is text around the offset. One expression that joins a detector's patterns lets files without any match pass after
-a single scan. Offsets, lines and columns count code points; columns start at 1.
+nearby) is text around the offset. Plain words that a pattern's matches must hold let files without any pass without a scan.
+Offsets, lines and columns count code points; columns start at 1.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thornwick.functions import tables as t
-from thornwick.functions.text import any_of, bind, column_at, contains_match, in_fence, java, last_heading, line_at, matches, snippet, trim_js, votes
+from thornwick.functions.text import any_of, bind, contains_match, in_fence, java, last_heading, line_at, matches, snippet, trim_js, votes
 
 HIT = "array<struct<at:int,text:string,technique:string,severity:string,confidence:double,description:string>>"
 
@@ -40,9 +40,7 @@ def _by_rules(category: str, text: Column, build: Callable[[Column, str], Column
         if keep:
             found = F.filter(found, _of(keep, technique))
         parts.append(F.transform(found, _of(build, technique)))
-    some = "|".join(java(p, f) if not f else f"(?{f}:{java(p)})" for _, f, p in t.PROMPT_RULES[category] if "m" not in f)
-    some += "".join(f"|(?m:{java(p, 'm')[4:]})" for _, f, p in t.PROMPT_RULES[category] if f == "m")
-    return F.when(text.rlike(some), F.concat(*parts)).otherwise(F.array().cast(HIT)).cast(HIT)
+    return F.concat(*parts).cast(HIT)
 
 
 def _quoted(prefix: str, technique: str | None, m: Column, cut: int | None = 80) -> Column:
@@ -95,6 +93,8 @@ def hidden_text(text: Column, path: Column, priority: Column) -> Column:
     for technique, pattern, decode in kinds:
         comment = technique == "html-comment"
         found = matches(text, pattern)
+        if technique == "homoglyph":  # a word of letters is long to look for, its odd one isn't
+            found = F.when(text.rlike(java(t.LOOKALIKE)), found).otherwise(F.array().cast("array<struct<at:int,text:string>>"))
         if comment:
             found = F.filter(found, lambda m: (m["at"] > 0) & ~contains_match(trim_js(body(m)), any_of(t.METADATA_COMMENTS), "i"))
 
@@ -224,32 +224,46 @@ def rank(severity: Column) -> Column:
 
 
 def detect(files: DataFrame, categories: tuple[str, ...] = tuple(DETECTORS)) -> DataFrame:
-    """Findings of the given detectors in detector and match order (ord), reduced in fixtures, not yet deduplicated."""
+    """Findings of the given detectors in detector and match order (ord), reduced in fixtures, not yet deduplicated. Files are
+    read once for all detectors, and what a finding needs of a text is taken before findings become rows."""
     text, path, priority = F.col("content"), F.col("path"), F.col("is_priority")
-    layers = None
-    for k, category in enumerate(categories):
-        hits = files.select("pkg", "path", "content", "is_fixture", F.posexplode(DETECTORS[category](text, path, priority)).alias("pos", "m"))
-        shown = F.when(F.lit(category == "hidden-text"), snippet(F.col("content"), F.greatest(F.col("m.at") - 10, F.lit(0)), F.length("m.text") + 20)).otherwise(
-            snippet(F.col("content"), F.col("m.at"), F.length("m.text") + (0 if category != "indirect-injection" else F.when(F.col("m.technique").isin("misleading-link", "instruction-in-alt-text", "encoded-image-url"), 0).otherwise(40)) + (40 if category != "indirect-injection" else 0))
-        )
-        lowered = F.element_at(F.create_map(*[F.lit(x) for kv in t.FIXTURE_DOWNGRADE.items() for x in kv]), F.col("m.severity"))
-        found = hits.select(
-            "pkg",
-            F.lit(category).alias("category"),
-            F.when(F.col("is_fixture"), lowered).otherwise(F.col("m.severity")).alias("severity"),
-            F.col("path").alias("file"),
-            line_at(F.col("content"), F.col("m.at")).alias("line"),
-            column_at(F.col("content"), F.col("m.at")).alias("column"),
-            F.col("m.at").alias("at"),
-            F.col("m.description").alias("description"),
-            shown.alias("snippet"),
-            F.when(F.col("is_fixture"), F.col("m.confidence") * t.FIXTURE_FACTOR).otherwise(F.col("m.confidence")).alias("confidence"),
-            F.col("m.technique").alias("technique"),
-            F.col("is_fixture").alias("is_test_fixture"),
-            (F.lit(k) * 1_000_000 + F.col("pos")).cast("long").alias("ord"),
-        )
-        layers = found if layers is None else layers.unionByName(found)
-    return layers
+
+    def shown(category: str, m: Column) -> Column:
+        if category == "hidden-text":
+            return snippet(text, F.greatest(m["at"] - 10, F.lit(0)), F.length(m["text"]) + 20)
+        if category == "indirect-injection":
+            return snippet(text, m["at"], F.length(m["text"]) + F.when(m["technique"].isin("misleading-link", "instruction-in-alt-text", "encoded-image-url"), 0).otherwise(40))
+        return snippet(text, m["at"], F.length(m["text"]) + 40)
+
+    def placed(k: int, category: str) -> Column:
+        def of(m: Column, i: Column) -> Column:
+            before = F.substring(text, F.lit(1), m["at"])
+            line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+            column = F.length(F.substring_index(before, "\n", -1)) + 1
+            return F.struct(
+                F.lit(category).alias("category"), line.alias("line"), column.alias("column"), m["at"].alias("at"), m["technique"].alias("technique"), m["severity"].alias("severity"), m["confidence"].alias("confidence"), m["description"].alias("description"),
+                shown(category, m).alias("snippet"), (F.lit(k) * 1_000_000 + i).cast("long").alias("ord"),
+            )
+
+        return F.transform(DETECTORS[category](text, path, priority), of)
+
+    found = files.select("pkg", "path", "is_fixture", F.explode(F.concat(*[placed(k, c) for k, c in enumerate(categories)])).alias("m"))
+    lowered = F.element_at(F.create_map(*[F.lit(x) for kv in t.FIXTURE_DOWNGRADE.items() for x in kv]), F.col("m.severity"))
+    return found.select(
+        "pkg",
+        "m.category",
+        F.when(F.col("is_fixture"), lowered).otherwise(F.col("m.severity")).alias("severity"),
+        F.col("path").alias("file"),
+        "m.line",
+        "m.column",
+        "m.at",
+        "m.description",
+        "m.snippet",
+        F.when(F.col("is_fixture"), F.col("m.confidence") * t.FIXTURE_FACTOR).otherwise(F.col("m.confidence")).alias("confidence"),
+        "m.technique",
+        F.col("is_fixture").alias("is_test_fixture"),
+        "m.ord",
+    )
 
 
 def deduplicated(findings: DataFrame) -> DataFrame:
