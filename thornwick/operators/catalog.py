@@ -65,6 +65,11 @@ def unscanned(found: DataFrame, done: DataFrame, name: str = "name", keep: str =
     return left.join(right, "__slug", "left_anti").drop("__slug")
 
 
+def remaining(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """rows whose key done has not: what an interrupted run has left to do."""
+    return rows.join(done.select(key).distinct(), key, "left_anti")
+
+
 def batch_request(requested: DataFrame, done: DataFrame, name: str = "name") -> DataFrame:
     """requested with its loose slug and whether it is queued (no result yet) or skipped."""
     left = requested.withColumn("slug", slug(F.col(name), "._"))

@@ -40,24 +40,24 @@ def classified(findings: DataFrame) -> DataFrame:
 
 
 def manifest(findings: DataFrame) -> DataFrame:
-    """One row a package, from findings with pkg, category, description, snippet and a total order ord."""
+    """One row a package, from findings with pkg, category, description, snippet and a total order ord. Values are made
+    distinct before a package's are gathered, so its row is as large as what it says."""
     rows = classified(findings)
-
-    def distinct(name: str) -> Column:
-        kept = F.sort_array(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("ord", F.col(name).alias("v")))))
-        return F.array_distinct(F.transform(kept, lambda x: x["v"]))
-
-    variables = F.sort_array(F.collect_list(F.when(F.size("p_variables") > 0, F.struct("ord", F.col("p_variables").alias("v")))))
+    lists = ("read", "write", "delete", "outbound", "domain", "command")
+    said = F.concat(*[F.when(F.col(f"p_{x}").isNotNull(), F.array(F.struct(F.lit(x).alias("k"), F.col(f"p_{x}").alias("v"), F.lit(0).alias("i")))).otherwise(F.array()) for x in lists], F.transform("p_variables", lambda v, i: F.struct(F.lit("variable").alias("k"), v.alias("v"), i.alias("i"))))
+    first = rows.select("pkg", "ord", F.explode(said).alias("x")).groupBy("pkg", "x.k", "x.v").agg(F.min(F.struct("ord", "x.i")).alias("at"))
+    of = lambda k: F.transform(F.sort_array(F.collect_list(F.when(F.col("k") == k, F.struct("at", "v")))), lambda x: x["v"])
+    gathered = first.groupBy("pkg").agg(*[of(k).alias(n) for k, n in (("read", "read"), ("write", "write"), ("delete", "delete"), ("outbound", "outbound"), ("domain", "domains"), ("variable", "variables"), ("command", "commands"))])
     scripts = F.sort_array(F.collect_list(F.when((F.col("category") == "install-scripts") & (F.coalesce("snippet", F.lit("")) != ""), F.struct("ord", F.col("snippet").alias("v")))))
-    return rows.groupBy("pkg").agg(
-        *[distinct(f"p_{x}").alias(x) for x in ("read", "write", "delete", "outbound")],
+    flags = rows.groupBy("pkg").agg(
         F.max("p_inbound").alias("inbound"),
-        distinct("p_domain").alias("domains"),
-        F.array_distinct(F.flatten(F.transform(variables, lambda x: x["v"]))).alias("variables"),
         F.max("p_bulk").alias("bulk"),
         F.max(F.col("category") == "process-spawn").alias("spawn"),
-        distinct("p_command").alias("commands"),
         F.max(F.col("category") == "crypto-usage").alias("crypto"),
         F.max(F.col("category") == "dynamic-require").alias("native_modules"),
         F.transform(scripts, lambda x: x["v"]).alias("install_scripts"),
     )
+    none = F.array().cast("array<string>")
+    names = ("read", "write", "delete", "outbound", "domains", "variables", "commands")
+    both = flags.join(gathered, "pkg", "left").withColumns({n: F.coalesce(n, none) for n in names})
+    return both.select("pkg", "read", "write", "delete", "outbound", "inbound", "domains", "variables", "bulk", "spawn", "commands", "crypto", "native_modules", "install_scripts")

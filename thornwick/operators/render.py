@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from thornwick.functions import tables as t
 from thornwick.operators.prompts import rank
-from thornwick.operators.scoring import grade
+from thornwick.operators.scoring import grade, severity_counts
 
 _COLORS = {name: color for name, _, _, color in t.GRADES}
 
@@ -46,11 +46,40 @@ def top_findings(findings: DataFrame, k: int = 10) -> DataFrame:
     return findings.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+PARTICIPATION_COLOR = "#2196f3"
+
+
+def participation_svg(name: str, value: str = "scanned") -> str:
+    """A badge without a score."""
+    left, right = len(name) * 7 + 10, len(value) * 7 + 16
+    return (
+        f'<svg xmlns="http://www.w3.org/2000/svg" width="{left + right}" height="20" role="img" aria-label="{name}: {value}"><title>{name}: {value}</title><rect width="{left}" height="20" fill="#555"/>'
+        f'<rect x="{left}" width="{right}" height="20" fill="{PARTICIPATION_COLOR}"/><text x="{left / 2:g}" y="14">{name}</text><text x="{left + right / 2:g}" y="14">{value}</text></svg>'
+    )
+
+
+def flow_lines(flows: DataFrame, k: int = 5) -> DataFrame:
+    """Each package's first k flows as text (pkg, lines): source with its place, steps, sink with its place. flows: pkg, ord,
+    source_description, source_file, source_line, steps (array<string>), sink_description, sink_file, sink_line."""
+    first = flows.withColumn("rank", F.row_number().over(Window.partitionBy("pkg").orderBy("ord"))).filter(F.col("rank") <= k)
+    steps = F.transform("steps", lambda x: F.concat(F.lit("  -> "), x))
+    line = F.concat_ws("\n", F.format_string("! %s\n  %s:%d", "source_description", "source_file", "source_line"), F.when(F.size("steps") > 0, F.array_join(steps, "\n")), F.format_string("  -> %s\n  %s:%d", "sink_description", "sink_file", "sink_line"))
+    return first.groupBy("pkg").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", line.alias("t")))), lambda x: x["t"]).alias("lines"))
+
+
+def json_report(scores: DataFrame, findings: DataFrame, prompt_findings: DataFrame, flows: DataFrame) -> DataFrame:
+    """pkg and its whole result as JSON: score columns, then all findings and flows in their order."""
+    listed = lambda df, name: df.groupBy("pkg").agg(F.sort_array(F.collect_list(F.struct("ord", *[c for c in df.columns if c not in ("pkg", "ord")]))).alias(name))
+    rows = scores
+    for name, df in (("code_findings", findings), ("prompt_findings", prompt_findings), ("taint_flows", flows)):
+        rows = rows.join(listed(df, name), "pkg", "left")
+    return rows.select("pkg", F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("report"))
+
+
 def report(scores: DataFrame, findings: DataFrame, k: int = 10) -> DataFrame:
     """A text report a package: score, grade, counts, and its severest findings."""
     lines = top_findings(findings, k).groupBy("pkg").agg(F.sort_array(F.collect_list(F.struct("rank", F.format_string("[%s] %s (%s:%d)", F.upper("severity"), "description", "file", "line").alias("t")))).alias("x"))
-    counts = findings.groupBy("pkg").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium")])
-    both = scores.join(counts, "pkg", "left").join(lines, "pkg", "left").fillna(0, ["critical", "high", "medium"])
+    both = scores.join(severity_counts(findings), "pkg", "left").join(lines, "pkg", "left").fillna(0, ["critical", "high", "medium"])
     head = F.format_string("%s\nScore %d/100 (%s)\ncritical %d, high %d, medium %d", "pkg", "overall_score", "grade", "critical", "high", "medium")
     return both.select("pkg", F.concat_ws("\n", head, F.array_join(F.transform("x", lambda r: r["t"]), "\n")).alias("report"), (F.col("overall_score") < 40).alias("fails"))
 

@@ -133,3 +133,8 @@ def score(meta: DataFrame, findings: DataFrame, prompt_findings: DataFrame, flow
         rows = rows.join(side, "pkg", "left")
     rows = rows.fillna({"critical_prompts": 0, "critical_taints": 0, "critical_vulnerabilities": 0, "security_holder": False})
     return overall(rows.withColumn("is_tool", F.col("package_type").isin("cli-tool", "mcp-server")))
+
+
+def severity_counts(findings: DataFrame, severities: tuple[str, ...] = ("critical", "high", "medium")) -> DataFrame:
+    """How many findings of each severity a package has."""
+    return findings.groupBy("pkg").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in severities])

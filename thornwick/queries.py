@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from thornwick.functions import paths, text
 from thornwick.functions import tables as t
-from thornwick.plans.stages import kept
+from thornwick.plans.stages import kept, shared_path
 from thornwick.operators import catalog, code_facts, code_rules, manifest, permissions, prompts, relations, render, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,10 +153,10 @@ def browse_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.browse(entries(spark, sf_dir), None, "src:S", "1").select("p_partkey", "name")
 
 
-@query("SELECT p_partkey, substr(p_type || ' size ' || CAST(p_size AS VARCHAR), 1, 100) AS description, p_brand || ',' || p_type || ',' || CAST(p_size AS VARCHAR) AS tags FROM part")
+@query("SELECT p_name AS name, substr(repeat(p_type || ' size ' || CAST(p_size AS VARCHAR), 12), 1, 100) AS description, p_brand AS category, 'src:' || p_type AS source, p_brand || ',' || p_type || ',' || CAST(p_size AS VARCHAR) AS tags, count(*) AS n FROM part GROUP BY ALL")
 def compact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = entries(spark, sf_dir)
-    return rows.select("p_partkey", F.substring("description", 1, 100).alias("description"), F.array_join(F.slice("tags", 1, 3), ",").alias("tags"))
+    found = catalog.compact(entries(spark, sf_dir).withColumn("description", F.repeat("description", F.lit(12))))
+    return found.withColumn("tags", F.array_join("tags", ",")).groupBy("name", "description", "category", "source", "tags").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _page(sort: str, column: str, descending: bool) -> tuple[Query, str]:
@@ -179,7 +179,7 @@ def category_counts_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {findings_sql()} SELECT pkg, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium FROM f GROUP BY 1")
 def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_findings(spark, sf_dir).groupBy("pkg").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium")])
+    return scoring.severity_counts(event_findings(spark, sf_dir))
 
 
 @query(
@@ -191,11 +191,12 @@ def round_robin_featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.round_robin(o, "slug").select("slug", "grade", F.col("turn").cast("long").alias("turn"))
 
 
-@query("SELECT c_custkey, c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, name FROM (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN '@New/' || c_name ELSE c_name END AS name FROM customer) WHERE c_custkey % 10 = 0 OR NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def unscanned_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders")
     done = o.select("o_custkey").distinct().join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_name").alias("name"))
-    return catalog.unscanned(c.select("c_custkey", F.col("c_name").alias("name")), done)
+    name = F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit("@New/"), "c_name")).otherwise(F.col("c_name"))
+    return catalog.unscanned(c.select("c_custkey", name.alias("name")), done)
 
 
 @query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') THEN 'skipped' ELSE 'queued' END AS status FROM customer) GROUP BY 1")
@@ -208,7 +209,7 @@ def batch_queue_vs_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber >= 4)")
 def resume_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = read(spark, sf_dir, "lineitem").filter("l_linenumber >= 4").select(F.col("l_orderkey").alias("o_orderkey"))
-    return read(spark, sf_dir, "orders").select("o_orderkey").join(done, "o_orderkey", "left_anti")
+    return catalog.remaining(read(spark, sf_dir, "orders").select("o_orderkey"), done, "o_orderkey")
 
 
 @query("SELECT p_partkey, coalesce(l.score, p_size) AS score FROM part LEFT JOIN (SELECT l_partkey, CAST(sum(l_quantity) AS BIGINT) % 101 AS score FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) l ON l_partkey = p_partkey")
@@ -371,13 +372,32 @@ def typosquat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.look_alikes(words.unionByName(made).distinct(), popular)
 
 
+SAYS = (
+    "fs.writeFileSync('~/.ssh/key', x)", "fs.unlinkSync('./tmp/a')", "fs.readFileSync('/etc/passwd')", "fetch('https://evil.io/a?b')", "http.createServer(f)", "process.env.HOME + process.env['TOKEN']", "exec('ls -l')", "Object.keys(process.env)", "",
+)
+_SAID = "x AS (SELECT *, says || ' ' || description AS t, regexp_extract(says || ' ' || description, '[''\"`]((?:~/|/|\\./)[^''\"`]+)[''\"`]', 1) AS quoted FROM (SELECT *, %s AS says FROM f))" % pick_sql(SAYS, "ord // 7")
+_WRITES, _DELETES, _INBOUND = "regexp_matches(t, '(?i)write|mkdir|appendFile|createWriteStream')", "regexp_matches(t, '(?i)unlink|rmdir|rm|rmSync|delete')", "regexp_matches(t, '(?i)createServer|listen\\(|\\.listen')"
+
+
+def _listed(value: str, where: str) -> str:
+    """The distinct values of a package in order of finding, as text."""
+    return f"coalesce((SELECT string_agg(v, ';' ORDER BY o) FROM (SELECT {value} AS v, min(ord) AS o FROM x y WHERE y.pkg = x.pkg AND {where} GROUP BY 1) WHERE v <> ''), '')"
+
+
+_PATH = "CASE WHEN quoted <> '' THEN quoted ELSE 'unknown path' END"
+
+
 @query(
-    f"""WITH {findings_sql()} SELECT pkg, bool_or(category = 'process-spawn') AS spawn, bool_or(category = 'crypto-usage') AS crypto, bool_or(category = 'dynamic-require') AS native_modules,
- coalesce((SELECT string_agg(d, ';' ORDER BY o) FROM (SELECT description AS d, min(ord) AS o FROM f g WHERE g.pkg = f.pkg AND category = 'network-access' GROUP BY 1)), '') AS outbound, count(*) FILTER (category = 'install-scripts') AS n_scripts FROM f GROUP BY pkg"""
+    f"""WITH {findings_sql()}, {_SAID} SELECT pkg, {_listed(_PATH, f"category = 'filesystem-access' AND {_WRITES}")} AS "write", {_listed(_PATH, f"category = 'filesystem-access' AND NOT {_WRITES} AND {_DELETES}")} AS "delete",
+ {_listed(_PATH, f"category = 'filesystem-access' AND NOT {_WRITES} AND NOT {_DELETES}")} AS read, {_listed('description', f"category = 'network-access' AND NOT {_INBOUND}")} AS outbound, bool_or(category = 'network-access' AND {_INBOUND}) AS inbound,
+ {_listed("regexp_extract(t, 'https?://([^/\\s''\"]+)', 1)", f"category = 'network-access' AND NOT {_INBOUND}")} AS domains, bool_or(category = 'env-access' AND contains(says, 'Object.keys')) AS bulk,
+ CASE WHEN bool_or(category = 'env-access' AND contains(says, '.HOME')) THEN 'HOME;TOKEN' ELSE '' END AS variables, {_listed("CASE WHEN contains(says, 'exec') THEN 'ls -l' END", "category = 'process-spawn'")} AS commands, bool_or(category = 'process-spawn') AS spawn, bool_or(category = 'crypto-usage') AS crypto,
+ bool_or(category = 'dynamic-require') AS native_modules, coalesce(string_agg(says, ';' ORDER BY ord) FILTER (category = 'install-scripts' AND says <> ''), '') AS install_scripts FROM x GROUP BY pkg"""
 )
 def permission_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = permissions.manifest(event_findings(spark, sf_dir))
-    return m.select("pkg", "spawn", "crypto", "native_modules", F.array_join("outbound", ";").alias("outbound"), F.size("install_scripts").cast("long").alias("n_scripts"))
+    m = permissions.manifest(event_findings(spark, sf_dir).withColumn("snippet", pick(SAYS, F.floor(F.col("ord") / 7))))
+    lists = ("read", "write", "delete", "outbound", "domains", "variables", "commands", "install_scripts")
+    return m.withColumns({c: F.array_join(c, ";") for c in lists})
 
 
 TYPES = ("cli-tool", "mcp-server", "library")
@@ -661,6 +681,8 @@ def embedded_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 SNIPPETS = (
     "const fs = require('fs'); fs.readFileSync('~/.ssh/id');", "import x from \"https\"; fetch('http://localhost');", "require('child_process').exec('ls'); eval(code);",
     "process.env.HOME; process.env['GITHUB_TOKEN']; atob(y)", "String.fromCharCode(65); new Function('x'); import(name)", "plain text",
+    "import a from 'node:fs/promises'; require('fs-extra'); os.homedir();", "require('node:https'); require('axios'); new WebSocket('wss://a.io/x');", "require('dotenv'); import c from 'child_process'; b.toString('base64');",
+    "Buffer.from(x, 'base64'); btoa(y); s.charCodeAt(0);", "process['env']; require('vm'); require(name); fetch('https://evil.io/a')",
 )
 
 
@@ -672,13 +694,17 @@ def snippet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RULES_RE2 = [(k, r[0], r[1], r[4]) for k, r in enumerate(t.CODE_RULES, 1) if "(?!" not in r[4]]
 
 
+_URL_RULE = 12
+_URL_SQL = f"""SELECT doc_id, {_URL_RULE} AS rule, '{t.CODE_RULES[_URL_RULE - 1][0]}' AS category, '{t.CODE_RULES[_URL_RULE - 1][1]}' AS severity, CAST(len(list_filter(regexp_extract_all(x, 'https?://[^\\s''"`]+'), lambda u: NOT regexp_matches(u, '^https?://(localhost|127\\.0\\.0\\.1|example\\.com|schema\\.org|json-schema\\.org|w3\\.org|github\\.com|npmjs\\.com|nodejs\\.org)'))) AS BIGINT) AS n
+ FROM (SELECT doc_id, text || chr(10) || {pick_sql(SNIPPETS, 'doc_id')} AS x FROM documents)"""
+
+
 @query(
-    f"""SELECT doc_id, CAST(rule AS INTEGER) AS rule, category, severity, CAST(n AS BIGINT) AS n FROM (SELECT doc_id, rule, category, severity, len(regexp_extract_all(x, p)) AS n, regexp_matches(x, {quoted('|'.join(f'(?:{p})' for p in code_rules.FS_CONTEXT))}) AS fs FROM (SELECT doc_id, text || chr(10) || {pick_sql(SNIPPETS, 'doc_id')} AS x FROM documents), {values(_RULES_RE2, "rule, category, severity, p")})
+    f"""SELECT * FROM ({_URL_SQL}) WHERE n > 0 UNION ALL SELECT doc_id, CAST(rule AS INTEGER) AS rule, category, severity, CAST(n AS BIGINT) AS n FROM (SELECT doc_id, rule, category, severity, len(regexp_extract_all(x, p)) AS n, regexp_matches(x, {quoted('|'.join(f'(?:{p})' for p in code_rules.FS_CONTEXT))}) AS fs FROM (SELECT doc_id, text || chr(10) || {pick_sql(SNIPPETS, 'doc_id')} AS x FROM documents), {values(_RULES_RE2, "rule, category, severity, p")})
  WHERE n > 0 AND (rule <> 5 OR fs)"""
 )
 def code_pattern_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = [k for k, *_ in _RULES_RE2]
-    found = code_rules.detect(snippet_files(spark, sf_dir)).filter(F.col("rule").isin(*kept))  # the rule with a look-ahead has a query of its own
+    found = code_rules.detect(snippet_files(spark, sf_dir))
     return found.groupBy(F.col("pkg").cast("long").alias("doc_id"), "rule", "category", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -686,7 +712,9 @@ def code_pattern_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def external_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "pages")
     content = F.concat("html", F.lit(' <a href="'), "url", F.lit('">x</a> http://localhost/a '))
-    return p.select("page_id", F.regexp_count(content, F.lit(text.java(t.CODE_RULES[11][4]))).cast("long").alias("n"))
+    files = p.select(F.lit("w").alias("pkg"), F.col("page_id").cast("string").alias("path"), content.alias("content"), F.lit(False).alias("is_fixture"))
+    hits = code_rules.detect(files).filter(F.col("rule") == _URL_RULE).groupBy(F.col("file").cast("long").alias("page_id")).agg(F.count(F.lit(1)).alias("n"))
+    return p.select("page_id").join(hits, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 # --- manifests ----------------------------------------------------------------------------------------------------------------------
@@ -742,13 +770,14 @@ def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT '1.0' AS priority, count(*) AS n FROM region UNION ALL SELECT '0.8', count(DISTINCT l_partkey) FROM lineitem WHERE l_quantity > 45 UNION ALL SELECT '0.4', count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)"""
+    """SELECT 'https://example.org/' || replace(r_name, ' ', '%20') AS loc, '1.0' AS priority, 'daily' AS changefreq FROM region UNION ALL SELECT DISTINCT 'https://example.org/scan/' || CAST(l_partkey AS VARCHAR), '0.8', 'weekly' FROM lineitem WHERE l_quantity > 45
+ UNION ALL SELECT 'https://example.org/scan/' || CAST(p_partkey AS VARCHAR), '0.4', 'monthly' FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)"""
 )
 def sitemap_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     static = read(spark, sf_dir, "region").select(F.col("r_name").alias("slug"))
     scanned = read(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").cast("string").alias("slug"))
     indexed = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("slug"))
-    return render.sitemap(static, scanned, indexed, "https://example.org").groupBy("priority").agg(F.count(F.lit(1)).alias("n"))
+    return render.sitemap(static, scanned, indexed, "https://example.org")
 
 
 @query(
@@ -787,17 +816,18 @@ def scan_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(package_files(spark, sf_dir)).scores.select("pkg", "overall_score", "code_score", "content_score", "grade")
 
 
-@query()
+@query("SELECT user_id AS job_id, arg_max(event_type, event_id) AS status, max(event_id) AS seq FROM events GROUP BY 1")
 def streaming_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The job log's last states by a stream over the events table."""
-    import uuid
-
-    from thornwick.streaming.jobs import latest_states
+    """The job log's last states by a stream over the events table, kept in a store on the shared folder."""
+    from thornwick.sources.store import Store
+    from thornwick.streaming.jobs import keep_states
 
     schema = read(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    states = latest_states(stream.select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), F.col("event_id").alias("seq")))
-    name = f"jobs_{uuid.uuid4().hex}"
-    run = states.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    root = shared_path(spark, "job-states")
+    store = Store(spark, root)
+    keep_states(stream.select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), F.col("event_id").alias("seq")), store, f"{root}/checkpoint")
+    return store.read("states", "job_id").select("job_id", "status", "seq")
+
+
+from thornwick import service_queries  # noqa: E402, F401  it adds its own to these tables

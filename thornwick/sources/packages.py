@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tarfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,22 +32,47 @@ def _quoted(root: str) -> str:
     return re.escape(re.sub(r"^[a-z0-9]+:/*", "/", root).strip("/"))
 
 
-def tarballs(spark: SparkSession, pattern: str) -> DataFrame:
-    """Members of .tgz archives, without their first path segment: pkg (the archive's name), path, content."""
+def tarballs(spark: SparkSession, pattern: str, batch_bytes: int = 4 << 20) -> DataFrame:
+    """Members of .tgz archives, without their first path segment: pkg (the archive's name), path, content. An archive that
+    can't be read gives what was read of it and a row of null content with the reason as its path."""
+
+    def members(path: str, content: bytes) -> Iterator[tuple[str, str, str | None]]:
+        name = path.rsplit("/", 1)[-1].removesuffix(".tgz").removesuffix(".tar.gz")
+        try:
+            with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
+                for member in archive:
+                    if member.isfile():
+                        yield name, member.name.partition("/")[2] or member.name, archive.extractfile(member).read().decode("utf-8", "replace")
+        except (tarfile.TarError, EOFError, OSError, zlib.error) as e:
+            yield name, f"!{type(e).__name__}", None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[str, str, str | None]] = []
+        size = 0
+        send = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], ["pkg", "path", "content"])
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                name = path.rsplit("/", 1)[-1].removesuffix(".tgz").removesuffix(".tar.gz")
-                with tarfile.open(fileobj=io.BytesIO(content.as_py()), mode="r:*") as archive:
-                    for member in archive:
-                        if member.isfile():
-                            text = archive.extractfile(member).read().decode("utf-8", "replace")
-                            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, member.name.partition("/")[2] or member.name, text)], ["pkg", "path", "content"])
+                for row in members(path, content.as_py()):
+                    rows.append(row)
+                    size += len(row[2] or "")
+                    if size >= batch_bytes or len(rows) >= 4096:
+                        yield send()
+                        rows, size = [], 0
+        if rows:
+            yield send()
 
     return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInArrow(run, FILES)
 
 
+def excluded(files: DataFrame, globs: list[str]) -> DataFrame:
+    """files without those whose path matches a glob."""
+    from thornwick.functions.text import glob_regex
+
+    for g in globs:
+        files = files.filter(~F.rlike(F.col("path"), glob_regex(F.lit(g))))
+    return files
+
+
 def flagged(files: DataFrame) -> DataFrame:
     """files with is_priority and is_fixture by path."""
     return files.withColumns({"is_priority": is_priority(F.col("path")), "is_fixture": is_fixture(F.col("path"))})
@@ -101,6 +127,19 @@ def server_pages(pages: DataFrame, source: str = "registry") -> DataFrame:
     return rows.select(F.col("qualifiedName").alias("name"), F.substring(F.coalesce("description", F.lit("")), 1, 500).alias("description"), F.col("homepage").alias("repository_url"), F.lit("mcp-server").alias("category"), F.lit(source).alias("source"), tags.alias("tags"))
 
 
+def refined_category(text: Column, default: Column) -> Column:
+    """A repository's category by its topics, name and description (lower case), else the one it came with."""
+    has = lambda *xs: F.greatest(*[F.contains(text, F.lit(x)) for x in xs], F.lit(False))
+    return F.when(has("mcp-server", "mcp server", "model-context-protocol"), "mcp-server").when(has("claude-skill", "claude skill", "claude-code"), "claude-skill").when(has("openclaw"), "openclaw-tool").when(has("cli-tool", "cli tool"), "cli-tool").otherwise(default)
+
+
+def once(entries: DataFrame, key: Column, *order: str) -> DataFrame:
+    """The first entry of each key by the given columns."""
+    from thornwick.operators.relations import keep_first
+
+    return keep_first(entries, [key], [F.col(c) for c in order])
+
+
 def topic_pages(pages: DataFrame) -> DataFrame:
     """Repository search pages (topic, content JSON: items[]) as entries."""
     schema = "struct<items:array<struct<full_name:string,description:string,html_url:string,language:string,topics:array<string>>>>"
@@ -138,11 +177,74 @@ def curated_lists(lists: DataFrame) -> DataFrame:
     return keep_first(rows, [F.col("name")], [F.col("list_no"), F.col("kind"), F.col("pos")]).select("name", "repository_url", "source", "list_no", "kind", "pos")
 
 
-def marketplace_index(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
-    """A compact index (JSON array of n, d, c, s, t)."""
+# --- discovery: all sources in one list -----------------------------------------------------------------------------
+
+# Categories of topics, references in lists.
+TOPICS = (
+    ("mcp-server", "mcp-server"), ("claude-skill", "claude-skill"), ("claude-code-skill", "claude-skill"), ("openclaw", "openclaw-tool"), ("agent-skills", "other"), ("model-context-protocol", "mcp-server"),
+    ("mcp-tools", "mcp-server"), ("claude-code", "claude-skill"),
+)
+FOUND_REPOSITORY = r"\[([^\]]+)\]\(https?:\/\/github\.com\/([a-zA-Z0-9_.-]+\/[a-zA-Z0-9_.-]+)\/?(?:[#?][^\)]*)?\)"
+FOUND_PACKAGE = r"(?:npx|npm install|npm i)\s+(@?[a-z0-9\-._~]+(?:\/[a-z0-9\-._~]+)?)"
+FOUND_CHARS = 200
+
+
+def discovered_topics(pages: DataFrame) -> DataFrame:
+    """Repositories of search pages (topic, page, content JSON: items[]), in order of topic and page."""
+    items = pages.select("topic", "page", F.posexplode(F.from_json("content", "struct<items:array<struct<full_name:string,description:string>>>")["items"]).alias("pos", "i"))
+    names = F.array(*[F.lit(x) for x, _ in TOPICS])
+    category = F.element_at(F.create_map(*[F.lit(x) for kv in TOPICS for x in kv]), F.col("topic"))
+    return _discovered(items, F.col("i.full_name"), F.concat(F.lit("github-topic:"), "topic"), True, F.col("i.description"), F.coalesce(category, F.lit("other")), F.array_position(names, F.col("topic")).cast("int"), F.col("page"), F.col("pos"))
+
+
+def discovered_lists(lists: DataFrame) -> DataFrame:
+    """Repositories, then packages, that markdown lists (list_no, source, content) name."""
+    parts = []
+    for kind, (pattern, flags) in enumerate(((FOUND_REPOSITORY, ""), (FOUND_PACKAGE, "i"))):
+        found = F.regexp_extract_all("content", F.lit(java(pattern, flags)), F.lit(0))
+        rows = lists.select("list_no", "source", F.posexplode(found).alias("pos", "m"))
+        group = lambda k, p=java(pattern, flags): F.regexp_extract("m", p, k)
+        name, said = (group(2), group(1)) if kind == 0 else (group(1), F.lit(""))
+        parts.append(_discovered(rows, name, F.concat(F.lit("github-list:"), "source"), kind == 0, said, F.lit("mcp-server"), F.col("list_no"), F.lit(kind), F.col("pos")))
+    return parts[0].unionByName(parts[1])
+
+
+def discovered_packages(pages: DataFrame) -> DataFrame:
+    """Packages of registry pages (keyword_no, keyword, page, content JSON: objects[].package)."""
+    schema = "struct<objects:array<struct<package:struct<name:string,description:string,keywords:array<string>>>>>"
+    rows = pages.select("keyword_no", "keyword", "page", F.posexplode(F.from_json("content", schema)["objects"]).alias("pos", "o"))
+    text = F.lower(F.concat(F.col("o.package.name"), F.lit(" "), F.coalesce(F.array_join("o.package.keywords", " "), F.lit(""))))
+    has = lambda *xs: F.greatest(*[F.contains(text, F.lit(x)) for x in xs], F.lit(False))
+    category = F.when(has("mcp", "model-context-protocol"), "mcp-server").when(has("claude-skill", "claude-code"), "claude-skill").when(has("openclaw"), "openclaw-tool").otherwise("other")
+    return _discovered(rows, F.col("o.package.name"), F.concat(F.lit("npm:"), "keyword"), False, F.col("o.package.description"), category, F.col("keyword_no"), F.col("page"), F.col("pos"))
+
+
+def discovered_servers(pages: DataFrame, source: str) -> DataFrame:
+    """Servers of a registry's pages (page, content JSON: servers[])."""
+    rows = pages.select("page", F.posexplode(F.from_json("content", "struct<servers:array<struct<qualifiedName:string,description:string>>>")["servers"]).alias("pos", "s"))
+    return _discovered(rows, F.col("s.qualifiedName"), F.lit(source), False, F.col("s.description"), F.lit("mcp-server"), F.lit(0), F.col("page"), F.col("pos"))
+
+
+def _discovered(rows: DataFrame, name: Column, source: Column, is_repository: bool, said: Column, category: Column, *order: Column) -> DataFrame:
+    described = F.substring(F.coalesce(said, F.lit("")), 1, FOUND_CHARS)
+    return rows.select(name.alias("name"), source.alias("source"), F.lit(is_repository).alias("is_repository"), described.alias("description"), category.alias("category"), *[c.cast("int").alias(f"o{k}") for k, c in enumerate(order, 1)])
+
+
+def discovered(*sources: DataFrame) -> DataFrame:
+    """All sources' findings, the first of each name whatever its case; earlier sources first."""
+    rows = None
+    for k, df in enumerate(sources):
+        df = df.withColumn("o0", F.lit(k))
+        rows = df if rows is None else rows.unionByName(df)
+    return once(rows, F.lower("name"), "o0", "o1", "o2", "o3").drop("o0", "o1", "o2", "o3")
+
+
+def marketplace_index(spark: SparkSession, path: str, source: str | None = None, first: int | None = None) -> DataFrame:
+    """A compact index (JSON array of n, d, c, s, t); the first rows of it, by name, if asked for."""
     rows = spark.read.schema("n string, d string, c string, s string, t array<string>").option("multiLine", True).json(path)
     rows = rows.toDF("name", "description", "category", "source", "tags")
-    return rows.filter(F.col("source") == source) if source else rows
+    rows = rows.filter(F.col("source") == source) if source else rows
+    return rows.orderBy("name").limit(first) if first is not None else rows
 
 
 def has_readme(files: DataFrame) -> DataFrame:

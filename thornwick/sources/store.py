@@ -1,7 +1,9 @@
-"""A result store on paths: results and their flat metadata as tables, upserts by key, job events appended."""
+"""A result store on paths: results and their flat metadata by key, job events appended."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,30 +11,62 @@ from thornwick.operators.relations import keep_first
 
 
 class Store:
-    """Tables below root, each version a folder of its own; the newest complete one (its _SUCCESS written) is current."""
+    """Tables below root. A table of keyed rows is a set of deltas, each a folder of an upsert's rows only, with a number and
+    a name of its own attempt; a delta counts once its _SUCCESS is written, so what a crashed write left is never read and
+    never in the way. A key's rows are those of the latest delta that has it. compact() makes one delta of all."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _versions(self, name: str) -> list[str]:
+    def _list(self, name: str) -> tuple[object, list[object]]:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(path):
-            return []
-        found = [s.getPath() for s in fs.listStatus(path)]
-        return sorted(p.getName() for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+            return fs, []
+        return fs, sorted((s.getPath() for s in fs.listStatus(path) if s.isDirectory() and s.getPath().getName().startswith("delta-")), key=lambda p: p.getName())
+
+    def _deltas(self, name: str) -> list[str]:
+        fs, found = self._list(name)
+        done = [p for p in found if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        whole = max((k for k, p in enumerate(done) if p.getName().endswith("-whole")), default=0)
+        return [p.toString() for p in done[whole:]]
+
+    def _rows(self, name: str) -> DataFrame | None:
+        rows = None
+        for k, path in enumerate(self._deltas(name)):
+            df = self.spark.read.parquet(path).withColumn("__delta", F.lit(k))
+            rows = df if rows is None else rows.unionByName(df, allowMissingColumns=True)
+        return rows
+
+    def _write(self, name: str, rows: DataFrame, kind: str) -> None:
+        _, found = self._list(name)
+        number = int(found[-1].getName().split("-")[1]) + 1 if found else 1
+        rows.write.parquet(f"{self.root}/{name}/delta-{number:012d}-{uuid.uuid4().hex}-{kind}")
+
+    def read(self, name: str, key: str = "slug") -> DataFrame | None:
+        rows = self._rows(name)
+        if rows is None:
+            return None
+        last = rows.groupBy(F.col(key).alias("__key")).agg(F.max("__delta").alias("__last"))
+        return rows.join(last, (F.col(key).eqNullSafe(F.col("__key"))) & (F.col("__delta") == F.col("__last"))).drop("__key", "__last", "__delta")
 
-    def read(self, name: str) -> DataFrame | None:
-        versions = self._versions(name)
-        return self.spark.read.parquet(f"{self.root}/{name}/{versions[-1]}") if versions else None
+    def upsert(self, name: str, rows: DataFrame, key: str = "slug") -> None:
+        """Rows replace those of the same key; only they are written."""
+        self._write(name, rows, "rows")
 
-    def upsert(self, name: str, rows: DataFrame, key: str) -> None:
-        """Rows replace those of the same key."""
-        now = self.read(name)
-        if now is not None:
-            rows = rows.unionByName(now.join(rows.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
-        rows.write.parquet(f"{self.root}/{name}/v{len(self._versions(name)) + 1:08d}")
+    def put_results(self, results: DataFrame) -> None:
+        """Stores results by slug, and their metadata beside them."""
+        from thornwick.operators.catalog import meta
+
+        self.upsert("results", results)
+        self.upsert("metas", meta(results))
+
+    def compact(self, name: str, key: str = "slug") -> None:
+        """One delta of all that counts; earlier ones are no longer read."""
+        rows = self.read(name, key)
+        if rows is not None:
+            self._write(name, rows, "whole")
 
     def append(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.root}/{name}")
@@ -41,9 +75,15 @@ class Store:
         return self.spark.read.parquet(f"{self.root}/{name}")
 
     def slugs(self, name: str) -> DataFrame:
-        found = self.read(name)
-        return found.select("slug") if found is not None else self.spark.createDataFrame([], "slug string")
+        found = self._rows(name)
+        return found.select("slug").distinct() if found is not None else self.spark.createDataFrame([], "slug string")
 
     def jobs(self) -> DataFrame:
         """Each job's last event."""
         return keep_first(self.events("jobs"), [F.col("job_id")], [F.desc("seq")])
+
+
+def single_map(spark: SparkSession, path: str, result: str) -> DataFrame:
+    """Results of the older form, one JSON document {"results": {name: result}}: name and the result's fields (DDL)."""
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", f"struct<results:map<string,{result}>>")["results"].alias("m"))
+    return rows.select(F.explode("m").alias("name", "result")).select("name", "result.*")

@@ -24,20 +24,39 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     query.awaitTermination()
 
 
+def keep_states(events: DataFrame, store: Store, checkpoint: str) -> None:
+    """Keeps each job's last state (job_id, status, seq) in a store as events arrive: in each batch, of the jobs that it changes."""
+    query = latest_states(events).writeStream.outputMode("update").foreachBatch(lambda rows, _: store.upsert("states", rows, "job_id"))
+    query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def scan_arrivals(spark: SparkSession, folder: str, store: Store, scan: Callable[[DataFrame], DataFrame], checkpoint: str, per_batch: int = 100, rescan: bool = False) -> None:
-    """Scans packages (parquet rows pkg, path, content) that arrive in folder and are not stored yet; stores scores by slug."""
+    """Scans packages that arrive in folder and are not stored yet; stores scores by slug. A file holds whole packages (rows
+    pkg, path, content), or a package's files lie in more than one: then the package is scanned again, whole, in the batch
+    of its last file, from all the rows of it that have arrived."""
 
     def each(files: DataFrame, _: int) -> None:
-        done = store.slugs("results")
-        keyed = files.withColumn("slug", slug(F.col("pkg")))
-        todo = keyed if rescan else keyed.join(done, "slug", "left_anti")
-        found = scan(todo.select("pkg", "path", "content")).withColumn("slug", slug(F.col("pkg")))
+        new = files.select("pkg").distinct().withColumn("slug", slug(F.col("pkg")))
+        seen = spark.read.schema(files.schema).parquet(f"{store.root}/arrived").select("pkg").distinct() if started(spark, f"{store.root}/arrived") else files.select("pkg").limit(0)
+        again = new.join(seen, "pkg", "left_semi")  # part of it came before
+        todo = new if rescan else new.join(store.slugs("results"), "slug", "left_anti").unionByName(again).distinct()
+        kept_rows = files.join(todo, "pkg", "left_semi").select("pkg", "path", "content")
+        kept_rows.write.mode("append").parquet(f"{store.root}/arrived")
+        # a batch that is run again after a crash appends again: a path counts once
+        whole = spark.read.schema(files.schema).parquet(f"{store.root}/arrived").join(todo, "pkg", "left_semi").dropDuplicates(["pkg", "path"])
+        found = scan(whole.select("pkg", "path", "content")).withColumn("slug", slug(F.col("pkg")))
         store.upsert("results", found, "slug")
 
     stream = spark.readStream.schema("pkg string, path string, content string").option("maxFilesPerTrigger", per_batch).parquet(folder)
     run_available(stream, each, checkpoint)
 
 
+def started(spark: SparkSession, path: str) -> bool:
+    """Whether something has been written to path."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+
+
 def stateful_jobs(events: DataFrame) -> DataFrame:
     """Streaming job states that never go back: an event counts if its seq is the job's highest so far (job_id, status, seq)."""
     import pandas as pd
