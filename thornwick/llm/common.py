@@ -35,11 +35,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/thornwick-{uuid.uuid4().hex}/{name}"
 
 
+#: Rows of an Arrow batch while a table is written; Python workers and JVM hold some of both sides at once.
+BATCH_ROWS = 1000
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df once to the shared folder and reads it back."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cuts lineage: writes df once to the shared folder and reads it back. Arrow batches hold BATCH_ROWS meanwhile."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, before = scratch_path(spark, name), spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 # --- words as arrays -------------------------------------------------------------------------------------------

@@ -68,49 +68,43 @@ def decide(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tupl
     state = materialize(state.withColumn("gap", F.col("target") - F.col("base") * F.col("source_size")), "state")
     same = F.col("source").eqNullSafe(F.col("s_source"))
 
-    def with_state(rows: DataFrame, side: DataFrame) -> DataFrame:
-        return rows.join(side.withColumnRenamed("source", "s_source"), same, "left").drop("s_source")
-
-    def chosen(rows: DataFrame, rules: list[DataFrame]) -> DataFrame:
-        """Adds extra (bool): whether a threshold so far takes the row."""
-        rows = rows.withColumn("extra", F.lit(False))
-        for k, rule in enumerate(rules):
-            picked = F.col(f"in{k}")
-            rows = with_state(rows, rule)
-            rows = rows.withColumn(f"in{k}", ~F.col("extra") & _bits(F.col("h"), rule_kind[k]).between(F.col("low"), F.col("high")) & (F.col("size") <= F.col("limit")))
-            rows = rows.withColumn("extra", F.col("extra") | F.coalesce(picked, F.lit(False))).drop("low", "high", "limit", f"in{k}")
-        return rows
-
-    # A rule for each source and step: rows of hash prefix in [low, high], no larger than limit, are taken.
-    rules: list[DataFrame] = []
-    rule_kind: list[tuple[int, int]] = []
-    gaps, within = state.select("source", "gap"), None
+    def with_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
+        return rows.join(rules.withColumnRenamed("source", "s_source"), same, "left").drop("s_source")
+
+    def extra(kinds: list[tuple[int, int]]) -> F.Column:
+        """Whether a threshold so far takes the row: its hash prefix lies in [low, high], and it is no larger than limit."""
+        taken = F.lit(False)
+        for k, kind in enumerate(kinds):
+            taken = taken | _bits(F.col("h"), kind).between(F.col(f"low{k}"), F.col(f"high{k}")) & (F.col("size") <= F.col(f"limit{k}"))
+        return F.coalesce(taken, F.lit(False))
+
+    # One row a source holds its thresholds so far and what they leave of its target (gap), so a step joins it once.
+    rules, kinds = state.select("source", "source_size", "target", "base", "gap"), []
     for step in range(REFINE + FILL):
         refine = step < REFINE
         kind = (0, (step + 1) * BITS) if refine else (step, BITS)
-        rows = with_state(chosen(sized, rules).filter(~F.col("extra")), gaps)
-        if refine and within is not None:
-            rows = rows.join(within.withColumnRenamed("source", "s_source"), same, "left").drop("s_source").filter(_bits(F.col("h"), (0, step * BITS)) == F.col("edge"))
+        rows = with_rules(sized, rules).filter(~extra(kinds))
+        if refine and step:
+            rows = rows.filter(_bits(F.col("h"), (0, step * BITS)) == F.col("edge"))
         if not refine:
             rows = rows.filter(F.col("size") <= F.col("gap"))
         sums = rows.groupBy("source", _bits(F.col("h"), kind).alias("bucket")).agg(F.sum("size").alias("words"), F.max("gap").alias("gap"))
         running = Window.partitionBy("source").orderBy("bucket")  # 2 ** BITS buckets a source at most
         sums = sums.withColumn("upto", F.sum("words").over(running))
         fits = F.col("upto") <= F.col("gap")
+        limit = F.lit(float("inf")) if refine else F.max("gap").cast("double")
         found = sums.groupBy("source").agg(
-            F.min("bucket").alias("low"), F.max(F.when(fits, F.col("bucket"))).alias("high"), F.max(F.when(fits, F.col("upto"))).alias("took"), F.min(F.when(~fits, F.col("bucket"))).alias("edge"), F.max("gap").alias("limit")
+            F.min("bucket").alias(f"low{step}"), F.coalesce(F.max(F.when(fits, F.col("bucket"))), F.lit(-1)).alias(f"high{step}"), limit.alias(f"limit{step}"), F.max(F.when(fits, F.col("upto"))).alias("took"), F.min(F.when(~fits, F.col("bucket"))).alias("edge")
         )
-        found = materialize(found, f"step{step}")
-        limit = F.lit(float("inf")) if refine else F.col("limit")
-        rules.append(found.select("source", F.col("low"), F.coalesce("high", F.lit(-1).cast("long")).alias("high"), limit.alias("limit")))
-        rule_kind.append(kind)
-        gaps = materialize(with_state(gaps, found.select("source", "took")).select("source", (F.col("gap") - F.coalesce("took", F.lit(0))).alias("gap")), f"gaps{step}")
-        within = found.select("source", "edge") if refine else None
+        rules = with_rules(rules.drop("edge"), found).withColumn("gap", F.col("gap") - F.coalesce("took", F.lit(0))).drop("took")
+        rules = materialize(rules, f"step{step}")
+        kinds.append(kind)
 
     def decided(rows: DataFrame) -> DataFrame:
-        rows = with_state(chosen(rows, rules), state.select("source", "source_size", "target", "base"))
-        n = F.least(F.col("base") + F.col("extra").cast("int"), F.lit(int(most)))
-        return rows.withColumn("n_copies", n).drop("base", "extra")
+        rows = with_rules(rows, rules)
+        n = F.least(F.col("base") + extra(kinds).cast("int"), F.lit(int(most)))
+        names = [c for c in rows.columns if c not in {*rules.columns} - {"source", "source_size", "target"}]
+        return rows.withColumn("n_copies", n).select(*[F.col(f"`{c}`") for c in names], "n_copies")
 
     return decided
 

@@ -4,7 +4,8 @@ Exact copies (equal texts) are one node. A node's k-mers are its windows of five
 repeated one counts as often as it comes. Each of `sketches` sketches samples the `sampled` k-mers of least hash and keeps
 them in text order: two texts share a sketch if they agree on those k-mers and on their order, so it follows edit
 similarity. In each bucket of a sketch, members are linked to the least one; candidate pairs are verified by alignment of
-their k-mer sequences: the share of aligned k-mers among all of both, M / (n + m - M), must reach `threshold`. Bounds from
+their k-mer sequences: the share of the longer one that is aligned, M / max(n, m), must reach `threshold` (the Jaccard index
+of the k-mers is no greater, so pairs of an index of `threshold` are found too). Bounds from
 the k-mers in common decide most pairs, the rest is aligned in a band as wide as the threshold leaves room for.
 
 Classes are the connected components of verified pairs. Where a bucket's members are still in several components, those
@@ -29,7 +30,7 @@ from thornwick.llm.common import materialize, mix, run_hash, text_chunks, words_
 from thornwick.llm.graphs import KEY, components, few, paired_texts, row_key, words_of_zipped, zipped_texts
 
 _U = np.uint64
-K, SAMPLED, SKETCHES, THRESHOLD = 5, 5, 16, 0.8
+K, SAMPLED, SKETCHES, THRESHOLD = 5, 4, 24, 0.8
 SHORT, SHORT_SAMPLED = 16, 2
 BLOCK = 256
 
@@ -111,13 +112,13 @@ def banded_lcs(a: list[int], b: list[int], band: int) -> int:
 
 
 def aligned_share(a: np.ndarray, b: np.ndarray, threshold: float, la: np.ndarray | None = None, lb: np.ndarray | None = None) -> float:
-    """M / (n + m - M) of two k-mer sequences if it reaches the threshold, else 0 (or a bound that shows it doesn't)."""
+    """M / max(n, m) of two k-mer sequences if it reaches the threshold, else 0 (or a bound that shows it doesn't)."""
     n, m = len(a), len(b)
     if not n or not m or min(n, m) < threshold * max(n, m):
         return 0.0
     la, lb = labelled(a) if la is None else la, labelled(b) if lb is None else lb
     _, ia, ib = np.intersect1d(la, lb, assume_unique=True, return_indices=True)
-    share = lambda x: x / (n + m - x)
+    share = lambda x: x / max(n, m)
     if share(len(ia)) < threshold:
         return 0.0
     order = ib[np.argsort(ia)]
@@ -131,7 +132,7 @@ def aligned_share(a: np.ndarray, b: np.ndarray, threshold: float, la: np.ndarray
         tails[k : k + 1] = [y]
     if share(len(tails)) >= threshold:
         return share(len(tails))
-    band = int((n + m) * (1 - threshold) / (1 + threshold)) + 1  # as many k-mers may be left out in all
+    band = int(n + m - 2 * threshold * max(n, m)) + 1  # as many k-mers may be left out in all
     return share(banded_lcs(a.tolist(), b.tolist(), band))
 
 
@@ -171,7 +172,7 @@ def _search_block(threshold: float):
             part = np.zeros((len(marks), width), np.float32)
             part[doc[s:e], column[s:e] - c] = 1
             common += part[rows] @ part[others].T
-        alike = common >= threshold * (sizes[rows][:, None] + sizes[others][None, :] - common) - 1e-3
+        alike = common >= threshold * np.maximum(sizes[rows][:, None], sizes[others][None, :]) - 1e-3
         parent: dict[int, int] = {}
 
         def find(x: int) -> int:

@@ -2,7 +2,7 @@
 
 A byte-level vocabulary (keeps_space) is cut before white space, which its pattern never crosses from the left, so a piece
 is white space with the word after it; a vocabulary that drops white space is cut at it. Pieces are found, hashed and
-looked up as arrays, about a million bytes of text at once; only those not seen before go to the tokenizer. Texts with white
+looked up as arrays, about half a million bytes of text at once; only those not seen before go to the tokenizer. Texts with white
 space outside ASCII are encoded whole where white space counts. Keys are 64-bit hashes of a piece within one worker's
 memory, which is bounded: a full store keeps its earliest, most frequent half.
 """
@@ -20,7 +20,7 @@ from thornwick.llm.common import mix, run_hash, text_chunks, words_of
 
 _U = np.uint64
 STORE = 400_000
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def load(name: str):
