@@ -5,7 +5,8 @@ hashes of position, role and text); a conversation whose whole hash is some long
 that and goes by an anti-join; of equal conversations the smallest id stays. The rest are rendered turn by turn.
 
 Turns are ranked and summed within chunks of turn numbers, and chunks within conversations, so that a conversation that
-holds a third of all rows is spread over tasks; a rendering is cut into parts of `part` turns.
+holds a third of all rows is spread over tasks (its turns without a number, or of one and the same number, are one chunk); a
+rendering is cut into parts of `part` turns.
 
 Defined results: a null role or text is empty; turns are in order of turn (null last), then role, then text, and a turn
 that repeats stays; rows with a null conv_id are one conversation; an empty table gives no rows; other columns are ignored.

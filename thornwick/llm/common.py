@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +38,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 #: Rows of an Arrow batch while a table is written; Python workers and JVM hold some of both sides at once.
 BATCH_ROWS = 1000
 
+_open_scopes: list[list[str]] = []
+
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df once to the shared folder and reads it back. Arrow batches hold BATCH_ROWS meanwhile."""
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     path, before = scratch_path(spark, name), spark.conf.get(key)
+    for scope in _open_scopes:
+        scope.append(path)
     spark.conf.set(key, str(BATCH_ROWS))
     try:
         df.write.parquet(path)
@@ -51,6 +55,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """make's result as a table; the tables that make wrote on its way are deleted."""
+    scope: list[str] = []
+    _open_scopes.append(scope)
+    try:
+        df = make()
+    finally:
+        _open_scopes.remove(scope)
+    found = materialize(df, name)
+    drop_tables(found.sparkSession, scope)
+    return found
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of the shared folder that nothing reads any more."""
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()  # each table has a folder of its own
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 # --- words as arrays -------------------------------------------------------------------------------------------
 
 _U = np.uint64

@@ -74,10 +74,11 @@ def spread(pairs: DataFrame, texts: DataFrame, each: int = 200) -> DataFrame:
     """pairs (key, owner) with each owner's z. An owner of very many pairs is spread over salts, `each` pairs to one;
     its text goes to each of them."""
     load = pairs.groupBy("owner").count().select("owner", F.ceil(F.col("count") / each).cast("int").alias("salts"))
+    hot = materialize(load.filter("salts > 1"), "hot")  # a row for `each` pairs at most
     # all columns of texts are read, so that another join on its key finds the same shuffle
     held = texts.join(load.withColumnRenamed("owner", "key"), "key").groupBy("key").agg(F.first(F.struct(*texts.columns)).alias("t"), F.first("salts").alias("salts"))
     held = held.select(F.col("key").alias("owner"), F.col("t.z").alias("owner_z"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    salted = pairs.join(load.filter(F.col("salts") > 1), "owner", "left")
+    salted = pairs.join(few(hot), "owner", "left")
     salted = salted.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("key"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
     return salted.join(held, ["owner", "salt"]).drop("salt")
 

@@ -47,6 +47,8 @@ BESIDE = frozenset(
 )
 #: Names that weigh on an article or main element: reader comments, adverts, teasers.
 ARTICLE_NAMES = frozenset("ad ads advert adverts advertisement sponsored promo related recommended comment comments disqus reply replies".split())
+#: Within an article the head of a part is its title.
+INNER_NAMES = NAMES - {"header", "masthead", "banner"}
 _LAYOUT = re.compile(r"(?:^|[-_])(?:with|without|has|no|not|is)[-_]", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
@@ -67,7 +69,7 @@ def _sort(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> int:
         return 2
     if tag in ("html", "body"):
         return 0
-    names = ARTICLE_NAMES if tag in ("main", "article") else NAMES - {"header", "masthead", "banner"} if inside else NAMES
+    names = ARTICLE_NAMES if tag in ("main", "article") else INNER_NAMES if inside else NAMES
     named = 0
     for key, value in attrs:
         if key == "hidden":

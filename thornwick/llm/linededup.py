@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thornwick.llm.common import materialize, run_hash, text_chunks, words_of
+from thornwick.llm.common import materialize, run_hash, settled, text_chunks, words_of
 from thornwick.llm.graphs import FEW, KEY, few, paired_texts, row_key, words_of_zipped, zipped_texts
 
 _U = np.uint64
@@ -254,7 +254,7 @@ def owned_lines(docs: DataFrame, key: F.Column, kind: str, min_words: int = 50,
     stretches = materialize(stretches, "stretches")
     rare = shared.filter("rows = 2").select("key", "owner")
     found = rare.union(stretches.join(first_holders(stretches, "stretch"), "stretch").select("key", "owner"))
-    return materialize(found.filter(F.col("key") != F.col("owner")).distinct(), "pairs")
+    return found.filter(F.col("key") != F.col("owner")).distinct()
 
 
 def _aligned(line_words: int, kind: str):
@@ -303,13 +303,17 @@ def cut_text(text: str, runs: list[tuple[int, int]], min_words: int) -> str:
 def dedup_lines(docs: DataFrame, min_words: int = 50, line_words: int = 16) -> DataFrame:
     """docs with the text that earlier documents hold deleted from later ones; every row and column is kept."""
     key, kind = ordered_key(docs)
-    pairs = owned_lines(docs, key, kind, min_words, line_words)
+    pairs = settled("pairs", lambda: owned_lines(docs, key, kind, min_words, line_words))
     texts = docs.select(key.alias("key"), F.col("text").cast("string").alias("text"))
-    aligned = paired_texts(pairs, texts).mapInArrow(_aligned(line_words, kind), f"key {kind}, runs array<int>")
-    runs = aligned.filter(F.size("runs") > 0).groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    # only where owners' runs can join to min_words
-    whole = F.aggregate(F.transform("runs", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0), lambda n, x: n + x)
-    runs = materialize(runs.filter(whole >= min_words), "runs")
+
+    def repeated() -> DataFrame:
+        aligned = paired_texts(pairs, texts).mapInArrow(_aligned(line_words, kind), f"key {kind}, runs array<int>")
+        runs = aligned.filter(F.size("runs") > 0).groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+        # only where owners' runs can join to min_words
+        whole = F.aggregate(F.transform("runs", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0), lambda n, x: n + x)
+        return runs.filter(whole >= min_words)
+
+    runs = settled("runs", repeated)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     joined = docs.select(row, key.alias("key")).join(few(runs), "key", "left")
     schema = T.StructType([joined.schema["row"], T.StructField("text", T.StringType())])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thornwick.llm.common import materialize, mix, run_hash, text_chunks, words_of
+from thornwick.llm.common import materialize, mix, run_hash, settled, text_chunks, words_of
 from thornwick.llm.graphs import KEY, components, few, paired_texts, row_key, words_of_zipped, zipped_texts
 
 _U = np.uint64
@@ -208,10 +208,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = materialize(shared.filter(F.col("key") != F.col("owner")).select("key", "owner").distinct(), "pairs")
     verified = paired_texts(pairs, rows).mapInArrow(_verify(threshold), f"key {KEY}, owner {KEY}")
     edges = materialize(verified.select(F.col("key").alias("u"), F.col("owner").alias("v")), "verified")
-    found = materialize(components(edges), "components")
-    more = _across(shared.select("key", "bucket"), found, rows, threshold)
+    found = settled("components", lambda: components(edges))
+    more = settled("across", lambda: _across(shared.select("key", "bucket"), found, rows, threshold))
     if not more.isEmpty():
-        found = materialize(components(found.toDF("u", "v").union(more)), "components")
+        both = found.toDF("u", "v").union(more)
+        found = settled("components", lambda: components(both))
     rooted = nodes.select("x1", "x2", "node").join(found.withColumnRenamed("key", "node"), "node", "left")
     rooted = rooted.select("x1", "x2", F.coalesce("root", "node").alias("root"))
     return sketched.select("key", "x1", "x2").join(rooted, ["x1", "x2"])
@@ -236,19 +237,19 @@ def _across(shared: DataFrame, found: DataFrame, texts: DataFrame, threshold: fl
     dealt = others.unionByName(asked).select("bucket", "key", F.xxhash64("root").alias("root_hash"), "in_main", "asked", "i", "j")
     keys = materialize(rows.select("key").distinct(), "keys")
     once = zipped_texts(texts.join(few(keys), "key", "left_semi")).groupBy("key").agg(F.first("z").alias("z"))
-    return materialize(dealt.join(once, "key").groupBy("bucket", "i", "j").applyInArrow(_search_block(threshold), f"u {KEY}, v {KEY}"), "across")
+    return dealt.join(once, "key").groupBy("bucket", "i", "j").applyInArrow(_search_block(threshold), f"u {KEY}, v {KEY}")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and class_id (the least doc_id of its class) of every row of docs."""
-    found = classes(docs, threshold)
+    found = settled("classes", lambda: classes(docs, threshold))
     id_of = lambda c: F.when(~F.col(c)["none"], F.col(c)["id"])
     return found.select(id_of("key").alias("doc_id"), id_of("root").alias("class_id"))
 
 
 def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The first document of each class (one row of it, if it repeats), with the columns of docs."""
-    found = classes(docs, threshold)
+    found = settled("classes", lambda: classes(docs, threshold))
     first = found.filter(F.col("key") == F.col("root")).select("key").distinct()
     kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(kept, row_key(docs).alias("key")).join(first, "key")
