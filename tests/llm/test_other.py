@@ -1,12 +1,19 @@
 """Pages, vectors, conversations and the pipeline against brute force."""
 
+import random
+from collections import Counter
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from thornwick.llm import chat, html_text, topk
+from thornwick.llm import chat, html_text, quality, topk
 from thornwick.llm.common import materialize
+from thornwick.llm.tokens import load
 
 LONG = "Words of the main text go on and on. " * 12
 
@@ -175,3 +182,141 @@ def test_pipeline(spark):
     extra = spark.read.parquet(f"{sf}/documents.parquet").withColumn("row", F.lit(1)).limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, extra, sf).count() == 0
+
+
+def corpus(tmp_path):
+    """A small corpus with toxic documents, copies, near copies, repeated passages, nulls and clashing columns, and labels."""
+    r = random.Random(77)
+    word = lambda: "".join(r.choice(["ra", "to", "mi", "len", "sor", "ve", "da", "ku"]) for _ in range(r.randint(1, 4)))
+    prose = lambda n: [word() for _ in range(n)]
+    passage, rows, labels = prose(70), [], []
+    for k in range(240):
+        w = prose(r.randint(60, 160))
+        toxic = k % 6 == 0
+        for _ in range(5 if toxic else 0):
+            w.insert(r.randrange(len(w)), "grumflax")
+        if k % 10 == 3:
+            w[20:20] = passage
+        rows.append((k, " ".join(w), "en", f"s{k % 3}"))
+        labels.append((k, 1, int(toxic)))
+    for k in range(20):
+        w = rows[6 * k + 1][1].split()
+        if k % 2:
+            w[30] = "changed"
+        rows.append((1000 + k, " ".join(w), "en", f"s{k % 3}"))
+    rows += [(2000, None, None, None), (2001, "", "en", "s0"), (None, " ".join(prose(80)), "de", None), (None, None, None, "s1"), rows[1], rows[1]]
+    frame = pd.DataFrame([(*x, len(x[1] or ""), 0.5, "k") for x in rows], columns=["doc_id", "text", "lang", "source", "n_chars", "score", "bucket"])
+    pa_table = pa.table({"doc_id": pa.array([x[0] for x in rows], pa.int64()), **{c: pa.Array.from_pandas(frame[c]) for c in frame.columns if c != "doc_id"}})
+    pq.write_table(pa_table, tmp_path / "documents.parquet")
+    pq.write_table(pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("doc_id", "quality", "toxic"), zip(*labels, strict=True), strict=True)}), tmp_path / "labels.parquet")
+    return rows, labels, passage
+
+
+def grams_of(text, k):
+    w = (text or "").split()
+    return [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or ([" ".join(w)] if w and k == 5 else [])
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    rows, labels, passage = corpus(tmp_path)
+    sf = str(tmp_path)
+    docs, seen = spark.read.parquet(f"{sf}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, sf), name)
+        seen.append(docs.collect())
+    toxic, lines, near, mix, packed = seen
+    # toxicity: exactly the documents that hold the toxic word go
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "")
+    calm = [x for x in rows if "grumflax" not in (x[1] or "")]
+    assert sorted(map(key, toxic)) == sorted((x[0] is None, x[0] or 0, x[1] or "") for x in calm)
+    # line dedup: a run of 50 words that an earlier document held is in no later one; the rest of a text stays, in order
+    assert len(lines) == len(toxic) and {r.doc_id for r in lines} == {r.doc_id for r in toxic}
+    before = {r.doc_id: r.text for r in toxic if r.doc_id is not None and r.doc_id not in (1,)}
+    held: set[str] = set()
+    for r in sorted((r for r in lines if r.doc_id is not None), key=lambda r: r.doc_id):
+        if r.doc_id == 1:
+            held |= set(grams_of(r.text, 50))
+            continue
+        assert held.isdisjoint(grams_of(r.text, 50)), r.doc_id
+        held |= set(grams_of(before[r.doc_id], 50))
+        left = iter((before[r.doc_id] or "").split())
+        assert all(any(w == x for x in left) for w in (r.text or "").split())
+        assert r.n_chars == len(r.text or "")
+    assert sum(" ".join(passage) in (r.text or "") for r in lines) == 1
+    # near duplicates: one of each class of all pairs
+    texts = sorted({(r.doc_id is None, r.doc_id or 0, r.text or "") for r in lines})
+    sets = [Counter(grams_of(t, 5)) for *_, t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            common, most = sum((sets[i] & sets[j]).values()), max(sum(sets[i].values()), sum(sets[j].values()))
+            if texts[i][2] == texts[j][2] or most and common >= 0.8 * most:
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    roots = sorted(texts[i] for i in range(len(texts)) if find(i) == i)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in near) == roots
+    # mixing: what each source gives is near its target, no document more than twice
+    size = lambda t: len((t or "").split())
+    of = Counter()
+    for r in near:
+        of[r.source] += size(r.text)
+    names = sorted((s for s in of if s is not None)) + ([None] if None in of else [])
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    target, total = {}, 1.5 * sum(of.values())
+    while True:
+        rest = [s for s in names if s not in target]
+        share = (total - sum(target.values())) / max(sum(weight[s] for s in rest), 1)
+        full = [s for s in rest if share * weight[s] >= 2 * of[s]]
+        target |= {s: 2.0 * of[s] for s in full}
+        if not full:
+            target |= {s: share * weight[s] for s in rest}
+            break
+    got = Counter()
+    for r in mix:
+        got[r.source] += size(r.text)
+    longest = max(size(r.text) for r in near)
+    assert all(target[s] - longest <= got[s] <= target[s] + 1e-6 for s in names), (got, target)
+    assert max(Counter(map(key, mix)).values()) <= 2
+    assert Counter(map(key, mix)).keys() <= Counter(map(key, near)).keys()
+    # packing: each row's pieces are its ids, sequences are gapless and hold 1024 at most
+    ends = Counter((r.doc_id, r.start + r.length) for r in packed if r.start + r.length)
+    tokenizer = load("byte_bpe_50k.json")
+    want = Counter((r.doc_id, len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in mix)
+    assert all(ends[x] >= n for x, n in want.items())
+    sequences: dict[int, list[tuple[int, int]]] = {}
+    for r in packed:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in sequences.values():
+        places.sort()
+        assert [p for p, _ in places] == np.cumsum([0, *(n for _, n in places)])[:-1].tolist() and sum(n for _, n in places) <= 1024
+
+
+def test_quality_of_repeated_rows_and_clashing_columns(spark):
+    text = "Good words of a plain text. " * 20
+    frame = spark.createDataFrame([(1, text, 7, "x", 3.0, 0, 0), (1, text, 8, "y", 4.0, 0, 1), (2, None, 9, None, None, 0, 2)], "doc_id long, text string, w int, l string, posterior double, n_words int, kept int")
+    found = quality.judge(frame).select("doc_id", "n_words", "base_failed", "kept").collect()
+    assert sorted((r.doc_id, r.n_words) for r in found) == [(1, 120), (1, 120), (2, 0)]
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    import os
+
+    from thornwick.llm import common
+
+    paths = []
+
+    def make():
+        a = common.materialize(spark.range(5), "a")
+        b = common.settled("b", lambda: common.materialize(a.withColumn("x", F.lit(1)), "inner"))
+        paths.extend([common._open_scopes[-1][0], *common._open_scopes[-1][1:]])
+        return a.join(b, "id")
+
+    found = common.settled("c", make)
+    assert found.count() == 5 and len(paths) == 3
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in paths) and not common._open_scopes
