@@ -4,6 +4,12 @@ target weights, packed into sequences.
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet to the shared folder
 and reads it again as the next stage's docs. Every stage works on all that the one before it kept; all but the last return
 the columns of documents. The mixing stage repeats a document's row as often as the mix takes it.
+
+Defined results: a null text is empty: not toxic, unlike all texts but other empty ones, of size 0 (taken, if its source has
+a target), packed as its end id; rows of a null doc_id take part in all stages; rows that repeat are one document to the
+near-duplicate stage, which keeps one of them; where documents tie, the least doc_id, then a hash of the text, is the first; columns
+beyond those that a stage reads are kept as they are, whatever their names, and left out by the last stage; n_chars is the
+text's new length where passages were cut; an empty table gives no rows; very long texts are handled whole.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from thornwick.llm import linededup, mixing, neardup, packing, toxicity
-from thornwick.llm.common import materialize, table
+from thornwick.llm.common import settled, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +60,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = settled(name, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
