@@ -312,11 +312,56 @@ def test_tables_on_the_way_are_deleted(spark):
     paths = []
 
     def make():
+        # nested before anything is written here: both scopes hold the same then
+        b = common.settled("b", lambda: common.materialize(spark.range(5).withColumn("x", F.lit(1)), "inner"))
+        assert b.count() == 5
         a = common.materialize(spark.range(5), "a")
-        b = common.settled("b", lambda: common.materialize(a.withColumn("x", F.lit(1)), "inner"))
-        paths.extend([common._open_scopes[-1][0], *common._open_scopes[-1][1:]])
+        paths.extend(common._scopes.get()[-1])
         return a.join(b, "id")
 
     found = common.settled("c", make)
     assert found.count() == 5 and len(paths) == 3
-    assert not any(os.path.exists(p.removeprefix("file:")) for p in paths) and not common._open_scopes
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in paths) and not common._scopes.get()
+
+
+def test_tables_of_a_failed_call_and_of_other_threads(spark):
+    import os
+    from concurrent.futures import ThreadPoolExecutor
+
+    from thornwick.llm import common
+
+    paths = []
+
+    def fails():
+        common.materialize(spark.range(5), "a")
+        paths.extend(common._scopes.get()[-1])
+        raise KeyError("of make")
+
+    with pytest.raises(KeyError, match="of make"):
+        common.settled("c", fails)
+    assert len(paths) == 1 and not os.path.exists(paths[0].removeprefix("file:")) and not common._scopes.get()
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def job(k):
+        def make():
+            a = common.materialize(spark.range(100 * k), "a")
+            b = common.settled("b", lambda: common.materialize(a.filter("id % 2 = 0"), "even"))
+            return a.join(b, "id")
+
+        return common.settled("c", make).count()
+
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(job, range(1, 9))) == [50 * k for k in range(1, 9)]
+    assert spark.conf.get(key) == before
+
+
+def test_pipeline_run(spark, tmp_path):
+    corpus(tmp_path)
+    sf = str(tmp_path)
+    found = {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, sf), name)
+    assert found == {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in docs.collect()} and found
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0

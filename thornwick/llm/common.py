@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -38,33 +41,56 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 #: Rows of an Arrow batch while a table is written; Python workers and JVM hold some of both sides at once.
 BATCH_ROWS = 1000
 
-_open_scopes: list[list[str]] = []
+#: The lists of tables that the calls of `settled` around this point have to delete, one a call; each thread has its own.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+_writing: dict[str, tuple[int, str]] = {}  # by session: how many tables are being written, and the rows of a batch before
+_lock = threading.Lock()
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_ROWS while a table of the session is written; the last of several writers at once restores the setting."""
+    key, session = "spark.sql.execution.arrow.maxRecordsPerBatch", spark._jsparkSession.sessionUUID()
+    with _lock:
+        n, before = _writing.get(session, (0, spark.conf.get(key)))
+        _writing[session] = n + 1, before
+        spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _writing.pop(session)
+            if n > 1:
+                _writing[session] = n - 1, before
+            else:
+                spark.conf.set(key, before)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df once to the shared folder and reads it back. Arrow batches hold BATCH_ROWS meanwhile."""
-    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    path, before = scratch_path(spark, name), spark.conf.get(key)
-    for scope in _open_scopes:
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    for scope in _scopes.get():
         scope.append(path)
-    spark.conf.set(key, str(BATCH_ROWS))
-    try:
+    with small_batches(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def settled(name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """make's result as a table; the tables that make wrote on its way are deleted."""
-    scope: list[str] = []
-    _open_scopes.append(scope)
+    """make's result as a table; the tables that make wrote on its way are deleted, also if it fails."""
+    spark, scope = SparkSession.active(), []
+    token = _scopes.set((*_scopes.get(), scope))
     try:
         df = make()
+    except BaseException:
+        drop_tables(spark, scope)
+        raise
     finally:
-        _open_scopes.remove(scope)
+        _scopes.reset(token)
     found = materialize(df, name)
-    drop_tables(found.sparkSession, scope)
+    drop_tables(spark, scope)
     return found
 
 
