@@ -4,7 +4,7 @@ import random
 import re
 from collections import Counter
 
-from thornwick.llm import audit
+from thornwick.llm import audit, substring
 
 def audited(docs, labels):
     """The audit by running every order over the rows."""
@@ -50,3 +50,71 @@ def test_audit_against_every_order_run(spark):
     assert len(found) == len(want) and dict(found) == want
     assert audit.audit(frame.limit(0), marks).count() == 0
     assert {x[3:6] for x in audited(docs, [])} and all(x.good_lost == x.toxic_lost == 0 for x in audit.audit(frame, marks.limit(0)).collect())
+
+
+def removed_by_windows(texts, least):
+    """Which words of each text a window of `least` words covers that starts anywhere else too."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    starts = Counter(tuple(w[i : i + least]) for w in words for i in range(len(w) - least + 1))
+    gone = []
+    for w in words:
+        on = [False] * len(w)
+        for i in range(len(w) - least + 1):
+            if starts[tuple(w[i : i + least])] > 1:
+                on[i : i + least] = [True] * least
+        gone.append(on)
+    return words, gone
+
+
+def repeated_texts():
+    r = random.Random(12)
+    word = lambda: "".join(r.choice(["ra", "to", "mi", "é", "sor", "ve", "da", "ku"]) for _ in range(r.randint(1, 4)))
+    prose = lambda n: [word() for _ in range(n)]
+    passages = [prose(n) for n in (34, 35, 36, 50, 90, 300, 700)]
+    texts = []
+    for k in range(160):
+        w = prose(r.randint(0, 120))
+        for _ in range(r.randint(0, 3)):
+            p = r.choice(passages)
+            s = r.randrange(len(p) - 20)
+            at = r.randint(0, len(w))
+            w[at:at] = p[s:] if k % 2 else p
+        texts.append(r.choice([" ", "\n", "  ", "\t \x0b"]).join(w))
+    far = prose(3000)
+    texts += [" ".join(far), " ".join(far[:1400] + prose(3) + far[1400:]), " ".join(prose(20) + far[990:1030] + far[500:530] + far[2000:2034])]  # a long text, shifted by words, parts of it
+    texts += ["a " * 900, "a b " * 200, " ".join((prose(7) * 40)[:270]), "x " * 34, "x " * 35, " ".join(prose(40) * 2)]  # periodic and repeated within
+    texts += [None, "", " \n ", "one", texts[3], texts[3], texts[5] + " ", " lead  " + texts[5], " ".join(passages[3][:34])]
+    common = prose(60)
+    texts += [" ".join(prose(30) + common[r.randrange(10) :] + prose(30)) for _ in range(300)]  # a hot passage
+    return texts
+
+
+def kept(words, gone):
+    return [(" ".join(x for x, g in zip(w, on, strict=True) if not g), len(w), sum(on)) for w, on in zip(words, gone, strict=True)]
+
+
+def test_substring_against_all_windows(spark):
+    texts = repeated_texts()
+    ids = [k if k % 50 != 7 else None for k in range(len(texts))]
+    frame = spark.createDataFrame([(i, t, 1, "k", 2, 3) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, n int, key string, block int, row int").repartition(5)
+    words, gone = removed_by_windows(texts, 35)
+    want = Counter(zip(ids, kept(words, gone), strict=True))
+    found = substring.without_repeats(frame).collect()
+    assert Counter((x.doc_id, (x.text, x.n_words, x.n_removed)) for x in found) == want
+    spans = {(x.doc_id, x.n_words, x.n_removed, tuple(x.spans)) for x in found}
+    edges = lambda on: tuple(i for i, (a, b) in enumerate(zip([False, *on], [*on, False], strict=True)) if a != b)
+    assert spans == {(i, len(w), sum(on), edges(on)) for i, w, on in zip(ids, words, gone, strict=True)}
+    # rows that repeat an id and a text, and ids with several texts
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[161]), (2, texts[160]), (2, texts[160]), (3, "y " * 40), (None, None)]
+    words, gone = removed_by_windows([t for _, t in rows], 20)
+    found = substring.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), min_words=20, seed_words=8, block=64).collect()
+    assert Counter((x.doc_id, (x.text, x.n_words, x.n_removed)) for x in found) == Counter(zip([i for i, _ in rows], kept(words, gone), strict=True))
+    assert substring.without_repeats(frame.limit(0)).count() == 0
+
+
+def test_substring_where_nothing_is_broadcast(spark, monkeypatch):
+    texts = repeated_texts()
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(substring, "FEW", -1)
+    words, gone = removed_by_windows(texts, 35)
+    assert Counter((x.doc_id, (x.text, x.n_words, x.n_removed)) for x in substring.without_repeats(frame).collect()) == Counter(enumerate(kept(words, gone)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thornwick.llm import audit, chat, html_text, linededup, mixing, neardup, packing, quality, tokenbin, topk, toxicity
+from thornwick.llm import audit, chat, html_text, linededup, mixing, neardup, packing, quality, substring, tokenbin, topk, toxicity
 from thornwick.llm.common import table
 
 
@@ -58,8 +58,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op2_near_dup, op3_chat, op4_topk, op5_packing, op6_quality, op7_line_dedup, op8_tokens, op9_mixing, op10_toxicity, op11_filter_audit)
+    f.__name__: f for f in (op1_html_text, op2_near_dup, op3_chat, op4_topk, op5_packing, op6_quality, op7_line_dedup, op8_tokens, op9_mixing, op10_toxicity, op11_filter_audit, op12_substring_dedup)
 }
 
 ORACLES: dict[str, str] = {
@@ -83,4 +88,11 @@ ORACLES: dict[str, str] = {
  sum(CASE WHEN fails = x THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN failed AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN failed AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost FROM t GROUP BY ALL)
  SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
  CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM r""",
+    "op12_substring_dedup": r"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rn, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ u AS (SELECT rn, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+ g AS (SELECT rn, i, word, string_agg(word, ' ') OVER (PARTITION BY rn ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS run, count(*) OVER (PARTITION BY rn ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS n FROM u),
+ p AS (SELECT *, n = 35 AND count(*) OVER (PARTITION BY n, md5(run)) > 1 AS twice FROM g),
+ c AS (SELECT rn, i, word, coalesce(bool_or(twice) OVER (PARTITION BY rn ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), false) AS gone FROM p),
+ k AS (SELECT rn, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY rn)
+ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rn)""",
 }
