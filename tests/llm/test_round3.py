@@ -1,10 +1,15 @@
 """The audit of filters and the alignment of tokenizers and repeats, against brute force."""
 
+import hashlib
 import random
 import re
 from collections import Counter
+from itertools import accumulate
 
-from thornwick.llm import audit, substring
+import pyarrow as pa
+
+from thornwick.llm import align, audit, substring
+from thornwick.llm.tokens import load
 
 def audited(docs, labels):
     """The audit by running every order over the rows."""
@@ -118,3 +123,90 @@ def test_substring_where_nothing_is_broadcast(spark, monkeypatch):
     monkeypatch.setattr(substring, "FEW", -1)
     words, gone = removed_by_windows(texts, 35)
     assert Counter((x.doc_id, (x.text, x.n_words, x.n_removed)) for x in substring.without_repeats(frame).collect()) == Counter(enumerate(kept(words, gone)))
+
+
+def aligned_by_hand(texts):
+    """Groups and links of each text from whole encodings, and the counts over all texts."""
+    a, b = load(align.A), align.load_pieces(align.B)
+    values = align.byte_values()
+    rows = []
+    for t in texts:
+        t = t or ""
+        ia = a.encode(" " + t, add_special_tokens=False).ids if t else []
+        ib = b.encode(t) if t else []
+        ba = [bytes(values[c] for c in a.id_to_token(i)) for i in ia]
+        bb = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in ib]
+        if not t or b"".join(ba) != (" " + t).encode() or b"".join(bb) != (" " + t).encode():
+            rows.append(None)
+            continue
+        ends = [{sum(map(len, x[: k + 1])) for k in range(len(x))} if len(x) < 2000 else set(accumulate(map(len, x))) for x in (ba, bb)]
+        both, groups, i, j, ea, eb = ends[0] & ends[1], [([], [])], 0, 0, 0, 0
+        for e in sorted(both):
+            while ea < e:
+                groups[-1][0].append(ia[i])
+                ea, i = ea + len(ba[i]), i + 1
+            while eb < e:
+                groups[-1][1].append(ib[j])
+                eb, j = eb + len(bb[j]), j + 1
+            groups.append(([], []))
+        groups.pop()
+        rows.append((groups, Counter((x, y) for g, h in groups for x in g for y in h)))
+    count = Counter(p for r in rows if r for p in r[1])
+    best = {}
+    for (x, _), n in count.items():
+        best[x] = max(n, best.get(x, 0))
+    out = []
+    for r in rows:
+        if r is None:
+            out.append((0, 0, 0, 0, 0, 0, ""))
+            continue
+        g, links = r
+        text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in g)
+        out.append((sum(len(x) for x, _ in g), sum(len(y) for _, y in g), len(g), sum(links.values()), sum(n for p, n in links.items() if count[p] == best[p[0]]), sum(n * count[p] for p, n in links.items()), text))
+    return out
+
+
+def odd_texts():
+    r = random.Random(13)
+    pieces = [" ", "  ", "\n", "\t", "\r\n", "\xa0", "　", "▁", "don't", "it's", "'s", "12345", "é", "é", "日本語", "\U0001f600", "<s>", "</s>", "<|endoftext|>", "<0x0A>", "foo", "Bar", "_", "...", ";\r", "\x00", "\x85", "​", "﻿", "naïve", "ﬁ", "\x1c"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(1, 30))) for _ in range(300)]
+    words = ["alpha", "beta's", "Gamma-7", "delta,", "(eps)", "zeta.", "überall", "don't"]
+    texts += [" ".join(r.choice(words) for _ in range(r.randint(1, 60))) for _ in range(200)]
+    texts += [None, "", " ", "   ", "\n", "a", "x" * 3000, "日本語" * 200, " ".join(r.choice(words) for _ in range(30_000)), texts[0], texts[0], "word " * 40]
+    return texts
+
+
+def test_alignment_against_whole_encodings(spark):
+    texts = odd_texts()
+    ids = [k if k % 40 != 3 else None for k in range(len(texts))]
+    frame = spark.createDataFrame([(i, t, 7, "k", 1, "p") for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, row int, groups string, n_a int, postings string").repartition(5)
+    names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
+    found = Counter((x.doc_id, *[x[c] for c in names]) for x in align.align(frame).collect())
+    want = aligned_by_hand(texts)
+    assert found == Counter((i, *w) for i, w in zip(ids, want, strict=True))
+    assert sum(w[0] > 0 for w in want) > 300 and sum(w[0] == 0 for w in want) > 20
+    digests = Counter((x.doc_id, x.groups) for x in align.align(frame, digest=True).collect())
+    assert digests == Counter((i, hashlib.sha256(w[-1].encode()).hexdigest() if w[-1] else "") for i, w in zip(ids, want, strict=True))
+    assert align.align(frame.limit(0)).count() == 0
+    none = align.align(spark.createDataFrame([(1, None), (1, "")], "doc_id long, text string")).collect()
+    assert [tuple(x) for x in none] == [(1, 0, 0, 0, 0, 0, 0, "")] * 2
+
+
+def test_alignment_over_buckets_and_salts(spark, monkeypatch):
+    texts = odd_texts()[300:]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9)
+    monkeypatch.setattr(align, "PAIRS_A_BUCKET", 5)
+    monkeypatch.setattr(align, "BYTES_A_SALT", 10)
+    found = {x.doc_id: (x.n_best, x.count_sum) for x in align.align(frame).collect()}
+    assert found == {i: w[4:6] for i, w in enumerate(aligned_by_hand(texts))}
+
+
+def test_aligner_forgets():
+    texts = odd_texts()
+    small, large = align.Aligner(store=40), align.Aligner()
+    column = pa.array(texts[:480] * 2, pa.string())
+    for own in (small, large):
+        seen = [(n.tolist(), strings, pairs.tolist(), times.tolist()) for k in range(0, 960, 60) for _, _, n, strings, pairs, times, _ in own.column(column.slice(k, 60))]
+        assert own is small or seen == first
+        first = seen
+    assert len(small.held.strings) < len(large.held.strings)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thornwick.llm import audit, chat, html_text, linededup, mixing, neardup, packing, quality, substring, tokenbin, topk, toxicity
+from thornwick.llm import align, audit, chat, html_text, linededup, mixing, neardup, packing, quality, substring, tokenbin, topk, toxicity
 from thornwick.llm.common import table
 
 
@@ -63,8 +63,12 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op2_near_dup, op3_chat, op4_topk, op5_packing, op6_quality, op7_line_dedup, op8_tokens, op9_mixing, op10_toxicity, op11_filter_audit, op12_substring_dedup)
+    f.__name__: f for f in (op1_html_text, op2_near_dup, op3_chat, op4_topk, op5_packing, op6_quality, op7_line_dedup, op8_tokens, op9_mixing, op10_toxicity, op11_filter_audit, op12_substring_dedup, op13_token_alignment)
 }
 
 ORACLES: dict[str, str] = {
