@@ -209,4 +209,4 @@ def test_aligner_forgets():
         seen = [(n.tolist(), strings, pairs.tolist(), times.tolist()) for k in range(0, 960, 60) for _, _, n, strings, pairs, times, _ in own.column(column.slice(k, 60))]
         assert own is small or seen == first
         first = seen
-    assert len(small.held.strings) < len(large.held.strings)
+    assert len(small.held.n) < len(large.held.n)

@@ -25,6 +25,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from thornwick.llm.tokens import _wide_space, load
 
 _U = np.uint64
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-STORE = 150_000
+STORE, CHUNK = 300_000, 1 << 19
 PAIRS_A_BUCKET, BYTES_A_SALT = 1 << 20, 32 << 20
 
 
@@ -65,8 +67,8 @@ class Lists:
     """Arrays of differing lengths, one after another."""
 
     def __init__(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        self.values, self.ends = values, np.cumsum(sizes)
-        self.sizes = np.asarray(sizes, np.int64)
+        self.values, self.sizes = values, np.asarray(sizes, np.int64)
+        self.ends = np.cumsum(self.sizes)
 
     def take(self, at: np.ndarray) -> np.ndarray:
         """The values of the lists at these places, one after another."""
@@ -74,20 +76,51 @@ class Lists:
         upto = np.cumsum(sizes)
         return self.values[np.repeat(self.ends[at] - upto, sizes) + np.arange(upto[-1] if len(upto) else 0)]
 
+    def head(self, n: int) -> Lists:
+        return Lists(self.values[: self.ends[n - 1] if n else 0], self.sizes[:n])
 
-class Aligned:
-    """What alignment gives for some stretches: counts, group strings, and links as pairs with multiplicities."""
+    def plus(self, more: Lists) -> Lists:
+        return Lists(np.concatenate((self.values, more.values)), np.concatenate((self.sizes, more.sizes)))
 
-    def __init__(self) -> None:
-        self.n = np.zeros((0, 5), np.int64)  # A tokens, B tokens, groups, links, and 1 where the bytes are the stretch's
-        self.strings: list[bytes] = []
-        self.pairs, self.times = Lists(np.zeros(0, np.int64), np.zeros(0, np.int64)), np.zeros(0, np.int64)
+    @staticmethod
+    def of(values: list[bytes]) -> Lists:
+        return Lists(np.frombuffer(b"".join(values), np.uint8), np.asarray([len(x) for x in values], np.int64))
 
-    def extend(self, n: np.ndarray, strings: list[bytes], pairs: np.ndarray, times: np.ndarray, sizes: np.ndarray) -> None:
-        self.n = np.concatenate((self.n, n))
-        self.strings += strings
-        self.times = np.concatenate((self.times, times))
-        self.pairs = Lists(np.concatenate((self.pairs.values, pairs)), np.concatenate((self.pairs.sizes, sizes)))
+
+class Aligned(NamedTuple):
+    """What alignment gives for some stretches."""
+
+    n: np.ndarray  # A tokens, B tokens, groups, links, and 1 where the tokens' bytes are the stretch's; else zeros
+    strings: Lists  # groups as bytes, each with ; behind it
+    pairs: Lists  # distinct links
+    times: Lists  # how often each comes
+
+    def plus(self, more: Aligned) -> Aligned:
+        return Aligned(np.concatenate((self.n, more.n)), *[x.plus(y) for x, y in zip(self[1:], more[1:], strict=True)])
+
+    def head(self, n: int) -> Aligned:
+        return Aligned(self.n[:n], *[x.head(n) for x in self[1:]])
+
+
+def _nothing() -> Aligned:
+    none = lambda kind: Lists(np.zeros(0, kind), np.zeros(0, np.int64))
+    return Aligned(np.zeros((0, 5), np.int64), none(np.uint8), none(np.int64), none(np.int64))
+
+
+def _written(ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The decimal digits of each id with its mark behind them, as bytes, and how many bytes each takes."""
+    width = len(str(int(ids.max(initial=0))))
+    digits = ids[:, None] // 10 ** np.arange(width - 1, -1, -1)
+    size = np.maximum(1, (digits > 0).sum(axis=1))
+    out = np.concatenate(((digits % 10 + 48).astype(np.uint8), marks[:, None]), axis=1)
+    return out[np.arange(width + 1) >= width - size[:, None]], size + 1
+
+
+def _sums(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Sums of whole numbers by an index in order."""
+    upto = np.concatenate(([0], np.cumsum(values)))
+    edges = np.searchsorted(of, np.arange(n + 1))
+    return upto[edges[1:]] - upto[edges[:-1]]
 
 
 class Aligner:
@@ -97,60 +130,77 @@ class Aligner:
         self.a, self.b, self.store = load(a), load_pieces(b), store
         values = byte_values()
         decode = lambda token: bytes(values[c] for c in token) if all(c in values for c in token) else token.encode()
-        self.bytes_a = [decode(self.a.id_to_token(i) or "") for i in range(self.a.get_vocab_size())]
         size = self.b.get_piece_size()
-        self.bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in ((i, self.b.id_to_piece(i)) for i in range(size))]
-        self.len_a, self.len_b = (np.asarray([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.cuts = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(size))
+        pieces = [self.b.id_to_piece(i) for i in range(size)]
+        self.bytes_a = Lists.of([decode(self.a.id_to_token(i) or "") for i in range(self.a.get_vocab_size())])
+        self.bytes_b = Lists.of([bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(pieces)])
+        self.cuts = not any("▁" in x.lstrip("▁") for x in pieces)
         self.base, self.space = size, self.b.piece_to_id("▁")
         self.slot: dict[int, int] = {}
-        self.held = Aligned()
+        self.held = _nothing()
 
-    def _align(self, stretches: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """Of stretches that begin with a space: n, group strings, pairs, multiplicities and the number of pairs of each."""
-        texts = [x.decode() for x in stretches]
+    def _encode(self, texts: list[str]) -> tuple[Lists, Lists]:
+        """The ids of both vocabularies for texts that begin with a space."""
         found = self.a.encode(texts, is_pretokenized=True, add_special_tokens=False)
-        ids_a = np.asarray(found.ids, np.int64)
-        count_a = np.bincount(np.asarray(found.word_ids, np.int64), minlength=len(texts))
+        own = Lists(np.asarray(found.ids, np.int64), np.bincount(np.asarray(found.word_ids, np.int64), minlength=len(texts)))
         lists = [ids or [self.space] for ids in self.b.encode([x[1:] for x in texts], num_threads=1)]  # an empty text gets no space
-        count_b = np.asarray([len(x) for x in lists], np.int64)
-        ids_b = np.asarray([i for x in lists for i in x], np.int64)
-        n = np.zeros((len(texts), 5), np.int64)
-        strings, parts, sizes = [], [], []
-        at_a, at_b = np.concatenate(([0], np.cumsum(count_a))), np.concatenate(([0], np.cumsum(count_b)))
-        for k, raw in enumerate(stretches):
-            a, b = ids_a[at_a[k] : at_a[k + 1]].tolist(), ids_b[at_b[k] : at_b[k + 1]].tolist()
-            string, pairs = b"", {}
-            if b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b)):
-                groups = self._groups(a, b)
-                string = b";".join(b"%s|%s" % (",".join(map(str, x)).encode(), ",".join(map(str, y)).encode()) for x, y in groups)
-                for x, y in groups:
-                    for i, c in _counted(x):
-                        for j, d in _counted(y):
-                            pair = i * self.base + j
-                            pairs[pair] = pairs.get(pair, 0) + c * d
-                n[k] = len(a), len(b), len(groups), sum(len(x) * len(y) for x, y in groups), 1
-            strings.append(string)
-            parts += pairs.items()
-            sizes.append(len(pairs))
-        flat = np.asarray(parts, np.int64).reshape(-1, 2)
-        return n, strings, flat[:, 0], flat[:, 1], np.asarray(sizes, np.int64)
-
-    def _groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
-        """Tokens of both sides between the byte offsets where both have an end."""
-        if len(a) == 1 or len(b) == 1:
-            return [(a, b)]
-        ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
-        _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        out, i, j = [], 0, 0
-        for x, y in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
-            out.append((a[i:x], b[j:y]))
-            i, j = x, y
-        return out
+        return own, Lists(np.fromiter(chain.from_iterable(lists), np.int64), np.asarray([len(x) for x in lists], np.int64))
+
+    def _align(self, stretches: list[bytes]) -> Aligned:
+        """Of stretches that begin with a space, each by itself."""
+        total = len(stretches)
+        raw, (a, b) = Lists.of(stretches), self._encode([x.decode() for x in stretches])
+        # a stretch counts where the bytes of both are its own
+        sizes = [_sums(t.sizes[x.values], np.repeat(np.arange(total), x.sizes), total) for t, x in ((self.bytes_a, a), (self.bytes_b, b))]
+        good = np.flatnonzero((sizes[0] == raw.sizes) & (sizes[1] == raw.sizes))
+        own, of = raw.take(good), np.repeat(good, raw.sizes[good])
+        odd = np.zeros(total, bool)
+        for t, x in ((self.bytes_a, a), (self.bytes_b, b)):
+            odd[of[t.take(x.take(good)) != own]] = True
+        good = good[~odd[good]]
+        a, b = Lists(a.take(good), a.sizes[good]), Lists(b.take(good), b.sizes[good])
+        # groups end where tokens of both end, stretches among them
+        ends_a, ends_b = np.cumsum(self.bytes_a.sizes[a.values]), np.cumsum(self.bytes_b.sizes[b.values])
+        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
+        na, nb = np.bincount(group_a, minlength=len(both)), np.bincount(group_b, minlength=len(both))
+        stretch = good[np.searchsorted(np.cumsum(raw.sizes[good]), both)] if len(good) else good
+        n = np.zeros((total, 5), np.int64)
+        n[good, 0], n[good, 1], n[good, 4] = a.sizes, b.sizes, 1
+        n[:, 2], n[:, 3] = np.bincount(stretch, minlength=total), _sums(na * nb, stretch, total)
+        return Aligned(n, self._strings(a.values, b.values, group_a, group_b, na, nb, stretch, total), *self._links(a.values, b.values, na, nb, stretch, total))
+
+    @staticmethod
+    def _strings(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, na: np.ndarray, nb: np.ndarray, stretch: np.ndarray, total: int) -> Lists:
+        starts = np.cumsum(na + nb) - na - nb  # of each group's tokens, A's before B's
+        place_a = starts[group_a] + np.arange(len(a)) - (np.cumsum(na) - na)[group_a]
+        place_b = starts[group_b] + na[group_b] + np.arange(len(b)) - (np.cumsum(nb) - nb)[group_b]
+        ids, marks = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids[place_a], ids[place_b] = a, b
+        marks[starts + na - 1], marks[starts + na + nb - 1] = ord("|"), ord(";")
+        flat, sizes = _written(ids, marks)
+        return Lists(flat, _sums(sizes, np.repeat(stretch, na + nb), total))
+
+    def _links(self, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, stretch: np.ndarray, total: int) -> tuple[Lists, Lists]:
+        """Distinct pairs and multiplicities by stretch. Pairs of large groups are made of their distinct ids."""
+        first_a, first_b = np.cumsum(na) - na, np.cumsum(nb) - nb
+        small = np.flatnonzero(na * nb <= 4096)
+        links = (na * nb)[small]
+        g = np.repeat(small, links)
+        k = np.arange(len(g)) - np.repeat(np.cumsum(links) - links, links)
+        pairs = [a[first_a[g] + k // nb[g]] * self.base + b[first_b[g] + k % nb[g]]]
+        rows, times = [stretch[g]], [np.ones(len(g), np.int64)]
+        for g in np.flatnonzero(na * nb > 4096).tolist():
+            (x, c), (y, d) = (np.unique(v[f[g] : f[g] + m[g]], return_counts=True) for v, f, m in ((a, first_a, na), (b, first_b, nb)))
+            pairs.append((x[:, None] * self.base + y[None, :]).ravel())
+            times.append((c[:, None] * d[None, :]).ravel())
+            rows.append(np.full(len(x) * len(y), stretch[g]))
+        found, times, sizes = _merged(np.concatenate(rows), np.concatenate(pairs), np.concatenate(times), total)
+        return Lists(found, sizes), Lists(times, sizes)
 
     def column(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
         """For rows i to j of a column: n (five numbers a row), group strings, and the pairs, multiplicities and number of pairs of each row."""
-        for i, j, data, offsets in text_chunks(texts):
+        for i, j, data, offsets in text_chunks(texts, CHUNK):
             rows = j - i
             full = np.diff(offsets) > 0
             data = np.insert(data, offsets[:-1], 0x20)
@@ -167,51 +217,42 @@ class Aligner:
             n = np.add.reduceat(self.held.n[slots], first[:-1], axis=0)
             good = full & (n[:, 4] == np.diff(first))
             n[~good] = 0
-            strings = [b";".join(map(self.held.strings.__getitem__, slots[s:e].tolist())) if g else b"" for s, e, g in zip(first[:-1].tolist(), first[1:].tolist(), good.tolist(), strict=True)]
             row = np.repeat(np.arange(rows), np.diff(first))
-            kept = good[row]
-            slots, row = slots[kept], row[kept]
-            pairs, row = self.held.pairs.take(slots), np.repeat(row, self.held.pairs.sizes[slots])
-            times = Lists(self.held.times, self.held.pairs.sizes).take(slots)
-            order = np.lexsort((pairs, row))
-            pairs, row, times = pairs[order], row[order], times[order]
-            new = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]) | (row[1:] != row[:-1])]) if len(pairs) else np.zeros(0, np.int64)
-            times = np.add.reduceat(times, new) if len(new) else times
-            yield i, j, n, strings, pairs[new], times, np.bincount(row[new], minlength=rows)
+            slots, row = slots[good[row]], row[good[row]]
+            flat = self.held.strings.take(slots).tobytes()
+            upto = np.concatenate(([0], np.cumsum(_sums(self.held.strings.sizes[slots], row, rows)))).tolist()
+            strings = [flat[s : e - 1] if e > s else b"" for s, e in zip(upto[:-1], upto[1:], strict=True)]
+            pairs, times, sizes = _merged(np.repeat(row, self.held.pairs.sizes[slots]), self.held.pairs.take(slots), self.held.times.take(slots), rows)
+            yield i, j, n, strings, pairs, times, sizes
 
     def _forget(self) -> None:
         """Keeps the earliest, most frequent half, or nothing where few stretches (whole texts) hold most links."""
-        half = self.store // 2
-        kept = int(self.held.pairs.ends[half - 1]) if half <= len(self.held.strings) else len(self.held.times)
-        before, self.held = self.held, Aligned()
-        if kept > 4 * self.store:
-            self.slot = {}
-            return
-        self.slot = {k: s for k, s in self.slot.items() if s < half}
-        self.held.extend(before.n[:half], before.strings[:half], before.pairs.values[:kept], before.times[:kept], before.pairs.sizes[:half])
+        half = min(self.store // 2, len(self.held.n))
+        if int(self.held.pairs.sizes[:half].sum()) > 4 * self.store:
+            half = 0
+        self.slot, self.held = {k: s for k, s in self.slot.items() if s < half}, self.held.head(half)
 
     def _slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         keys, at, inverse = np.unique(run_hash(data.astype(_U) + _U(1), starts, ends), return_index=True, return_inverse=True)
-        if len(self.held.strings) > self.store or len(self.held.times) > 8 * self.store:
+        if len(self.held.n) > self.store or len(self.held.pairs.values) > 8 * self.store:
             self._forget()
         names = keys.tolist()
-        slots = [self.slot.get(k) for k in names]
+        slots = list(map(self.slot.get, names))
         missing = [k for k, s in enumerate(slots) if s is None]
         if missing:
-            raw, base = data.tobytes(), len(self.held.strings)
-            self.held.extend(*self._align([raw[starts[at[k]] : ends[at[k]]] for k in missing]))
+            raw, base = data.tobytes(), len(self.held.n)
+            self.held = self.held.plus(self._align([raw[s:e] for s, e in zip(starts[at[missing]].tolist(), ends[at[missing]].tolist(), strict=True)]))
             for s, k in enumerate(missing, base):
                 slots[k] = self.slot[names[k]] = s
         return np.asarray(slots, np.int64)[inverse]
 
 
-def _counted(ids: list[int]) -> list[tuple[int, int]]:
-    if len(ids) == 1:
-        return [(ids[0], 1)]
-    seen: dict[int, int] = {}
-    for i in ids:
-        seen[i] = seen.get(i, 0) + 1
-    return list(seen.items())
+def _merged(rows: np.ndarray, pairs: np.ndarray, times: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of each row in order, their summed multiplicities, and how many each row has."""
+    order = np.lexsort((pairs, rows))
+    rows, pairs, times = rows[order], pairs[order], times[order]
+    new = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]) | (rows[1:] != rows[:-1])]) if len(pairs) else np.zeros(0, np.int64)
+    return pairs[new], np.add.reduceat(times, new) if len(new) else times, np.bincount(rows[new], minlength=total)
 
 
 @cache
