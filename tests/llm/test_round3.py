@@ -121,6 +121,7 @@ def test_substring_where_nothing_is_broadcast(spark, monkeypatch):
     texts = repeated_texts()
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     monkeypatch.setattr(substring, "FEW", -1)
+    monkeypatch.setattr(substring, "HOT", 5)
     words, gone = removed_by_windows(texts, 35)
     assert Counter((x.doc_id, (x.text, x.n_words, x.n_removed)) for x in substring.without_repeats(frame).collect()) == Counter(enumerate(kept(words, gone)))
 

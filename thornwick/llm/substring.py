@@ -36,6 +36,7 @@ from thornwick.llm.linededup import _chosen, _slide, grams, ordered_key
 
 _U = np.uint64
 MIN_WORDS, SEED_WORDS, BLOCK = 35, 16, 256
+HOT = 1000
 
 
 def seeds_of(words: np.ndarray, first: np.ndarray, min_words: int, seed_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,10 +86,14 @@ def _runs(min_words: int, seed_words: int):
     return run
 
 
-def first_places(places: DataFrame, by: list[str]) -> DataFrame:
-    """by, owner, owner_at (the place with the least key, one of its own if it has several) and n of what has several places."""
+def with_owner(places: DataFrame, by: list[str]) -> DataFrame:
+    """places with the owner, owner_at (of the place with the least key, one of its own if it has several) and n, the number of
+    places, of what has several. What has more than HOT is joined where its places lie, not in one task."""
     found = places.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("owner"), F.min_by("at", "key").alias("owner_at"))
-    return found.filter("n > 1")
+    found = materialize(found.filter("n > 1"), "owners")
+    hot = few(found.filter(F.col("n") > HOT))  # a row for HOT places at most
+    cold = places.join(hot.select(*by), by, "left_anti").join(found.filter(F.col("n") <= HOT), by)
+    return places.join(hot, by).unionByName(cold)
 
 
 def _joined(texts: DataFrame, asked: DataFrame, rows: int) -> DataFrame:
@@ -99,13 +104,13 @@ def _joined(texts: DataFrame, asked: DataFrame, rows: int) -> DataFrame:
 def paired_blocks(texts: DataFrame, kind: str, min_words: int, seed_words: int, block: int) -> DataFrame:
     """key (of row and block), owner (of row and block) and the diagonals on which they share a seed."""
     seeds = materialize(texts.mapInArrow(_seeds(min_words, seed_words), f"key {kind}, at int, seed long"), "seeds")
-    shared = materialize(seeds.join(first_places(seeds, ["seed"]), "seed"), "shared")
+    shared = materialize(with_owner(seeds, ["seed"]), "shared")
     common = shared.filter("n > 2")
     asked = common.groupBy("key").agg(F.collect_set("seed").alias("seeds"))
     runs = _joined(texts, asked, common.count()).mapInArrow(_runs(min_words, seed_words), f"key {kind}, at int, r1 long, r2 long")
     runs = materialize(runs, "runs")
     columns = ["key", "at", "owner", "owner_at"]
-    found = shared.filter("n = 2").select(*columns).union(runs.join(first_places(runs, ["r1", "r2"]), ["r1", "r2"]).select(*columns))
+    found = shared.filter("n = 2").select(*columns).union(with_owner(runs, ["r1", "r2"]).select(*columns))
     found = found.filter((F.col("key") != F.col("owner")) | (F.col("at") != F.col("owner_at")))
     place = lambda key, at: F.struct(F.col(key).alias("row"), F.floor(F.col(at) / block).cast("int").alias("block"))
     found = found.select(place("key", "at").alias("key"), place("owner", "owner_at").alias("owner"), (F.col("owner_at") - F.col("at")).alias("diagonal"))
