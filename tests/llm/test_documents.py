@@ -316,26 +316,33 @@ def test_near_duplicates_against_all_pairs(spark):
                 k = r.randrange(len(w))
                 w[k : k + r.randint(0, 1)] = [f"new{r.randint(0, 10**6)}"]
             rows.append((len(rows), " ".join(w)))
-    kmers = []
-    for _, t in rows:
-        w = t.split()
-        kmers.append(np.asarray([zlib.crc32(" ".join(w[k : k + 5]).encode()) for k in range(max(1, len(w) - 4))], np.uint64))
-    parent = list(range(len(rows)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in range(len(rows)):
-        for j in range(i):
-            a, b = kmers[i].tolist(), kmers[j].tolist()
-            m = neardup.banded_lcs(a, b, 10**6)
-            if m >= 0.8 * max(len(a), len(b)):
-                x, y = sorted((find(i), find(j)))
-                parent[y] = x
+    words = [[zlib.crc32(x.encode()) for x in t.split()] for _, t in rows]
+    kmers = [[zlib.crc32(" ".join(w[k : k + 5]).encode()) for k in range(max(1, len(w) - 4))] for w in (t.split() for _, t in rows)]
+
+    def classes(alike):
+        parent = list(range(len(rows)))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i in range(len(rows)):
+            for j in range(i):
+                if alike(i, j):
+                    x, y = sorted((find(i), find(j)))
+                    parent[y] = x
+        return {i: find(i) for i in range(len(rows))}
+
+    def aligned(x, i, j):
+        return neardup.banded_lcs(x[i], x[j], 10**6) >= 0.8 * max(len(x[i]), len(x[j]))
+
     got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: find(i) for i in range(len(rows))}
+    # classes are made of pairs whose words align, and no such pair with enough k-mers in common is missing, so none whose k-mers align
+    assert got == classes(lambda i, j: got[i] == got[j] and aligned(words, i, j))
+    index = lambda i, j: len(set(kmers[i]) & set(kmers[j])) / len(set(kmers[i]) | set(kmers[j]))
+    for need in (classes(lambda i, j: aligned(kmers, i, j)), classes(lambda i, j: index(i, j) >= 0.45 and aligned(words, i, j))):
+        assert all(got[i] == got[need[i]] for i in need)
 
 
 def test_near_duplicates_where_one_side_repeats(spark):
@@ -344,7 +351,7 @@ def test_near_duplicates_where_one_side_repeats(spark):
         w = prose(300 + g, 200).split()
         rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(w[:60] + w[40:]))][:: 1 if g % 2 else -1]  # a stretch of 20 words doubled
     for (_, a), (_, b) in zip(rows[::2], rows[1::2], strict=True):
-        x, y = (neardup.shingles(w) for w in neardup._words_by_row(pa.array([a, b])))
+        x, y = neardup._words_by_row(pa.array([a, b]))
         assert neardup.banded_lcs(x.tolist(), y.tolist(), 10**6) >= 0.8 * max(len(x), len(y))
         assert neardup.aligned_share(x, y, 0.8) >= 0.8
     found = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -1,12 +1,13 @@
 """Near-duplicate classes by Order MinHash, verified by banded alignment.
 
 Exact copies (equal texts) are one node. A node's k-mers are its windows of five words, labelled by occurrence, so that a
-repeated one counts as often as it comes. Each of `sketches` sketches samples the `sampled` k-mers of least hash and keeps
+repeated one counts as often as it comes. Each of SKETCHES sketches samples the SAMPLED k-mers of least hash and keeps
 them in text order: two texts share a sketch if they agree on those k-mers and on their order, so it follows edit
 similarity. In each bucket of a sketch, members are linked to the least one; candidate pairs are verified by alignment of
-their k-mer sequences: the share of the longer one that is aligned, M / max(n, m), must reach `threshold` (the Jaccard index
-of the k-mers is no greater, so pairs of an index of `threshold` are found too). Bounds from
-the k-mers in common decide most pairs, the rest is aligned in a band as wide as the threshold leaves room for.
+their words: the share of the longer text that is aligned, M / max(n, m), must reach `threshold`. A changed word changes
+five k-mers, so near copies of that share have a Jaccard index of k-mers of 0.4 or more as a rule; one of 0.8 is always
+similar enough. Bounds from the words in common decide most pairs, the rest is aligned in a band as wide as the
+threshold leaves room for.
 
 Classes are the connected components of verified pairs. Where a bucket's members are still in several components, those
 outside of its largest one are compared with all its members of other components, in blocks, so a bucket's least member need
@@ -28,9 +29,10 @@ from pyspark.sql import functions as F
 
 from thornwick.llm.common import materialize, mix, run_hash, settled, text_chunks, words_of
 from thornwick.llm.graphs import KEY, components, few, paired_texts, row_key, words_of_zipped, zipped_texts
+from thornwick.llm.linededup import patience
 
 _U = np.uint64
-K, SAMPLED, SKETCHES, THRESHOLD = 5, 4, 24, 0.8
+K, SAMPLED, SKETCHES, THRESHOLD = 5, 3, 40, 0.8
 SHORT, SHORT_SAMPLED = 16, 2
 BLOCK = 256
 
@@ -44,7 +46,7 @@ def shingles(words: np.ndarray, k: int = K) -> np.ndarray:
 
 
 def labelled(kmers: np.ndarray) -> np.ndarray:
-    """K-mers with their occurrence number: all distinct, in text order."""
+    """K-mers (or words) with their occurrence number: all distinct, in text order."""
     order = np.argsort(kmers, kind="stable")
     s = kmers[order]
     new = np.r_[True, s[1:] != s[:-1]]
@@ -112,7 +114,7 @@ def banded_lcs(a: list[int], b: list[int], band: int) -> int:
 
 
 def aligned_share(a: np.ndarray, b: np.ndarray, threshold: float, la: np.ndarray | None = None, lb: np.ndarray | None = None) -> float:
-    """M / max(n, m) of two k-mer sequences if it reaches the threshold, else 0 (or a bound that shows it doesn't)."""
+    """M / max(n, m) of two sequences of words if it reaches the threshold, else 0 (or a bound that shows it doesn't)."""
     n, m = len(a), len(b)
     if not n or not m or min(n, m) < threshold * max(n, m):
         return 0.0
@@ -132,7 +134,10 @@ def aligned_share(a: np.ndarray, b: np.ndarray, threshold: float, la: np.ndarray
         tails[k : k + 1] = [y]
     if share(len(tails)) >= threshold:
         return share(len(tails))
-    band = int(n + m - 2 * threshold * max(n, m)) + 1  # as many k-mers may be left out in all
+    found = share(sum(run for _, _, run in patience(a, b)))
+    if found >= threshold:
+        return found
+    band = int(n + m - 2 * threshold * max(n, m)) + 1  # as many words may be left out in all
     return share(banded_lcs(a.tolist(), b.tolist(), band))
 
 
@@ -140,7 +145,7 @@ def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(words_of_zipped(batch.column(x)) for x in ("z", "owner_z")), strict=True)
-            good = pa.array([aligned_share(shingles(a), shingles(b), threshold) >= threshold for a, b in rows], pa.bool_())
+            good = pa.array([aligned_share(a, b, threshold) >= threshold for a, b in rows], pa.bool_())
             yield batch.select(["key", "owner"]).filter(good)
 
     return run
@@ -153,8 +158,8 @@ def _search_block(threshold: float):
     def run(data: pa.Table) -> pa.Table:
         data = data.combine_chunks()
         kind = data.schema.field("key").type
-        kmers = [shingles(w) for w in words_of_zipped(data.column("z").combine_chunks())]
-        marks = [labelled(x) for x in kmers]
+        words = list(words_of_zipped(data.column("z").combine_chunks()))
+        marks = [labelled(x) for x in words]
         keys, root, main = (data.column(x).to_pylist() for x in ("key", "root_hash", "in_main"))
         asked = np.asarray(data.column("asked").to_pylist(), bool)
         rows, others = np.flatnonzero(asked), np.flatnonzero(~asked)
@@ -187,7 +192,7 @@ def _search_block(threshold: float):
             if not main[j] and order_of(keys[i]) >= order_of(keys[j]):
                 continue  # two asked members meet twice
             ri, rj = find(root[i]), find(root[j])
-            if ri != rj and aligned_share(kmers[i], kmers[j], threshold, marks[i], marks[j]) >= threshold:
+            if ri != rj and aligned_share(words[i], words[j], threshold, marks[i], marks[j]) >= threshold:
                 parent[rj] = ri
                 pairs.append((keys[i], keys[j]))
         return pa.table({"u": pa.array([x for x, _ in pairs], kind), "v": pa.array([y for _, y in pairs], kind)})
