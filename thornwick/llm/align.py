@@ -378,7 +378,8 @@ def link_counts(aligned: DataFrame, base: int) -> DataFrame:
     counts = materialize(pair_counts(held), "counts")
     buckets = max(8, -(-counts.count() // PAIRS_A_BUCKET))
     size = held.agg(F.coalesce(F.sum(F.length("postings")), F.lit(0))).first()[0]
-    salts = max(1, -(-size // (buckets * BYTES_A_SALT)))
+    tasks = 2 * int(aligned.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # so that none holds much more than another
+    salts = max(-(-size // (buckets * BYTES_A_SALT)), -(-tasks // buckets))
     posted = held.mapInArrow(_deal_postings(base, buckets), "bucket int, chunk long, block binary")
     posted = posted.select("bucket", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), "block")
     first = counts.mapInArrow(_deal_counts(base, buckets), "bucket int, block binary")
