@@ -95,6 +95,46 @@ CASES = [
         "dynamic-require", "require(path.join(a, b))", "a.js",
         [("high", 0.85, "Dynamic require() with non-literal argument — module path determined at runtime"), ("medium", 0.6, "require() with computed path (path.join/resolve or __dirname)")],
     ),
+    # what needs a tree: calls within templates, wrapped literals, parents of literals, callees over several lines
+    ("network-access", "x = `a ${`b ${fetch('https://evil.io/')}`}`", "a.js", [("high", 0.9, "Makes HTTP request via fetch()")]),
+    ("network-access", "x = `fetch(u)`; y = '${fetch(u)}'; // fetch(u)", "a.js", []),
+    ("network-access", "const post = async (u: string): Promise<void> => { await http\n .get(u) }", "a.ts", [("medium", 0.8, "Network call: http.get()")]),
+    ("network-access", "axios.get<Answer<string>>(u)", "a.ts", [("medium", 0.8, "Network call: axios.get()")]),
+    ("network-access", "class A { fetch(u) { } get http() { return 1 } } function got(u) { }", "a.ts", []),
+    ("network-access", "new https.Server(f); new Server(f)", "a.js", [("high", 0.9, "Opens WebSocket connection")]),
+    ("dynamic-require", "require(('x')); require('x' as const); require('y'!); require(<string>'z'); require(('x') satisfies string)", "a.ts", []),
+    ("dynamic-require", "require(x as string)", "a.ts", [("high", 0.85, "Dynamic require() with non-literal argument — module path determined at runtime")]),
+    ("dynamic-require", "require(`a${x}`)", "a.js", [("high", 0.85, "Dynamic require() with non-literal argument — module path determined at runtime")]),
+    ("dynamic-require", "require(); require.resolve(`y`); import.meta.url; load.require(x)", "a.js", []),
+    ("dynamic-require", "require(__dirname + '/x')", "a.js", [("high", 0.85, "Dynamic require() with non-literal argument — module path determined at runtime"), ("medium", 0.6, "require() with computed path (path.join/resolve or __dirname)")]),
+    ("filesystem-access", "f(a + '~/.npmrc'); f(c ? '~/.npmrc' : d); f(() => '~/.npmrc'); '~/.npmrc'.concat(x)", "a.js", []),
+    ("filesystem-access", "f('~/.npmrc' + b + c)", "a.js", [("high", 0.8, "References sensitive path: ~/.npmrc")]),
+    ("filesystem-access", "new F('~/.npmrc')", "a.js", [("high", 0.8, "References sensitive path: ~/.npmrc")]),
+    ("filesystem-access", "f({ p: '~/.npmrc' })", "a.js", [("high", 0.8, "References sensitive path: ~/.npmrc")]),
+    ("filesystem-access", "x = `~/.npmrc`", "a.js", []),
+    ("filesystem-access", "fs.unlinkSync(`~/.npmrc`)", "a.js", [("critical", 0.95, "Writes/deletes to sensitive path: ~/.npmrc")]),
+    ("filesystem-access", "promises.stat(p); import('fs').then(m => m.readdirSync(p))", "a.js", [("medium", 0.85, "Filesystem read operation: stat()"), ("medium", 0.85, "Filesystem read operation: readdirSync()")]),
+    ("process-spawn", "cp.exec(a - b); fork(c)", "a.js", [("critical", 0.85, "Spawns child process: fork()")]),
+    ("process-spawn", "execFile(f, [`a${b}`])", "a.js", [("critical", 0.85, "Spawns child process: execFile()")]),
+    ("process-spawn", "spawnSync((x, y), a * (b + c))", "a.js", [("critical", 0.95, "Command injection risk: spawnSync() called with dynamic string argument")]),
+    ("process-spawn", "import 'vm'; new Function; x.eval(y)", "a.js", [("critical", 1.0, 'Imports VM module "vm"'), ("critical", 0.95, "Creates function from string via Function constructor")]),
+    ("process-spawn", "import 'node:worker_threads'", "a.js", [("high", 0.9, "Imports worker_threads — can execute code in isolated threads")]),
+    ("env-access", "a = process.env; b = f(process.env); process.env.A.B", "a.js", [("info", 0.95, "Reads environment variable: A")]),
+    ("env-access", "let { A, B: { c }, D = f(1, 2), ...rest } = process.env", "a.js", [("medium", 0.95, "Destructures process.env: A, {c}, D, rest")]),
+    ("env-access", "Object.values(process.env); f(...process.env); Object.keys(env)", "a.js", [("high", 0.95, "Enumerates all environment variables via Object.values(process.env)")]),
+    ("env-access", "process.env[`HOME`]; process.env?.HOME", "a.js", [("high", 0.9, "Dynamic environment variable access with computed key"), ("info", 0.95, "Reads environment variable: HOME")]),
+    ("crypto-usage", "import c from 'crypto'; c.generateKeyPairSync(x); x.randomBytes(2)", "a.js", [("low", 0.8, 'Imports crypto module "crypto"'), ("low", 0.6, "Crypto operation: generateKeyPairSync()"), ("low", 0.6, "Crypto operation: randomBytes()")]),
+    ("crypto-usage", "import c from 'crypto'; import h from 'http'; c.scrypt(x); y.toString('base64')", "a.js", [("high", 0.8, 'Imports crypto module "crypto" (co-occurs with network access)'), ("high", 0.85, "Crypto operation scrypt() near network code (potential exfiltration prep)"), ("high", 0.8, "Base64 encoding near network code (potential data exfiltration)")]),
+    ("crypto-usage", "window.atob(x); Buffer.alloc(2, 'base64'); x.toString(`base64`)", "a.js", []),
+    ("obfuscation", "function f(window, [global], { process }) { window['a']; }", "a.js", []),
+    ("obfuscation", "globalThis[`x`]", "a.js", [("critical", 0.85, "Dynamic bracket notation access on globalThis (obfuscation technique)")]),
+    ("obfuscation", "eval(a - b)", "a.js", [("critical", 0.95, "eval() with string concatenation/template — obfuscated code execution")]),
+    ("obfuscation", "eval(('a' + b)); x.eval('a' + b); eval('a')", "a.js", []),
+    ("install-scripts", "axios.post(u); spawnSync(c)", "lib/preinstall/x.js", [("critical", 0.9, "Download-and-execute pattern: axios.post() with subsequent code execution in install script")]),
+    ("install-scripts", "fetch(u); run(c)", "postinstall.js", []),
+    ("install-scripts", "stream.pipeline(http.get(u), spawn(c))", "a.js", [("critical", 0.9, "Pipes downloaded content to execution or file write"), ("low", 0.3, "File has both network fetch and code execution (common in tools/servers)")]),
+    ("install-scripts", "p.catch(x => eval(x)); p.finally(eval)", "a.js", [("critical", 0.95, "Promise chain passes downloaded content directly to eval/Function")]),
+    ("install-scripts", "cp.exec(`wget ${u}`)", "a.js", [("critical", 0.95, "Shell execution with download command: exec() contains URL or curl/wget")]),
 ]
 
 
@@ -124,3 +164,38 @@ def test_files_that_cannot_be_scanned_are_counted(spark, monkeypatch):
     facts = code_facts.facts(files)
     assert [(r.failed, len(r.calls)) for r in facts.collect()] == [(False, 0)] * 2
     assert code_facts.unscanned(facts).count() == 0
+
+
+def test_functions_scopes_and_categories(spark):
+    code = "function a<T>(x: T, { y }, ...z): void { fs.readFile(x); const b = async q => { cp.exec(q); exec(q) }; fetch(u) }\nclass C { m(p) { return function n(r) { eval(r) } } get g() { rm(1) } }\nnew Worker(w); other(1)"
+    facts = code_facts.facts(spark.createDataFrame([("p", "a.ts", code, False)], FILES)).cache()
+    calls = [(r.expression, r.category, r.scope) for r in code_facts.file_calls(facts).orderBy("pos").collect()]
+    assert calls == [("fs.readFile", "filesystem-access", "a"), ("cp.exec", None, "b"), ("exec", "process-spawn", "b"), ("fetch", "network-access", "a"), ("eval", "process-spawn", "m"), ("rm", "filesystem-access", ""), ("other", None, "")]
+    functions = {(r.name, tuple(r.parameters), r.line, r.column, r.first_line, r.last_line) for r in code_facts.file_functions(facts).collect()}
+    assert functions == {("a", ("x", "{y}", "z"), 1, 1, 1, 1), ("b", ("q",), 1, 64, 1, 1), ("m", ("p",), 2, 11, 2, 2)}
+    assert {r.module: r.names for r in code_facts.facts(spark.createDataFrame([("p", "a.ts", "import d, { x as y, type Z } from 'm'; import * as n from 'n'", False)], FILES)).first().imports} == {"m": ["x", "Z"], "n": []}
+
+
+def test_reading_takes_time_in_proportion():
+    import time
+
+    from thornwick.functions.lexer import scan
+
+    line = "const f{k} = (a, b) => fetch(`https://x.io/${{a}}`, {{b: [1, 'two', b + 'c']}}).then(r => r.json()).catch(e => {{ log(e, {k}) }});\n"
+    took = []
+    for n in (500, 4000):
+        code, best = "".join(line.format(k=k) for k in range(n)), 1e9
+        for _ in range(2):
+            t = time.perf_counter()
+            assert len(scan(code).calls) == 5 * n
+            best = min(best, time.perf_counter() - t)
+        took.append(best)
+    assert took[1] < 8 * 2.5 * took[0]
+
+
+@pytest.mark.parametrize("part", ["(", "f(", "[", "{", "a?b:", "`${", "a=>", "x+", ".g()", "if(a){", "<", "x<", "a:(b", "async(", "(a):", "class A{m(){", "case", "let{", "import{", "@", "new ", "...", "=>", "}", "`", "'", "/", "\\"])
+def test_any_text_is_read(part):
+    from thornwick.functions.lexer import scan
+
+    scan(part * 400)
+    scan("x" + part * 100 + ")" * 50 + "; fetch(u)")

@@ -67,7 +67,7 @@ def test_lexer():
     calls = {c.expression: (c.arguments, c.kinds, c.is_new) for c in f.calls}
     assert calls["WebSocket"][2] and calls["a.b.c"] == (["1", "'two'", "x + 'y'"], ["number", "string", "concat"], False) and calls["eval"][1] == ["template"]
     assert [(v, form) for v, form, *_ in f.env] == [(["A", "B"], "destructured"), ([], "computed"), (["X_TOKEN"], "literal"), ([], "Object.keys"), ([], "spread")]
-    assert ("go", ["p", "q"]) in [(n, p) for n, p, _ in f.functions]
+    assert ("go", ["p", "q"]) in [(n, p) for n, p, *_ in f.functions]
     for broken in ("`${", "'abc", "/* x", "((((", "}}}", "import", "process.env", ""):
         lexer.scan(broken)
 

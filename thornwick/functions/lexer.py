@@ -1,35 +1,16 @@
-"""A small scanner of JavaScript and TypeScript: imports, calls, environment accesses, functions and literals of a file.
-
-It knows comments, strings, templates (with expressions inside) and regular-expression literals, and matches brackets; it
-builds no tree. What differs from a full parser: types and decorators are read as plain tokens, and an argument is its text.
-"""
+"""Facts of a JavaScript or TypeScript file, read from its tree: imports, calls, environment accesses, functions, literals."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
-_TOKEN = re.compile(
-    r"""(?P<space>[\s﻿]+)|(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>'(?:\\.|[^'\\\n])*'?|"(?:\\.|[^"\\\n])*"?)|(?P<name>[A-Za-z_$][\w$]*|\#[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)|(?P<punct>\.\.\.|=>|\?\.|===|!==|==|!=|&&|\|\||\?\?|.)""",
-    re.S,
-)
-_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
-_VALUE_END = (")", "]", "}")
-_OPERATOR_WORDS = frozenset("return typeof case in of delete void throw new else do instanceof yield await".split())
-_NOT_CALLS = frozenset("if for while switch catch function return typeof void in of await yield with super".split())
-
-
-@dataclass
-class Token:
-    kind: str  # string, template, name, number, punct, regex
-    text: str
-    start: int
-    end: int
-
+from thornwick.functions.syntax import Tree, unquoted
 
 #: What detectors ask of an argument's whole text.
 MARKS = ("http://", "https://", "curl ", "wget ", "exec", "spawn", "createWriteStream", "eval(", "Function(", "path.join", "path.resolve", "__dirname", "__filename")
-_HOSTS = (re.compile(r"""https?://([^/'"\s:]+)"""), re.compile(r"""\b(?:hostname|host)\s*:\s*['"`]([^'"`]+)['"`]"""))
+_URL, _HOST = re.compile(r"""https?://([^/'"\s:]+)"""), re.compile(r"""\b(?:hostname|host)\s*:\s*['"`]([^'"`]+)['"`]""")
 
 
 @dataclass
@@ -42,6 +23,7 @@ class Call:
     hosts: list[str]  # hosts in the arguments, each as number:host
     at: int
     text: str
+    scope: str  # the named function around it
 
 
 @dataclass
@@ -49,8 +31,8 @@ class Facts:
     imports: list[tuple[str, list[str], str | None, bool, int, str]] = field(default_factory=list)  # module, names, default, by require, offset, text
     calls: list[Call] = field(default_factory=list)
     env: list[tuple[list[str], str, int, str]] = field(default_factory=list)  # variables, form, offset, text
-    functions: list[tuple[str, list[str], int]] = field(default_factory=list)
-    literals: list[tuple[str, str, bool, int]] = field(default_factory=list)  # kind, text, an argument or a part of one, offset
+    functions: list[tuple[str, list[str], int, int, int]] = field(default_factory=list)  # name, parameters, offset, start and end of the body
+    literals: list[tuple[str, str, str, str, int]] = field(default_factory=list)  # kind, text, kinds of parent and grandparent, offset
     elements: list[tuple[str, str, str, int, str]] = field(default_factory=list)  # object, key, kind of key, offset, text
     declared: set[str] = field(default_factory=set)
 
@@ -60,200 +42,109 @@ def cut(text: str, most: int = 120) -> str:
     return text if len(text) <= most else text[: most - 3] + "..."
 
 
-def tokens(code: str) -> list[Token]:
-    out: list[Token] = []
-    i, n = 0, len(code)
-    while i < n:
-        c = code[i]
-        if c == "`":
-            j = _template_end(code, i)
-            out.append(Token("template", code[i:j], i, j))
-            i = j
-            continue
-        if c == "/" and not code.startswith(("//", "/*"), i):
-            last = out[-1] if out else None
-            value = last and (last.kind in ("string", "template", "number", "regex") or last.kind == "name" and last.text not in _OPERATOR_WORDS or last.text in _VALUE_END)
-            m = None if value else _REGEX.match(code, i)
-            if m:
-                out.append(Token("regex", m[0], i, m.end()))
-                i = m.end()
-                continue
-        m = _TOKEN.match(code, i)
-        kind = m.lastgroup
-        if kind not in ("space", "comment"):
-            out.append(Token(kind, m[0], i, m.end()))
-        i = m.end()
-    return out
-
-
-def _template_end(code: str, i: int) -> int:
-    j, depth = i + 1, 0
-    while j < len(code):
-        if code[j] == "\\":
-            j += 2
-            continue
-        if depth == 0 and code[j] == "`":
-            return j + 1
-        if code.startswith("${", j):
-            depth += 1
-            j += 2
-            continue
-        if depth and code[j] == "}":
-            depth -= 1
-        elif depth and code[j] == "`":
-            j = _template_end(code, j)
-            continue
-        j += 1
-    return len(code)
+class _Marks:
+    """Where marks and hosts stand in a file, found once and looked up by range."""
 
+    def __init__(self, code: str) -> None:
+        self.at: list[list[int]] = []
+        for m in MARKS:
+            places, k = [], code.find(m)
+            while k >= 0:
+                places.append(k)
+                k = code.find(m, k + 1)
+            self.at.append(places)
+        self.hosts = [[(m.start(), m.start(1), m.end(), m[1]) for m in p.finditer(code)] for p in (_URL, _HOST)]
 
-def _unquoted(text: str) -> str:
-    return text[1:-1] if len(text) > 1 and text[-1] == text[0] else text[1:]
+    def marks(self, s: int, e: int) -> list[str]:
+        return [m for m, places in zip(MARKS, self.at, strict=True) if (k := bisect_left(places, s)) < len(places) and places[k] + len(m) <= e]
 
-
-def _kind(part: list[Token]) -> str:
-    """What an argument is: string, template, concat (a binary + with a literal), call, name, other, or none."""
-    if not part:
-        return "none"
-    if len(part) == 1:
-        if part[0].kind == "template":
-            return "template" if "${" in part[0].text else "string"
-        return part[0].kind if part[0].kind in ("string", "name", "number") else "other"
-    depth = 0
-    for t in part:
-        depth += t.text in ("(", "[", "{") and t.kind == "punct"
-        depth -= t.text in (")", "]", "}") and t.kind == "punct"
-        if t.kind == "punct" and t.text == "+" and depth == 0:
-            return "concat"
-    return "call" if any(t.text == "(" for t in part) else "other"
+    def found(self, s: int, e: int) -> list[str]:
+        """The first host of each form; one of a URL may be cut by the end."""
+        out = []
+        for url, known in zip((True, False), self.hosts, strict=True):
+            k = bisect_left(known, (s,))
+            if k < len(known) and (known[k][1] < e if url else known[k][2] <= e):
+                out.append(known[k][3][: max(1, e - known[k][1])])
+        return out
 
 
 def scan(code: str, most: int = 200) -> Facts:
-    ts = tokens(code)
-    facts = Facts()
-    match: dict[int, int] = {}
-    open_at: list[int] = []
-    call_depth: list[bool] = []
-    for k, t in enumerate(ts):
-        if t.kind == "punct" and t.text in "([{":
-            open_at.append(k)
-            call_depth.append(t.text == "(" and k > 0 and (ts[k - 1].kind == "name" and ts[k - 1].text not in _NOT_CALLS or ts[k - 1].text in (")", "]")))
-        elif t.kind == "punct" and t.text in ")]}" and open_at:
-            match[open_at.pop()] = k
-            call_depth.pop()
-        elif t.kind in ("string", "template"):
-            inner = call_depth[-1:] == [True] or len(open_at) > 1 and ts[open_at[-1]].text == "[" and call_depth[-2]
-            kind = "template" if t.kind == "template" and "${" in t.text else "plain template" if t.kind == "template" else "string"
-            facts.literals.append((kind, _unquoted(t.text), inner, t.start))
-    text = lambda k: ts[k].text if 0 <= k < len(ts) else ""
-    for k, t in enumerate(ts):
-        if t.kind == "name" and t.text in ("const", "let", "var", "class") and k + 1 < len(ts) and ts[k + 1].kind == "name":
-            facts.declared.add(text(k + 1))
-        if t.kind == "name" and t.text == "import" and text(k - 1) != "." and text(k + 1) not in ("(", "."):
-            _import(ts, k, facts, code)
-        if t.kind == "name" and t.text == "function":
-            at = k + 1 + (text(k + 1) == "*")
-            name = text(at) if at < len(ts) and ts[at].kind == "name" else ""
-            p = at + bool(name)
-            if text(p) == "(" and p in match:
-                facts.functions.append((name or "anonymous", _names(ts[p + 1 : match[p]]), t.start))
-                if name:
-                    facts.declared.add(name)
-        if t.text == "=>" and k:
-            first = k - 1
-            if text(first) == ")":
-                first = next((o for o, c in match.items() if c == first), first)
-            name = text(first - 2) if text(first - 1) == "=" else "anonymous"
-            facts.functions.append((name, _names(ts[first:k]), ts[first].start))
-        if t.kind == "name" and t.text == "env" and text(k - 1) in (".", "?.") and text(k - 2) == "process":
-            _environment(ts, k, match, facts, code)
-        if t.text == "[" and k and k in match and (ts[k - 1].kind == "name" and text(k - 1) not in _OPERATOR_WORDS):
-            inner = ts[k + 1 : match[k]]
-            if inner:
-                name = text(k - 1) if text(k - 2) not in (".", "?.") else f".{text(k - 1)}"
-                key = _unquoted(inner[0].text) if len(inner) == 1 and inner[0].kind == "string" else code[inner[0].start : inner[-1].end][:most]
-                facts.elements.append((name, key, _kind(inner), ts[k - 1].start, cut(code[ts[k - 1].start : ts[match[k]].end])))
-        if t.text == "(" and t.kind == "punct" and k and k in match and (ts[k - 1].kind == "name" and ts[k - 1].text not in _NOT_CALLS):
-            first = k - 1
-            while first - 2 >= 0 and text(first - 1) in (".", "?.") and (ts[first - 2].kind == "name" or text(first - 2) in (")", "]")):
-                first -= 2
-                if text(first) in (")", "]"):
-                    first = next((o for o, c in match.items() if c == first), first)
-                    if first and ts[first - 1].kind == "name":
-                        first -= 1
-            if text(first - 1) == "function" or text(k - 2) == "function":
+    t, facts, marks = Tree(code), Facts(), _Marks(code)
+    start, end = (lambda k: t.start[t.first[k]]), (lambda k: t.end[t.last[k]])
+    text = lambda k: code[start(k) : end(k)]
+
+    def squeezed(k: int) -> str:
+        """A callee's text without white space, of a long one its beginning and its last name."""
+        whole = re.sub(r"\s+", "", code[start(k) : min(end(k), start(k) + 400)])
+        return whole if end(k) - start(k) <= 400 else f"{whole[:200]}.{t.text[t.last[k]]}"
+
+    def kind(k: int) -> str:
+        """What an argument is: string, plain (template), template, concat (adds something), literal (a wrapped string or plain template) or the node's kind."""
+        of = t.kinds[k]
+        if of == "binary":
+            p = bisect_left(t.plus, t.first[k])
+            return "concat" if p < len(t.plus) and t.plus[p] <= t.last[k] else "binary"
+        inner = k
+        while t.kinds[inner] == "wrapped" and (below := t.info[inner]) is not None:
+            inner = below
+        return "literal" if of == "wrapped" and t.kinds[inner] in ("string", "plain") else of
+
+    env = {k for k, of in enumerate(t.kinds) if of == "property" and t.text[t.last[k]] == "env" and text(k) == "process.env"}
+    scopes = _scopes(t)
+    for module, names, default, first, last in t.imports:
+        semicolon = last + 1 < t.n and t.text[last + 1] == ";"
+        facts.imports.append((module, names, default, False, t.start[first], cut(code[t.start[first] : t.end[last + semicolon]])))
+    for k, of in enumerate(t.kinds):
+        if of in ("string", "plain", "template"):
+            up = t.parent[k]
+            over = t.parent[up] if up >= 0 else -1
+            facts.literals.append((of, unquoted(text(k)), t.kinds[up] if up >= 0 else "", t.kinds[over] if over >= 0 else "", start(k)))
+        elif of in ("call", "new"):
+            callee, arguments = t.info[k]
+            expression, kinds = squeezed(callee), [kind(a) for a in arguments]
+            shown = [text(a) if x in ("string", "plain", "template") else code[start(a) : min(end(a), start(a) + most)] for a, x in zip(arguments, kinds, strict=True)]
+            held = [f"{i}:{m}" for i, a in enumerate(arguments) for m in marks.marks(start(a), end(a))]
+            hosts = [f"{i}:{h}" for i, a in enumerate(arguments) for h in marks.found(start(a), end(a))]
+            whole = cut(code[start(k) : min(end(k), start(k) + 200)])
+            facts.calls.append(Call(expression, shown, kinds, of == "new", held, hosts, start(k), whole, scopes(t.first[k])))
+            if of == "call" and t.kinds[callee] == "name" and expression == "require" and kinds[:1] == ["string"]:
+                facts.imports.append((unquoted(shown[0]), [], None, True, start(k), whole))
+            if expression in ("Object.keys", "Object.entries", "Object.values") and arguments and arguments[0] in env:
+                facts.env.append(([], expression, start(k), cut(text(k))))
+        elif of == "element":
+            obj, key, first, last = t.info[k]
+            if key is None:
                 continue
-            if text(match[k] + 1) == "{" and text(first - 1) in ("{", "}", ";", "async", "get", "set", "static", "") and text(k - 1) != "require":
-                continue  # a method's definition
-            parts, depth, part = [], 0, []
-            for a in ts[k + 1 : match[k]]:
-                if a.kind == "punct" and a.text in "([{":
-                    depth += 1
-                elif a.kind == "punct" and a.text in ")]}":
-                    depth -= 1
-                if a.text == "," and a.kind == "punct" and depth == 0:
-                    parts.append(part)
-                    part = []
-                else:
-                    part.append(a)
-            if part or parts:
-                parts.append(part)
-            expression = re.sub(r"\s+", "", code[ts[first].start : ts[k - 1].end])
-            is_new = text(first - 1) == "new"
-            start = ts[first - is_new].start
-            whole = cut(code[start : min(ts[match[k]].end, start + 200)])
-            texts, kinds = [code[p[0].start : p[-1].end] if p else "" for p in parts], [_kind(p) for p in parts]
-            marks = [f"{i}:{m}" for i, x in enumerate(texts) for m in MARKS if m in x]
-            hosts = [f"{i}:{m[1]}" for i, x in enumerate(texts) for p in _HOSTS if (m := p.search(x))]
-            shown = [x if kind in ("string", "template") else x[:most] for x, kind in zip(texts, kinds, strict=True)]
-            facts.calls.append(Call(expression, shown, kinds, is_new, marks, hosts, start, whole))
-            if expression == "require" and parts and kinds[0] == "string" and not is_new:
-                facts.imports.append((_unquoted(texts[0]), [], None, True, start, whole))
+            named = t.kinds[key] == "string"
+            inner = unquoted(text(key)) if named else code[t.start[first] : t.end[last]][:most]
+            facts.elements.append((code[start(obj) : min(end(obj), start(obj) + most)], inner, kind(key), start(k), cut(text(k))))
+            if obj in env:
+                facts.env.append(([inner] if named else [], "literal" if named else "computed", start(k), cut(text(k))))
+        elif of == "property" and t.info[k] in env:
+            facts.env.append(([t.text[t.last[k]]], "property", start(k), cut(text(k))))
+        elif of == "spread property" and any(t.parent[e] == k for e in env):
+            facts.env.append(([], "spread", start(k), cut(text(k))))
+        elif of == "declaration" and t.info[k][2] in env:
+            name, bound, _ = t.info[k]
+            facts.env.append((bound or [], "destructured" if bound is not None else "alias", start(k), cut(text(k))))
+    facts.functions = [(name, names, t.start[first], t.start[s], t.end[e]) for name, names, first, s, e in t.functions if name]
+    facts.declared = t.declared
+    for rows, at in ((facts.calls, lambda x: x.at), (facts.imports, lambda x: x[4]), (facts.env, lambda x: x[2]), (facts.literals, lambda x: x[4]), (facts.elements, lambda x: x[3])):
+        rows.reverse()  # of those that begin together the outer one is first
+        rows.sort(key=at)
     return facts
 
 
-def _names(ts: list[Token]) -> list[str]:
-    return [t.text for t in ts if t.kind == "name"]
-
-
-def _import(ts: list[Token], k: int, facts: Facts, code: str) -> None:
-    names: list[str] = []
-    default, j, braces = None, k + 1, False
-    while j < len(ts) and j < k + 200 and ts[j].text != ";":
-        t = ts[j]
-        if t.kind == "string":
-            end = t.end + (j + 1 < len(ts) and ts[j + 1].text == ";")
-            facts.imports.append((_unquoted(t.text), names, default, False, ts[k].start, cut(code[ts[k].start : end])))
-            return
-        braces = (braces or t.text == "{") and t.text != "}"
-        if t.kind == "name" and t.text not in ("from", "as", "type"):
-            if braces:
-                names.append(t.text)
-            elif default is None and ts[j - 1].text != "as":
-                default = t.text
-        j += 1
-
-
-def _environment(ts: list[Token], k: int, match: dict[int, int], facts: Facts, code: str) -> None:
-    text = lambda i: ts[i].text if 0 <= i < len(ts) else ""
-    at = ts[k - 2].start
-    after = text(k + 1)
-    shown = lambda first, last: cut(code[ts[first].start : ts[last].end])
-    if after in (".", "?.") and k + 2 < len(ts) and ts[k + 2].kind == "name":
-        facts.env.append(([text(k + 2)], "property", at, shown(k - 2, k + 2)))
-    elif after == "[" and k + 1 in match:
-        inner = ts[k + 2 : match[k + 1]]
-        literal = len(inner) == 1 and inner[0].kind == "string"
-        facts.env.append(([_unquoted(inner[0].text)] if literal else [], "literal" if literal else "computed", at, shown(k - 2, match[k + 1])))
-    elif text(k - 3) == "...":
-        facts.env.append(([], "spread", ts[k - 3].start, shown(k - 3, k)))
-    elif text(k - 3) == "(" and re.fullmatch(r"keys|entries|values", text(k - 4)) and text(k - 6) == "Object":
-        facts.env.append(([], f"Object.{text(k - 4)}", ts[k - 6].start, shown(k - 6, match.get(k - 3, k))))
-    elif text(k - 3) == "=":
-        if text(k - 4) == "}":
-            first = next((o for o, c in match.items() if c == k - 4), k - 4)
-            # of a renamed or defaulted one, the name it gets
-            names = [t.text for i, t in enumerate(ts[first + 1 : k - 4], first + 1) if t.kind == "name" and text(i + 1) in (",", "}", "=")]
-            facts.env.append((names, "destructured", ts[first].start, shown(first, k)))
-        else:
-            facts.env.append(([], "alias", ts[k - 4].start, shown(k - 4, k)))
+def _scopes(t: Tree):
+    """The name of the innermost named function whose body holds a token."""
+    edges: list[tuple[int, str]] = [(-1, "")]
+    stack: list[tuple[int, str]] = [(t.n + 1, "")]
+    for name, _, _, s, e in sorted((f for f in t.functions if f[0]), key=lambda f: f[3]):
+        while stack[-1][0] < s:
+            edges.append((stack.pop()[0] + 1, stack[-1][1]))
+        edges.append((s, name))
+        stack.append((e, name))
+    while len(stack) > 1:
+        edges.append((stack.pop()[0] + 1, stack[-1][1]))
+    places = [k for k, _ in edges]
+    return lambda k: edges[bisect_right(places, k) - 1][1]

@@ -298,6 +298,13 @@ TAINT_SINKS = (
     ("spawnSync", "child_process.spawnSync", "critical"), ("WebSocket.send", "WebSocket.send", "high"), ("request", "request", "high"), ("superagent", "superagent", "high"),
     ("undici.fetch", "undici.fetch", "high"), ("undici.request", "undici.request", "high"),
 )
+#: The category of a call by its last name.
+CALL_CATEGORIES = {
+    **dict.fromkeys(("readFile", "readFileSync", "writeFile", "writeFileSync", "unlink", "unlinkSync", "readdir", "readdirSync", "mkdir", "mkdirSync", "rmSync", "rm", "createReadStream", "createWriteStream"), "filesystem-access"),
+    **dict.fromkeys(("fetch", "request"), "network-access"),
+    **dict.fromkeys(("exec", "execSync", "spawn", "spawnSync", "execFile", "execFileSync", "fork", "eval"), "process-spawn"),
+    **dict.fromkeys(("createHash", "createCipher", "createCipheriv", "createHmac", "btoa", "atob"), "crypto-usage"),
+}
 SERVER_CALLS = ("http.createServer", "https.createServer", "net.createServer", "dgram.createSocket")
 ENCODING_CALL = r"toString.*base64|btoa|atob|JSON\.stringify|encodeURI|Buffer\.from|Buffer\.alloc|\.toString\(|createHash|createHmac"
 LOCAL_HOST = r"\b(localhost|127\.\d+\.\d+\.\d+|0\.0\.0\.0|::1)\b"

@@ -18,9 +18,9 @@ from thornwick.functions.text import java
 
 FACTS = (
     "pkg string, file string, is_fixture boolean, failed boolean, guarded boolean, imports array<struct<module:string,names:array<string>,default:string,required:boolean,line:int,column:int,text:string>>,"
-    " calls array<struct<expression:string,arguments:array<string>,kinds:array<string>,is_new:boolean,marks:array<string>,hosts:array<string>,line:int,column:int,text:string>>,"
+    " calls array<struct<expression:string,arguments:array<string>,kinds:array<string>,is_new:boolean,marks:array<string>,hosts:array<string>,line:int,column:int,text:string,scope:string>>,"
     " env array<struct<variables:array<string>,form:string,line:int,column:int,text:string>>,"
-    " functions array<struct<name:string,parameters:array<string>,line:int,column:int>>, literals array<struct<kind:string,text:string,in_call:boolean,line:int,column:int>>,"
+    " functions array<struct<name:string,parameters:array<string>,line:int,column:int,first_line:int,last_line:int>>, literals array<struct<kind:string,text:string,parent:string,grandparent:string,line:int,column:int>>,"
     " elements array<struct<object:string,key:string,kind:string,line:int,column:int,text:string>>, declared array<string>, long_lines array<struct<line:int,column:int,length:int,text:string>>"
 )
 
@@ -80,10 +80,10 @@ def facts(files: DataFrame) -> DataFrame:
                 "failed": failed,
                 "guarded": bool(_GUARD.search(code)),
                 "imports": [{"module": m, "names": n, "default": d, "required": q, "text": x} | at(o) for m, n, d, q, o, x in found.imports],
-                "calls": [{"expression": c.expression, "arguments": c.arguments, "kinds": c.kinds, "is_new": c.is_new, "marks": c.marks, "hosts": c.hosts, "text": c.text} | at(c.at) for c in found.calls],
+                "calls": [{"expression": c.expression, "arguments": c.arguments, "kinds": c.kinds, "is_new": c.is_new, "marks": c.marks, "hosts": c.hosts, "text": c.text, "scope": c.scope} | at(c.at) for c in found.calls],
                 "env": [{"variables": v, "form": f, "text": x} | at(o) for v, f, o, x in found.env],
-                "functions": [{"name": n, "parameters": p} | at(o) for n, p, o in found.functions],
-                "literals": [{"kind": k, "text": x, "in_call": c} | at(o) for k, x, c, o in found.literals],
+                "functions": [{"name": n, "parameters": p, "first_line": at(s)["line"], "last_line": at(e - 1)["line"]} | at(o) for n, p, o, s, e in found.functions],
+                "literals": [{"kind": k, "text": x, "parent": p, "grandparent": g} | at(o) for k, x, p, g, o in found.literals],
                 "elements": [{"object": b, "key": e, "kind": k, "text": x} | at(o) for b, e, k, o, x in found.elements],
                 "declared": sorted(found.declared),
                 "long_lines": packed_lines(code),
@@ -196,12 +196,12 @@ def filesystem(df: DataFrame) -> DataFrame:
     before = F.coalesce(F.try_element_at(F.split(expression, r"\."), F.lit(-2)), F.lit(""))
     known = _imports(t.MODULES["filesystem"]) | expression.rlike(r"^(?:fs|fsp|fsPromises|fse|gracefulFs)\b") | before.rlike(r"^promises\b")
     some = calls.filter(name.isin(*FS_WRITES, *FS_READS) & (known | F.contains(expression, F.lit("."))))
-    texts = F.transform(F.arrays_zip("x.arguments", "x.kinds"), lambda a: F.struct(a["kinds"].alias("kind"), F.when(a["kinds"] == "string", F.regexp_replace(a["arguments"], r"^.|.\z", "")).otherwise(_short(a["arguments"])).alias("shown"), (a["kinds"].isin("string", "template") & _touches(a["arguments"])).alias("touches")))
+    texts = F.transform(F.arrays_zip("x.arguments", "x.kinds"), lambda a: F.struct(a["kinds"].alias("kind"), F.when(a["kinds"].isin("string", "plain"), F.regexp_replace(a["arguments"], r"^.|.\z", "")).otherwise(_short(a["arguments"])).alias("shown"), (a["kinds"].isin("string", "plain", "template") & _touches(a["arguments"])).alias("touches")))
     some = some.withColumn("path", F.try_element_at(F.filter(texts, lambda a: a["touches"]), F.lit(1))["shown"])
     write, touched = name.isin(*FS_WRITES), F.col("path").isNotNull()
     severity = F.when(touched & write, "critical").when(touched, "high").otherwise("medium")
     said = F.when(touched & write, _said("Writes/deletes to sensitive path: ", F.col("path"))).when(touched, _said("Reads from sensitive path: ", F.col("path"))).when(write, _said("Filesystem write/delete operation: ", name, "()")).otherwise(_said("Filesystem read operation: ", name, "()"))
-    stray = _each(df, "literals").filter((F.col("x.kind") == "string") & ~F.col("x.in_call") & _touches(F.col("x.text")))
+    stray = _each(df, "literals").filter((F.col("x.kind") == "string") & (F.col("x.parent") != "call") & (F.col("x.grandparent") != "call") & _touches(F.col("x.text")))
     return _union(
         _by_import(t.MODULES["filesystem"], "filesystem module", df, c),
         _found(some, "x", c, severity, F.when(touched, 0.95).otherwise(0.85), said),
@@ -320,13 +320,13 @@ def obfuscation(df: DataFrame) -> DataFrame:
     count = lambda x: F.col(x).cast("string")
     text = _short(F.col("x.text"), 120)
     string = F.col("x.kind") == "string"
-    evaluated = _calls(df).filter((F.col("x.expression") == "eval") & F.coalesce(F.get("x.kinds", F.lit(0)).isin("concat", "template"), F.lit(False)))
+    evaluated = _calls(df).filter((F.col("x.expression") == "eval") & F.coalesce(F.get("x.kinds", F.lit(0)).isin("concat", "binary", "template"), F.lit(False)))
     return _union(
         _found(few, "x", c, "high", 0.6, "Uses String.fromCharCode (potential string obfuscation)"),
         _found(many, "x", c, "critical", 0.9, _said("Heavy String.fromCharCode usage (", count("n"), " calls) — likely obfuscated strings")),
         _found(access, "x", c, "critical", F.when(named, 0.9).otherwise(0.85), F.when(named, _said("Bracket notation access: ", "x.object", "['", "x.key", "'] (obfuscation technique to evade static analysis)")).otherwise(_said("Dynamic bracket notation access on ", "x.object", " (obfuscation technique)"))),
         _found(literals.filter(string & (F.col("hexes") > 3)), "x", c, "critical", 0.85, _said("Hex-escaped string with ", count("hexes"), " escape sequences (obfuscated content)"), text),
-        _found(literals.filter((F.col("x.kind") == "plain template") & (F.col("hexes") > 3)), "x", c, "critical", 0.85, _said("Hex-escaped template literal with ", count("hexes"), " escape sequences"), text),
+        _found(literals.filter((F.col("x.kind") == "plain") & (F.col("hexes") > 3)), "x", c, "critical", 0.85, _said("Hex-escaped template literal with ", count("hexes"), " escape sequences"), text),
         _found(_each(df, "long_lines"), "x", c, "critical", 0.75, _said("Very long single-line expression (", F.col("x.length").cast("string"), " chars) — possibly minified or obfuscated code")),
         _found(evaluated, "x", c, "critical", 0.95, "eval() with string concatenation/template — obfuscated code execution"),
         _found(literals.filter(string & (F.col("codes") > 3) & (F.col("plain") > 3)), "x", c, "critical", 0.85, _said("Unicode-escaped string with ", count("plain"), " ASCII-identifier escapes (string obfuscation)"), text),
@@ -361,7 +361,7 @@ def install_scripts(df: DataFrame) -> DataFrame:
 def dynamic_require(df: DataFrame) -> DataFrame:
     c = "dynamic-require"
     calls = _calls(df).filter(F.size("x.arguments") > 0)
-    expression, computed = F.col("x.expression"), F.get("x.kinds", F.lit(0)) != "string"
+    expression, computed = F.col("x.expression"), ~F.get("x.kinds", F.lit(0)).isin("string", "plain", "literal")
     pathed = F.exists("x.marks", lambda m: m.isin("0:path.join", "0:path.resolve", "0:__dirname", "0:__filename"))
     rows = lambda name: calls.filter((expression == name) & computed)
     return _union(
@@ -414,5 +414,18 @@ def file_imports(found: DataFrame) -> DataFrame:
     return found.select("pkg", "file", F.explode("imports").alias("x")).select("pkg", "file", "x.module", "x.line")
 
 
+def call_category(expression: Column) -> Column:
+    """The category of a known call by its last name, null for others; exec of an object may be anything's."""
+    name = _last(expression)
+    known = F.try_element_at(F.create_map(*[F.lit(x) for kv in t.CALL_CATEGORIES.items() for x in kv]), name)
+    return F.when((name == "exec") & F.contains(expression, F.lit(".")), F.lit(None)).otherwise(known)
+
+
 def file_calls(found: DataFrame) -> DataFrame:
-    return found.select("pkg", "file", F.posexplode("calls").alias("pos", "x")).select("pkg", "file", "pos", "x.line", "x.expression")
+    calls = found.select("pkg", "file", F.posexplode(F.filter("calls", lambda c: ~c["is_new"])).alias("pos", "x"))
+    return calls.select("pkg", "file", "pos", "x.line", "x.expression", call_category(F.col("x.expression")).alias("category"), "x.scope")
+
+
+def file_functions(found: DataFrame) -> DataFrame:
+    """Named functions, functions held by variables, and methods, with the lines of their bodies."""
+    return found.select("pkg", "file", F.explode("functions").alias("x")).select("pkg", "file", "x.*")
