@@ -80,7 +80,7 @@ def test_rule_tables_compile():
 
 def test_offsets_of_many_matches(spark):
     """Offsets equal Python's for counts around the block size, and the words that a pattern needs are in every match."""
-    for n in (0, 1, 63, 64, 65, 129, 1000):
+    for n in (0, 1, 31, 32, 33, 63, 129, 511, 512, 513, 1025, 3000):
         content = "é" + "".join("ab" + "x" * (k % 5) for k in range(n)) + "z"
         got = one(spark, F.transform(text.matches(F.col("c"), "ab?"), lambda m: m["at"]), c=content)
         assert got == [m.start() for m in re.finditer("ab?", content)]
@@ -104,3 +104,40 @@ def test_needed_words():
                 checked += 1
                 assert not words or any(w in (m[0].lower() if "i" in flags else m[0]) for w in words), (p, m[0])
     assert checked > 500
+
+
+def test_index_equals_looking_back(spark):
+    r = random.Random(5)
+    for n in (0, 1, 30, 5000, 9000):
+        content = "".join(r.choice(["\n", "```", "# Usage é\n", "## x ", "word ", "é", "``", "#", " "]) for _ in range(n))
+        rows = [(content, k) for k in sorted({0, len(content), *(r.randint(0, len(content)) for _ in range(40))})]
+        frame = spark.createDataFrame(rows, "c string, at int")
+        ix, at = F.col("ix"), F.col("at")
+        cut = text.bind(text.line_span(ix, at), lambda s: text.cut_at(ix, s["start"], s["end"] - s["start"]))
+        found = frame.select("c", "at", text.indexed(F.col("c"), headings=True).alias("ix")).select(
+            "c", "at", text.line_of(ix, at).alias("line"), cut.alias("whole"), text.fenced_at(ix, at).alias("fenced"), text.heading_before(ix, at).alias("heading"), text.cut_at(ix, at, F.lit(300)).alias("part"),
+            text.line_at(F.col("c"), at).alias("line0"), text.in_fence(F.col("c"), at).alias("fenced0"), text.last_heading(F.col("c"), at).alias("heading0"),
+        )
+        for x in found.collect():
+            assert (x.line, x.fenced, x.heading) == (x.line0, x.fenced0, x.heading0), (n, x.at)
+            assert x.part == content[x.at : x.at + 300] and x.whole == content[: x.at].split("\n")[-1] + content[x.at :].split("\n")[0]
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    import time
+
+    from thornwick.operators import code_rules, prompts
+
+    took = []
+    for n in (1_000, 8_000):
+        content = "\n".join(f"line {k} eval(x) <!-- a note --> jailbreak" for k in range(n))
+        files = spark.createDataFrame([("p", "a.md", content, False, False)], "pkg string, path string, content string, is_priority boolean, is_fixture boolean").cache()
+        files.count()
+        best = []
+        for f in (lambda: prompts.detect(files, ("hidden-text", "persona-hijack")), lambda: code_rules.detect(files)):
+            t = time.perf_counter()
+            rows = f().select("line", "column").collect()
+            best.append(time.perf_counter() - t)
+            assert sorted({x.line for x in rows})[-1] == n and len({x.column for x in rows}) <= 30
+        took.append(best)
+    assert all(b < 8 * 3 * max(a, 1.0) for a, b in zip(*took, strict=True)), took

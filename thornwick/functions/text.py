@@ -102,29 +102,28 @@ def may_match(text: Column, pattern: str, flags: str = "") -> Column:
 def matches(text: Column, pattern: str, flags: str = "") -> Column:
     """All matches as array<struct<at, text>>; `at` counts code points before the match. The pattern never matches empty."""
     p = java(pattern, flags)
-    found = F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    none = F.array().cast("array<struct<at:int,text:string>>")
 
     def place(ms: Column) -> Column:
-        between = F.transform(F.split(text, p, -1), lambda x: F.length(x))
-        steps = F.transform(ms, lambda m, i: F.get(between, i) + F.when(i > 0, F.length(F.get(ms, i - 1))).otherwise(0))
-        return bind(steps, lambda x: bind(_block_sums(x), lambda sums: F.transform(ms, lambda m, i: F.struct(_upto(x, sums, i).alias("at"), m.alias("text")))))
+        between = F.transform(F.split(text, p, -1), lambda x: F.length(x))  # bound, or it would be made for each match
+        steps = bind(between, lambda b: F.transform(ms, lambda m, i: F.get(b, i) + F.when(i > 0, F.length(F.get(ms, i - 1))).otherwise(0)))
+        sums = bind(steps, running_sums)
+        return bind(sums, lambda at: F.transform(ms, lambda m, i: F.struct(F.get(at, i).alias("at"), m.alias("text"))))
 
-    return F.when(may_match(text, pattern, flags) & text.rlike(p), bind(found, place)).otherwise(F.array().cast("array<struct<at:int,text:string>>"))
+    some = bind(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda ms: F.when(F.size(ms) > 0, place(ms)).otherwise(none))
+    return F.when(may_match(text, pattern, flags), some).otherwise(none)
 
 
-_BLOCK = 64
+_BLOCK = 128
 
 
-def _block_sums(values: Column) -> Column:
-    """The sum of all values before each block of them."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda b: _sum(F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK))))
-    return bind(blocks, lambda x: F.transform(x, lambda _, b: _sum(F.slice(x, F.lit(1), b))))
-
-
-def _upto(values: Column, sums: Column, i: Column) -> Column:
-    """The sum of values up to the one at i."""
-    b = F.floor(i / _BLOCK).cast("int")
-    return F.get(sums, b) + _sum(F.slice(values, b * _BLOCK + 1, i - b * _BLOCK + 1))
+def running_sums(values: Column) -> Column:
+    """The sum of all values up to each, by blocks (a slice takes as long as its whole array). Few lambdas are nested, as each takes
+    the analyzer a round."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda b: F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK)))
+    within = lambda block, base: F.transform(block, lambda _, i: base + _sum(F.slice(block, F.lit(1), i + 1)))
+    summed = lambda parts, totals: F.flatten(F.transform(parts, lambda p, b: bind(_sum(F.slice(totals, F.lit(1), b)), lambda base: within(p, base))))
+    return bind(blocks, lambda parts: bind(F.transform(parts, _sum), lambda totals: summed(parts, totals)))
 
 
 def _sum(values: Column) -> Column:
@@ -155,6 +154,62 @@ def last_heading(text: Column, at: Column) -> Column:
     return F.try_element_at(F.regexp_extract_all(F.substring(text, F.lit(1), at), F.lit(java(r"^#{1,4}\s+.+$", "m")), F.lit(0)), F.lit(-1))
 
 
+_CHUNK = 4096
+_POWERS = tuple(1 << k for k in range(30, -1, -1))
+HEADING = r"^#{1,4}\s+.+$"
+
+
+def indexed(text: Column, headings: bool = False) -> Column:
+    """What lookups by offset need of a text, made once: its parts of _CHUNK code points, the offsets of its line feeds and
+    code fences, and its headings. A lookup takes as long for a large text as for a small one, but for a binary search."""
+    widths = F.transform(F.split(text, "\n", -1), lambda x: F.length(x) + 1)
+    feeds = F.transform(bind(widths, running_sums), lambda x: x - 1)
+    found = matches(text, HEADING, "m") if headings else F.array().cast("array<struct<at:int,text:string>>")
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+    return F.struct(chunks.alias("chunks"), feeds.alias("feeds"), F.transform(matches(text, "```"), lambda m: m["at"]).alias("fences"), found.alias("headings"), F.transform(found, lambda h: h["at"]).alias("heads"))
+
+
+def cut_at(ix: Column, at: Column, n: Column) -> Column:
+    """n code points of an indexed text from the offset (as many as there are)."""
+    first, inside = F.floor(at / _CHUNK).cast("int"), at % _CHUNK
+    chunk = lambda k: F.coalesce(F.get(ix["chunks"], k), F.lit(""))
+    parts = F.slice(ix["chunks"], first + 1, F.ceil((inside + n) / _CHUNK).cast("int"))
+    held = F.when(inside + n <= _CHUNK, chunk(first)).when(inside + n <= 2 * _CHUNK, F.concat(chunk(first), chunk(first + 1))).otherwise(F.array_join(parts, ""))
+    return F.substring(held, inside + 1, n)
+
+
+def _below(places: Column, at: Column) -> Column:
+    """How many of the places, in order, lie before the offset, by binary search."""
+    return F.aggregate(F.array(*[F.lit(p) for p in _POWERS]), F.lit(0), lambda lo, p: F.when(F.get(places, lo + p - 1) < at, lo + p).otherwise(lo))
+
+
+def line_of(ix: Column, at: Column) -> Column:
+    """The 1-based line that the offset lies on."""
+    return _below(ix["feeds"], at) + 1
+
+
+def line_span(ix: Column, at: Column) -> Column:
+    """start and end (its line feed, or the end) of the line that the offset lies on, and its number."""
+    bounds = lambda n: F.struct(F.coalesce(F.get(ix["feeds"], n - 1) + 1, F.lit(0)).alias("start"), F.get(ix["feeds"], n).alias("end"), (n + 1).alias("line"))
+    return bind(_below(ix["feeds"], at), bounds)
+
+
+def fenced_at(ix: Column, at: Column) -> Column:
+    """Whether an odd number of code fences ends before the offset."""
+    return _below(ix["fences"], at - 2) % 2 == 1
+
+
+def heading_before(ix: Column, at: Column) -> Column:
+    """The last markdown heading before the offset, as much of it as stands there; null without one."""
+
+    def of(n: Column) -> Column:
+        last = F.get(ix["headings"], n - 1)
+        shown = F.substring(last["text"], F.lit(1), at - last["at"])
+        return F.when(contains_match(shown, HEADING, "m"), shown).otherwise(F.get(ix["headings"], n - 2)["text"])
+
+    return bind(_below(ix["heads"], at), of)
+
+
 def votes(text: Column, patterns: tuple[str, ...], flags: str = "i") -> Column:
     """How many of the patterns the text matches."""
     total = F.lit(0)
@@ -175,9 +230,9 @@ def truncate(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n - 3), F.lit("..."))).otherwise(text)
 
 
-def snippet(text: Column, at: Column, n: Column) -> Column:
-    """At most 120 characters from the offset, line feeds shown as two characters."""
-    return F.replace(F.substring(text, at + 1, F.least(n, F.lit(120))), F.lit("\n"), F.lit("\\n"))
+def snippet(ix: Column, at: Column, n: Column) -> Column:
+    """At most 120 characters of an indexed text from the offset, line feeds shown as two characters."""
+    return F.replace(cut_at(ix, at, F.least(n, F.lit(120))), F.lit("\n"), F.lit("\\n"))
 
 
 def slug(name: Column, keep: str = "") -> Column:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from thornwick.functions import tables as t
 from thornwick.functions.paths import is_output
-from thornwick.functions.text import any_of, contains_match, matches, may_match, trim_js, truncate
+from thornwick.functions.text import any_of, bind, contains_match, cut_at, indexed, line_span, matches, may_match, trim_js, truncate
 from thornwick.plans.stages import kept
 
 FS_CONTEXT = (r"""require\s*\(\s*['"](?:node:)?fs(?:\/promises)?['"]\s*\)""", r"""from\s+['"](?:node:)?fs(?:\/promises)?['"]""", r"\b(?:readFileSync|readFile|writeFileSync|writeFile|unlink|appendFile|createReadStream|createWriteStream)\s*\(")
 UI_FILE = r"\.(tsx|jsx|vue|svelte)$"
+_HEAD = 1024
 SENSITIVE_RULE = "References sensitive system path"
 
 
@@ -38,17 +39,22 @@ def detect(files: DataFrame) -> DataFrame:
 
     def hits(k: int, rule: tuple[str, str, float, str, str]) -> Column:
         found = matches(text, rule[4])
-        found = F.when(context & may_match(text, rule[4]), found).otherwise(F.array().cast("array<struct<at:int,text:string>>")) if rule[3] == SENSITIVE_RULE else found
+        found = F.when(may_match(text, rule[4]) & context, found).otherwise(F.array().cast("array<struct<at:int,text:string>>")) if rule[3] == SENSITIVE_RULE else found
         return F.transform(found, lambda m: F.struct(F.lit(k).alias("rule"), m["at"].alias("at")))
 
-    def shown(m: Column) -> Column:
-        before = F.substring(text, F.lit(1), m["at"])
-        start, rest = F.substring_index(before, "\n", -1), F.substring_index(F.substring(text, m["at"] + 1, F.lit(1 << 30)), "\n", 1)
-        line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-        return F.struct(m["rule"].alias("rule"), line.alias("line"), F.length(start).alias("column"), truncate(trim_js(F.concat(start, rest)), 120).alias("snippet"))
+    def shown(m: Column, ix: Column) -> Column:
+        def of(s: Column) -> Column:
+            width = s["end"] - s["start"]
+            # of a long line, its beginning is as good as all of it, unless that is all white space
+            head = trim_js(cut_at(ix, s["start"], F.least(width, F.lit(_HEAD))))
+            line = bind(head, lambda x: F.when((width <= _HEAD) | (F.length(x) > 120), x).otherwise(trim_js(cut_at(ix, s["start"], width))))
+            return F.struct(m["rule"].alias("rule"), s["line"].alias("line"), (m["at"] - s["start"]).alias("column"), truncate(line, 120).alias("snippet"))
 
-    found = F.transform(F.concat(*[hits(k, r) for k, r in enumerate(t.CODE_RULES, 1)]), shown)
-    rows = files.select("pkg", "path", "is_fixture", F.posexplode(found).alias("ord", "m"))
+        return bind(line_span(ix, m["at"]), of)
+
+    found = bind(F.concat(*[hits(k, r) for k, r in enumerate(t.CODE_RULES, 1)]), lambda ms: F.when(F.size(ms) > 0, bind(indexed(text), lambda ix: F.transform(ms, lambda m: shown(m, ix)))))
+    # an outer explode: of an inner one Spark infers a filter on the array's size and computes the array twice
+    rows = files.select("pkg", "path", "is_fixture", F.posexplode_outer(found).alias("ord", "m")).filter("m IS NOT NULL")
     of = lambda i: F.element_at(F.array(*[F.lit(r[i]) for r in t.CODE_RULES]), F.col("m.rule"))
     return rows.select(
         "pkg",

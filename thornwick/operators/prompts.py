@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thornwick.functions import tables as t
-from thornwick.functions.text import any_of, bind, contains_match, in_fence, java, last_heading, line_at, matches, snippet, trim_js, votes
+from thornwick.functions.text import any_of, bind, contains_match, cut_at, fenced_at, heading_before, indexed, java, line_at, line_span, matches, snippet, trim_js, votes
 
 HIT = "array<struct<at:int,text:string,technique:string,severity:string,confidence:double,description:string>>"
 
@@ -28,45 +28,43 @@ def _levels(category: str, priority: Column) -> tuple[Column, Column]:
     return F.when(priority, s1).otherwise(s0), F.when(priority, c1).otherwise(c0)
 
 
-def _of(f: Callable[[Column, str], Column], technique: str) -> Callable[[Column], Column]:
-    return lambda m: f(m, technique)
+def _by_rules(category: str, text: Column, build: Callable[[Column, Column], Column], keep: Callable[[Column, Column], Column] | None = None, headings: bool = False) -> Column:
+    """Hits of a category's rules, in order; build and keep, which may reject a match by its context, get a match (at, text,
+    technique) and the text's index, which is made only where something matches."""
+    named = lambda technique: lambda m: F.struct(m["at"].alias("at"), m["text"].alias("text"), F.lit(technique).alias("technique"))
+    parts = [F.transform(matches(text, pattern, flags), named(technique)) for technique, flags, pattern in t.PROMPT_RULES[category]]
 
+    def hits(ms: Column) -> Column:
+        made = lambda ix: F.transform(F.filter(ms, lambda m: keep(m, ix)) if keep else ms, lambda m: build(m, ix)).cast(HIT)
+        return F.when(F.size(ms) > 0, bind(indexed(text, headings), made) if keep or headings else made(F.lit(None))).otherwise(F.array().cast(HIT))
 
-def _by_rules(category: str, text: Column, build: Callable[[Column, str], Column], keep: Callable[[Column, str], Column] | None = None) -> Column:
-    """Concatenated hits of a category's rules; keep may reject a match by its context."""
-    parts = []
-    for technique, flags, pattern in t.PROMPT_RULES[category]:
-        found = matches(text, pattern, flags)
-        if keep:
-            found = F.filter(found, _of(keep, technique))
-        parts.append(F.transform(found, _of(build, technique)))
-    return F.concat(*parts).cast(HIT)
+    return bind(F.concat(*parts), hits)
 
 
-def _quoted(prefix: str, technique: str | None, m: Column, cut: int | None = 80) -> Column:
+def _quoted(prefix: str, technique: Column | None, m: Column, most: int | None = 80) -> Column:
     shown = trim_js(m["text"])
-    shown = F.substring(shown, 1, cut) if cut else shown
-    head = f'{prefix} ({technique}): "' if technique else f'{prefix}: "'
-    return F.concat(F.lit(head), shown, F.lit('"'))
+    shown = F.substring(shown, 1, most) if most else shown
+    head = F.lit(f'{prefix}: "') if technique is None else F.concat(F.lit(f"{prefix} ("), technique, F.lit('): "'))
+    return F.concat(head, shown, F.lit('"'))
 
 
 def instruction_override(text: Column, path: Column, priority: Column) -> Column:
     severity, confidence = _levels("instruction-override", priority)
 
-    def mid_sentence(m: Column) -> Column:
-        before = F.substring_index(F.substring(text, F.lit(1), m["at"]), "\n", -1)
+    def mid_sentence(m: Column, ix: Column) -> Column:
+        before = bind(line_span(ix, m["at"]), lambda s: cut_at(ix, s["start"], m["at"] - s["start"]))
         return contains_match(m["text"], r"\bSYSTEM\s*:", "i") & (F.length(trim_js(before)) > 0)
 
-    def benign(m: Column) -> Column:
+    def benign(m: Column, ix: Column) -> Column:
         start = F.greatest(m["at"] - 200, F.lit(0))
-        nearby = F.lower(F.substring(text, start + 1, m["at"] + 100 - start))
-        heading = F.coalesce(contains_match(last_heading(text, m["at"]), t.BENIGN_HEADING, "im"), F.lit(False))
-        return in_fence(text, m["at"]) | (votes(nearby, t.TECHNICAL_WORDS, "") >= 2) | heading
+        nearby = F.lower(cut_at(ix, start, m["at"] + 100 - start))
+        heading = F.coalesce(contains_match(heading_before(ix, m["at"]), t.BENIGN_HEADING, "im"), F.lit(False))
+        return fenced_at(ix, m["at"]) | bind(nearby, lambda x: votes(x, t.TECHNICAL_WORDS, "") >= 2) | heading
 
-    def build(m: Column, technique: str) -> Column:
-        return bind(benign(m), lambda b: _hit(m, technique, F.when(b, "medium").otherwise(severity), F.when(b, 0.3).otherwise(confidence), _quoted("Detected instruction-override attempt", None, m, None)))
+    def build(m: Column, ix: Column) -> Column:
+        return bind(benign(m, ix), lambda b: _hit(m, m["technique"], F.when(b, "medium").otherwise(severity), F.when(b, 0.3).otherwise(confidence), _quoted("Detected instruction-override attempt", None, m, None)))
 
-    return _by_rules("instruction-override", text, build, lambda m, x: ~mid_sentence(m) if x == "instruction-pattern" else F.lit(True))
+    return _by_rules("instruction-override", text, build, lambda m, ix: (m["technique"] != "instruction-pattern") | ~mid_sentence(m, ix), headings=True)
 
 
 def has_instructions(text: Column) -> Column:
@@ -77,42 +75,48 @@ def code_points(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), lambda c: F.concat(F.lit("U+"), F.lpad(F.regexp_replace(F.hex(F.encode(c, "UTF-32")), "^0+", ""), 4, "0"))), " ")
 
 
+#: Runs of each kind of odd characters, and words with a lookalike; no two kinds share a character, and a match that is no word
+#: begins outside of ASCII, so one pass finds all of them.
+_WORD = "[A-Za-z]"
+_ODD = f"(?=[^\\x01-\\x7f])(?:{t.ZERO_WIDTH}|{t.BIDI}|{t.VARIATION}|{t.NULLS}|{t.LOOKALIKE}{_WORD}+)|(?<!{_WORD}){_WORD}++{t.LOOKALIKE}{_WORD}*"
+
+
 def hidden_text(text: Column, path: Column, priority: Column) -> Column:
     """Zero-width, bidirectional, variation-selector and lookalike characters, comments, null bytes."""
-    lookalike = f"(?:[A-Za-z]+{t.LOOKALIKE}[A-Za-z]*|[A-Za-z]*{t.LOOKALIKE}[A-Za-z]+)"
     body = lambda m: F.regexp_replace(m["text"], r"(?s)^<!--|-->\z", "")
-    kinds: tuple[tuple[str, str, Callable[[Column], Column]], ...] = (
-        ("unicode-smuggling", t.ZERO_WIDTH, lambda m: code_points(m["text"])),
-        ("bidi-override", t.BIDI, lambda m: code_points(m["text"])),
-        ("variation-selector", t.VARIATION, lambda m: code_points(m["text"])),
-        ("homoglyph", lookalike, lambda m: F.concat(F.lit('Word "'), m["text"], F.lit('" contains non-ASCII lookalikes: '), F.regexp_replace(code_points(F.regexp_replace(m["text"], r"[\x00-\x7f]", "")), " ", ", "))),
-        ("html-comment", t.HTML_COMMENT, lambda m: trim_js(body(m))),
-        ("null-byte", t.NULLS, lambda m: F.concat(F.length(m["text"]).cast("string"), F.lit(" null byte(s)"))),
+    begins = lambda kind: lambda m: m["text"].rlike(f"^{java(kind)}")
+    kinds: tuple[tuple[str, Callable[[Column], Column], Callable[[Column], Column]], ...] = (
+        ("unicode-smuggling", begins(t.ZERO_WIDTH), lambda m: code_points(m["text"])),
+        ("bidi-override", begins(t.BIDI), lambda m: code_points(m["text"])),
+        ("variation-selector", begins(t.VARIATION), lambda m: code_points(m["text"])),
+        ("homoglyph", lambda m: m["text"].rlike(_WORD), lambda m: F.concat(F.lit('Word "'), m["text"], F.lit('" contains non-ASCII lookalikes: '), F.regexp_replace(code_points(F.regexp_replace(m["text"], r"[\x00-\x7f]", "")), " ", ", "))),
+        ("html-comment", lambda m: (m["at"] > 0) & ~contains_match(trim_js(body(m)), any_of(t.METADATA_COMMENTS), "i"), lambda m: trim_js(body(m))),
+        ("null-byte", begins(t.NULLS), lambda m: F.concat(F.length(m["text"]).cast("string"), F.lit(" null byte(s)"))),
     )
-    parts = []
-    for technique, pattern, decode in kinds:
+
+    def build(m: Column, technique: str, decode: Callable[[Column], Column]) -> Column:
         comment = technique == "html-comment"
-        found = matches(text, pattern)
-        if technique == "homoglyph":  # a word of letters is long to look for, its odd one isn't
-            found = F.when(text.rlike(java(t.LOOKALIKE)), found).otherwise(F.array().cast("array<struct<at:int,text:string>>"))
-        if comment:
-            found = F.filter(found, lambda m: (m["at"] > 0) & ~contains_match(trim_js(body(m)), any_of(t.METADATA_COMMENTS), "i"))
 
-        def build(m: Column) -> Column:
-            def of(x: Column) -> Column:
-                short = (F.length(x["d"]) < 40) & ~x["i"] if comment else F.lit(False)
-                severity = F.when(x["i"], "critical").when(short, "low").when(priority, "high").otherwise("medium")
-                confidence = F.when(x["i"], 0.95).when(short, 0.2).when(priority, 0.8).otherwise(0.6)
-                shown = F.when(F.length(x["d"]) > 80, F.concat(F.substring(x["d"], 1, 80), F.lit("..."))).otherwise(x["d"])
-                said = F.when(x["i"], F.concat(F.lit(f'Hidden text contains instruction-like payload ({technique}): "'), shown, F.lit('"'))).otherwise(
-                    F.concat(F.lit(f"Hidden/invisible text detected ({technique}) at byte offset "), m["at"].cast("string"), F.lit(': "'), shown, F.lit('"'))
-                )
-                return _hit(m, technique, severity, confidence, said)
+        def of(x: Column) -> Column:
+            short = (F.length(x["d"]) < 40) & ~x["i"] if comment else F.lit(False)
+            severity = F.when(x["i"], "critical").when(short, "low").when(priority, "high").otherwise("medium")
+            confidence = F.when(x["i"], 0.95).when(short, 0.2).when(priority, 0.8).otherwise(0.6)
+            shown = F.when(F.length(x["d"]) > 80, F.concat(F.substring(x["d"], 1, 80), F.lit("..."))).otherwise(x["d"])
+            said = F.when(x["i"], F.concat(F.lit(f'Hidden text contains instruction-like payload ({technique}): "'), shown, F.lit('"'))).otherwise(
+                F.concat(F.lit(f"Hidden/invisible text detected ({technique}) at byte offset "), m["at"].cast("string"), F.lit(': "'), shown, F.lit('"'))
+            )
+            return _hit(m, technique, severity, confidence, said)
+
+        return bind(F.struct(decode(m).alias("d"), has_instructions(body(m) if comment else decode(m)).alias("i")), of)
 
-            return bind(F.struct(decode(m).alias("d"), has_instructions(body(m) if comment else decode(m)).alias("i")), of)
+    built = lambda technique, decode: lambda m: build(m, technique, decode)
 
-        parts.append(F.transform(found, build))
-    return F.concat(*parts).cast(HIT)
+    def of_kinds(x: Column) -> Column:
+        found = lambda technique: x["comments" if technique == "html-comment" else "odd"]
+        return F.concat(*[F.transform(F.filter(found(technique), is_kind), built(technique, decode)) for technique, is_kind, decode in kinds]).cast(HIT)
+
+    odd = F.when(text.rlike(r"[^\x01-\x7f]"), matches(text, _ODD)).otherwise(F.array().cast("array<struct<at:int,text:string>>"))
+    return bind(F.struct(odd.alias("odd"), matches(text, t.HTML_COMMENT).alias("comments")), of_kinds)
 
 
 DOC_FILES = ("security.md", "security.txt", "changelog.md", "changelog", "changes.md", "history.md", "contributing.md", "contributors.md", "code_of_conduct.md", "license.md", "license", "authors.md")
@@ -130,42 +134,49 @@ def data_exfiltration(text: Column, path: Column, priority: Column) -> Column:
     _, confidence = _levels(category, priority)
     readme = F.contains(F.lower(path), F.lit("readme"))
 
-    def descriptive(m: Column) -> Column:
+    def descriptive(m: Column, ix: Column) -> Column:
         start = F.greatest(m["at"] - 500, F.lit(0))
-        before = F.lower(F.substring(text, start + 1, m["at"] - start))
-        line = F.lower(F.concat(F.substring_index(F.substring(text, F.lit(1), m["at"]), "\n", -1), F.substring_index(F.substring(text, m["at"] + 1, F.lit(1 << 30)), "\n", 1)))
-        near = F.substring(before, F.greatest(F.length(before) - 199, F.lit(1)), F.lit(200))
+        around = F.struct(
+            F.lower(cut_at(ix, start, m["at"] - start)).alias("before"),
+            bind(line_span(ix, m["at"]), lambda s: F.lower(cut_at(ix, s["start"], s["end"] - s["start"]))).alias("line"),
+        )
         warned = any_of(WARNINGS)
-        return in_fence(text, m["at"]) | contains_match(before, any_of(DOC_SECTIONS)) | contains_match(line, r"^\s*[-*]\s*\[") | contains_match(line, r"\[[^\]]+\]\([^)]+\)") | contains_match(near, warned) | contains_match(line, warned)
 
-    def build(m: Column, technique: str) -> Column:
-        strong = technique in t.COMPOUND_TECHNIQUES
-        severity = F.when(readme | F.lit(not strong), "high").otherwise("critical")
-        sure = F.when(priority, 0.95).otherwise(0.85) if strong else confidence
-        return _hit(m, technique, severity, F.when(readme, sure * 0.7).otherwise(sure), _quoted("Data exfiltration pattern detected", technique, m))
+        def told(x: Column) -> Column:
+            near = F.substring(x["before"], F.greatest(F.length(x["before"]) - 199, F.lit(1)), F.lit(200))
+            return contains_match(x["before"], any_of(DOC_SECTIONS)) | contains_match(x["line"], r"^\s*[-*]\s*\[") | contains_match(x["line"], r"\[[^\]]+\]\([^)]+\)") | contains_match(near, warned) | contains_match(x["line"], warned)
+
+        return fenced_at(ix, m["at"]) | bind(around, told)
+
+    def build(m: Column, ix: Column) -> Column:
+        strong = m["technique"].isin(*t.COMPOUND_TECHNIQUES)
+        severity = F.when(~readme & strong, "critical").otherwise("high")
+        sure = F.when(strong, F.when(priority, 0.95).otherwise(0.85)).otherwise(confidence)
+        return _hit(m, m["technique"], severity, F.when(readme, sure * 0.7).otherwise(sure), _quoted("Data exfiltration pattern detected", m["technique"], m))
 
     skipped = F.lit(False)
     for name in DOC_FILES:
         skipped = skipped | F.lower(path).endswith(name)
-    return F.when(skipped, F.array().cast(HIT)).otherwise(_by_rules(category, text, build, lambda m, _: ~descriptive(m)))
+    return F.when(skipped, F.array().cast(HIT)).otherwise(_by_rules(category, text, build, lambda m, ix: ~descriptive(m, ix)))
 
 
 def tool_abuse(text: Column, path: Column, priority: Column) -> Column:
     severity, confidence = _levels("tool-abuse", priority)
     markdown = contains_match(path, r"\.(?:md|mdx|markdown)(?::\d+)?$", "i")
 
-    def directed(m: Column) -> Column:
+    def directed(m: Column, ix: Column) -> Column:
         start = F.greatest(m["at"] - 120, F.lit(0))
-        around = F.substring(text, start + 1, m["at"] + F.length(m["text"]) + 120 - start)
-        return ~markdown | in_fence(text, m["at"]) | contains_match(around, t.AI_DIRECTED, "i")
+        around = cut_at(ix, start, m["at"] + F.length(m["text"]) + 120 - start)
+        return ~markdown | fenced_at(ix, m["at"]) | contains_match(around, t.AI_DIRECTED, "i")
 
-    return _by_rules("tool-abuse", text, lambda m, x: _hit(m, x, severity, confidence, _quoted("Tool/shell abuse instruction detected", x, m)), lambda m, x: directed(m) if x == "tool-abuse-pattern" else F.lit(True))
+    build = lambda m, _: _hit(m, m["technique"], severity, confidence, _quoted("Tool/shell abuse instruction detected", m["technique"], m))
+    return _by_rules("tool-abuse", text, build, lambda m, ix: (m["technique"] != "tool-abuse-pattern") | directed(m, ix))
 
 
 def _plain(category: str, said: str) -> Callable[[Column, Column, Column], Column]:
     def detect(text: Column, path: Column, priority: Column) -> Column:
         severity, confidence = _levels(category, priority)
-        return _by_rules(category, text, lambda m, x: _hit(m, x, severity, confidence, _quoted(said, x, m)))
+        return _by_rules(category, text, lambda m, _: _hit(m, m["technique"], severity, confidence, _quoted(said, m["technique"], m)))
 
     return detect
 
@@ -228,26 +239,28 @@ def detect(files: DataFrame, categories: tuple[str, ...] = tuple(DETECTORS)) ->
     read once for all detectors, and what a finding needs of a text is taken before findings become rows."""
     text, path, priority = F.col("content"), F.col("path"), F.col("is_priority")
 
-    def shown(category: str, m: Column) -> Column:
+    def shown(category: str, m: Column, ix: Column) -> Column:
+        size = F.length(m["text"])
         if category == "hidden-text":
-            return snippet(text, F.greatest(m["at"] - 10, F.lit(0)), F.length(m["text"]) + 20)
+            return snippet(ix, F.greatest(m["at"] - 10, F.lit(0)), size + 20)
         if category == "indirect-injection":
-            return snippet(text, m["at"], F.length(m["text"]) + F.when(m["technique"].isin("misleading-link", "instruction-in-alt-text", "encoded-image-url"), 0).otherwise(40))
-        return snippet(text, m["at"], F.length(m["text"]) + 40)
+            return snippet(ix, m["at"], size + F.when(m["technique"].isin("misleading-link", "instruction-in-alt-text", "encoded-image-url"), 0).otherwise(40))
+        return snippet(ix, m["at"], size + 40)
 
     def placed(k: int, category: str) -> Column:
-        def of(m: Column, i: Column) -> Column:
-            before = F.substring(text, F.lit(1), m["at"])
-            line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-            column = F.length(F.substring_index(before, "\n", -1)) + 1
-            return F.struct(
-                F.lit(category).alias("category"), line.alias("line"), column.alias("column"), m["at"].alias("at"), m["technique"].alias("technique"), m["severity"].alias("severity"), m["confidence"].alias("confidence"), m["description"].alias("description"),
-                shown(category, m).alias("snippet"), (F.lit(k) * 1_000_000 + i).cast("long").alias("ord"),
+        def of(m: Column, i: Column, ix: Column) -> Column:
+            place = lambda s: F.struct(
+                F.lit(category).alias("category"), s["line"].alias("line"), (m["at"] - s["start"] + 1).alias("column"), m["at"].alias("at"), m["technique"].alias("technique"), m["severity"].alias("severity"), m["confidence"].alias("confidence"), m["description"].alias("description"),
+                shown(category, m, ix).alias("snippet"), (F.lit(k) * 1_000_000 + i).cast("long").alias("ord"),
             )
+            return bind(line_span(ix, m["at"]), place)
 
-        return F.transform(DETECTORS[category](text, path, priority), of)
+        found = lambda ms: F.when(F.size(ms) > 0, bind(indexed(text), lambda ix: F.transform(ms, lambda m, i: of(m, i, ix))))
+        return bind(DETECTORS[category](text, path, priority), found)
 
-    found = files.select("pkg", "path", "is_fixture", F.explode(F.concat(*[placed(k, c) for k, c in enumerate(categories)])).alias("m"))
+    # an outer explode: of an inner one Spark infers a filter on the array's size and computes the array twice
+    hits = F.flatten(F.array_compact(F.array(*[placed(k, c) for k, c in enumerate(categories)])))
+    found = files.select("pkg", "path", "is_fixture", F.explode_outer(hits).alias("m")).filter("m IS NOT NULL")
     lowered = F.element_at(F.create_map(*[F.lit(x) for kv in t.FIXTURE_DOWNGRADE.items() for x in kv]), F.col("m.severity"))
     return found.select(
         "pkg",
@@ -280,6 +293,6 @@ def embedded_prompts(code_files: DataFrame) -> DataFrame:
     """Long literals of code files (pkg, path, content, is_fixture) that read like prompts, as content files of their own."""
     literal = F.transform(matches(F.col("content"), t.TEMPLATE_LITERAL), lambda m: F.struct(m["at"].alias("at"), F.regexp_extract(m["text"], f"(?s){java(t.TEMPLATE_LITERAL)}", 1).alias("text")))
     described = F.transform(matches(F.col("content"), t.DESCRIPTION_LITERAL), lambda m: F.struct(m["at"].alias("at"), F.regexp_extract(m["text"], java(t.DESCRIPTION_LITERAL), 1).alias("text")))
-    found = code_files.select("pkg", "path", "content", "is_fixture", F.explode(F.concat(literal, described)).alias("m")).filter(looks_like_prompt(F.col("m.text")))
+    found = code_files.select("pkg", "path", "content", "is_fixture", F.explode_outer(F.concat(literal, described)).alias("m")).filter(F.col("m").isNotNull()).filter(looks_like_prompt(F.col("m.text")))
     line = line_at(F.col("content"), F.col("m.at"))
     return found.select("pkg", F.concat(F.col("path"), F.lit(":"), line.cast("string")).alias("path"), F.col("m.text").alias("content"), (~F.col("is_fixture")).alias("is_priority"), "is_fixture", F.lit("code-string").alias("source"))
