@@ -8,7 +8,7 @@ from itertools import accumulate
 
 import pyarrow as pa
 
-from thornwick.llm import align, audit, substring
+from thornwick.llm import align, audit, html_text, substring
 from thornwick.llm.tokens import load
 
 def audited(docs, labels):
@@ -211,3 +211,25 @@ def test_aligner_forgets():
         assert own is small or seen == first
         first = seen
     assert len(small.held.n) < len(large.held.n)
+
+
+def test_html_parts_by_exact_names_and_the_only_article():
+    text = "Words of the main text go on and on. " * 12
+    long_comment = "I say that this is nonsense, and more of it. " * 40
+    got = html_text.main_text(f"<body><article><h1>T</h1><p>{text}</p><div class='comments'>{long_comment}</div><section id='ad-slot'>{long_comment}</section></article></body>")
+    assert got == f"T\n{text.strip()}"
+    notice = "We use cookies. " + "There are really many of them here. " * 6
+    assert html_text.main_text(f"<body><div class='x'>{notice}</div><article><h1>T</h1><p>{text[:200]}</p></article></body>") == f"T\n{text[:200].strip()}"
+    assert html_text.main_text(f"<body><div class='comment-body'><p>{text}</p></div></body>") == text.strip()  # all that there is
+    assert html_text.main_text(f"<body><div class='has-comments no-ads'><p>{text}</p></div></body>") == text.strip()
+    two = html_text.main_text(f"<body><article><p>{text}</p></article><p>{text}</p><article><p>{text}</p></article></body>")
+    assert two.count("\n") == 2
+
+
+def test_html_nesting_takes_linear_time():
+    import time
+
+    t = time.perf_counter()
+    for part in ("<div>text ", "<div><b>x ", "<p hidden><section>b ", "</i><table><tr><td>c "):
+        html_text.main_text(part * 40_000)
+    assert time.perf_counter() - t < 60

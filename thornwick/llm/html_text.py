@@ -4,13 +4,15 @@ Events of the standard library's streaming parser are cut into lines, one a bloc
 characters over its tags; ratios are smoothed by a Gaussian over neighbouring lines, and lines above a threshold (a share
 of the spread of the smoothed ratios) form clusters. Those clusters select the content region: the innermost sectioning
 element that holds nearly all their weight, grown to the article or main element around it. Without one it grows to the whole
-page, as the lines beside it (headings, leads, closing blocks) are short; only blocks of links there are left out. All lines
+page, as the lines beside it (headings, leads, closing blocks) are short; only blocks of links there are left out. An article
+or main element with half of their weight (if it is the only one, three tenths) is the region too, whatever stands beside it. All lines
 of the region are the text, short ones too, but for parts that markup says are no content:
 
 Elements and roles for navigation, forms, dialogs and the like, and hidden elements, drop what they hold. Names (of class and
 id) only weigh: a part whose name is made of words for adverts, comments, menus ... alone has `named` of its ratios,
-smoothed apart from the text around it, and its lines stay where that reaches the mean ratio of the other clusters. A form around nearly all the page's text is a
-wrapper and drops nothing, unless it has such a name. A header within an article or main element is its title.
+smoothed apart from the text around it, and its lines stay where that reaches the mean ratio of the other clusters; but names
+that mark comments, adverts and notices drop, like forms. A form, or such a part, around nearly all the page's text is a
+wrapper and drops nothing. A header within an article or main element is its title.
 
 White space, no-break spaces among it, becomes one space within a line; a <br> is white space. Defined results: a null or
 empty page, or one without text, gives an empty text; markup that ends early or never closes is read as far as it goes; an
@@ -41,6 +43,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs footer header masthead sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus respond reply replies widget pagination pager toolbar copyright skiplink skiplinks".split()
 )
+#: Those of NAMES that mark reader comments, adverts and notices: their parts drop, unless one holds nearly all the text.
+DROPPED_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr notice popup newsletter comment comments disqus respond reply replies".split())
 #: Words that say nothing beside one of NAMES.
 BESIDE = frozenset(
     "site page main top bottom left right global primary secondary box block wrapper wrap container list lists section area item items inner outer bar link links post posts article articles story stories group row col column panel unit slot thread form button buttons icon icons body sub mobile sticky".split()
@@ -63,6 +67,16 @@ def _names(word: str, names: frozenset[str]) -> bool:
     return any(x in names for x in parts) and all(x in NAMES or x in BESIDE for x in parts)
 
 
+def _says_drop(attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether a class or id is made of DROPPED_NAMES and words beside them alone."""
+    for key, value in attrs:
+        for word in (value or "").split() if key in ("class", "id") else ():
+            parts = [x.lower() for x in _NAME.findall(word) if not x.isdigit()]
+            if not _LAYOUT.search(word) and not DROPPED_NAMES.isdisjoint(parts) and DROPPED_NAMES.union(BESIDE).issuperset(parts):
+                return True
+    return False
+
+
 def _sort(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> int:
     """2 for what drops its content, 1 for a part whose name weighs, else 0; inside an article or main element or not."""
     if tag in DROPPED and not (inside and tag == "header"):
@@ -87,9 +101,9 @@ def _sort(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> int:
 class Line(NamedTuple):
     text: str
     tags: int
-    path: tuple[int, ...]  # ids of the sectioning elements around it
+    section: int  # id of the innermost sectioning element around it or 0
     dropped: bool
-    form: int  # the form around it or 0
+    form: int  # the form, or part whose name says that it drops, around it or 0
     linked: bool  # mostly a link
     part: int  # the named part it is in or 0
 
@@ -98,9 +112,11 @@ class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.tag_of: dict[int, str] = {}
+        self.tag_of = [""]  # of each section, by id
+        self.around = [0]  # the section around each; its id is the smaller one
+        self.open: dict[str, int] = {}  # how many elements of a name are on the stack
         self.stack: list[tuple[str, int, bool, int, int, int]] = []  # tag, id of the section it is or 0, whether it drops its content, the form, part and number of articles around it
-        self.path: tuple[int, ...] = ()
+        self.section = 0
         self.drops = self.pushed = 0
         self.form = self.forms = self.part = self.named = self.articles = 0
         self.link, self.linked = False, 0
@@ -110,7 +126,7 @@ class _Lines(HTMLParser):
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append(Line(text, max(self.tags, 1), self.path, self.drops > 0, self.form, 2 * self.linked > len(text), self.part))
+            self.lines.append(Line(text, max(self.tags, 1), self.section, self.drops > 0, self.form, 2 * self.linked > len(text), self.part))
             self.tags = 0
         self.parts = []
         self.linked = 0
@@ -129,7 +145,7 @@ class _Lines(HTMLParser):
         if tag == "form" and sort:
             sort = 2
         drops = sort == 2
-        if not sort and tag not in BLOCKS and not any(x[0] == tag for x in self.stack):
+        if not sort and tag not in BLOCKS and not self.open.get(tag):
             return  # inline elements, often left open, hold no state but within a part of their kind
         if sort and tag not in BLOCKS:
             self.cut()
@@ -137,17 +153,19 @@ class _Lines(HTMLParser):
             self._close_open(tag)
         section = 0
         if tag in SECTIONS:
-            section = len(self.tag_of) + 1
-            self.tag_of[section] = tag
-            self.path += (section,)
+            section = len(self.tag_of)
+            self.tag_of.append(tag)
+            self.around.append(self.section)
+            self.section = section
         self.drops += drops
         self.pushed += 1
+        self.open[tag] = self.open.get(tag, 0) + 1
         self.stack.append((tag, section, drops, self.form, self.part, self.articles))
         self.articles += tag in ("article", "main")
         if sort == 1 and not self.part:
             self.named += 1
             self.part = self.named
-        if tag == "form" and not self.form:
+        if (tag == "form" or sort == 1 and _says_drop(attrs)) and not self.form:
             self.forms += 1
             self.form = self.forms
 
@@ -163,10 +181,11 @@ class _Lines(HTMLParser):
     def _pop(self, k: int) -> None:
         self.cut()
         self.form, self.part, self.articles = self.stack[k][3:]
-        for _, section, drops, *_ in self.stack[k:]:
+        for tag, section, drops, *_ in reversed(self.stack[k:]):
             self.drops -= drops
+            self.open[tag] -= 1
             if section:
-                self.path = self.path[:-1]
+                self.section = self.around[section]
         del self.stack[k:]
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -183,6 +202,8 @@ class _Lines(HTMLParser):
             self.cut()
         if tag in BLOCKS or tag == "a":
             self.link = False
+        if not self.open.get(tag):
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
                 self._pop(k)
@@ -246,34 +267,35 @@ def main_text(html: str | None, share: float = 0.5, hold: float = 0.95, named: f
         clustered = kept
     lines = [x._replace(dropped=x.dropped or x.part > 0 and not c) for x, c in zip(lines, clustered.tolist(), strict=True)]
     weight = np.where(clustered, np.asarray([len(x.text) for x in lines], float), 0.0)
-    by_section: dict[int, float] = {}
-    for path, w in zip((x.path for x in lines), weight.tolist(), strict=True):
-        if w:
-            for s in path:
-                by_section[s] = by_section.get(s, 0.0) + w
-    total, best = weight.sum(), ()
-    for path, w in zip((x.path for x in lines), weight.tolist(), strict=True):
-        if not w:
-            continue
-        depth = 0
-        while depth < len(path) and by_section[path[depth]] >= hold * total:
-            depth += 1
-        if depth > len(best):
-            best = path[:depth]
+    sections = len(parser.tag_of)
+    held = np.bincount([x.section for x in lines], weights=weight, minlength=sections).tolist()
+    for k in range(sections - 1, 0, -1):  # a section's id is larger than that of the one around it
+        held[parser.around[k]] += held[k]
+    total = held[0]
+    # sections that hold nearly all lie within each other
+    chain = [k for k in range(1, sections) if held[k] >= hold * total]
     # lines hold a section's own table cells and wrappers; the text is the whole article or main element around them
-    outer = [k for k, s in enumerate(best) if parser.tag_of[s] in ("article", "main")]
+    outer = [k for k in chain if parser.tag_of[k] in ("article", "main")]
+    region, whole = chain[-1] if chain else 0, bool(outer)
     if outer:
-        best = best[: outer[0] + 1 if parser.tag_of[best[outer[0]]] == "article" else outer[-1] + 1]
-        n = len(best)
-        return "\n".join(x.text for x in lines if not x.dropped and x.path[:n] == best)
+        region = outer[0] if parser.tag_of[outer[0]] == "article" else outer[-1]
+    elif alone := _outermost(parser, held):
+        most = max(alone, key=lambda k: held[k])
+        if held[most] >= (0.3 if len(alone) == 1 else 0.5) * total:  # text beside it, however dense, is no part of it
+            region, whole = most, True
+    inside = [region == 0] + [False] * (sections - 1)
+    beside = [0] * sections  # the outermost section around each that the region is not in
+    on_chain = set(chain)
+    for k in range(1, sections):
+        inside[k] = k == region or inside[parser.around[k]]
+        beside[k] = k if k in on_chain else beside[parser.around[k]] if parser.around[k] not in on_chain and parser.around[k] else k
+    if whole:
+        return "\n".join(x.text for x in lines if not x.dropped and inside[x.section])
     # beside the region: each section next to it or around it, and each run of lines between them, is a block
     shown = [x for x in lines if not x.dropped]
-    blocks: list[tuple[tuple[int, ...] | None, list[Line]]] = []
+    blocks: list[tuple[int | None, list[Line]]] = []
     for x in shown:
-        n = 0
-        while n < min(len(best), len(x.path)) and x.path[n] == best[n]:
-            n += 1
-        at = None if n == len(best) else x.path[: n + 1]
+        at = None if inside[x.section] else beside[x.section]
         if not blocks or blocks[-1][0] != at:
             blocks.append((at, []))
         blocks[-1][1].append(x)
@@ -281,6 +303,17 @@ def main_text(html: str | None, share: float = 0.5, hold: float = 0.95, named: f
     return "\n".join(x.text for at, block in blocks if at is None or not links(block) for x in block)
 
 
+def _outermost(parser: _Lines, held: list[float]) -> list[int]:
+    """The article and main elements with weight that lie in no other such element."""
+    within, found = [False] * len(held), []
+    for k in range(1, len(held)):
+        own = parser.tag_of[k] in ("article", "main")
+        within[k] = own or within[parser.around[k]]
+        if own and not within[parser.around[k]] and held[k]:
+            found.append(k)
+    return found
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages."""
 
