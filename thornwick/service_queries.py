@@ -205,3 +205,20 @@ def refined_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 def finding_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = event_findings(spark, sf_dir).withColumns({"confidence": F.col("confidence") + (F.col("ord") % 3) * 0.2, "line": F.col("line") - F.col("ord") % 5, "severity": F.when(F.col("ord") % 13 != 0, F.col("severity")).otherwise("grave")})
     return f.select("pkg", "ord", F.concat(F.lit("["), F.array_join(F.sort_array(service.finding_faults()), ", "), F.lit("]")).alias("faults"))
+
+
+_PAGE_TOPICS = tuple(x for x, _ in packages.PAGE_TOPICS) + ("unknown",)
+_REPOSITORY_TOPICS = ("model-context-protocol", "claude-code", "tools", "openclaw", "cli-tool")
+
+
+@query(
+    f"""SELECT 'o/' || p_name AS name, CASE WHEN contains(x, 'mcp-server') OR contains(x, 'mcp server') OR contains(x, 'model-context-protocol') THEN 'mcp-server' WHEN contains(x, 'claude-skill') OR contains(x, 'claude skill') OR contains(x, 'claude-code') THEN 'claude-skill' WHEN contains(x, 'openclaw') THEN 'openclaw-tool'
+ WHEN contains(x, 'cli-tool') OR contains(x, 'cli tool') THEN 'cli-tool' WHEN topic IN ('mcp-server', 'model-context-protocol') THEN 'mcp-server' WHEN topic = 'openclaw' THEN 'openclaw-tool' WHEN topic IN ('claude-skill', 'claude-code-skill') THEN 'claude-skill' ELSE 'other' END AS category,
+ 'github-topic:' || topic AS source, topic || ',go' || CASE WHEN t = topic THEN '' ELSE ',' || t END AS tags FROM (SELECT p_name, topic, t, lower(t || ' ' || p_name || ' ' || p_type) AS x FROM (SELECT *, {pick_sql(_PAGE_TOPICS, 'p_partkey')} AS topic, {pick_sql(_REPOSITORY_TOPICS, 'p_partkey // 2')} AS t FROM part))"""
+)
+def topic_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as a repository on a search page of a topic."""
+    k = F.col("p_partkey")
+    item = F.struct(F.concat(F.lit("o/"), "p_name").alias("full_name"), F.col("p_type").alias("description"), F.lit("Go").alias("language"), F.array(pick(_REPOSITORY_TOPICS, F.floor(k / 2))).alias("topics"))
+    pages = read(spark, sf_dir, "part").select(pick(_PAGE_TOPICS, k).alias("topic"), F.to_json(F.struct(F.array(item).alias("items"))).alias("content"))
+    return packages.topic_pages(pages).select("name", "category", "source", F.array_join("tags", ",").alias("tags"))

@@ -140,14 +140,23 @@ def once(entries: DataFrame, key: Column, *order: str) -> DataFrame:
     return keep_first(entries, [key], [F.col(c) for c in order])
 
 
+#: The category of each topic searched for.
+PAGE_TOPICS = (
+    ("mcp-server", "mcp-server"), ("agent-skills", "other"), ("openclaw", "openclaw-tool"), ("claude-skill", "claude-skill"), ("claude-code-skill", "claude-skill"), ("model-context-protocol", "mcp-server"),
+)
+
+
 def topic_pages(pages: DataFrame) -> DataFrame:
-    """Repository search pages (topic, content JSON: items[]) as entries."""
+    """Repository search pages (topic, content JSON: items[]) as entries; a repository's topics, name and description refine its
+    topic's category (other, of a topic not in PAGE_TOPICS)."""
     schema = "struct<items:array<struct<full_name:string,description:string,html_url:string,language:string,topics:array<string>>>>"
     rows = pages.select("topic", F.explode(F.from_json("content", schema)["items"]).alias("i")).select("topic", "i.*")
     others = F.slice(F.array_remove(F.coalesce("topics", F.array().cast("array<string>")), F.col("topic")), 1, 5)
     tags = F.concat(F.array("topic"), F.when(F.col("language").isNotNull(), F.array(F.lower("language"))).otherwise(F.array().cast("array<string>")), others)
-    text = F.lower(F.concat_ws(" ", "full_name", F.coalesce("description", F.lit(""))))
-    return rows.select(F.col("full_name").alias("name"), F.substring(F.coalesce("description", F.lit("")), 1, 500).alias("description"), F.col("html_url").alias("repository_url"), npm_category(text).alias("category"), F.concat(F.lit("github:"), "topic").alias("source"), tags.alias("tags"))
+    named = F.substring_index("full_name", "/", -1)
+    text = F.lower(F.concat_ws(" ", F.array_join(F.coalesce("topics", F.array().cast("array<string>")), " "), named, F.coalesce("description", F.lit(""))))
+    default = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PAGE_TOPICS for x in kv]), F.col("topic")), F.lit("other"))
+    return rows.select(F.col("full_name").alias("name"), F.substring(F.coalesce("description", F.lit("")), 1, 500).alias("description"), F.col("html_url").alias("repository_url"), refined_category(text, default).alias("category"), F.concat(F.lit("github-topic:"), "topic").alias("source"), tags.alias("tags"))
 
 
 # References in curated lists.
