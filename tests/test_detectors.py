@@ -132,6 +132,16 @@ def test_store_and_stream(spark, tmp_path):
     assert {tuple(r) for r in spark.table("states_test").collect()} == {(1, "scanning", 1), (2, "queued", 0)}
 
 
+def test_a_path_that_comes_again_has_its_last_content(spark, tmp_path):
+    store, arrivals = Store(spark, str(tmp_path / "store")), str(tmp_path / "in")
+    put = lambda rows: spark.createDataFrame(rows, "pkg string, path string, content string").coalesce(1).write.mode("append").parquet(arrivals)
+    joined = lambda files: files.groupBy("pkg").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "path", "content"))), ";").alias("found"))
+    for rows in ([("a", "x", "9"), ("a", "y", "1")], [("a", "x", "2"), ("a", "z", "3")], [("a", "z", "3"), ("a", "z", "0")]):
+        put(rows)
+        jobs.scan_arrivals(spark, arrivals, store, joined, str(tmp_path / "ck"), rescan=True)
+    assert [r.found for r in store.read("results").collect()] == ["x=2;y=1;z=3"]
+
+
 def test_badge_insertion():
     assert render.with_badge("# T\n\ntext", "B") == "# T\n\nB\n\ntext"
     assert render.with_badge("# T\n![a](b)\ntext", "B") == "# T\n![a](b)\nB\ntext"

@@ -33,17 +33,19 @@ def keep_states(events: DataFrame, store: Store, checkpoint: str) -> None:
 def scan_arrivals(spark: SparkSession, folder: str, store: Store, scan: Callable[[DataFrame], DataFrame], checkpoint: str, per_batch: int = 100, rescan: bool = False) -> None:
     """Scans packages that arrive in folder and are not stored yet; stores scores by slug. A file holds whole packages (rows
     pkg, path, content), or a package's files lie in more than one: then the package is scanned again, whole, in the batch
-    of its last file, from all the rows of it that have arrived."""
+    of its last file, from all the rows of it that have arrived. A path that comes again has its last content (of two in one
+    batch, the greater); a path that does not come again keeps its own."""
 
-    def each(files: DataFrame, _: int) -> None:
+    def each(files: DataFrame, batch: int) -> None:
         new = files.select("pkg").distinct().withColumn("slug", slug(F.col("pkg")))
         seen = spark.read.schema(files.schema).parquet(f"{store.root}/arrived").select("pkg").distinct() if started(spark, f"{store.root}/arrived") else files.select("pkg").limit(0)
         again = new.join(seen, "pkg", "left_semi")  # part of it came before
         todo = new if rescan else new.join(store.slugs("results"), "slug", "left_anti").unionByName(again).distinct()
-        kept_rows = files.join(todo, "pkg", "left_semi").select("pkg", "path", "content")
+        kept_rows = files.join(todo, "pkg", "left_semi").select("pkg", "path", "content", F.lit(batch).cast("long").alias("batch"))
         kept_rows.write.mode("append").parquet(f"{store.root}/arrived")
-        # a batch that is run again after a crash appends again: a path counts once
-        whole = spark.read.schema(files.schema).parquet(f"{store.root}/arrived").join(todo, "pkg", "left_semi").dropDuplicates(["pkg", "path"])
+        # a batch that is run again after a crash appends the same rows again
+        arrived = spark.read.schema(kept_rows.schema).parquet(f"{store.root}/arrived").join(todo, "pkg", "left_semi")
+        whole = arrived.groupBy("pkg", "path").agg(F.max_by("content", F.struct("batch", "content")).alias("content"))
         found = scan(whole.select("pkg", "path", "content")).withColumn("slug", slug(F.col("pkg")))
         store.upsert("results", found, "slug")
 
