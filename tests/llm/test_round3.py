@@ -6,9 +6,11 @@ import re
 from collections import Counter
 from itertools import accumulate
 
+import duckdb
 import pyarrow as pa
+import pytest
 
-from thornwick.llm import align, audit, html_text, substring
+from thornwick.llm import align, audit, html_text, queries, substring
 from thornwick.llm.tokens import load
 
 def audited(docs, labels):
@@ -233,3 +235,19 @@ def test_html_nesting_takes_linear_time():
     for part in ("<div>text ", "<div><b>x ", "<p hidden><section>b ", "</i><table><tr><td>c "):
         html_text.main_text(part * 40_000)
     assert time.perf_counter() - t < 60
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_queries_equal_sql(spark, name):
+    db = duckdb.connect()
+    for table in ("documents", "labels", "embeddings", "conversations"):
+        db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    want = db.sql(queries.ORACLES[name])
+    at = [want.columns.index(c) for c in columns]
+    assert sorted(want.columns) == columns
+    assert Counter(tuple(r[c] for c in columns) for r in df.collect()) == Counter(tuple(r[i] for i in at) for r in want.fetchall())
