@@ -757,6 +757,13 @@ def code_pattern_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("pkg").cast("long").alias("doc_id"), "rule", "category", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"SELECT doc_id, doc_id IN (SELECT doc_id FROM ({ORACLES['code_pattern_rules']})) AS flagged FROM documents")
+def flagged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files a rule fires in; these are read first."""
+    files = snippet_files(spark, sf_dir)
+    return code_rules.flagged_first(files, code_rules.detect(files)).select(F.col("pkg").cast("long").alias("doc_id"), "flagged")
+
+
 @query(r"""SELECT page_id, CAST(len(list_filter(regexp_extract_all(html, 'https?://[^\s''"`)]+'), lambda u: NOT regexp_matches(u, '^https?://(localhost|127\.0\.0\.1|example\.com|schema\.org|json-schema\.org|w3\.org|github\.com|npmjs\.com|nodejs\.org)'))) AS BIGINT) AS n FROM (SELECT page_id, html || ' <a href="' || url || '">x</a> http://localhost/a ' AS html FROM pages)""")
 def external_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "pages")
