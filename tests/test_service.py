@@ -4,7 +4,9 @@ import gzip
 import json
 import os
 import tarfile
+from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from thornwick.operators import permissions, render, service
@@ -21,22 +23,60 @@ def rows_of(df):
 
 
 def test_store_survives_an_incomplete_write(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "s"))
+    store = Store(spark, str(tmp_path / "s"), buckets=4)
     store.upsert("results", spark.createDataFrame([("a", 1), ("b", 2)], RESULTS))
-    left = tmp_path / "s/results/delta-000000000002-crashed-rows"
+    left = tmp_path / "s/results/rows/crashed/__bucket=0"
     os.makedirs(left / "_temporary")
     (left / "part-0.parquet").write_bytes(b"PAR1 half")
+    (tmp_path / "s/results/versions/.half").write_text('{"buckets"')
     assert rows_of(store.read("results")) == [("a", 1), ("b", 2)]
     store.upsert("results", spark.createDataFrame([("b", 3)], RESULTS))
     store.upsert("results", spark.createDataFrame([("b", 3), ("c", 4)], RESULTS))
     assert rows_of(store.read("results").select("slug", "overall_score")) == [("a", 1), ("b", 3), ("c", 4)]
     store.compact("results")
+    assert not left.exists() and len(list((tmp_path / "s/results/versions").glob("v*"))) == 1
     store.upsert("results", spark.createDataFrame([("a", 9)], RESULTS))
     assert rows_of(store.read("results").select("slug", "overall_score")) == [("a", 9), ("b", 3), ("c", 4)]
     assert rows_of(store.slugs("results")) == [("a",), ("b",), ("c",)]
     assert store.read("none") is None and store.slugs("none").count() == 0
 
 
+def test_a_read_does_not_grow_with_upserts(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), buckets=3)
+    expected = {}
+    for k in range(12):
+        rows = {f"k{k % 5}": k, f"n{k}": -k, None: k}
+        expected |= rows
+        store.upsert("t", spark.createDataFrame(list(rows.items()), "slug string, n int"))
+    assert {r.slug: r.n for r in store.read("t").collect()} == expected
+    plan = store.read("t")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and len(store._version("t")[1]["folders"]) <= 3
+    found = store.lookup("t", spark.createDataFrame([("k1",), (None,), ("absent",)], "slug string"))
+    assert {(r.slug, r.n) for r in found.collect()} == {("k1", expected["k1"]), (None, 11)}
+    # columns that come later, several rows of a key, an empty upsert, another key
+    store.upsert("t", spark.createDataFrame([("k1", 1, "x"), ("k1", 2, "y")], "slug string, n int, more string"))
+    assert sorted((r.n, r.more) for r in store.read("t").filter("slug = 'k1'").collect()) == [(1, "x"), (2, "y")]
+    store.upsert("t", store.read("t").limit(0))
+    assert store.read("t").count() == len(expected) + 1
+    with pytest.raises(ValueError, match="is kept by slug"):
+        store.upsert("t", spark.createDataFrame([(1,)], "n int"), "n")
+
+
+def test_of_two_writers_the_later_starts_again(spark, tmp_path):
+    store, other = Store(spark, str(tmp_path / "s"), buckets=1), Store(spark, str(tmp_path / "s"), buckets=1)
+    publish, done = store._publish, []
+
+    def after_other(name, number, content):
+        if not done:
+            done.append(1)
+            other.upsert(name, spark.createDataFrame([("b", 2)], RESULTS))
+        return publish(name, number, content)
+
+    store._publish = after_other
+    store.upsert("results", spark.createDataFrame([("a", 1)], RESULTS))
+    assert rows_of(store.read("results")) == [("a", 1), ("b", 2)] and store._version("results")[0] == 2
+
+
 def test_results_store_their_metadata(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     one = [("s", "p", 95, ["x"], ["y", "z"], [], 7)]
@@ -62,6 +102,59 @@ def test_a_package_in_two_files_is_scanned_whole(spark, tmp_path):
     assert rows_of(store.read("results").select("slug", "overall_score")) == [("p", 3), ("q", 1)]
 
 
+def put(spark, folder, rows, schema="pkg string, path string, content string, version long"):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+
+
+def paths_of(files):
+    return files.groupBy("pkg").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "path", "content"))), ";").alias("found"))
+
+
+def test_a_greater_version_replaces_a_package_whole(spark, tmp_path):
+    store, arrivals = Store(spark, str(tmp_path / "store")), str(tmp_path / "in")
+    for rows in ([("a", "x", "1", 1), ("a", "y", "1", 1), ("b", "x", "1", None)], [("a", "x", "2", 2)], [("a", "y", "0", 1), ("b", "z", "1", 0)], [("a", "w", "2", 2)]):
+        put(spark, arrivals, rows)
+        jobs.scan_arrivals(spark, arrivals, store, paths_of, str(tmp_path / "ck"))
+    assert {r.pkg: r.found for r in store.read("results").collect()} == {"a": "w=2;x=2", "b": "x=1;z=1"}
+
+
+def test_budget_and_counters_of_a_run(spark, tmp_path):
+    store, arrivals, now = Store(spark, str(tmp_path / "store")), str(tmp_path / "in"), iter(range(0, 1000, 40))
+    for k in range(3):
+        put(spark, arrivals, [(f"p{k}", "x", "1", None), (f"q{k}", "x", "1", None)])
+    counters = {"packages": F.count(F.lit(1)), "least": F.min("pkg")}
+    run = lambda seconds: jobs.scan_arrivals(spark, arrivals, store, paths_of, str(tmp_path / "ck"), 1, seconds=seconds, clock=lambda: next(now), counters=counters)
+    first = run(100)  # the clock says 40, 80, 120 as batches begin
+    assert not first.all_handled and [b["batch"] for b in first.batches] == [0, 1] and store.read("results").count() == 4
+    rest = run(100)
+    assert rest.all_handled and [(b["batch"], b["packages"]) for b in rest.batches] == [(2, 2)]
+    assert {b["least"] for b in first.batches + rest.batches} == {"p0", "p1", "p2"} and store.read("results").count() == 6
+
+
+def minutes(*rows):
+    return [(job, status, datetime(2024, 1, 1) + timedelta(minutes=m)) for job, status, m in rows]
+
+
+def test_job_machine_times_out_and_never_goes_back(spark, tmp_path):
+    store, folder = Store(spark, str(tmp_path / "store")), str(tmp_path / "in")
+    schema = "job_id long, status string, ts timestamp"
+
+    def run(*rows):
+        put(spark, folder, minutes(*rows), schema)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        jobs.keep_job_changes(stream, store, str(tmp_path / "ck"), wait=30 * 60_000, keep=10 * 60 * 60_000, late="5 minutes")
+        return {r.job_id: (r.status, r.reason, (r.at - datetime(2024, 1, 1)).seconds // 60) for r in store.read("jobs_now").collect()}
+
+    found = run((1, "scanning", 1), (1, "queued", 0), (2, "queued", 2), (3, "failed", 9), (3, "scanning", 3), (3, "completed", 8), (4, "scanning", 4), (5, "odd", 1), (None, "queued", 1))
+    assert found == {1: ("scanning", None, 1), 2: ("queued", None, 2), 3: ("completed", None, 8), 4: ("scanning", None, 4)}
+    # job 4 ends in time, job 3 does not go back, job 1 is stuck once the watermark has passed minute 31
+    found = run((4, "completed", 34), (3, "queued", 35), (3, "failed", 35), (6, "queued", 40))
+    assert found == {1: ("failed", jobs.STUCK, 31), 2: ("queued", None, 2), 3: ("completed", None, 8), 4: ("completed", None, 34), 6: ("queued", None, 40)}
+    # too late for job 1; an end after the time is over is a failure at that time
+    found = run((1, "completed", 41), (7, "scanning", 41), (7, "completed", 72), (2, "scanning", 45))
+    assert (found[1], found[7], found[2]) == (("failed", jobs.STUCK, 31), ("failed", jobs.STUCK, 71), ("scanning", None, 45))
+
+
 def test_broken_archives_do_not_stop_the_others(spark, tmp_path):
     for k in range(3):
         (tmp_path / f"f{k}").write_text("x" * 5000 + str(k))

@@ -904,7 +904,7 @@ def streaming_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_path(spark, "job-states")
     store = Store(spark, root)
     keep_states(stream.select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), F.col("event_id").alias("seq")), store, f"{root}/checkpoint")
-    return store.read("states", "job_id").select("job_id", "status", "seq")
+    return store.read("states").select("job_id", "status", "seq")
 
 
 from thornwick import service_queries  # noqa: E402, F401  it adds its own to these tables

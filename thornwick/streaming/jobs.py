@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from thornwick.functions.text import slug
+from thornwick.operators.relations import keep_first
 from thornwick.sources.store import Store
 
 STATES = ("queued", "scanning", "completed", "failed")
+ENDS = ("completed", "failed")
 
 
 def latest_states(events: DataFrame) -> DataFrame:
@@ -18,10 +25,24 @@ def latest_states(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"))
 
 
-def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Handles all that has arrived, batch by batch, and stops; a rerun goes on after the last finished batch."""
-    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, seconds: float | None = None, clock: Callable[[], float] = time.monotonic) -> bool:
+    """Handles all that has arrived, batch by batch, and stops; a rerun goes on after the last finished batch. With a budget
+    in seconds no batch begins once it is spent; what was not begun stays for the next run. Whether all was handled."""
+    begun, spent = clock(), []
+
+    def within(rows: DataFrame, batch: int) -> None:
+        if seconds is not None and clock() - begun >= seconds:
+            spent.append(batch)
+            raise TimeoutError(f"the budget of {seconds} seconds is spent before batch {batch}")
+        each(rows, batch)
+
+    query = stream.writeStream.foreachBatch(within).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if not spent:
+            raise
+    return not spent
 
 
 def keep_states(events: DataFrame, store: Store, checkpoint: str) -> None:
@@ -30,39 +51,179 @@ def keep_states(events: DataFrame, store: Store, checkpoint: str) -> None:
     query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def scan_arrivals(spark: SparkSession, folder: str, store: Store, scan: Callable[[DataFrame], DataFrame], checkpoint: str, per_batch: int = 100, rescan: bool = False) -> None:
-    """Scans packages that arrive in folder and are not stored yet; stores scores by slug. A file holds whole packages (rows
-    pkg, path, content), or a package's files lie in more than one: then the package is scanned again, whole, in the batch
-    of its last file, from all the rows of it that have arrived. A path that comes again has its last content (of two in one
-    batch, the greater); a path that does not come again keeps its own."""
+ARRIVAL = "pkg string, path string, content string, version long"
+ARRIVED = f"{ARRIVAL}, batch long"
 
-    def each(files: DataFrame, batch: int) -> None:
-        new = files.select("pkg").distinct().withColumn("slug", slug(F.col("pkg")))
-        seen = spark.read.schema(files.schema).parquet(f"{store.root}/arrived").select("pkg").distinct() if started(spark, f"{store.root}/arrived") else files.select("pkg").limit(0)
-        again = new.join(seen, "pkg", "left_semi")  # part of it came before
-        todo = new if rescan else new.join(store.slugs("results"), "slug", "left_anti").unionByName(again).distinct()
-        kept_rows = files.join(todo, "pkg", "left_semi").select("pkg", "path", "content", F.lit(batch).cast("long").alias("batch"))
-        kept_rows.write.mode("append").parquet(f"{store.root}/arrived")
-        # a batch that is run again after a crash appends the same rows again
-        arrived = spark.read.schema(kept_rows.schema).parquet(f"{store.root}/arrived").join(todo, "pkg", "left_semi")
-        whole = arrived.groupBy("pkg", "path").agg(F.max_by("content", F.struct("batch", "content")).alias("content"))
-        found = scan(whole.select("pkg", "path", "content")).withColumn("slug", slug(F.col("pkg")))
-        store.upsert("results", found, "slug")
 
-    stream = spark.readStream.schema("pkg string, path string, content string").option("maxFilesPerTrigger", per_batch).parquet(folder)
-    run_available(stream, each, checkpoint)
+def scan_arrivals(
+    spark: SparkSession, folder: str, store: Store, scan: Callable[[DataFrame], DataFrame], checkpoint: str, per_batch: int = 100, rescan: bool = False,
+    seconds: float | None = None, clock: Callable[[], float] = time.monotonic, counters: dict[str, Column] | None = None,
+) -> Arrivals:
+    """Scans packages that arrive in folder and are not stored yet; stores scores by slug. Rows: pkg, path, content and, where
+    the files have it, version (null or none: 0).
 
+    A file holds whole packages, or a package's files lie in more than one: then the package is scanned again, whole, in the
+    batch of its last file, from all the rows of its version that have arrived. A greater version replaces a package as a
+    whole, paths that it leaves out included; rows of a smaller one than the greatest so far count for nothing. Within a
+    version a path that comes again has its last content (of two in one batch, the greater).
 
-def started(spark: SparkSession, path: str) -> bool:
-    """Whether something has been written to path."""
-    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+    A batch reads and writes the buckets of its own packages only, and does the same again if it is run again after a crash
+    (a store goes with one checkpoint: its batches' numbers say what came last).
+    seconds is a budget (see run_available). counters are aggregates over the rows of scan, gathered while they are stored."""
+    batches: list[dict] = []
+
+    def each(files: DataFrame, batch: int) -> None:
+        files = files.withColumn("version", F.coalesce("version", F.lit(0).cast("long")))
+        came = files.select("pkg").distinct().withColumn("slug", slug(F.col("pkg")))
+        seen = store.lookup("arrived", came, "pkg")
+        seen = spark.createDataFrame([], ARRIVED) if seen is None else seen
+        if rescan:
+            todo = came
+        else:
+            stored = store.lookup("results", came)
+            fresh = came if stored is None else came.join(stored.select("slug").distinct(), "slug", "left_anti")
+            todo = fresh.select("pkg", "slug").unionByName(came.join(seen.select("pkg").distinct(), "pkg", "left_semi")).distinct()
+        rows = files.select("pkg", "path", "content", "version", F.lit(batch).cast("long").alias("batch")).unionByName(seen).join(todo.select("pkg"), "pkg", "left_semi")
+        newest = rows.withColumn("newest", F.max("version").over(Window.partitionBy("pkg"))).filter("version = newest")
+        whole = newest.groupBy("pkg", "path", "version").agg(F.max_by("content", F.struct("batch", "content")).alias("content"), F.max("batch").alias("batch"))
+        store.upsert("arrived", whole, "pkg")
+        # what lookups gave is of a fixed version of the store, so todo is still what it was
+        ours = store.lookup("arrived", came, "pkg")
+        if ours is None:
+            return
+        ours = ours.join(todo.select("pkg"), "pkg", "left_semi")
+        found = scan(ours.select("pkg", "path", "content")).withColumn("slug", slug(F.col("pkg")))
+        if counters:
+            watch = Observation()
+            found = found.observe(watch, *[c.alias(n) for n, c in counters.items()])
+        store.upsert("results", found)
+        if counters:
+            batches.append({"batch": batch} | watch.get)
+
+    stream = spark.readStream.schema(ARRIVAL).option("maxFilesPerTrigger", per_batch).parquet(folder)
+    return Arrivals(run_available(stream, each, checkpoint, seconds, clock), batches)
+
+
+@dataclass
+class Arrivals:
+    """Whether all that had arrived was handled, and each batch's counters."""
+
+    all_handled: bool
+    batches: list[dict]
+
+
+# --- a state machine of jobs with timers ------------------------------------------------------------------------------
+
+TOLD = "job_id long, status string, reason string, us long"
+STUCK = "no result in time"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class JobMachine(StatefulProcessor):
+    """queued, scanning, then completed or failed, with no way back, by the times of a job's events.
+
+    A job scans from its first scanning event on. It ends with its first completed or failed event (ties: completed; of one
+    job, equal times, the smaller name), if that comes within `wait` milliseconds of the start of its scan or without one;
+    else it fails when that time is over, as soon as the watermark has passed it. What a job has ended with stays; `keep`
+    milliseconds (of event time) later it is forgotten. Order of rows within a batch does not matter; state is four values a
+    job, whatever the number of its events."""
+
+    def __init__(self, wait: int, keep: int) -> None:
+        self.wait, self.keep = wait, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # milliseconds of the first queued and scanning events, the end's microseconds and status, and what was last told
+        self.job = handle.getValueState("job", "queued long, scanning long, ended long, ending string, told string")
+
+    def _status(self, queued, scanning, ended, ending, passed: int) -> tuple | None:
+        over = None if scanning is None else scanning + self.wait * 1000
+        if ended is not None and (over is None or ended <= over):
+            return ending, None, ended
+        if over is not None and (ended is not None or passed * 1000 >= over):
+            return "failed", STUCK, over
+        if scanning is not None:
+            return "scanning", None, scanning
+        return None if queued is None else ("queued", None, queued)
+
+    def _tell(self, key, values: tuple, now: tuple) -> Iterator[pd.DataFrame]:
+        self.job.update((*values, now[0]))
+        if now[0] in ENDS:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(now[2] // 1000 + self.keep)
+        yield pd.DataFrame({"job_id": [key[0]], "status": [now[0]], "reason": [now[1]], "us": [now[2]]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        queued, scanning, ended, ending, told = self.job.get() if self.job.exists() else (None,) * 5
+        if told in ENDS:
+            return
+        least = lambda a, b: b if a is None else min(a, b)
+        for frame in rows:
+            first = frame.groupby("status")["us"].min()
+            for status, us in first.items():
+                us = int(us)
+                if status == "queued":
+                    queued = least(queued, us)
+                elif status == "scanning":
+                    scanning = least(scanning, us)
+                elif status in ENDS and (ended is None or (us, status) < (ended, ending)):
+                    ended, ending = us, status
+        now = self._status(queued, scanning, ended, ending, timerValues.getCurrentWatermarkInMs())
+        if now is None:
+            return
+        if now[0] == told:
+            self.job.update((queued, scanning, ended, ending, told))
+        else:
+            yield from self._tell(key, (queued, scanning, ended, ending), now)
+        if now[0] == "scanning":
+            # the first whole millisecond at which the time is over; an earlier start moves it
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(-(-(scanning + self.wait * 1000) // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        *values, told = self.job.get()
+        if told in ENDS:
+            self.job.clear()
+            return
+        now = self._status(*values, timerValues.getCurrentWatermarkInMs())
+        if now[0] != told:
+            yield from self._tell(key, tuple(values), now)
+
+    def close(self) -> None:
+        pass
+
+
+def job_changes(events: DataFrame, wait: int, keep: int, late: str) -> DataFrame:
+    """Changes of status of jobs (job_id, status, reason, at) in a stream of events (job_id long, status string, ts timestamp): see JobMachine; late is
+    how far the watermark stays behind. Rows of a null job, time or unknown status count for nothing. The session's state
+    store must be ROCKSDB."""
+    rows = events.filter(F.col("job_id").isNotNull() & F.col("ts").isNotNull() & F.col("status").isin(*STATES)).withWatermark("ts", late)
+    rows = rows.select("job_id", "status", F.unix_micros("ts").alias("us"), "ts")
+    told = rows.groupBy("job_id").transformWithStateInPandas(statefulProcessor=JobMachine(wait, keep), outputStructType=TOLD, outputMode="Update", timeMode="EventTime")
+    return told.select("job_id", "status", "reason", F.timestamp_micros("us").alias("at"))
+
+
+def keep_job_changes(events: DataFrame, store: Store, checkpoint: str, wait: int, keep: int, late: str, name: str = "jobs_now") -> None:
+    """Keeps each job's last status in a store as its changes come. A batch may hold two changes of a job (what its events and
+    then its timer say): the end counts, else the later."""
+    spark = events.sparkSession
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # read when the query starts
+
+    def each(rows: DataFrame, _: int) -> None:
+        store.upsert(name, keep_first(rows, [F.col("job_id")], [F.col("status").isin(*ENDS).desc(), F.col("at").desc(), F.col("status").desc()]), "job_id")
+
+    try:
+        query = job_changes(events, wait, keep, late).writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
 def stateful_jobs(events: DataFrame) -> DataFrame:
     """Streaming job states that never go back: an event counts if its seq is the job's highest so far (job_id, status, seq)."""
-    import pandas as pd
-
     def advance(key, frames, state):
         status, seq = state.get if state.exists else (None, -1)
         for frame in frames:
