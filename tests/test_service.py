@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from thornwick.operators import permissions, render, service
+from thornwick.operators import permissions, relations, render, service
 from thornwick.plans.scan import scan
 from thornwick.sources import packages
 from thornwick.sources.store import Store, single_map
@@ -213,3 +213,32 @@ def test_submissions_and_seed(spark, tmp_path):
     assert header.total_entries == 2 and [(x["name"], x["count"]) for x in header.sources] == [("npm", 1), ("web", 1)]
     compact = {r.n: r for r in spark.read.json(str(tmp_path / "seed/compact")).collect()}
     assert len(compact["a"].d) == 100 and compact["a"].t == ["1", "2", "3"] and spark.read.json(str(tmp_path / "seed/sources/source=web")).count() == 1
+
+
+def test_look_alikes_meet_by_what_is_left_without_a_character(spark):
+    popular = ["lodash", "react", "axios", "a", "ab", "lodash"]
+    edits = {x[:k] + c + x[k + d :] for x in popular for k in range(len(x) + 1) for c in ("", "z", "é") for d in (0, 1)}
+    names = sorted(edits | {"lodahs", "rect5", "axxioss", "@s/reactt", "@reac", "abc", "aab"}) + ["reactt", "reactt"] + [f"filler{k:05d}" for k in range(3000)]
+    df, pop = spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame([(x,) for x in popular], "popular string")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    base = lambda x: x.split("/")[1] if x.startswith("@") and "/" in x else x
+    expected = sorted((x, base(x), y) for x in names for y in set(popular) if len(base(x)) >= 3 and distance(base(x), y) == 1)
+    assert rows_of(relations.look_alikes(df, pop)) == expected
+    near = relations.look_alike_candidates(df.select(F.col("name").alias("base")), pop)
+    assert near.count() < 300  # of 3,000 names and more, five popular ones
+    assert relations.look_alikes(df.limit(0), pop).count() == 0
+
+
+def test_a_job_without_events_or_with_ties(spark, tmp_path):
+    store, folder, schema = Store(spark, str(tmp_path / "s")), str(tmp_path / "in"), "job_id long, status string, ts timestamp"
+    put(spark, folder, minutes((1, "failed", 5), (1, "completed", 5), (1, "scanning", 5), (1, "completed", 5)), schema)
+    jobs.keep_job_changes(spark.readStream.schema(schema).parquet(folder), store, str(tmp_path / "ck"), 60_000, 600_000, "1 minute")
+    assert [(r.job_id, r.status) for r in store.read("jobs_now").collect()] == [(1, "completed")]

@@ -95,12 +95,33 @@ def mismatches(claimed: DataFrame, findings: DataFrame, prompt_findings: DataFra
     return one.unionByName(two)
 
 
+def base_name(name: Column) -> Column:
+    """A package's name without its scope."""
+    return F.when(name.startswith("@"), F.coalesce(F.try_element_at(F.split(name, "/"), F.lit(2)), name)).otherwise(name)
+
+
+def deletion_forms(name: Column) -> Column:
+    """name and what is left of it when one character is left out, each once. Two names one edit apart share such a form:
+    both without the character that differs, or the shorter name, which is the longer one without a character."""
+    shorter = F.transform(F.sequence(F.lit(1), F.length(name)), lambda k: F.concat(F.substring(name, 1, k - 1), F.substring(name, k + 1, F.length(name))))
+    return F.when(F.length(name) > 0, F.array_distinct(F.concat(F.array(name), shorter))).otherwise(F.array(name))
+
+
+def look_alike_candidates(bases: DataFrame, popular: DataFrame) -> DataFrame:
+    """Pairs (base, popular), each once, that share a form: those one edit apart, equal ones, and some two apart. Forms are
+    joined by their hash, so that a base meets only what is near it, not all names of its length."""
+    form = lambda c: F.explode(F.transform(deletion_forms(F.col(c)), lambda x: F.xxhash64(x))).alias("form")
+    left = bases.select("base").distinct().select("base", form("base"))
+    right = popular.select("popular").distinct().select("popular", form("popular"))
+    return left.join(right, "form").select("base", "popular").distinct()
+
+
 def look_alikes(names: DataFrame, popular: DataFrame, least: int = 3) -> DataFrame:
-    """name rows one edit from a popular one (scope left out): name, base, popular. Length classes keep it an equi-join."""
-    base = F.when(F.col("name").startswith("@"), F.coalesce(F.try_element_at(F.split("name", "/"), F.lit(2)), F.col("name"))).otherwise(F.col("name"))
-    left = names.withColumn("base", base).filter(F.length("base") >= least).withColumn("n", F.explode(F.array(F.length("base") - 1, F.length("base"), F.length("base") + 1)))
-    right = popular.select("popular").distinct().withColumn("n", F.length("popular"))
-    return left.join(right, "n").filter(F.levenshtein("base", "popular", 1) == 1).drop("n")
+    """Rows of names one edit from a popular one (scope left out): names' columns, base, popular. Each name is compared once,
+    however many rows have it; rows that repeat all stay."""
+    left = names.withColumn("base", base_name(F.col("name"))).filter(F.length("base") >= least)
+    pairs = look_alike_candidates(left, popular).filter(F.levenshtein("base", "popular", 1) == 1)
+    return left.join(pairs, "base").select(*names.columns, "base", "popular")
 
 
 def ignored(findings: DataFrame, rules: DataFrame) -> DataFrame:

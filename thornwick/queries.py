@@ -907,4 +907,32 @@ def streaming_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read("states").select("job_id", "status", "seq")
 
 
+JOB_EVENTS = (("signup", "queued"), ("click", "scanning"), ("purchase", "completed"), ("error", "failed"))
+WAIT_HOURS, LATE_MINUTES = 6, 30
+
+
+@query(
+    f"""WITH e AS (SELECT user_id * 400 + dayofyear(ts) AS job_id, CASE event_type {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in JOB_EVENTS)} END AS status, epoch_us(ts) AS us FROM events),
+ v AS (SELECT * FROM e WHERE status IS NOT NULL AND job_id IS NOT NULL AND us IS NOT NULL), w AS (SELECT max(us) // 1000 - {LATE_MINUTES} * 60000 AS passed FROM v),
+ j AS (SELECT job_id, min(us) FILTER (status = 'queued') AS queued, min(us) FILTER (status = 'scanning') AS scanning, min(us) FILTER (status IN ('completed', 'failed')) AS ended FROM v GROUP BY 1),
+ n AS (SELECT j.*, (SELECT min(status) FROM v WHERE v.job_id = j.job_id AND v.us = j.ended AND status IN ('completed', 'failed')) AS ending, scanning + {WAIT_HOURS} * 3600000000 AS over_at, passed FROM j, w),
+ s AS (SELECT *, CASE WHEN ended IS NOT NULL AND (over_at IS NULL OR ended <= over_at) THEN 'ended' WHEN over_at IS NOT NULL AND (ended IS NOT NULL OR passed >= ceil(over_at / 1000.0)) THEN 'stuck' WHEN scanning IS NOT NULL THEN 'scanning' ELSE 'queued' END AS k FROM n)
+ SELECT job_id, CASE k WHEN 'ended' THEN ending WHEN 'stuck' THEN 'failed' ELSE k END AS status, CASE k WHEN 'stuck' THEN 'no result in time' END AS reason,
+ CAST(CASE k WHEN 'ended' THEN ended WHEN 'stuck' THEN over_at WHEN 'scanning' THEN scanning ELSE queued END AS BIGINT) AS at_us FROM s"""
+)
+def job_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as jobs of a user and day: a stream with timers, whose last changes are kept in a store."""
+    from thornwick.sources.store import Store
+    from thornwick.streaming.jobs import keep_job_changes
+
+    schema = read(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    job, status = F.col("user_id") * 400 + F.dayofyear("ts"), F.create_map(*[F.lit(x) for kv in JOB_EVENTS for x in kv])
+    root = shared_path(spark, "job-machine")
+    store = Store(spark, root)
+    rows = stream.select(job.cast("long").alias("job_id"), F.try_element_at(status, F.col("event_type")).alias("status"), F.col("ts").cast("timestamp").alias("ts"))
+    keep_job_changes(rows, store, f"{root}/checkpoint", wait=WAIT_HOURS * 3_600_000, keep=40 * 86_400_000, late=f"{LATE_MINUTES} minutes")
+    return store.read("jobs_now").select("job_id", "status", "reason", F.unix_micros("at").alias("at_us"))
+
+
 from thornwick import service_queries  # noqa: E402, F401  it adds its own to these tables

@@ -146,18 +146,21 @@ class JobMachine(StatefulProcessor):
             return "scanning", None, scanning
         return None if queued is None else ("queued", None, queued)
 
+    def _due(self, scanning: int) -> int:
+        """The first whole millisecond at which a scan's time is over."""
+        return -(-(scanning + self.wait * 1000) // 1000)
+
     def _tell(self, key, values: tuple, now: tuple) -> Iterator[pd.DataFrame]:
         self.job.update((*values, now[0]))
         if now[0] in ENDS:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
             self.handle.registerTimer(now[2] // 1000 + self.keep)
         yield pd.DataFrame({"job_id": [key[0]], "status": [now[0]], "reason": [now[1]], "us": [now[2]]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        queued, scanning, ended, ending, told = self.job.get() if self.job.exists() else (None,) * 5
+        queued, scanning, ended, ending, told = self.job.get() or (None,) * 5
         if told in ENDS:
             return
+        since = scanning
         least = lambda a, b: b if a is None else min(a, b)
         for frame in rows:
             first = frame.groupby("status")["us"].min()
@@ -172,15 +175,14 @@ class JobMachine(StatefulProcessor):
         now = self._status(queued, scanning, ended, ending, timerValues.getCurrentWatermarkInMs())
         if now is None:
             return
+        if told == "scanning" and (now[0] in ENDS or scanning != since):
+            self.handle.deleteTimer(self._due(since))
+        if now[0] == "scanning" and (told != "scanning" or scanning != since):
+            self.handle.registerTimer(self._due(scanning))
         if now[0] == told:
             self.job.update((queued, scanning, ended, ending, told))
         else:
             yield from self._tell(key, (queued, scanning, ended, ending), now)
-        if now[0] == "scanning":
-            # the first whole millisecond at which the time is over; an earlier start moves it
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(-(-(scanning + self.wait * 1000) // 1000))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         *values, told = self.job.get()
