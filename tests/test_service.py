@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from thornwick.operators import permissions, relations, render, service
+from thornwick.operators import permissions, prompts, relations, render, service
 from thornwick.plans.scan import scan
 from thornwick.sources import packages
 from thornwick.sources.store import Store, single_map
@@ -242,3 +242,11 @@ def test_a_job_without_events_or_with_ties(spark, tmp_path):
     put(spark, folder, minutes((1, "failed", 5), (1, "completed", 5), (1, "scanning", 5), (1, "completed", 5)), schema)
     jobs.keep_job_changes(spark.readStream.schema(schema).parquet(folder), store, str(tmp_path / "ck"), 60_000, 600_000, "1 minute")
     assert [(r.job_id, r.status) for r in store.read("jobs_now").collect()] == [(1, "completed")]
+
+
+def test_findings_are_ordered_by_locale(spark):
+    names = ["z.md", "B.md", "b.md", "a10.md", "a9.md", "Ä.md", "ab.md", "a-b.md", "_x.md", "z/A.md", "Z/a.md"]
+    rows = [("p", 1, "low", n, 1, 0) for n in names] + [("p", 2, "high", "z.md", 1, 0), ("p", 1, "high", "z.md", 2, 0)]
+    found = prompts.in_order(spark.createDataFrame(rows, "pkg string, ord long, severity string, file string, line int, column int")).orderBy("ord").collect()
+    assert [(r.file, r.line) for r in found[:2]] == [("z.md", 2), ("z.md", 1)] and [r.ord for r in found] == list(range(1, 14))
+    assert [r.file for r in found[2:]] == ["_x.md", "a-b.md", "Ä.md", "a10.md", "a9.md", "ab.md", "b.md", "B.md", "z.md", "z/A.md", "Z/a.md"]  # a full stop before digits

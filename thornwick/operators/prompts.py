@@ -285,6 +285,18 @@ def deduplicated(findings: DataFrame) -> DataFrame:
     return findings.withColumn("rn", F.row_number().over(place)).filter("rn = 1").drop("rn")
 
 
+def by_locale(name: Column) -> list[Column]:
+    """Order of names as a reader's locale has it (the Unicode root collation: a, B, c; accents and case decide ties), and by
+    code point where that holds two names equal."""
+    return [F.collate(name, "UNICODE"), name]
+
+
+def in_order(findings: DataFrame) -> DataFrame:
+    """findings with ord anew (from 1, long) by package: the severest first, then files by locale, then as they were found."""
+    place = Window.partitionBy("pkg").orderBy(F.desc(rank(F.col("severity"))), *by_locale(F.col("file")), "ord", "line", "column")
+    return findings.withColumn("ord", F.row_number().over(place).cast("long"))
+
+
 def looks_like_prompt(text: Column) -> Column:
     return votes(text, t.PROMPT_INDICATORS) >= 2
 

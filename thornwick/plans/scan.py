@@ -53,8 +53,7 @@ def scan(files: DataFrame, manifest_name: str = "skill-manifest.json", ignore_na
     place = F.row_number().over(Window.partitionBy("pkg").orderBy("layer", "file", "line", "column", "ord", "description"))
     findings = kept(findings.withColumn("ord", place.cast("long")))
     told = relations.ignored(prompts.deduplicated(prompts.detect(content)), rules)
-    order = F.row_number().over(Window.partitionBy("pkg").orderBy(F.desc(prompts.rank(F.col("severity"))), "file", "ord", "line", "column"))
-    told = kept(told.withColumn("ord", order.cast("long")))
+    told = kept(prompts.in_order(told))
 
     sources, sinks = code_facts.taint_sources(found), code_facts.taint_sinks(found)
     flows = relations.taint_flows(sources, sinks).unionByName(relations.environment_flows(code_facts.environment_accesses(found), sinks))

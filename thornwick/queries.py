@@ -907,6 +907,20 @@ def streaming_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read("states").select("job_id", "status", "seq")
 
 
+#: Names whose order by locale is not that by code point.
+PLACES = ("README.md", "a-b.md", "ab.md", "B.md", "ä.md", "a10.md", "a9.md", "_x.md", "docs/Z.md", "Docs/a.md", "é.md", "E.md", "z.md")
+
+
+@query(
+    f"""WITH {findings_sql(PROMPT_CATEGORIES)}, x AS (SELECT pkg, ord AS event_id, severity, {pick_sql(PLACES, 'ord // 5')} AS file, line, "column" FROM f)
+ SELECT pkg, event_id, file, row_number() OVER (PARTITION BY pkg ORDER BY {RANK} DESC, file COLLATE en_US, file, event_id) AS ord FROM x"""
+)
+def findings_by_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt findings in the order of a report: severity, file as the locale sorts it, order of finding."""
+    f = event_findings(spark, sf_dir, PROMPT_CATEGORIES).withColumns({"event_id": F.col("ord"), "file": pick(PLACES, F.floor(F.col("ord") / 5))})
+    return prompts.in_order(f).select("pkg", "event_id", "file", "ord")
+
+
 JOB_EVENTS = (("signup", "queued"), ("click", "scanning"), ("purchase", "completed"), ("error", "failed"))
 WAIT_HOURS, LATE_MINUTES = 6, 30
 
