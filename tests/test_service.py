@@ -3,9 +3,13 @@
 import gzip
 import json
 import os
+import random
 import tarfile
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +159,44 @@ def test_job_machine_times_out_and_never_goes_back(spark, tmp_path):
     assert (found[1], found[7], found[2]) == (("failed", jobs.STUCK, 31), ("failed", jobs.STUCK, 71), ("scanning", None, 45))
 
 
+def test_job_machine_works_on_all_jobs_of_a_bucket_at_once():
+    rng, wait, keep, hour = random.Random(5), 3_600_000, 10 * 3_600_000, 3_600_000_000
+    rows = [(rng.randrange(400), rng.choice(jobs.STATES), rng.randrange(12) * hour // 2) for _ in range(1500)]
+    value, timers, passed = [None], set(), [0]
+    state = SimpleNamespace(get=lambda: value[0], update=lambda v: value.__setitem__(0, v), clear=lambda: value.__setitem__(0, None))
+    handle = SimpleNamespace(getValueState=lambda *_: state, registerTimer=timers.add, deleteTimer=timers.remove)
+    times = SimpleNamespace(getCurrentWatermarkInMs=lambda: passed[0])
+    machine, told = jobs.JobMachine(wait, keep), {}
+    machine.init(handle)
+
+    def hear(frames):
+        for f in frames:
+            told.update({r.job_id: (r.status, r.reason, r.us) for r in f.itertuples()})
+
+    frame = pd.DataFrame(rows, columns=["job_id", "status", "us"])
+    hear(machine.handleInputRows((7,), iter([frame[:700], frame[700:]]), times))
+    assert len(timers) == 1
+    passed[0] = 4 * 3_600_000
+    timers.clear()
+    hear(machine.handleExpiredTimer((7,), times, None))
+
+    def expected(job):
+        first = lambda *s: min(((us, x) for j, x, us in rows if j == job and x in s), default=None)
+        queued, scanning, end = first("queued"), first("scanning"), first("completed", "failed")
+        over = scanning and scanning[0] + wait * 1000
+        if end and (over is None or end[0] <= over):
+            return end[1], None, end[0]
+        if over is not None and (end or over <= passed[0] * 1000):
+            return "failed", jobs.STUCK, over
+        return ("scanning", None, scanning[0]) if scanning else ("queued", None, queued[0])
+
+    assert told == {job: expected(job) for job, _, _ in rows} and {x[0] for x in told.values()} == set(jobs.STATES)
+    passed[0] = 100 * 3_600_000  # what has ended is forgotten, a scan that is over is told first
+    hear(machine.handleExpiredTimer((7,), times, None))
+    hear(machine.handleExpiredTimer((7,), times, None))
+    assert {x[0] for x in told.values()} == {"queued", "completed", "failed"} and len(np.frombuffer(value[0][1], np.int64)) == 6 * sum(x[0] == "queued" for x in told.values())
+
+
 def test_broken_archives_do_not_stop_the_others(spark, tmp_path):
     for k in range(3):
         (tmp_path / f"f{k}").write_text("x" * 5000 + str(k))

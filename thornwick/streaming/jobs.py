@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -117,6 +118,9 @@ class Arrivals:
 TOLD = "job_id long, status string, reason string, us long"
 STUCK = "no result in time"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+JOB_BUCKETS = 1024
+_NONE = np.iinfo(np.int64).max  # no such time, or nothing told
+_TOLD = len(STATES) + 1  # a job's columns: its id, the first time of each state (microseconds), what was last told
 
 
 class JobMachine(StatefulProcessor):
@@ -125,85 +129,96 @@ class JobMachine(StatefulProcessor):
     A job scans from its first scanning event on. It ends with its first completed or failed event (ties: completed; of one
     job, equal times, the smaller name), if that comes within `wait` milliseconds of the start of its scan or without one;
     else it fails when that time is over, as soon as the watermark has passed it. What a job has ended with stays; `keep`
-    milliseconds (of event time) later it is forgotten. Order of rows within a batch does not matter; state is four values a
-    job, whatever the number of its events."""
+    milliseconds (of event time) later it is forgotten. Order of rows within a batch does not matter; state is six numbers a
+    job, whatever the number of its events.
+
+    Jobs are held in hash buckets, each one key with one value and one timer (that of its next job), so that a batch asks for
+    state once a bucket and works on all jobs of a bucket as arrays. A batch writes the buckets of its jobs anew."""
 
     def __init__(self, wait: int, keep: int) -> None:
         self.wait, self.keep = wait, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # milliseconds of the first queued and scanning events, the end's microseconds and status, and what was last told
-        self.job = handle.getValueState("job", "queued long, scanning long, ended long, ending string, told string")
-
-    def _status(self, queued, scanning, ended, ending, passed: int) -> tuple | None:
-        over = None if scanning is None else scanning + self.wait * 1000
-        if ended is not None and (over is None or ended <= over):
-            return ending, None, ended
-        if over is not None and (ended is not None or passed * 1000 >= over):
-            return "failed", STUCK, over
-        if scanning is not None:
-            return "scanning", None, scanning
-        return None if queued is None else ("queued", None, queued)
-
-    def _due(self, scanning: int) -> int:
-        """The first whole millisecond at which a scan's time is over."""
-        return -(-(scanning + self.wait * 1000) // 1000)
-
-    def _tell(self, key, values: tuple, now: tuple) -> Iterator[pd.DataFrame]:
-        self.job.update((*values, now[0]))
-        if now[0] in ENDS:
-            self.handle.registerTimer(now[2] // 1000 + self.keep)
-        yield pd.DataFrame({"job_id": [key[0]], "status": [now[0]], "reason": [now[1]], "us": [now[2]]})
+        self.jobs = handle.getValueState("jobs", "timer long, jobs binary")
+
+    def _load(self) -> tuple[int | None, np.ndarray]:
+        timer, raw = self.jobs.get() or (None, b"")
+        return timer, np.frombuffer(bytes(raw), np.int64).reshape(-1, _TOLD + 1).copy()
+
+    def _save(self, timer: int | None, known: np.ndarray, passed: int) -> None:
+        """Stores the jobs, and moves the timer to the first millisecond at which a scan's time is over or an ended job is forgotten."""
+        told = known[:, _TOLD]
+        _, at, over = self._status(known, passed)
+        ended = (told == 2) | (told == 3)
+        due = np.r_[-(-over[told == 1] // 1000), at[ended] // 1000 + self.keep]
+        first = max(int(due.min()), passed + 1) if len(due) else None
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        if len(known):
+            self.jobs.update((first, known.tobytes()))
+        else:
+            self.jobs.clear()
+
+    def _status(self, known: np.ndarray, passed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By job: the number of its state, since when, and when its scan's time is over."""
+        _, queued, scanning, completed, failed, _ = known.T
+        over = np.where(scanning == _NONE, _NONE, np.minimum(scanning, _NONE - self.wait * 1000) + self.wait * 1000)
+        end = np.minimum(completed, failed)
+        cases = [(end < _NONE) & (end <= over), (over < _NONE) & ((end < _NONE) | (over <= passed * 1000)), scanning < _NONE]
+        return np.select(cases, [np.where(completed <= failed, 2, 3), 3, 1], 0), np.select(cases, [end, over, scanning], queued), over
+
+    def _tell(self, known: np.ndarray, passed: int) -> Iterator[pd.DataFrame]:
+        """The jobs whose state is not what was last told; what is told of an end stays."""
+        status, at, _ = self._status(known, passed)
+        told = known[:, _TOLD]
+        new = (status != told) & (told != 2) & (told != 3)
+        told[new] = status[new]
+        if new.any():
+            stuck = (status == 3) & (at < known[:, 3:5].min(axis=1))  # no end came in time
+            yield pd.DataFrame({"job_id": known[new, 0], "status": np.asarray(STATES, object)[status[new]], "reason": np.where(stuck[new], STUCK, None), "us": at[new]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        queued, scanning, ended, ending, told = self.job.get() or (None,) * 5
-        if told in ENDS:
-            return
-        since = scanning
-        least = lambda a, b: b if a is None else min(a, b)
+        timer, known = self._load()
+        passed = timerValues.getCurrentWatermarkInMs()
         for frame in rows:
-            first = frame.groupby("status")["us"].min()
-            for status, us in first.items():
-                us = int(us)
-                if status == "queued":
-                    queued = least(queued, us)
-                elif status == "scanning":
-                    scanning = least(scanning, us)
-                elif status in ENDS and (ended is None or (us, status) < (ended, ending)):
-                    ended, ending = us, status
-        now = self._status(queued, scanning, ended, ending, timerValues.getCurrentWatermarkInMs())
-        if now is None:
-            return
-        if told == "scanning" and (now[0] in ENDS or scanning != since):
-            self.handle.deleteTimer(self._due(since))
-        if now[0] == "scanning" and (told != "scanning" or scanning != since):
-            self.handle.registerTimer(self._due(scanning))
-        if now[0] == told:
-            self.job.update((queued, scanning, ended, ending, told))
-        else:
-            yield from self._tell(key, (queued, scanning, ended, ending), now)
+            jobs, place = np.unique(frame["job_id"].to_numpy(np.int64), return_inverse=True)
+            came = jobs[~np.isin(jobs, known[:, 0])]
+            if len(came):
+                more = np.full((len(came), _TOLD + 1), _NONE)
+                more[:, 0] = came
+                known = np.r_[known, more]
+                known = known[np.argsort(known[:, 0])]
+            at = np.searchsorted(known[:, 0], jobs)[place]
+            state = pd.Categorical(frame["status"], STATES).codes.astype(np.int64)
+            open_ = (known[at, _TOLD] != 2) & (known[at, _TOLD] != 3)
+            np.minimum.at(known, (at[open_], state[open_] + 1), frame["us"].to_numpy(np.int64)[open_])
+        yield from self._tell(known, passed)
+        self._save(timer, known, passed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        *values, told = self.job.get()
-        if told in ENDS:
-            self.job.clear()
-            return
-        now = self._status(*values, timerValues.getCurrentWatermarkInMs())
-        if now[0] != told:
-            yield from self._tell(key, tuple(values), now)
+        _, known = self._load()  # an expired timer is gone
+        passed = timerValues.getCurrentWatermarkInMs()
+        _, at, _ = self._status(known, passed)
+        ended = (known[:, _TOLD] == 2) | (known[:, _TOLD] == 3)
+        known = known[~(ended & (at // 1000 + self.keep <= passed))]
+        yield from self._tell(known, passed)
+        self._save(None, known, passed)
 
     def close(self) -> None:
         pass
 
 
-def job_changes(events: DataFrame, wait: int, keep: int, late: str) -> DataFrame:
+def job_changes(events: DataFrame, wait: int, keep: int, late: str, buckets: int = JOB_BUCKETS) -> DataFrame:
     """Changes of status of jobs (job_id, status, reason, at) in a stream of events (job_id long, status string, ts timestamp): see JobMachine; late is
     how far the watermark stays behind. Rows of a null job, time or unknown status count for nothing. The session's state
-    store must be ROCKSDB."""
+    store must be ROCKSDB. The number of buckets stays as it was when the stream began."""
     rows = events.filter(F.col("job_id").isNotNull() & F.col("ts").isNotNull() & F.col("status").isin(*STATES)).withWatermark("ts", late)
-    rows = rows.select("job_id", "status", F.unix_micros("ts").alias("us"), "ts")
-    told = rows.groupBy("job_id").transformWithStateInPandas(statefulProcessor=JobMachine(wait, keep), outputStructType=TOLD, outputMode="Update", timeMode="EventTime")
+    rows = rows.select("job_id", "status", F.unix_micros("ts").alias("us"), "ts", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).alias("bucket"))
+    told = rows.groupBy("bucket").transformWithStateInPandas(statefulProcessor=JobMachine(wait, keep), outputStructType=TOLD, outputMode="Update", timeMode="EventTime")
     return told.select("job_id", "status", "reason", F.timestamp_micros("us").alias("at"))
 
 
