@@ -197,6 +197,14 @@ def test_job_machine_works_on_all_jobs_of_a_bucket_at_once():
     assert {x[0] for x in told.values()} == {"queued", "completed", "failed"} and len(np.frombuffer(value[0][1], np.int64)) == 6 * sum(x[0] == "queued" for x in told.values())
 
 
+def test_run_counters_order_only_the_first(spark):
+    rows = spark.range(1000, 0, -1, 8).selectExpr("id * 7 AS place", "id % 2 = 0 AS success", "id % 3 = 0 AS requested", "id % 5 = 0 AS late")
+    found = service.run_counters(rows, 5, 30)
+    assert found.first().asDict() == {"new": 1000, "scanned": 12, "failed": 12, "requests": 4, "skipped": 6, "deferred": 970, "total": 17}
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    assert service.run_counters(rows.limit(3), 5, 30).first().deferred == 0
+
+
 def test_broken_archives_do_not_stop_the_others(spark, tmp_path):
     for k in range(3):
         (tmp_path / f"f{k}").write_text("x" * 5000 + str(k))

@@ -144,19 +144,19 @@ def security_holders(code: DataFrame) -> DataFrame:
 
 
 def run_counters(outcomes: DataFrame, known: int, limit: int) -> DataFrame:
-    """One row of a run's counters. outcomes: a row a new package with place (from 1), success, requested (a pull request was
-    made) and late (the time budget was over); packages after limit are deferred."""
-    place = F.col("place")
-    ran = (place <= limit) & ~F.col("late")
-    return outcomes.agg(
-        F.count(F.lit(1)).alias("new"),
+    """One row of a run's counters. outcomes: a row a new package with place (what packages are ordered by, no two equal; a
+    null comes last), success, requested (a pull request was made) and late (the time budget was over); packages after the
+    first `limit` are deferred. Only these first ones are ordered, the rest is counted."""
+    first = outcomes.orderBy(F.col("place").asc_nulls_last()).limit(limit)
+    ran = ~F.col("late")
+    run = first.agg(
         F.count_if(ran & F.col("success")).alias("scanned"),
         F.count_if(ran & ~F.col("success")).alias("failed"),
         F.count_if(ran & F.col("success") & F.col("requested")).alias("requests"),
-        F.count_if((place <= limit) & F.col("late")).alias("skipped"),
-        F.count_if(place > limit).alias("deferred"),
-        (F.lit(known) + F.count_if(ran & F.col("success"))).alias("total"),
+        F.count_if(F.col("late")).alias("skipped"),
     )
+    new = F.col("new")
+    return outcomes.agg(F.count(F.lit(1)).alias("new")).crossJoin(run).select(new, "scanned", "failed", "requests", "skipped", (new - F.least(new, F.lit(limit))).alias("deferred"), (F.lit(known) + F.col("scanned")).alias("total"))
 
 
 # --- typed values ----------------------------------------------------------------------------------------------------
