@@ -141,3 +141,34 @@ def test_many_matches_take_time_in_proportion(spark):
             assert sorted({x.line for x in rows})[-1] == n and len({x.column for x in rows}) <= 30
         took.append(best)
     assert all(b < 8 * 3 * max(a, 1.0) for a, b in zip(*took, strict=True)), took
+
+
+def test_plain_words_without_those_that_hold_another():
+    assert text.needed(r"\b(?:execSync|exec|spawnSync|spawn)\s*\(") == ("exec", "spawn")
+
+
+@pytest.mark.parametrize("pattern", [r"\bab", r"ab\b", r"\b(?:a|bc)", r"(a|bc)\b", r"\bab?\b", r"\b@a", r"\b(?:a?|b)", r"\b(a|b)*", r"(a|b?)\b", r"a\b|\bb", r"\b[ab]\b"])
+def test_word_edges_as_before(spark, pattern):
+    """An edge beside a word's character looks at one side only; results are those of both sides."""
+    import itertools
+
+    texts = ["".join(x) for n in range(1, 5) for x in itertools.product("ab @", repeat=n)]
+    edge = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").coalesce(1)
+    assert rows.filter(F.regexp_extract_all("t", F.lit(text.java(pattern)), F.lit(0)) != F.regexp_extract_all("t", F.lit(pattern.replace(r"\b", edge)), F.lit(0))).count() == 0
+    if pattern in (r"\bab", r"ab\b", r"\b(?:a|bc)", r"(a|bc)\b"):
+        assert "|(?<!" not in text.java(pattern)
+
+
+def test_votes_look_for_plain_words_first(spark):
+    """Texts of other letters are searched too; a pattern whose words are not in a text is not run over it."""
+    rows = spark.createDataFrame([("\u00c4 SYSTEM: \u00d6 Ignore it",), ("nothing \u212aelvin",), ("s\u00c4ystem: ignores",)], "t string").coalesce(1)
+    votes = text.votes(F.col("t"), (r"\bsystem\s*:", r"\bignore\b", r"kelvin"))
+    assert [r.v for r in rows.select(votes.alias("v")).collect()] == [2, 0, 0]
+    assert "contains" in rows.select(votes)._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_matches_by_line_are_matches(spark):
+    rows = spark.createDataFrame([("a\n\n\u00e9b\u0430c x\n" * 300,), ("",), ("\n",), ("\u0430",), ("plain\ntext",)], "t string").coalesce(1)
+    pattern = r"[a-z]*\u0430[a-z]*"
+    assert rows.filter(~text.matches(F.col("t"), pattern).eqNullSafe(text.matches_by_line(F.col("t"), pattern, r"\x{430}"))).count() == 0
